@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, table
 from .decontaminate import contamination
 from .near_dedup import near_duplicates
 from .packing import pack
+from .pii import KINDS, personal_spans
+from .token_output import write_shards
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -64,3 +68,17 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
 @query
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_shards(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_* count the base spans."""
+    found = personal_spans(table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(F.lit(list(KINDS)), x["k"] + 1), x["s"], x["e"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+    return found.select("doc_id", *map(count, range(4)), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))

@@ -30,6 +30,7 @@ class Encoder:
         # byte-level vocabularies write each byte as a printable character
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         char = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.size = max(model["model"]["vocab"].values()) + 1
         ranks = {bytes(char[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in self.special}
         self._bpe = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
