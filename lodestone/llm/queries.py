@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 from .decontaminate import contamination
+from .language_id import identify, train
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import KINDS, personal_spans
 from .token_output import write_shards
+from .toxicity import score_texts
+from .toxicity import train as train_toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -82,3 +85,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(F.lit(list(KINDS)), x["k"] + 1), x["s"], x["e"])), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return found.select("doc_id", *map(count, range(4)), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held = F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2").alias("held_out")
+    return identify(documents, train(documents)).select("doc_id", held, "lang_pred", "score", "accepted")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = train_toxicity(documents, table(spark, sf_dir, "labels"), "pmod(crc32(cast(doc_id as string)), 3) <> 1")
+    held = F.expr("pmod(crc32(cast(doc_id as string)), 3) = 1").alias("held_out")
+    return score_texts(documents, model).select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "windows")
