@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import prefix_tree, read_back
 from .common import shared_dir, table
 from .decontaminate import contamination
 from .language_id import identify, train
@@ -100,3 +101,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_toxicity(documents, table(spark, sf_dir, "labels"), "pmod(crc32(cast(doc_id as string)), 3) <> 1")
     held = F.expr("pmod(crc32(cast(doc_id as string)), 3) = 1").alias("held_out")
     return score_texts(documents, model).select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "windows")
+
+
+@query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    return read_back(*prefix_tree(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
