@@ -11,6 +11,7 @@ from .ann import nearest
 from .chat_format import prefix_tree, read_back
 from .common import shared_dir, table
 from .decontaminate import contamination
+from .html_text import extract
 from .language_id import identify, train
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -114,3 +115,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
