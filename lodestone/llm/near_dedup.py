@@ -5,11 +5,12 @@
 2. Inverted lists over the retained values: a list's key is a run of r consecutive retained values. Two
    sets of similarity t that are kept whole always share such a run for the r of their size (pigeonhole over
    their differing elements, see tiers()); for sketches the chance of no shared run is below 1e-5 at t.
-   In each list, members are paired with the list's smallest document: a star, never all pairs.
+   In each list, members are paired with the one that shares the most lists: a star, never all pairs.
 3. The number of shared lists picks each document's best partner, the union sketch estimates the
    similarity, and the exact Jaccard index of the full sets decides.
 4. Components of the links found are built; then pairs within a list that are still in different
-   components, and only those, go the same way, so no link between components stays unseen.
+   components, and whose odd sketches are near enough, go the same way, so no link between components
+   stays unseen.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import batch, materialise, maybe_broadcast
 from .graph import connected_components
 
 SKETCH = 96
+#: Bits of an odd sketch; sets of so many values enter whole; otherwise so many retained values do.
+ODD_BITS, ODD_FULL, ODD_SKETCH = 1024, 1024, 384
 #: Standard deviations that an estimate may lie under the threshold.
 SLACK = 4.5
 #: Rows of key lists that one flush of the map-side combiner holds.
@@ -76,6 +79,7 @@ def _sketches(size: int, sketch: int):
                     "f1": pa.array([x for x, _ in fp], pa.int64()),
                     "f2": pa.array([y for _, y in fp], pa.int64()),
                     "sketch": pa.array([x[:sketch].tobytes() for x in sets], pa.binary()),
+                    "odd": pa.array([_odd(x) for x in sets], pa.binary()),
                 })
 
     return run
@@ -88,9 +92,27 @@ def _runs(x: np.ndarray, r: int) -> np.ndarray:
     return K.mix(key).view(np.int64)
 
 
-def _keys(levels: list[tuple[int, int, int]], combine: bool):
-    """Rows (key, doc, n). With combine, a list's members within one flush are paired here and one of them goes on:
-    rows with other >= 0 are such pairs."""
+def _odd(x: np.ndarray) -> bytes:
+    """Odd sketch: the parity of how many values fall on each of ODD_BITS bits. Two differ in at most as many bits as the sets in values."""
+    x = x if len(x) <= ODD_FULL else x[:ODD_SKETCH]
+    bits = np.bincount((x >> np.uint64(20)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS).astype(np.uint8) & 1
+    return np.packbits(bits).tobytes()
+
+
+def _near_enough(percent: int) -> str:
+    """SQL: whether two sets l and r can reach the threshold by size and odd sketches. Sets of up to ODD_FULL values are
+    compared whole, so nothing is lost; larger ones by retained values, SLACK standard deviations over the mean."""
+    t = percent / 100
+    p = 2 * t / (1 + t)
+    most = math.ceil(2 * ODD_SKETCH * (1 - p) + SLACK * 2 * math.sqrt(ODD_SKETCH * p * (1 - p)))
+    apart = " + ".join(f"bit_count(l.o{i} ^ r.o{i})" for i in range(ODD_BITS // 64))
+    bound = f"case when greatest(l.n, r.n) <= {ODD_FULL} then (l.n + r.n) * {100 - percent} div {100 + percent} when least(l.n, r.n) > {ODD_FULL} then {most} else {ODD_BITS} end"
+    return f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {apart} <= {bound}"
+
+
+def _keys(levels: list[tuple[int, int, int]]):
+    """Rows (key, doc, n, kind). kind 0: alone with its key among the rows that one flush holds; 1: the first of several; 2: another of
+    them, already known to share its list, so that a very long list need not meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, sizes, held = [], [], [], 0
@@ -100,42 +122,24 @@ def _keys(levels: list[tuple[int, int, int]], combine: bool):
             if not held:
                 return
             k, d, n = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes)
-            other = np.full(len(k), -1, np.int64)
-            m = np.zeros(len(k), np.int64)
-            if combine:
-                order = np.lexsort((d, k))
-                k, d, n = k[order], d[order], n[order]
-                first = np.ones(len(k), bool)
-                first[1:] = k[1:] != k[:-1]
-                head = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))
-                has = ~first & (d != d[head])
-                other, m = np.where(has, d[head], -1), np.where(has, n[head], 0)
-                keep = first | has
-                k, d, n, other, m, has = k[keep], d[keep], n[keep], other[keep], m[keep], has[keep]
-                # a pair needs no key but counts once for each list: summed here
-                if has.any():
-                    p = np.lexsort((other[has], d[has]))
-                    pd, po, pn, pm = (z[has][p] for z in (d, other, n, m))
-                    new = np.ones(len(pd), bool)
-                    new[1:] = (pd[1:] != pd[:-1]) | (po[1:] != po[:-1])
-                    at = np.flatnonzero(new)
-                    times = np.diff(np.append(at, len(pd)))
-                    k = np.concatenate([k[~has], times])
-                    d, n = np.concatenate([d[~has], pd[at]]), np.concatenate([n[~has], pn[at]])
-                    other, m = np.concatenate([other[~has], po[at]]), np.concatenate([m[~has], pm[at]])
+            order = np.argsort(k, kind="stable")
+            k, d, n = k[order], d[order], n[order]
+            same = k[1:] == k[:-1]
+            after, before = np.append(False, same), np.append(same, False)
+            kind = np.where(after, 2, np.where(before, 1, 0)).astype(np.int32)
             for a in range(0, len(k), 200_000):
                 s = slice(a, a + 200_000)
-                yield batch({"key": pa.array(k[s]), "doc": pa.array(d[s]), "n": pa.array(n[s]), "other": pa.array(other[s]), "m": pa.array(m[s])})
+                yield batch({"key": pa.array(k[s]), "doc": pa.array(d[s]), "n": pa.array(n[s]), "kind": pa.array(kind[s])})
             keys, docs, sizes, held = [], [], [], 0
 
         for b in batches:
             for doc, n, sketch in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 x = np.frombuffer(sketch, np.uint64)
-                for r, lo, hi in levels:
-                    if lo <= n <= hi and len(x) >= r:
-                        k = _runs(x, r)
-                        keys.append(k), docs.append(np.full(len(k), doc, np.int64)), sizes.append(np.full(len(k), n, np.int64))
-                        held += len(k)
+                k = [_runs(x, r) for r, lo, hi in levels if lo <= n <= hi and len(x) >= r]
+                if k:
+                    k = np.unique(np.concatenate(k))
+                    keys.append(k), docs.append(np.full(len(k), doc, np.int64)), sizes.append(np.full(len(k), n, np.int64))
+                    held += len(k)
                 if held >= FLUSH:
                     yield from flush()
         yield from flush()
@@ -213,35 +217,37 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sket
     are not read. An empty table gives an empty result.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_ = materialise(documents.mapInArrow(_sketches(size, sketch), "doc_id long, n long, f1 long, f2 long, sketch binary"), "sketches")
+    all_ = materialise(documents.mapInArrow(_sketches(size, sketch), "doc_id long, n long, f1 long, f2 long, sketch binary, odd binary"), "sketches")
     real = all_.where("n > 0 and doc_id is not null")
     # one class per set; the sketch of a class is the same whichever row it comes from
-    classes = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "sketch")).alias("x"), F.count("*").alias("copies"))
-    classes = materialise(classes.select("f1", "f2", "n", F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch"), "copies"), "classes")
+    classes = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "sketch", "odd")).alias("x"), F.count("*").alias("copies"))
+    classes = materialise(classes.select("f1", "f2", "n", F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch"), F.col("x.odd").alias("odd"), "copies"), "classes")
     levels = tiers(percent, sketch)
-    names = "key long, doc long, n long, other long, m long"
-    lists = materialise(classes.select("rep", "n", "sketch").mapInArrow(_keys(levels, True), names).where("other >= 0 or n > 0"), "lists")
-    window = "partition by key"
-    heads = lists.where("other < 0").selectExpr("key", "doc", "n", f"first(struct(doc, n)) over ({window} order by doc, n rows between unbounded preceding and current row) as h")
-    star = heads.where("h.doc <> doc").selectExpr("doc", "h.doc as other", "n", "h.n as m", "1L as times")
-    star = star.unionAll(lists.where("other >= 0").selectExpr("doc", "other", "n", "m", "key as times"))
-    near_size = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    star = materialise(star.where(near_size).groupBy(F.greatest("doc", "other").alias("a"), F.least("doc", "other").alias("b")).agg(F.sum("times").alias("times")), "star")
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b"))
+    lists = materialise(classes.select("rep", "n", "sketch").mapInArrow(_keys(levels), "key long, doc long, n long, kind int"), "lists")
+    window = "over (partition by key order by doc)"
+    alone = lists.where("kind < 2").selectExpr("key", "doc", "n", "kind", f"lag(key) {window} as x", f"lead(key) {window} as y")
+    shared = alone.where("kind = 1 or x is not null or y is not null").select("key", "doc", "n").unionAll(lists.where("kind = 2").select("key", "doc", "n"))
+    shared = materialise(shared, "shared")
+    # a list's head is the member with the most shared lists: what others were copied from shares more than copies do
+    weight = shared.groupBy("doc").agg(F.count("*").alias("w"))
+    shared = materialise(shared.join(weight, "doc").select("key", "doc", "n", "w"), "shared")
+    heads = shared.groupBy("key").agg(F.max(F.struct("w", -F.col("doc"), "n")).alias("h")).select("key", (-F.col("h.col2")).alias("head"), F.col("h.n").alias("m"))
+    star = shared.join(heads, "key").where(f"doc <> head and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    best = star.groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("times"))
+    best = materialise(best.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b")), "best")
     sketches = classes.select("rep", "sketch")
     links = materialise(_confirm(best, sketches, documents, percent, size, sketch), "links")
     parts = materialise(connected_components(links), "components")
     # whatever shares a list and is in another component still
-    seen = star.select(F.col("a").alias("doc")).unionAll(star.select(F.col("b").alias("doc"))).distinct()
-    of = seen.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("c"))
-    some = classes.select(F.col("rep").alias("doc"), "n", "sketch").join(of.select("doc"), "doc", "left_semi")
-    rows = some.select("doc", "n", "sketch").mapInArrow(_keys(levels, False), names).select("key", "doc", "n").join(of, "doc")
+    rows = shared.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
     mixed = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
     rows = materialise(rows.join(mixed, "key", "left_semi"), "rows")
-    l, r = rows.alias("l"), rows.alias("r")
-    rest = l.join(r, F.expr(f"l.key = r.key and l.c < r.c and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)"))
+    odd = [F.conv(F.hex(F.substring("odd", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"o{i}") for i in range(ODD_BITS // 64)]
+    odd = classes.join(rows.select(F.col("doc").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("doc"), *odd)
+    rows = rows.join(odd, "doc")
+    rest = rows.alias("l").join(rows.alias("r"), F.expr(f"l.key = r.key and l.c < r.c and {_near_enough(percent)}"))
     rest = rest.select(F.greatest("l.doc", "r.doc").alias("a"), F.least("l.doc", "r.doc").alias("b")).distinct()
-    rest = rest.join(best, ["a", "b"], "left_anti")
+    rest = rest.join(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _confirm(rest, sketches, documents, percent, size, sketch)
     parts = connected_components(links.unionAll(more))
     comp = classes.where("copies > 1").select("f1", "f2", "n", "rep").join(parts, F.col("rep") == F.col("node"), "left")
