@@ -4,3 +4,10 @@ from __future__ import annotations
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _load() -> None:
+    from . import retrieval  # noqa: F401
+
+
+_load()
