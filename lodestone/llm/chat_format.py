@@ -140,8 +140,8 @@ def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tupl
     placed = materialise(ordered.repartitionByRange(parts, "range").sortWithinPartitions("range", "path").select("key", "n", "range").mapInArrow(place, "key binary, stream_start long"), "places")
     span = placed.join(nodes.select("key", "path", "depth", "n"), "key")
     # each node asks for its ancestors, whose places answer; a root that very many share is salted
-    ask = nodes.where("depth > 0").selectExpr("key", "explode(transform(sequence(1, depth), i -> struct(i - 1 as d, substring(path, 1, 8 * i) as p))) as a").select("key", "a.d", F.col("a.p").alias("path"))
-    fan = ask.groupBy("path").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
+    ask = materialise(nodes.where("depth > 0").selectExpr("key", "explode(transform(sequence(1, depth), i -> struct(i - 1 as d, substring(path, 1, 8 * i) as p))) as a").select("key", "a.d", F.col("a.p").alias("path")), "ask")
+    fan = materialise(ask.groupBy("path").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts")), "fan")
     given = span.join(fan, "path").select("path", "stream_start", (F.col("stream_start") + F.col("n")).alias("stream_end"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
     wide = fan.where("salts > 1")
     ask = ask.join(F.broadcast(wide) if wide.count() < 100_000 else wide, "path", "left").withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1))).cast("int"))

@@ -14,6 +14,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+
+
+class Cache(dict):
+    """What a process has computed; it is left behind when a function that uses it is sent to an executor."""
+
+    def __reduce__(self):
+        return Cache, ()
+
+
 _M = 0x9E3779B97F4A7C15 | 1
 _MULT, _INV = np.uint64(_M), np.uint64(pow(_M, -1, 1 << 64))
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -21,7 +30,7 @@ _BYTE = np.random.default_rng(20240229).integers(1, 2**64 - 1, 256, dtype=np.uin
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEED = np.uint64(0x51ED270B1A2C3D4F)
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[str, np.ndarray] = Cache()
 
 
 def word_table(separators: bytes) -> np.ndarray:

@@ -6,8 +6,10 @@ import json
 
 import numpy as np
 
+from .kernels import Cache
+
 END = 2
-_encoders: dict[str, object] = {}
+_encoders: dict[str, object] = Cache()
 
 
 def default_vocabulary() -> str:

@@ -148,12 +148,27 @@ def windows(text_of_word: np.ndarray, kinds: np.ndarray, texts: int) -> tuple[np
 
 
 def prepare(texts: list[str]):
-    codes, starts, ends, text = _words(texts)
-    if not len(starts):
+    """Word inputs of the distinct words of texts, windows over them and each window's text; a slice of the texts at a time."""
+    hashes, whole, tri, word, idx, owner = [], [], [], [], [], []
+    done = base = 0
+    for part in _slices(texts):
+        codes, starts, ends, text = _words(part)
+        if len(starts):
+            first, kind, known = _distinct(codes, starts, ends)
+            w, t, of = _word_inputs(codes, starts[first], ends[first])
+            i, o = windows(text, kind, len(part))
+            hashes.append(known), whole.append(w), tri.append(t), word.append(of + base)
+            idx.append(np.where(i >= 0, i + base, -1)), owner.append(o + done)
+            base += len(first)
+        done += len(part)
+    if not hashes:
         return None
-    first, kind = _distinct(codes, starts, ends)
-    idx, owner = windows(text, kind, len(texts))
-    return (*_word_inputs(codes, starts[first], ends[first]), idx, owner)
+    if len(hashes) == 1:
+        return whole[0], tri[0], word[0], idx[0], owner[0]
+    _, first, new = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    word, i = np.concatenate(word), np.concatenate(idx)
+    mine = np.isin(word, first)
+    return np.concatenate(whole)[first], np.concatenate(tri)[mine], new[word[mine]], np.where(i >= 0, new[i], -1), np.concatenate(owner)
 
 
 def logits(net: Network, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
