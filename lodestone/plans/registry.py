@@ -7,7 +7,7 @@ ORACLES: dict = {}
 
 
 def _load() -> None:
-    from . import retrieval  # noqa: F401
+    from . import corpus, evaluation, retrieval  # noqa: F401
 
 
 _load()
