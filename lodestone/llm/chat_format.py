@@ -1,10 +1,12 @@
 """Chat formatting as a prefix tree: turns that conversations share from their start are emitted once.
 
-A node stands for one turn after one history; its key is a hash chained over the turns before it. Nodes are put in
-depth-first order by their path of keys, so a node's descendants follow it, and get a place in one global token stream by
-a running sum over sorted ranges (sums per range first, then offsets), without any task that holds a whole
-level or all children of a turn. A node carries the position of its first token in its conversation and
-the token intervals of its ancestors, which with its own tokens are all that it may attend to.
+A node stands for one turn after one history; its key is a hash chained over the turns before it. A node belongs to
+the smallest conversation through it, so each conversation owns the end of its own path, a chain, which hangs on a
+node of another's chain. Depth first, a chain comes whole, then the chains that hang on it, deepest first: an order that
+needs one short key per chain, however long conversations are. Chains get their places in one global token stream by
+a running sum over sorted ranges (sums per range first, then offsets), so no task holds a level or all children of a
+turn. A node carries the position of its first token in its conversation and the token intervals of its
+ancestors, neighbouring ones merged, which with its own tokens are all that it may attend to.
 
 Format of a turn: `<s>` before the first, `[ROLE]` for other roles than user and assistant, `[INST] ` text ` [/INST]` for a user,
 `[ANSWER] ` text ` </s>` for an assistant. Every control string begins with `<` or `[`; in texts these are written `\\l` and `\\b`, and a
@@ -15,11 +17,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, materialise
@@ -27,6 +30,8 @@ from .tokens import encoder
 
 #: Conversations that ask for one node in one task; a node that more ask for is dealt out several times.
 PER_SALT = 2000
+#: Stands for a null conv_id inside.
+NO_ID = -(1 << 63)
 
 
 def escape(text: str) -> str:
@@ -60,46 +65,87 @@ def parse(before: str, body: str) -> tuple[str, str]:
 
 def _turns(conversations: DataFrame) -> DataFrame:
     """One row per conversation: (conv_id, turns array<struct<role, text>> in the order of turn)."""
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per turn: conv_id, depth, key, path (the keys from the root, 8 bytes each), role, text."""
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per turn: conv_id, depth, key, role, text."""
     for b in batches:
-        cols: list[list] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in range(5)]
         held = 0
 
         def out() -> pa.RecordBatch:
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string())
-            return batch({n: pa.array(c, t) for n, c, t in zip(("conv_id", "depth", "key", "path", "role", "text"), cols, types, strict=True)})
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.string())
+            return batch({n: pa.array(c, t) for n, c, t in zip(("conv_id", "depth", "key", "role", "text"), cols, types, strict=True)})
 
         for conv, turns in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            key, path = b"", b""
+            key = b""
             for depth, t in enumerate(turns.as_py() or ()):
                 key = hashlib.blake2b(key + t["role"].encode() + b"\0" + t["text"].encode(), digest_size=16).digest()
-                path += key[:8]
-                for c, v in zip(cols, (conv, depth, key, path, t["role"], t["text"]), strict=True):
+                for c, v in zip(cols, (conv, depth, key, t["role"], t["text"]), strict=True):
                     c.append(v)
-                held += len(t["text"]) + len(path)
+                held += len(t["text"])
             if held > 4 << 20:
                 yield out()
-                cols, held = [[] for _ in range(6)], 0
+                cols, held = [[] for _ in range(5)], 0
         yield out()
 
 
+def _chain_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, owners of its path in order of depth) -> (conv_id, chain) of conversations that own nodes."""
+    for b in batches:
+        ids, chains = [], []
+        for conv, path in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            owners = [x["owner"] for x in path.as_py()]
+            if owners[-1] != conv:
+                continue
+            chain = b""
+            for depth, owner in enumerate(owners):
+                if not depth or owner != owners[depth - 1]:
+                    chain += struct.pack(">IQ", 0xFFFFFFFF - depth, owner + (1 << 63))
+            ids.append(conv), chains.append(chain)
+        yield batch({"conv_id": pa.array(ids, pa.int64()), "chain": pa.array(chains, pa.binary())})
+
+
+def _attention(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, nodes of its path) -> per node that it owns: key, position_start, attends."""
+    for b in batches:
+        key, position, attends = [], [], []
+        for conv, path in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            at, spans = 0, []
+            for x in path.as_py():
+                if x["owner"] == conv:
+                    key.append(x["key"]), position.append(at), attends.append([{"start": s, "end": e} for s, e in spans])
+                start, end = x["stream_start"], x["stream_start"] + x["n"]
+                if spans and spans[-1][1] == start:
+                    spans[-1] = (spans[-1][0], end)
+                else:
+                    spans.append((start, end))
+                at += x["n"]
+        yield batch({"key": pa.array(key, pa.binary()), "position_start": pa.array(position, pa.int64()), "attends": pa.array(attends, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+
+
+def _fan_join(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """refs (key, conv_id, ...) with nodes (key, convs, ...), one row per key; a key that very many conversations ask for is dealt out to several tasks."""
+    nodes = nodes.withColumn("salts", F.ceil(F.col("convs") / PER_SALT).cast("int"))
+    wide = nodes.where("salts > 1").select("key", "salts")
+    ask = refs.join(F.broadcast(wide) if wide.count() < 100_000 else wide, "key", "left").withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return ask.join(nodes.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("convs", "salts"), ["key", "salt"]).drop("salt")
+
+
 def _tokens(vocabulary: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for b in batches:
-            ids, cut = [], []
-            for depth, role, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            ids, cut, roles = [], [], b.column(3).to_pylist()
+            for depth, role, text in zip(b.column(1).to_pylist(), roles, b.column(4).to_pylist(), strict=True):
                 parts = [enc.array(s) for s in segments(role, text, depth == 0)]
                 ids.append(np.concatenate(parts).astype("<u4").tobytes())
                 cut.append([len(parts[0]), len(parts[0]) + len(parts[1])])
             yield batch({
-                "key": b.column(0), "path": b.column(1), "depth": b.column(2), "convs": b.column(5), "ids": pa.array(ids, pa.binary()), "n": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "text_from": pa.array([x for x, _ in cut], pa.int32()), "text_to": pa.array([y for _, y in cut], pa.int32()), "learn": pa.array([r == "assistant" for r in b.column(3).to_pylist()]),
+                "conv_id": b.column(0), "depth": b.column(1), "key": b.column(2), "convs": b.column(5), "ids": pa.array(ids, pa.binary()), "n": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "text_from": pa.array([x for x, _ in cut], pa.int32()), "text_to": pa.array([y for _, y in cut], pa.int32()), "learn": pa.array([r == "assistant" for r in roles], pa.bool_()),
             })
 
     return run
@@ -109,20 +155,23 @@ def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tupl
     """conversations (conv_id, turn, role, text) -> (nodes, refs).
 
     nodes: key, depth, convs (conversations through it), ids (binary uint32 tokens), n, stream_start (of its tokens in the depth-first stream),
-    position_start (of its first token in its conversation), attends (array of struct<start, end> of its ancestors' tokens in the stream, root first),
+    position_start (of its first token in its conversation), attends (array of struct<start, end> of its ancestors' tokens in the stream, root first, adjacent ones as one),
     text_from and text_to (its text's tokens within ids), learn (true where that text is under the loss mask).
     refs: conv_id, depth, key. Null texts and roles are empty; turns that repeat a number stand in the order of role, then text; rows with a
     null conv_id are one conversation. Extra columns are not read; no rows give no nodes.
     """
     spark = conversations.sparkSession
-    rows = materialise(_turns(conversations).mapInArrow(_chain, "conv_id long, depth int, key binary, path binary, role string, text string"), "turns")
-    # the same key has the same path, role and text in every row; min and max of one of them are partial aggregates
-    one = rows.groupBy("key", "path", "depth").agg(F.count("*").alias("convs"), F.min(F.struct("role", "text")).alias("t"))
-    nodes = one.select("key", "path", "depth", "t.role", "t.text", "convs").mapInArrow(_tokens(vocabulary), "key binary, path binary, depth int, convs long, ids binary, n long, text_from int, text_to int, learn boolean")
-    nodes = materialise(nodes, "nodes")
+    rows = materialise(_turns(conversations).mapInArrow(_keys, "conv_id long, depth int, key binary, role string, text string"), "turns")
+    refs = rows.select("conv_id", "depth", "key")
+    owners = materialise(rows.groupBy("key").agg(F.min("conv_id").alias("owner"), F.count("*").alias("convs")), "owners")
+    owned = materialise(_fan_join(refs, owners), "owned")
+    chains = owned.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "owner"))).alias("path")).mapInArrow(_chain_keys, "conv_id long, chain binary")
+    # a node's own turn comes from its owner's row, so nothing of it is compared or sorted
+    mine = rows.join(owners.withColumnRenamed("owner", "conv_id"), ["key", "conv_id"]).select("conv_id", "depth", "key", "role", "text", "convs")
+    nodes = materialise(mine.mapInArrow(_tokens(vocabulary), "conv_id long, depth int, key binary, convs long, ids binary, n long, text_from int, text_to int, learn boolean"), "nodes")
     parts = max(1, spark.sparkContext.defaultParallelism)
-    # running sum over ranges of paths: the order within a range is kept by sorting on the path
-    ordered = materialise(nodes.select("key", "path", "depth", "n").repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("range", F.spark_partition_id()), "order")
+    size = nodes.groupBy("conv_id").agg(F.sum("n").alias("n"))
+    ordered = materialise(chains.join(size, "conv_id").repartitionByRange(parts, "chain").sortWithinPartitions("chain").withColumn("range", F.spark_partition_id()), "order")
     sums = sorted(ordered.groupBy("range").agg(F.sum("n").alias("n")).collect())  # as many rows as ranges
     base, at = {}, 0
     for r in sums:
@@ -135,21 +184,17 @@ def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tupl
             for n, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 starts.append(now.get(r, base.get(r)))
                 now[r] = starts[-1] + n
-            yield batch({"key": b.column(0), "stream_start": pa.array(starts, pa.int64())})
-
-    placed = materialise(ordered.repartitionByRange(parts, "range").sortWithinPartitions("range", "path").select("key", "n", "range").mapInArrow(place, "key binary, stream_start long"), "places")
-    span = placed.join(nodes.select("key", "path", "depth", "n"), "key")
-    # each node asks for its ancestors, whose places answer; a root that very many share is salted
-    ask = materialise(nodes.where("depth > 0").selectExpr("key", "explode(transform(sequence(1, depth), i -> struct(i - 1 as d, substring(path, 1, 8 * i) as p))) as a").select("key", "a.d", F.col("a.p").alias("path")), "ask")
-    fan = materialise(ask.groupBy("path").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts")), "fan")
-    given = span.join(fan, "path").select("path", "stream_start", (F.col("stream_start") + F.col("n")).alias("stream_end"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
-    wide = fan.where("salts > 1")
-    ask = ask.join(F.broadcast(wide) if wide.count() < 100_000 else wide, "path", "left").withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("salts", F.lit(1))).cast("int"))
-    above = ask.join(given, ["path", "salt"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("d", "stream_start", "stream_end"))).alias("a"))
-    out = nodes.join(placed, "key").join(above, "key", "left")
-    attends = F.expr("coalesce(transform(a, x -> struct(x.stream_start as start, x.stream_end as end)), cast(array() as array<struct<start:bigint,end:bigint>>))")
-    out = out.withColumn("attends", attends).withColumn("position_start", F.expr("aggregate(attends, 0L, (s, x) -> s + x.end - x.start)"))
-    return out.select("key", "depth", "convs", "ids", "n", "stream_start", "position_start", "attends", "text_from", "text_to", "learn"), rows.select("conv_id", "depth", "key")
+            yield batch({"conv_id": b.column(0), "chain_start": pa.array(starts, pa.int64())})
+
+    placed = ordered.repartition(parts, "range").sortWithinPartitions("range", "chain").select("conv_id", "n", "range").mapInArrow(place, "conv_id long, chain_start long")
+    w = Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    stream = F.col("chain_start") + F.coalesce(F.sum("n").over(w), F.lit(0))
+    nodes = materialise(nodes.join(placed, "conv_id").withColumn("stream_start", stream).drop("chain_start"), "placed")
+    lookup = _fan_join(refs, nodes.select("key", "convs", "n", "stream_start", F.col("conv_id").alias("owner")))
+    paths = lookup.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "key", "owner", "n", "stream_start"))).alias("path"))
+    seen = paths.mapInArrow(_attention, "key binary, position_start long, attends array<struct<start:long,end:long>>")
+    out = nodes.join(seen, "key").select("key", "depth", "convs", "ids", "n", "stream_start", "position_start", "attends", "text_from", "text_to", "learn")
+    return materialise(out, "tree"), refs.withColumn("conv_id", F.when(F.col("conv_id") != NO_ID, F.col("conv_id")))
 
 
 def read_back(nodes: DataFrame, refs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -167,11 +212,8 @@ def read_back(nodes: DataFrame, refs: DataFrame, vocabulary: str | None = None)
             yield batch({"key": b.column(0), "role": pa.array(role, pa.string()), "text": pa.array(text, pa.string()), "chars": pa.array(chars, pa.int64()), "learn": b.column(4), "convs": b.column(5)})
 
     said = nodes.select("key", "ids", "text_from", "text_to", "learn", "convs").mapInArrow(decode, "key binary, role string, text string, chars long, learn boolean, convs long")
-    said = materialise(said.withColumn("salts", F.ceil(F.col("convs") / PER_SALT).cast("int")), "said")
-    wide = said.where("salts > 1").select("key", "salts")
-    ask = refs.join(F.broadcast(wide) if wide.count() < 100_000 else wide, "key", "left").withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    given = said.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("convs", "salts")
-    turns = ask.join(given, ["key", "salt"]).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text", "chars", "learn"))).alias("t"))
+    said = materialise(said, "said")
+    turns = _fan_join(refs, said).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text", "chars", "learn"))).alias("t"))
     joined = F.expr("array_join(transform(t, x -> concat(x.role, '\\n', x.text, '\\n')), '')")
     learned = F.expr("array_join(transform(filter(t, x -> x.learn), x -> x.text), '')")
     out = turns.withColumn("all", joined).withColumn("loss", learned)
