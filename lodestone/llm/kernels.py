@@ -7,6 +7,8 @@ word definitions used here, so words can be cut on bytes. A word's hash is a pol
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +18,21 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 20
 
 
-class Cache(dict):
-    """What a process has computed; it is left behind when a function that uses it is sent to an executor."""
+def process_cache() -> dict:
+    """What this process has computed, by name. It hangs on sys, so it outlives a task's copy of this module and never travels with a function."""
+    cache = sys.__dict__.get("_lodestone_cache")
+    if cache is None:
+        cache = sys.__dict__["_lodestone_cache"] = {}
+        _return_memory()
+    return cache
 
-    def __reduce__(self):
-        return Cache, ()
+
+def _return_memory() -> None:
+    """Large arrays go back to the system when they are freed, where the C library lets that be set: workers share an executor's memory."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
 
 
 _M = 0x9E3779B97F4A7C15 | 1
@@ -30,7 +42,6 @@ _BYTE = np.random.default_rng(20240229).integers(1, 2**64 - 1, 256, dtype=np.uin
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEED = np.uint64(0x51ED270B1A2C3D4F)
-_powers: dict[str, np.ndarray] = Cache()
 
 
 def word_table(separators: bytes) -> np.ndarray:
@@ -56,11 +67,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(which: str, n: int) -> np.ndarray:
-    have = _powers.get(which)
+    have = process_cache().get(("power", which))
     if have is None or len(have) < n:
         steps = np.full(max(n, CHUNK_BYTES + 4096), _MULT if which == "up" else _INV, dtype=np.uint64)
         steps[0] = 1
-        have = _powers[which] = np.cumprod(steps, dtype=np.uint64)
+        have = process_cache()["power", which] = np.cumprod(steps, dtype=np.uint64)
     return have[:n]
 
 

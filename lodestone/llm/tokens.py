@@ -6,10 +6,9 @@ import json
 
 import numpy as np
 
-from .kernels import Cache
+from .kernels import process_cache
 
 END = 2
-_encoders: dict[str, object] = Cache()
 
 
 def default_vocabulary() -> str:
@@ -49,6 +48,7 @@ class Encoder:
 def encoder(path: str | None = None) -> Encoder:
     """One per process and file."""
     path = path or default_vocabulary()
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    cache = process_cache()
+    if ("encoder", path) not in cache:
+        cache["encoder", path] = Encoder(path)
+    return cache["encoder", path]

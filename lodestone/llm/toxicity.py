@@ -152,7 +152,7 @@ def prepare(texts: list[str]):
     hashes, whole, tri, word, idx, owner = [], [], [], [], [], []
     done = base = 0
     for part in _slices(texts):
-        codes, starts, ends, text = _words(part)
+        codes, starts, ends, text = _words([t.lower() for t in part])
         if len(starts):
             first, kind, known = _distinct(codes, starts, ends)
             w, t, of = _word_inputs(codes, starts[first], ends[first])
@@ -197,7 +197,7 @@ def _repeats(rng: np.random.Generator, clean: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
     """Each epoch trains on the window of each text that the network finds highest, and on a random one of each text without the label."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    got = prepare([t.lower() for t in texts]) if len(texts) else None
+    got = prepare(texts) if len(texts) else None
     if got is None or len(set(labels.tolist())) < 2:
         return net
     whole, tri, word, idx, owner = got
@@ -272,7 +272,7 @@ def score_texts(documents: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            logit, count = logits(sent.value, [(t or "").lower() for t in b.column(1).to_pylist()])
+            logit, count = logits(sent.value, [t or "" for t in b.column(1).to_pylist()])
             score = np.where(count > 0, 1 / (1 + np.exp(-np.clip(logit, -40, 40))), 0.0)
             yield batch({"doc_id": b.column(0), "score": pa.array(score, pa.float64()), "windows": pa.array(count)})
 
