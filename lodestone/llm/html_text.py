@@ -212,14 +212,20 @@ def label(found: list[Block], parents: list[int], p: np.ndarray) -> list[bool]:
     p = np.clip(p, 1e-4, 1 - 1e-4)
     content, boiler = (-np.log(p)).tolist(), (-np.log(1 - p)).tolist()
     place: dict[int, int] = {}
+    joined: set[int] = set()
     edges: list[tuple[int, int, float]] = []
 
     def node(c: int) -> int:
-        if c not in place:
-            place[c] = n + len(place)
-            if parents[c] > 0:
-                edges.append((place[c], node(parents[c]), ABOVE))
-        return place[c]
+        first = place.setdefault(c, n + len(place))
+        while parents[c] > 0:  # containers join the one that they stand in, once each
+            above, new = parents[c], parents[c] not in place
+            if c not in joined:
+                joined.add(c)
+                edges.append((place[c], place.setdefault(above, n + len(place)), ABOVE))
+            if not new:
+                break
+            c = above
+        return first
 
     above = [parents[b.node] for b in found]
     for i, b in enumerate(found):

@@ -213,7 +213,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sket
     Words are runs without blank space, A-Z lower-cased; a set holds the distinct shingles of `size` words, or
     the whole sequence if there are fewer. Two documents link if 100 * |intersection| >= percent * |union|.
     Null and empty texts have an empty set and link with nothing. Rows that repeat a doc_id count as one
-    document. A null doc_id is returned with itself as component and not kept. Columns beside doc_id and text
+    document. A row without doc_id is linked with nothing: its component is null and it is not kept. Columns beside doc_id and text
     are not read. An empty table gives an empty result.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -254,5 +254,5 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sket
     single = classes.where("copies = 1").select("f1", "f2", "n", "rep").join(parts, F.col("rep") == F.col("node"))
     known = comp.unionAll(single).select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     out = all_.select("doc_id", "n", "f1", "f2").join(known, ["f1", "f2", "n"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
