@@ -1,10 +1,11 @@
 """Training-order materialisation: fixed-stride shards in an order given by a keyed permutation.
 
-Every document gives ceil(tokens / length) sequences. A sequence's number is its place among all sequences in
-input order; a Feistel network over the smallest even-bit domain that holds all numbers, walked until it lands
-inside, maps numbers one to one to slots. Slot s stands in shard s // per_shard at byte (s % per_shard) * stride,
-so a reader seeks to any step and resumes there. Only two small tables precede the writing: sequences per input
-split and their running sum, so no row is ranked by a global sort.
+Every document gives ceil(tokens / length) sequences and reserves one number for each that its bytes could give, so numbers need no
+tokens: a sum per input split and a running sum within it. A Feistel network over the smallest even-bit domain that holds
+all numbers, walked until it lands inside, maps numbers one to one to places; a place's range is its shard. Shards are
+written in the order of places, each sequence at index * stride, and a sequence's global slot is its shard's first slot plus its
+index: dense, one to one, and known to a reader from the shards' counts alone, so a reader seeks to any step and
+resumes there. Texts are tokenised once and no row is ranked by a global sort.
 """
 
 from __future__ import annotations
@@ -50,12 +51,6 @@ def permute(x: np.ndarray, total: int, key: int) -> np.ndarray:
         out[far] = once(out[far])
 
 
-def _cut(texts: pa.Array, length: int, vocabulary: str | None) -> Iterator[tuple[int, np.ndarray]]:
-    enc = encoder(vocabulary)
-    for i in range(len(texts)):
-        yield i, np.append(enc.array(texts[i].as_py() or ""), np.uint32(END))
-
-
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -68,58 +63,58 @@ def write_shards(documents: DataFrame, path: str, length: int = 512, per_shard:
 
     A sequence takes length ids of two bytes, little endian (four if the vocabulary needs them); its last one in a document is filled
     with the end id. Null and empty texts give one sequence of end ids. Repeated rows are sequences of their own. An empty table gives no shards.
-    A shard appears under its name only when complete (written aside, then moved), so tasks may fail or run
-    twice; manifest.json comes last, when all shards stand.
+    A shard holds at most per_shard sequences and appears under its name only when complete (written aside, then moved), so tasks may
+    fail or run twice; manifest.json comes last, when all shards stand.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "<u2" if encoder(vocabulary).size <= 1 << 16 else "<u4"
+    stride = length * np.dtype(kind).itemsize
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, n = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n += sum(-(-len(ids) // length) for _, ids in _cut(b.column(1), length, vocabulary))
-        yield batch({"split": pa.array([split]), "n": pa.array([n], pa.int64())})
-
-    # one row per input split, so its size is bounded by the number of tasks
-    per_split = dict(docs.mapInArrow(counts, "split long, n long").collect())
+    # a byte gives one token at most, and the end id follows; one row per input split, so its size is bounded by the number of tasks
+    most = F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / length).cast("long") + 1
+    per_split = dict(docs.groupBy(F.spark_partition_id().alias("split")).agg(F.sum(most)).collect())
     total, base = 0, {}
     for split in sorted(per_split):
         base[split], total = total, total + per_split[split]
-    sent = spark.sparkContext.broadcast(base)
-    expect = spark.sparkContext.broadcast(per_split)
+    sent = spark.sparkContext.broadcast((base, per_split))
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, at = TaskContext.get().partitionId(), 0
+        split, enc = TaskContext.get().partitionId(), encoder(vocabulary)
+        first, reserved = sent.value[0].get(split, 0), 0
         for b in batches:
-            doc, part, number, used, raw, held = [], [], [], [], [], 0
+            docs_, sizes, numbers, flat = [], [], [], []
 
             def out() -> pa.RecordBatch:
-                slots = permute(np.array(number, np.int64), total, key)
-                return batch({"doc_id": pa.array(doc, pa.int64()), "part": pa.array(part, pa.int32()), "slot": pa.array(slots), "n_tokens": pa.array(used, pa.int32()), "ids": pa.array(raw, pa.binary())})
-
-            ids_of = b.column(0).to_pylist()
-            for i, ids in _cut(b.column(1), length, vocabulary):
-                for k in range(-(-len(ids) // length)):
-                    piece = ids[k * length : (k + 1) * length]
-                    full = np.full(length, END, kind)
-                    full[: len(piece)] = piece
-                    doc.append(ids_of[i]), part.append(k), number.append(sent.value[split] + at), used.append(len(piece)), raw.append(full.tobytes())
-                    at += 1
-                    held += 1
-                if held >= 8192:
+                n = np.array(sizes, np.int64)
+                each = -(-n // length)
+                rows = int(each.sum())
+                part = np.arange(rows) - np.repeat(np.cumsum(each) - each, each)
+                raw = pa.py_buffer(np.array(flat, kind))
+                ids = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, (rows + 1) * stride, stride, dtype=np.int32)), raw])
+                places = permute(np.repeat(np.array(numbers, np.int64), each) + part, total, key)
+                doc = pa.array(docs_, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), each)))
+                used = np.minimum(length, np.repeat(n, each) - part * length)
+                return batch({"doc_id": doc, "part": pa.array(part.astype(np.int32)), "place": pa.array(places), "n_tokens": pa.array(used.astype(np.int32)), "ids": ids})
+
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                text = text or ""
+                ids = enc.ids(text)
+                flat += ids
+                flat += [END] * (length - len(ids) % length)
+                docs_.append(doc), sizes.append(len(ids) + 1), numbers.append(first + reserved)
+                reserved += len(text.encode()) // length + 1
+                if len(flat) >= 1 << 20:
                     yield out()
-                    doc, part, number, used, raw, held = [], [], [], [], [], 0
+                    docs_, sizes, numbers, flat = [], [], [], []
             yield out()
-        if at != expect.value.get(split, 0):
-            raise RuntimeError(f"split {split} has {at} sequences, {expect.value.get(split, 0)} when counted: the input changed in between")
-
-    stride = length * np.dtype(kind).itemsize
+        if reserved != sent.value[1].get(split, 0):
+            raise RuntimeError(f"split {split} reserves {reserved} numbers, {sent.value[1].get(split, 0)} when counted: the input changed in between")
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = _filesystem(path)
         attempt = TaskContext.get().taskAttemptId()
-        shard, file, tmp, size = None, None, "", 0
+        shard, file, tmp, at = None, None, "", 0
 
         def close() -> None:
             if file is not None:
@@ -127,35 +122,43 @@ def write_shards(documents: DataFrame, path: str, length: int = 512, per_shard:
                 filesystem.move(tmp, f"{root}/shard-{shard:08d}.bin")
 
         for b in rows:
-            slots = b.column(2).to_numpy()
-            place = slots // per_shard
-            for s in np.unique(place).tolist():
+            of = b.column(2).to_numpy() // per_shard
+            column = b.column(4)
+            raw = memoryview(column.buffers()[2])[np.frombuffer(column.buffers()[1], np.int32)[column.offset] :] if b.num_rows else memoryview(b"")
+            index = np.zeros(b.num_rows, np.int64)
+            for s in np.unique(of).tolist():
                 if s != shard:
                     close()
-                    shard, size = s, 0
+                    shard, at = s, 0
                     tmp = f"{root}/.attempt-{attempt}-{s:08d}"
                     file = filesystem.open_output_stream(tmp)
-                for v in b.column(4).filter(pa.array(place == s)):
-                    file.write(v.as_buffer())
-                    size += stride
-            yield batch({
-                "doc_id": b.column(0), "part": b.column(1), "slot": b.column(2), "shard": pa.array(place), "byte_offset": pa.array(slots % per_shard * stride),
-                "n_tokens": b.column(3), "crc32": pa.array([zlib.crc32(v.as_buffer()) for v in b.column(4)], pa.int64()),
-            })
+                # places ascend, so a shard's rows are neighbours and so are their bytes
+                lo, hi = np.searchsorted(of, [s, s + 1]).tolist()
+                file.write(raw[lo * stride : hi * stride])
+                index[lo:hi] = np.arange(at, at + hi - lo)
+                at += hi - lo
+            crc = [zlib.crc32(raw[i * stride : (i + 1) * stride]) for i in range(b.num_rows)]
+            yield batch({"doc_id": b.column(0), "part": b.column(1), "shard": pa.array(of), "index": pa.array(index), "n_tokens": b.column(3), "crc32": pa.array(crc, pa.int64())})
         close()
 
     filesystem, root = _filesystem(path)
     filesystem.create_dir(root, recursive=True)
-    shards = -(-total // per_shard)
-    made = docs.mapInArrow(sequences, "doc_id long, part int, slot long, n_tokens int, ids binary")
-    # a shard's number is the key, so whole shards go to tasks; slots are a random order, so shards are even
-    dealt = made.withColumn("shard_key", F.floor(F.col("slot") / per_shard)).repartition(max(1, min(shards, 4 * spark.sparkContext.defaultParallelism + shards // 8)), "shard_key")
-    dealt = dealt.sortWithinPartitions("slot").select("doc_id", "part", "slot", "n_tokens", "ids")
-    report = materialise(dealt.mapInArrow(write, "doc_id long, part int, slot long, shard long, byte_offset long, n_tokens int, crc32 long"), "slots")
-    manifest = {"sequences": total, "length": length, "stride": stride, "dtype": kind, "per_shard": per_shard, "shards": shards, "key": key, "end": END}
+    made = docs.mapInArrow(sequences, "doc_id long, part int, place long, n_tokens int, ids binary")
+    # whole ranges go to tasks by the range's number; places are a random order, so ranges are even
+    ranges = -(-total // per_shard)
+    dealt = made.withColumn("range", F.floor(F.col("place") / per_shard)).repartition(max(1, min(ranges, 4 * spark.sparkContext.defaultParallelism + ranges // 16)), "range")
+    dealt = dealt.sortWithinPartitions("place").select("doc_id", "part", "place", "n_tokens", "ids")
+    report = materialise(dealt.mapInArrow(write, "doc_id long, part int, shard long, index long, n_tokens int, crc32 long"), "sequences")
+    counts = sorted(report.groupBy("shard").count().collect())  # one row per shard
+    starts, at = {}, 0
+    for r in counts:
+        starts[r.shard], at = at, at + r["count"]
+    manifest = {"sequences": at, "length": length, "stride": stride, "dtype": kind, "key": key, "end": END, "shards": [[r.shard, r["count"]] for r in counts]}
     with filesystem.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
-    return report
+    first = spark.createDataFrame(list(starts.items()), "shard long, first long")
+    out = report.join(F.broadcast(first) if len(starts) <= 1_000_000 else first, "shard")
+    return out.select("doc_id", "part", (F.col("first") + F.col("index")).alias("slot"), "shard", (F.col("index") * stride).alias("byte_offset"), "n_tokens", "crc32")
 
 
 def read_slots(path: str, first: int, count: int) -> Iterator[np.ndarray]:
@@ -163,11 +166,12 @@ def read_slots(path: str, first: int, count: int) -> Iterator[np.ndarray]:
     filesystem, root = _filesystem(path)
     with filesystem.open_input_file(f"{root}/manifest.json") as f:
         m = json.loads(f.read())
+    numbers, counts = [x for x, _ in m["shards"]], np.cumsum([0, *(n for _, n in m["shards"])])
     slot, end = first, min(first + count, m["sequences"])
     while slot < end:
-        shard = slot // m["per_shard"]
-        with filesystem.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
-            f.seek(slot % m["per_shard"] * m["stride"])
-            while slot < end and slot // m["per_shard"] == shard:
+        k = int(np.searchsorted(counts, slot, side="right")) - 1
+        with filesystem.open_input_file(f"{root}/shard-{numbers[k]:08d}.bin") as f:
+            f.seek(int(slot - counts[k]) * m["stride"])
+            for _ in range(int(min(end, counts[k + 1]) - slot)):
                 yield np.frombuffer(f.read(m["stride"]), m["dtype"])
-                slot += 1
+        slot = int(min(end, counts[k + 1]))
