@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 Encoder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[tuple[str, str]]], list[float]]
@@ -69,7 +70,7 @@ def echo_generator(prompts: list[str]) -> list[str]:
 
 def generate(df: DataFrame, prompt: str, generator: Generator = echo_generator, attempts: int = 3) -> DataFrame:
     """Adds generated_answer, generation_latency_ms and generation_error. A batch that fails is tried again; then its rows carry the error and no answer."""
-    schema = df.schema.add("generated_answer", "string").add("generation_latency_ms", "double").add("generation_error", "string")
+    schema = StructType([*df.schema.fields, StructField("generated_answer", StringType()), StructField("generation_latency_ms", DoubleType()), StructField("generation_error", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
