@@ -10,7 +10,6 @@ those of the other terms, rarest first. Items come in slices of bounded size, ea
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,19 +33,24 @@ def build_index(documents: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in K.chunks(b.column(1)):
-                h, before, _ = K.words(data, offsets, K.ALNUM_WORDS)
-                order = np.argsort(h, kind="stable")
-                s = h[order]
-                at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-                row = (ids[lo:hi].astype(np.int64), before.astype(np.int64), s[at], np.append(at, len(s)).astype(np.int64), order.astype(np.int32))
-                yield batch({n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("doc_ids", "bounds", "terms", "starts", "postings"), row, strict=True)})
+        for row in _blocks(batches):
+            yield batch({n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("doc_ids", "bounds", "terms", "starts", "postings"), row, strict=True)})
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Index rows (doc_ids, bounds, terms, starts, postings) of batches of (doc_id, text)."""
+    for b in batches:
+        ids = b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        for lo, hi, data, offsets in K.chunks(b.column(1)):
+            h, before, _ = K.words(data, offsets, K.ALNUM_WORDS)
+            order = np.argsort(h, kind="stable")
+            s = h[order]
+            at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+            yield ids[lo:hi].astype(np.int64), before.astype(np.int64), s[at], np.append(at, len(s)).astype(np.int64), order.astype(np.int32)
+
+
 class Windows:
     """The windows of a slice of items as a matrix of terms per window length."""
 
@@ -110,7 +114,23 @@ def search(index: DataFrame, items: DataFrame, size: int = 13, slop: int = 0) ->
     (proximity match); an occurrence never crosses documents. Items with a null id count as 'null';
     repeated items add nothing. Documents without words are returned with zeros.
     """
-    spark = index.sparkSession
+    parts = _slices(items, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                kinds = (np.int64, np.int64, np.uint64, np.int64, np.int32)
+                yield _found(tuple(np.frombuffer(x, k) for x, k in zip(row, kinds, strict=True)), parts, slop)
+
+    return index.mapInArrow(run, FOUND)
+
+
+FOUND = "doc_id long, n_words long, n_hit long, items array<string>"
+
+
+def _slices(items: DataFrame, size: int) -> list:
+    """The items' windows, broadcast in slices of bounded size."""
+    spark = items.sparkSession
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-int(total) // SLICE_BYTES))
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -118,44 +138,42 @@ def search(index: DataFrame, items: DataFrame, size: int = 13, slop: int = 0) ->
     for k in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         parts.append(spark.sparkContext.broadcast(Windows([tuple(r) for r in part.distinct().collect()], size)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, bounds, starts = (np.frombuffer(row[i], np.int64) for i in (0, 1, 3))
-                terms, postings = np.frombuffer(row[2], np.uint64), np.frombuffer(row[4], np.int32)
-                inside = np.zeros(len(postings) + 1, np.int64)
-                named: dict[int, set] = {}
-                for part in parts if len(terms) else ():
-                    for w, (matrix, names) in part.value.groups.items():
-                        window, pos = _shifted(terms, starts, postings, matrix, slop)
-                        lo, hi = np.maximum(0, pos - slop * (slop > 0)), pos + w + slop
-                        doc = np.searchsorted(bounds, pos, side="right") - 1
-                        if slop:
-                            lo, hi = np.maximum(lo, bounds[doc]), np.minimum(hi, bounds[doc + 1])
-                            ok = (pos >= bounds[doc]) & (pos + w <= bounds[doc + 1])
-                        else:
-                            ok = hi <= bounds[doc + 1]
-                        np.add.at(inside, lo[ok], 1)
-                        np.add.at(inside, hi[ok], -1)
-                        for d, i in set(zip(doc[ok].tolist(), window[ok].tolist(), strict=True)):
-                            named.setdefault(d, set()).update(names[i])
-                hits = np.append(0, np.cumsum(np.cumsum(inside)[:-1] > 0))
-                yield batch({
-                    "doc_id": pa.array(ids, mask=ids == -(1 << 63)),
-                    "n_words": pa.array(np.diff(bounds)),
-                    "n_hit": pa.array(hits[bounds[1:]] - hits[bounds[:-1]]),
-                    "items": pa.array([sorted(named.get(d, ())) for d in range(len(ids))], pa.list_(pa.string())),
-                })
-
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>")
+    return parts
+
+
+def _found(row: tuple[np.ndarray, ...], parts: list, slop: int) -> pa.RecordBatch:
+    """What one block's documents hold of the windows."""
+    ids, bounds, terms, starts, postings = row
+    inside = np.zeros(len(postings) + 1, np.int64)
+    named: dict[int, set] = {}
+    for part in parts if len(terms) else ():
+        for w, (matrix, names) in part.value.groups.items():
+            window, pos = _shifted(terms, starts, postings, matrix, slop)
+            lo, hi = pos - slop, pos + w + slop
+            doc = np.searchsorted(bounds, np.maximum(pos, 0), side="right") - 1
+            ok = (pos >= bounds[doc]) & (pos + w <= bounds[doc + 1])
+            lo, hi = np.maximum(lo, bounds[doc]), np.minimum(hi, bounds[doc + 1])
+            np.add.at(inside, lo[ok], 1)
+            np.add.at(inside, hi[ok], -1)
+            for d, i in set(zip(doc[ok].tolist(), window[ok].tolist(), strict=True)):
+                named.setdefault(d, set()).update(names[i])
+    hits = np.append(0, np.cumsum(np.cumsum(inside)[:-1] > 0))
+    return batch({
+        "doc_id": pa.array(ids, mask=ids == -(1 << 63)),
+        "n_words": pa.array(np.diff(bounds)),
+        "n_hit": pa.array(hits[bounds[1:]] - hits[bounds[:-1]]),
+        "items": pa.array([sorted(named.get(d, ())) for d in range(len(ids))], pa.list_(pa.string())),
+    })
 
 
 def contamination(documents: DataFrame, items: DataFrame, size: int = 13, slop: int = 0, share: int = 20) -> DataFrame:
-    """search() over documents, and contaminated: n_hit > 0 and share * n_hit >= n_words."""
-    found = search(build_index(documents), items, size, slop)
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
+    """search() over documents, and contaminated: n_hit > 0 and share * n_hit >= n_words. A block's index is built and searched by
+    the same worker, so it is never sent anywhere."""
+    parts = _slices(items, size)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _blocks(batches):
+            yield _found(row, parts, slop)
 
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
+    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))

@@ -31,8 +31,8 @@ def _return_memory() -> None:
     """Large arrays go back to the system when they are freed, where the C library lets that be set: workers share an executor's memory."""
     libc = ctypes.CDLL(None)
     if hasattr(libc, "mallopt"):
-        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
-        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
 
 
 _M = 0x9E3779B97F4A7C15 | 1
