@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The token patterns and word lists that results depend on.
-FINANCIAL_TOKEN = "[$£€]?[A-Za-z0-9]+(?:[&./-][A-Za-z0-9]+)*%?"
+FINANCIAL_TOKEN = "[$£€]?[A-Za-z0-9]++(?:[&./-][A-Za-z0-9]++)*+%?"  # possessive: nothing shorter could match
 MATCH_TOKEN = "[a-z0-9]+(?:[.,][0-9]+)*%?"
 ARTICLES = ("a", "an", "the")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -69,8 +69,12 @@ def safe_identifier(c: Column) -> Column:
     return F.when(out == "", F.raise_error(F.lit("identifier is empty after normalisation"))).otherwise(out)
 
 
+def raw_financial_tokens(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(FINANCIAL_TOKEN), F.lit(0))
+
+
 def financial_tokens(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(FINANCIAL_TOKEN), F.lit(0)), F.lower)
+    return F.transform(raw_financial_tokens(c), F.lower)
 
 
 def company_key(c: Column) -> Column:

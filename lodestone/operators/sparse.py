@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import financial_tokens
+from ..functions.text import raw_financial_tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms are broadcast up to so many rows; more are joined by shuffle.
@@ -29,12 +29,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens=financial_tokens) -> SparseIndex:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens=raw_financial_tokens, fold=F.lower) -> SparseIndex:
     """Statistics are of the whole corpus and never of a filtered part. A term of negative idf gets EPSILON times the mean idf of all terms."""
     toks = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     lengths = toks.select("id", F.size("t").alias("dl"))
     # dl travels with the postings: a document's length needs no second join
-    postings = toks.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    rows = toks.select("id", F.size("t").alias("dl"), F.explode("t").alias("raw"))  # folding single tokens stays in generated code
+    postings = rows.select("id", "dl", fold("raw").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -43,9 +44,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return SparseIndex(postings, lengths, terms, stats.crossJoin(mean))
 
 
-def query_terms(queries: DataFrame, id_col: str = "item_id", text_col: str = "text", tokens=financial_tokens) -> DataFrame:
+def query_terms(queries: DataFrame, id_col: str = "item_id", text_col: str = "text", tokens=raw_financial_tokens, fold=F.lower) -> DataFrame:
     """(query_id, term, qtf): terms with their multiplicity."""
-    t = queries.select(F.col(id_col).alias("query_id"), F.explode(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("term"))
+    t = queries.select(F.col(id_col).alias("query_id"), F.explode(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("raw")).select("query_id", fold("raw").alias("term"))
     return t.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
@@ -77,7 +78,8 @@ def search(index: SparseIndex, terms: DataFrame, k: int, eligible: DataFrame | N
         asked = terms.select("query_id").distinct()
         full = eligible.join(asked, "query_id", "left_semi").join(found, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
         return top_k(full, k).select("query_id", "rank", "id", "score")
-    best = top_k(found.where("score > 0"), k)
+    # k rows per query: kept, as what follows asks for it three times and scoring is the whole cost
+    best = top_k(found.where("score > 0"), k).persist()
     short = best.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
     lacking = terms.select("query_id").distinct().join(short, "query_id", "left_anti")
     if not lacking.isEmpty():
