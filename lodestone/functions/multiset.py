@@ -12,7 +12,8 @@ def overlap(a: Column, b: Column) -> Column:
     whole documents."""
 
     def ranked(x: Column) -> Column:
-        x = F.array_sort(x)
-        return F.transform(x, lambda v, i: F.struct(v.alias("v"), (i + 1 - F.array_position(x, v)).alias("k")))
+        # the one-element array binds the sorted array to a variable, so it is not computed again for every element
+        number = lambda s: F.transform(s, lambda v, i: F.struct(v.alias("v"), (i + 1 - F.array_position(s, v)).alias("k")))
+        return F.transform(F.array(F.array_sort(x)), number)[0]
 
     return F.size(F.array_intersect(ranked(a), ranked(b)))

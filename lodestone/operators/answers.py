@@ -16,9 +16,11 @@ def exact_match(gold: Column, generated: Column) -> Column:
 
 def token_f1(gold: Column, generated: Column) -> Column:
     """Twice the shared tokens over all, with repeats; 1 if both are empty."""
-    a, b = answer_tokens(gold), answer_tokens(generated)
-    n = F.size(a) + F.size(b)
-    return F.when(n == 0, 1.0).otherwise(2.0 * overlap(a, b) / n)
+    def f1(x: Column) -> Column:
+        n = F.size(x["a"]) + F.size(x["b"])
+        return F.when(n == 0, 1.0).otherwise(2.0 * overlap(x["a"], x["b"]) / n)
+
+    return F.transform(F.array(F.struct(answer_tokens(gold).alias("a"), answer_tokens(generated).alias("b"))), f1)[0]
 
 
 def numeric_scores(df: DataFrame, gold: str = "gold_answer", generated: str = "generated_answer", question: str = "question") -> DataFrame:
