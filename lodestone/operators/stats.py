@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REPLICATES, BLOCK = 10_000, 1000
@@ -15,6 +15,16 @@ REPLICATES, BLOCK = 10_000, 1000
 ENUMERATE, EXACT = 13, 50
 
 
+def planned_comparisons(spark: SparkSession) -> DataFrame:
+    """The prespecified comparisons: (hypothesis, architecture_a, architecture_b, metric, population)."""
+    scored, every, numbers = "scored_units_only", "all_questions", "gold_numeric_questions"
+    rows = [("H0,H1" if b == "P1" else "H0", "P0", b, "gold_evidence_support", scored) for b in ("P1", "P2", "P3")]
+    rows += [("H0", "P0", b, m, p) for b in ("P1", "P2", "P3") for m, p in (("exact_match", every), ("token_f1", every), ("numeric_accuracy", numbers), ("total_latency_ms", every))]
+    rows += [("H2", "P1", "P2", m, p) for m, p in (("hit_at_5", every), ("recall_at_5", every), ("mrr_at_5", every), ("numeric_accuracy", numbers))]
+    rows += [("H3", "P2", "P3", m, p) for m, p in (("context_faithfulness", scored), ("total_latency_ms", every))]
+    return spark.createDataFrame(rows, "hypothesis string, architecture_a string, architecture_b string, metric string, population string")
+
+
 def paired_values(rows: DataFrame, comparisons: DataFrame) -> DataFrame:
     """rows (question_id, architecture, metric, value), comparisons (architecture_a, architecture_b, metric) -> complete pairs with a, b.
 

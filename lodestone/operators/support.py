@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import financial_spans, number_keys
-from ..functions.text import strip
+from ..functions.text import is_abstention, strip
 
 ASSESSMENTS = "array<struct<unit_id:string,factual:boolean,supported:boolean,support_type:string,evidence_ids:array<string>,derivation:string>>"
 # Labels and statuses that judgments may use.
@@ -85,3 +85,20 @@ def judge_answers(df: DataFrame) -> DataFrame:
     d = df.withColumn("error", error)
     ok = lambda c, name: F.when(F.col("error").isNull(), c).alias(name)
     return d.select(*df.columns, "error", ok(label, "correctness_label"), ok((label == "correct").cast("int"), "semantic_correctness"), ok(a / n, "completeness"), ok(a, "matched_unit_count"), ok(i, "incorrect_unit_count"), ok(n - a - i, "missing_unit_count"))
+
+
+def parse_rubric(payload: Column) -> Column:
+    """array<string> of a rubric's requirements; null unless it has 1 to 40 units, numbered U1, U2, ... in order, each with a text that no other has
+    but for case and blanks."""
+    u = F.from_json(payload, "struct<essential_units:array<struct<unit_id:string,requirement:string>>,rationale:string>")
+    units = u["essential_units"]
+    plain = F.transform(units, lambda x: F.lower(F.regexp_replace(strip(x["requirement"]), r"(?U)\s+", " ")))
+    ids = F.transform(units, lambda x, i: x["unit_id"] == F.concat(F.lit("U"), (i + 1).cast("string")))
+    ok = F.size(units).between(1, 40) & F.forall(ids, lambda x: F.coalesce(x, F.lit(False))) & F.forall(plain, lambda x: F.coalesce(x != "", F.lit(False))) & (F.size(F.array_distinct(plain)) == F.size(units)) & (strip(u["rationale"]) != "")
+    return F.when(ok, F.transform(units, lambda x: strip(x["requirement"])))
+
+
+def split_exact_abstentions(answers: DataFrame, column: str = "generated_answer") -> tuple[DataFrame, DataFrame]:
+    """(answers to be judged, exact abstentions): the latter need no model call, they fail to answer by definition."""
+    flag = F.coalesce(is_abstention(F.col(column)), F.lit(False))
+    return answers.where(~flag), answers.where(flag).withColumn("correctness_label", F.lit("failure_to_answer")).withColumn("completeness", F.lit(0.0)).withColumn("semantic_correctness", F.lit(0))

@@ -59,3 +59,23 @@ def test_entry_contract(spark):
     assert set(sql) <= set(names) and "bm25_topk" in names
     if importlib.util.find_spec("lodestone.llm") and importlib.util.find_spec("corpus_pipeline"):
         assert {f"op{n}_" for n in range(1, 11)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
+
+
+def test_stale_indices_are_refused(spark, tmp_path):
+    from lodestone.operators import sparse
+    from lodestone.sources import indices
+
+    docs = spark.createDataFrame([(1, "apple pear"), (2, "fig")], "doc_id long, text string")
+    digest = indices.corpus_digest(docs, "doc_id", "text")
+    assert digest == indices.corpus_digest(docs.repartition(3), "doc_id", "text") != indices.corpus_digest(docs.where("doc_id = 1"), "doc_id", "text")
+    index = sparse.build_index(docs)
+    indices.save_sparse(index, str(tmp_path / "s"), digest)
+    q = sparse.query_terms(spark.createDataFrame([(1, "fig")], "item_id long, text string"))
+    assert sparse.search(indices.load_sparse(spark, str(tmp_path / "s"), digest), q, 2).collect() == sparse.search(index, q, 2).collect()
+    with pytest.raises(ValueError, match="stale"):
+        indices.load_sparse(spark, str(tmp_path / "s"), "other")
+    v = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
+    indices.save_dense(v, str(tmp_path / "d"), digest, 2)
+    assert indices.load_dense(spark, str(tmp_path / "d"), digest, dim=2).count() == 1
+    with pytest.raises(ValueError, match="stale"):
+        indices.load_dense(spark, str(tmp_path / "d"), dim=3)

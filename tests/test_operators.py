@@ -235,3 +235,13 @@ def test_generation_retries_and_reports(spark):
     assert r.generated_answer is None and r.generation_error == "RuntimeError: down"
     s = spark.createDataFrame([("a b c", "a b c"), ("", "x")], "c string, r string").select(models.soft_match(F.col("c"), F.col("r")).alias("s")).collect()
     assert s[0].s.f1 == pytest.approx(1.0) and s[1].s.f1 == 0.0
+
+
+def test_rubrics_and_exact_abstentions(spark):
+    good = '{"essential_units": [{"unit_id": "U1", "requirement": " cash "}, {"unit_id": "U2", "requirement": "debt"}], "rationale": "r"}'
+    bad = [good.replace("U2", "U3"), good.replace("debt", "CASH"), good.replace('"r"', '" "'), "{}", "no json"]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate([good, *bad])], "i int, x string").orderBy("i").select(support.parse_rubric(F.col("x"))).collect()]
+    assert got == [["cash", "debt"], *[None] * 5]
+    judged, exact = support.split_exact_abstentions(spark.createDataFrame([("I do not know.",), ("5",), (None,)], "generated_answer string"))
+    assert judged.count() == 2 and exact.collect()[0].correctness_label == "failure_to_answer"
+    assert stats.planned_comparisons(spark).count() == 21
