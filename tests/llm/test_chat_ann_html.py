@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodestone.llm import ann as A
 from lodestone.llm import html_text as H
 from lodestone.llm.ann import balanced_parts, nearest, neighbour_graph
 from lodestone.llm.chat_format import escape, parse, prefix_tree, read_back, segments, unescape
@@ -103,6 +104,39 @@ def test_recall_over_learned_parts(spark):
     assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
 
 
+def test_only_probed_parts_give_results(spark, monkeypatch):
+    made = []
+
+    def one_probe(x, parts, fit=A.fit_router):
+        made.append(fit(x, parts))
+        made[0].probes = 1
+        return made[0]
+
+    monkeypatch.setattr(A, "fit_router", one_probe)
+    v = np.random.default_rng(4).standard_normal((3000, 16))
+    got = {}
+    for r in nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    own = made[0].logits(v / np.linalg.norm(v, axis=1, keepdims=True)).argmax(axis=1)
+    assert len(np.unique(own)) == 3
+    for q in range(0, 3000, 20):
+        mates = [i for i in np.flatnonzero(own == own[q]) if i != q]
+        assert got[q] == set(sorted(mates, key=lambda i: -(v[q] * v[i]).sum())[:20])
+
+
+def test_recall_well_above_the_sample(spark):
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((25000, 16)) + 2 * rng.standard_normal((60, 16))[rng.integers(60, size=25000)]
+    got = {}
+    for r in nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), every=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = v[::100] @ v.T
+    s[np.arange(250), np.arange(0, 25000, 100)] = -np.inf
+    near = np.argsort(-s, axis=1)[:, :20]
+    assert all(len(x) == 20 for x in got.values())
+    assert sum(len(got[100 * q] & set(n.tolist())) for q, n in enumerate(near)) >= 0.9 * 20 * 250
+
+
 def test_fewer_candidates_than_asked_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert nearest(spark.createDataFrame([], schema)).collect() == []
