@@ -101,10 +101,11 @@ def _odd(x: np.ndarray) -> bytes:
 
 def _near_enough(percent: int) -> str:
     """SQL: whether two sets l and r can reach the threshold by size and odd sketches. Sets of up to ODD_FULL values are
-    compared whole, so nothing is lost; larger ones by retained values, SLACK standard deviations over the mean."""
+    compared whole, so nothing is lost; larger ones by retained values, SLACK standard deviations over the mean. At the threshold
+    the larger set shares p = t (1 + smaller / larger) / (1 + t) of its values: 2t / (1 + t) at equal sizes, t where it holds the smaller one."""
     t = percent / 100
-    p = 2 * t / (1 + t)
-    most = math.ceil(2 * ODD_SKETCH * (1 - p) + SLACK * 2 * math.sqrt(ODD_SKETCH * p * (1 - p)))
+    p = f"least(1d, {t / (1 + t)!r}d * (1 + least(l.n, r.n) / greatest(l.n, r.n)))"
+    most = f"{2 * ODD_SKETCH} * (1 - {p}) + {2 * SLACK}d * sqrt({ODD_SKETCH} * {p} * (1 - {p}))"
     apart = " + ".join(f"bit_count(l.o{i} ^ r.o{i})" for i in range(ODD_BITS // 64))
     bound = f"case when greatest(l.n, r.n) <= {ODD_FULL} then (l.n + r.n) * {100 - percent} div {100 + percent} when least(l.n, r.n) > {ODD_FULL} then {most} else {ODD_BITS} end"
     return f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {apart} <= {bound}"

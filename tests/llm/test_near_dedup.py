@@ -81,6 +81,22 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert {r.component_id for r in got} == {1000}
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_long_texts_held_by_others_in_a_template_family(spark, percent):
+    """Each text is held by a longer one just under the threshold, which is the head of their lists (ties go to the smaller id), and by one just at it."""
+    rng = random.Random(percent)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for f in range(60):
+        n = rng.randint(1100, 1900)
+        whole = template + [f"w{f}.{i}" for i in range(3000)]
+        second = (n - 4) * 100 // percent + 4
+        rows += [(3 * f + j, " ".join(whole[:k])) for j, k in enumerate((n, second + 4, second))]
+    rng.shuffle(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 3 for i, _ in rows} == brute(rows, percent)
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 90, 95])
 def test_tiers_cover_every_pair_of_sizes(percent):
     levels = tiers(percent)
