@@ -81,6 +81,16 @@ def test_language_of_held_out_texts_and_odd_rows(spark):
     assert kept.columns == test.columns and kept.where("doc_id between 2000 and 2003").count() == 0 and kept.where("doc_id = 7").count() == 2
 
 
+def test_rare_grams_stay_however_many_there_are(spark):
+    many = (1 << 20) + 5000
+    letters = "concat(" + ", ".join(f"char(97 + cast(id / {26**j} as long) % 26)" for j in range(5)) + ")"
+    big = spark.range(many).selectExpr("'a' as lang", f"{letters} as gram", "case when id % 4 = 0 then 2L else 1L end as n")
+    model = L.build_model(big.unionAll(spark.createDataFrame([("b", "zzzzz", 1), ("b", "yyyyy", 1)], "lang string, gram string, n long")))
+    assert model.langs == ["a", "b"] and len(model.grams[4][0]) == many + 2
+    rows = np.frombuffer("zzzzz".encode("utf-32-le"), np.uint32).reshape(1, 5)
+    assert model._log_probs(rows)[0, 1] > model._log_probs(rows)[0, 0]
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = L.train(empty, "true")
