@@ -91,10 +91,23 @@ def generate(df: DataFrame, prompt: str, generator: Generator = echo_generator,
     return df.mapInPandas(run, schema)
 
 
-def soft_match(candidate: Column, reference: Column, encoder: Encoder | None = None, limit: int = 512) -> Column:
+def _best_cosines(a: list[str], b: list[str], encoder: Encoder, block: int = 512) -> tuple[float, float]:
+    """Mean over the words of each side of the best cosine with the other's; a block of each side is encoded at a time."""
+    down, across = np.full(len(a), -np.inf), np.full(len(b), -np.inf)
+    for i in range(0, len(a), block):
+        x = encoder(a[i : i + block])
+        for j in range(0, len(b), block):
+            s = x @ encoder(b[j : j + block]).T
+            down[i : i + block] = np.maximum(down[i : i + block], s.max(axis=1))
+            across[j : j + block] = np.maximum(across[j : j + block], s.max(axis=0))
+    return float(down.mean()), float(across.mean())
+
+
+def soft_match(candidate: Column, reference: Column, encoder: Encoder | None = None, limit: int | None = None) -> Column:
     """struct(precision, recall, f1, candidate_tokens, reference_tokens, truncated): greedy best cosine between word vectors, no weighting, no rescaling.
 
-    A side without words scores 0. A side over `limit` words sets truncated and scores its first words, as the model behind it would."""
+    A side without words scores 0. Whole texts are scored, in blocks of words. Only for a model that has a limit itself: a side over
+    `limit` words sets truncated and scores its first words."""
     encoder = encoder or hashing_encoder()
 
     def run(c: pd.Series, r: pd.Series) -> pd.DataFrame:
@@ -102,11 +115,10 @@ def soft_match(candidate: Column, reference: Column, encoder: Encoder | None = N
         for x, y in zip(c, r, strict=True):
             a, b = (x or "").split(), (y or "").split()
             if a and b:
-                s = encoder(a[:limit]) @ encoder(b[:limit]).T
-                p, q = float(s.max(axis=1).mean()), float(s.max(axis=0).mean())
+                p, q = _best_cosines(a[:limit], b[:limit], encoder)
             else:
                 p = q = 0.0
-            rows.append((p, q, 2 * p * q / (p + q) if p + q > 0 else 0.0, len(a), len(b), int(max(len(a), len(b)) > limit)))
+            rows.append((p, q, 2 * p * q / (p + q) if p + q > 0 else 0.0, len(a), len(b), int(limit is not None and max(len(a), len(b)) > limit)))
         return pd.DataFrame(rows, columns=["precision", "recall", "f1", "candidate_tokens", "reference_tokens", "truncated"])
 
     return F.pandas_udf(run, "precision double, recall double, f1 double, candidate_tokens int, reference_tokens int, truncated int")(candidate, reference)

@@ -237,6 +237,18 @@ def test_generation_retries_and_reports(spark):
     assert s[0].s.f1 == pytest.approx(1.0) and s[1].s.f1 == 0.0
 
 
+def test_soft_match_scores_whole_texts(spark):
+    same, other = " ".join(["cash", "debt"] * 350), " ".join(["tax"] * 700)
+    d = spark.createDataFrame([(1, f"{same} {other}", same), (2, same, f"{same} {other}")], "i int, c string, r string").orderBy("i")
+    got = [r.s for r in d.select("i", models.soft_match(F.col("c"), F.col("r")).alias("s")).collect()]
+    x, y = (models.hashing_encoder()(t.split()) for t in (same, f"{same} {other}"))
+    best = float((y @ x.T).max(axis=1).mean())
+    assert best < 0.99 and got[0].precision == pytest.approx(best) == got[1].recall and got[0].recall == pytest.approx(1.0)
+    assert [(g.candidate_tokens, g.reference_tokens, g.truncated) for g in got] == [(1400, 700, 0), (700, 1400, 0)]
+    cut = d.select("i", models.soft_match(F.col("c"), F.col("r"), limit=512).alias("s")).collect()
+    assert all(r.s.truncated == 1 and r.s.f1 == pytest.approx(1.0) for r in cut)
+
+
 def test_rubrics_and_exact_abstentions(spark):
     good = '{"essential_units": [{"unit_id": "U1", "requirement": " cash "}, {"unit_id": "U2", "requirement": "debt"}], "rationale": "r"}'
     bad = [good.replace("U2", "U3"), good.replace("debt", "CASH"), good.replace('"r"', '" "'), "{}", "no json"]
