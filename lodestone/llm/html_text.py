@@ -26,13 +26,14 @@ from .common import batch
 TRAIN_PAGES = 400
 
 # Names of elements and words in class, id and role attributes.
-RAW = "script style noscript template svg math iframe object select textarea button title xmp"
+RAW = "script style noscript template textarea title xmp"
+SKIP = "svg math iframe object select button"
 BLOCK = "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 BAD = "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget widgets related recommended recommendations share sharing social footer masthead toolbar pagination pager comment comments disqus reply replies respond discussion copyright legal skip complementary contentinfo"
 GOOD = "article content main post entry story body text page"
 
-_RAW, _BLOCK, _VOID, _BAD, _GOOD = (frozenset(x.split()) for x in (RAW, BLOCK, VOID, BAD, GOOD))
+_RAW, _SKIP, _BLOCK, _VOID, _BAD, _GOOD = (frozenset(x.split()) for x in (RAW, SKIP, BLOCK, VOID, BAD, GOOD))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(_RAW, key=len, reverse=True)) + r")\b(?P<rawattr>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>(?:.*?(?:</(?P=raw)\s*+[^>]*>|\Z))"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attr>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -55,6 +56,47 @@ class Block:
         self.text, self.linked, self.tag, self.node, self.regions = text, linked, tag, node, regions
 
 
+def _skipped(tokens: list[tuple[str, bool, bool]]) -> dict[int, tuple[int, bool]]:
+    """Token (name, whether it closes, whether it closes itself) that opens an element without text of the page -> the first token
+    after it that counts again, and whether its own end tag is right before that: if there is none, or the elements around it or the
+    next of its kind end it first, the next block-level tag ends it."""
+    out: dict[int, tuple[int, bool]] = {}
+    open_: list[list] = []
+    count: dict[str, int] = {}
+    for i, (name, close, alone) in enumerate(tokens):
+        if close:
+            if count.get(name):
+                while True:
+                    top, at = open_.pop()
+                    count[top] -= 1
+                    if top == name:
+                        break
+                if name in _SKIP:
+                    out[at] = (i + 1, True)
+        elif name in _SKIP:
+            if alone and name in ("svg", "math"):
+                out[i] = (i + 1, True)
+                continue
+            if name in ("select", "button") and count.get(name):  # these don't nest
+                last = next(x for x in reversed(open_) if x[0] == name)
+                last[0] = ""
+                count[name] -= 1
+                count[""] = count.get("", 0) + 1
+            open_.append([name, i])
+            count[name] = count.get(name, 0) + 1
+        elif name in _BLOCK and name not in ("br", "hr", "option"):
+            open_.append([name, i])
+            count[name] = count.get(name, 0) + 1
+    after = len(tokens)
+    for i in range(len(tokens) - 1, -1, -1):
+        name = tokens[i][0]
+        if name in _SKIP and not tokens[i][1]:
+            out.setdefault(i, (after, False))
+        if name in _BLOCK and name != "option":
+            after = i
+    return out
+
+
 def blocks(page: str) -> tuple[list[Block], list[int]]:
     """(blocks in page order, parent of each container node). Elements left open and pages cut short are taken as they stand."""
     out: list[Block] = []
@@ -82,10 +124,21 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             buffer.clear()
             linked = 0
 
-    for m in _TOKEN.finditer(page):
+    found = list(_TOKEN.finditer(page))
+    tokens = [((m["name"] or "").lower(), bool(m["close"]), bool(m["attr"]) and m["attr"].endswith("/")) for m in found]
+    skipped = _skipped(tokens) if any(name in _SKIP for name, _, _ in tokens) else {}
+    resume = 0
+    for i, m in enumerate(found):
+        if i < resume:
+            continue
         put(page[at : m.start()])
         at = m.end()
         name = m["name"]
+        if i in skipped:
+            put(" ")
+            resume, ended = skipped[i]
+            at = found[resume - 1].end() if ended else found[resume].start() if resume < len(found) else len(page)
+            continue
         if name is None:
             if m["raw"] is not None:
                 put(" ")

@@ -179,6 +179,17 @@ def test_main_text_of_pages(spark, around):
     assert by[6] == TEXT.split(" Another")[0]
 
 
+@pytest.mark.parametrize("odd", ['<svg class="x"/>', "<math/>", "<button>Menu", "<select><option>One", "<object data=a>", "<svg><path d=1>", "<button>A<button>B</button>", "<svg><svg/><text>T</text></svg>", "<iframe src=b></iframe>"])
+def test_elements_left_open_or_closed_at_once_do_not_swallow_the_page(odd):
+    shown = [b.text for b in H.blocks(f"<div>{odd}<p>The first paragraph.</p></div><p>The <b>second</b> {odd}</p><p>The third.")[0]]
+    assert shown == ["The first paragraph.", "The second", "The third."]
+
+
+def test_many_open_elements_take_linear_time():
+    for page in ("<button>" * 100_000, "<svg><p>x" * 50_000, "<select><button><div>" * 30_000 + "</select>"):
+        assert isinstance(H.blocks(page)[0], list)
+
+
 def test_no_pages_and_hostile_pages(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     w = np.array(H.PRIOR)
