@@ -61,6 +61,18 @@ def test_tree_and_read_back(spark):
     assert max(len(r.attends) for r in tree) < 10
 
 
+def test_turns_are_told_apart_and_long_conversations_are_cut_into_ranges(spark):
+    # the same bytes, cut elsewhere into role and text; a turn number that repeats; one conversation with most rows
+    rows = [(1, 0, "a\0b", "c"), (2, 0, "a", "b\0c"), (3, 0, "1:a", "x"), (4, 0, "1", ":ax"), (5, 2, "user", "b"), (5, 2, "user", "a"), (5, 2, "assistant", "z"), (5, 2, "user", "a")]
+    long = [("user" if k % 2 == 0 else "assistant", f"t{k % 7}") for k in range(3000)]
+    rows += [(9, k, r, t) for k, (r, t) in enumerate(long)] + [(10, k, r, t) for k, (r, t) in enumerate(long[:1500])] + [(10, 1500, "user", "else")]
+    nodes, refs = prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in read_back(nodes, refs).collect()}
+    want = {c: [(r, t) for x, _, r, t in rows if x == c] for c in (1, 2, 3, 4, 9, 10)} | {5: [("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")]}
+    assert got == {c: digest(t) for c, t in want.items()}
+    assert nodes.count() == 4 + 4 + 3000 + 1 and max(len(r.attends) for r in nodes.collect()) <= 2
+
+
 def test_chat_without_rows(spark):
     nodes, refs = prefix_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert nodes.collect() == [] and read_back(nodes, refs).collect() == []
