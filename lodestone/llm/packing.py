@@ -20,86 +20,38 @@ from .tokens import END, encoder
 
 #: Pieces that one group holds on average.
 GROUP = 1 << 15
-ROUNDS = 8
 
 
-def _place(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
-    """Online: each item goes where the sum over gaps of (number of open bins with that gap) squared becomes smallest."""
+def pack_sizes(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins of item numbers by the sum of squares, largest items first: each goes to the open bin for which the sum over gaps of (number of
+    open bins with that gap) squared becomes smallest, ties to the tightest. A bin is opened only where no open one has room: bins opened
+    for the sum's sake alone cost sequences (978 instead of 965 on 1507 pieces that need 962 at least)."""
     count = np.zeros(capacity + 1)
     open_: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins: list[list[int]] = []
-    gaps: list[int] = []
-    for i, s in enumerate(sizes):
-        best, gap = (2 * count[capacity - s] + 1 if s < capacity else 0), capacity
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        s, gap = int(sizes[i]), capacity
         if s < capacity:
             own = count[s:capacity]
+            # a bin leaves its gap's square and enters that of what is left
             cost = np.where(own > 0, 2 * (count[: capacity - s] - own) + 2, np.inf)
             if own[0]:
-                cost[0] = 1 - 2 * own[0]  # a bin that becomes full leaves the sum
+                cost[0] = 1 - 2 * own[0]  # one that becomes full leaves the sum
             j = int(cost.argmin())
-            if cost[j] <= best:
-                gap = s + j
+            gap = s + j if cost[j] < np.inf else capacity
         if gap == capacity:
             b = len(bins)
             bins.append([])
-            gaps.append(capacity)
         else:
             b = open_[gap].pop()
             count[gap] -= 1
         bins[b].append(i)
-        gaps[b] = gap - s
-        if gap > s:
-            open_[gap - s].append(b)
-            count[gap - s] += 1
-    return bins, gaps
-
-
-def _best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Each item goes to the open bin that it fills most: for the few bins that the sum of squares leaves open."""
-    open_: list[list[int]] = [[] for _ in range(capacity + 1)]
-    count = np.zeros(capacity + 1, np.int64)
-    bins: list[list[int]] = []
-    for i, s in enumerate(sizes):
-        fits = count[s:] > 0
-        j = int(fits.argmax())
-        if fits[j]:
-            gap = s + j
-            b = open_[gap].pop()
-            count[gap] -= 1
-        else:
-            gap, b = capacity, len(bins)
-            bins.append([])
-        bins[b].append(i)
         if gap > s:
             open_[gap - s].append(b)
             count[gap - s] += 1
     return bins
 
 
-def pack_sizes(sizes: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
-    """Bins of item numbers. Largest items come first; full bins are closed and the items of the others packed again, by the sum of
-    squares and by best fit, and the fewest bins found stay."""
-    left = np.argsort(-sizes, kind="stable")
-    done: list[list[int]] = []
-    best: list[list[int]] | None = None
-    for _ in range(rounds):
-        bins, gaps = _place(sizes[left].tolist(), capacity)
-        made = [[int(left[i]) for i in b] for b in bins]
-        if best is None or len(done) + len(made) < len(best):
-            best = done + made
-        full = [g == 0 for g in gaps]
-        done = done + [b for b, f in zip(made, full, strict=True) if f]
-        rest = [i for b, f in zip(made, full, strict=True) if not f for i in b]
-        if not rest or not any(full):
-            break
-        left = np.array(rest)
-        left = left[np.argsort(-sizes[left], kind="stable")]
-        repaired = [[int(left[i]) for i in b] for b in _best_fit(sizes[left].tolist(), capacity)]
-        if len(done) + len(repaired) < len(best):
-            best = done + repaired
-    return best or []
-
-
 def pieces(documents: DataFrame, capacity: int = 1024, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """documents (doc_id, text) -> one row per piece: doc_id, piece, start, length, ids_crc32 (and ids, binary uint32 little endian)."""
 
@@ -135,8 +87,8 @@ def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str | None = No
 
     A document's tokens are its ids and the end id 2; a null or empty text has the end id alone. Places in a
     sequence are gapless from 0. Rows that repeat a doc_id, or have none, are packed like any others. Extra
-    columns are not read; an empty table gives no rows. A group holds about `group` pieces whatever repeats,
-    as the hash covers the row's content and place, not a source or key that many rows share.
+    columns are not read; an empty table gives no rows. A group holds about `group` pieces whatever repeats, as the hash covers a
+    number of the row beside its content; each group may leave one sequence open more than packing all as one would.
     """
     cut = materialise(pieces(documents, capacity, vocabulary), "pieces")
     groups = max(1, -(-cut.count() // group))
@@ -154,6 +106,7 @@ def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str | None = No
         base = rows["g"].to_numpy().astype(np.int64) << 32
         return rows.drop_columns(["g"]).append_column("sequence_id", pa.array(base + bin_)).append_column("offset", pa.array(offset))
 
-    g = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int")
+    # the pieces are stored, so a row's number is the same whenever its task runs again
+    g = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("int")
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return cut.withColumn("g", g).groupBy("g").applyInArrow(run, out)
