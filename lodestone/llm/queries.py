@@ -92,16 +92,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a doc_id are never learned from, and held_out is false for them."""
     documents = table(spark, sf_dir, "documents")
-    held = F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2").alias("held_out")
+    held = F.expr("coalesce(pmod(crc32(cast(doc_id as string)), 4) = 2, false)").alias("held_out")
     return identify(documents, train(documents)).select("doc_id", held, "lang_pred", "score", "accepted")
 
 
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a doc_id are never learned from, and held_out is false for them."""
     documents = table(spark, sf_dir, "documents")
     model = train_toxicity(documents, table(spark, sf_dir, "labels"), "pmod(crc32(cast(doc_id as string)), 3) <> 1")
-    held = F.expr("pmod(crc32(cast(doc_id as string)), 3) = 1").alias("held_out")
+    held = F.expr("coalesce(pmod(crc32(cast(doc_id as string)), 3) = 1, false)").alias("held_out")
     return score_texts(documents, model).select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "windows")
 
 
