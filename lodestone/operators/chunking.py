@@ -46,10 +46,13 @@ def chunk_pages(pages: DataFrame, config: ChunkConfig = ChunkConfig(), header: C
     p = p.where(F.size("_pieces") > 0).withColumn("content_capacity", capacity).withColumn("_n", F.size("_pieces"))
     step = F.col("content_capacity") - config.overlap
     count = F.when(F.col("_n") <= F.col("content_capacity"), 1).otherwise(F.ceil((F.col("_n") - F.col("content_capacity")) / step).cast("int") + 1)
-    p = p.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), count - 1)))
+    # characters of each step between window starts, summed once; a window's offset is the sum of the steps before it
+    p = p.withColumn("_step", step).withColumn("_count", count).withColumn("_sizes", F.transform("_pieces", F.length))
+    p = p.withColumn("_steps", F.transform(F.sequence(F.lit(0), F.col("_count") - 1), lambda i: F.aggregate(F.slice("_sizes", i * F.col("_step") + 1, F.col("_step")), F.lit(0), lambda a, x: a + x)))
+    p = p.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
     p = p.withColumn("token_start", F.col("chunk_index") * step).withColumn("token_end", F.least("_n", F.col("token_start") + F.col("content_capacity")))
     raw = F.array_join(F.slice("_pieces", F.col("token_start") + 1, F.col("token_end") - F.col("token_start")), "")
-    before = F.length(F.array_join(F.slice("_pieces", F.lit(1), F.col("token_start")), ""))
+    before = F.aggregate(F.slice("_steps", F.lit(1), F.col("chunk_index")), F.lit(0), lambda a, x: a + x)
     body = T.strip(raw)
     start = before + F.length(raw) - F.length(F.regexp_replace(raw, r"(?U)^\s+", ""))
     keep = [c for c in pages.columns if c != "text"]

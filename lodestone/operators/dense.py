@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..sources.store import materialise
 
 #: Bytes of query vectors that one pass broadcasts; more queries take more passes over the rows.
 SLICE_BYTES = 32 << 20
@@ -27,46 +32,55 @@ def normalise(v: Column) -> Column:
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, on: list[str] | None = None) -> DataFrame:
     """vectors (id, v, *on), queries (query_id, v, *on) -> (query_id, rank, id, score); ties to the smaller id.
 
-    With `on`, only rows that equal the query in those columns compete, an equi-join. Without, queries go to the rows in slices of
-    bounded size, one matrix product per Arrow batch, and only each batch's k best leave it.
+    With `on`, a query sees only rows that equal it in those columns; a null there asks for nothing. Queries go to the rows in slices of
+    bounded size, one after the other, and are multiplied with the rows of each Arrow batch that they may see; only each batch's k best leave it, so
+    no row is shuffled, whatever many of them share.
     """
-    if on:
-        q = queries.select("query_id", F.col("v").alias("qv"), *on)
-        scored = vectors.join(q, on).select("query_id", "id", dot(F.col("qv"), F.col("v")).alias("score"))
-    else:
-        scored = _sliced(vectors, queries, k)
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
-
-
-def _sliced(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
+    on = on or []
+    kinds = to_arrow_type(queries.schema["query_id"].dataType), dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["id"]
     n, size = queries.agg(F.count("*"), F.max(F.size("v"))).first()
     slices = max(1, -(-(n * (size or 0) * 8) // SLICE_BYTES))
     parts = []
     for s in range(slices):
         part = queries if slices == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s)
-        rows = part.select("query_id", "v").collect()
-        sent = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
-        parts.append(vectors.select("id", "v").mapInArrow(_best_of_batch(sent, k), f"query_id {kinds[0]}, id {kinds[1]}, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+        groups: dict[tuple, tuple[list, list]] = {}
+        for r in part.select("query_id", "v", *on).collect():
+            names, rows = groups.setdefault(tuple(r[2:]), ([], []))
+            names.append(r[0]), rows.append(r[1])
+        sent = vectors.sparkSession.sparkContext.broadcast({key: (names, np.array(rows, np.float64)) for key, (names, rows) in groups.items()})
+        best = top_k(vectors.select("id", "v", *on).mapInArrow(_best_of_batch(sent, k, kinds[0], len(on)), f"query_id {kinds[1]}, id {kinds[2]}, score double"), k)
+        if slices > 1:
+            best = materialise(best, "best")
+            sent.unpersist()
+        parts.append(best)
+    return reduce(DataFrame.unionAll, parts).select("query_id", "rank", "id", "score")
+
+
+def top_k(scored: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _best_of_batch(sent, k: int):
+def _best_of_batch(sent, k: int, kind: pa.DataType, filters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = sent.value
         for b in batches:
-            if not len(names) or not b.num_rows:
+            if not b.num_rows:
                 continue
             v = np.array(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)
-            s = q @ v.T
-            # ties by id must survive the cut, so everything that equals the k-th stays
-            cut = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-            i, j = np.nonzero(s >= cut[:, None] - 1e-9)
-            exact = np.add.accumulate(q[i] * v[j], axis=1)[:, -1]
-            yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i]).cast(pa.int64()), b.column(0).take(pa.array(j)), pa.array(exact)], names=["query_id", "id", "score"])
+            columns = [b.column(2 + j) for j in range(filters)]
+            for key, (names, q) in sent.value.items():
+                seen = np.ones(b.num_rows, bool)
+                for column, x in zip(columns, key, strict=True):
+                    if x is not None:
+                        seen &= pc.fill_null(pc.equal(column, pa.scalar(x, column.type)), False).to_numpy(zero_copy_only=False)
+                rows = np.flatnonzero(seen)
+                if not len(rows):
+                    continue
+                s = q @ v[rows].T
+                # ties by id must survive the cut, so everything that equals the k-th stays
+                cut = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+                i, j = np.nonzero(s >= cut[:, None] - 1e-9)
+                exact = np.add.accumulate(q[i] * v[rows[j]], axis=1)[:, -1]
+                yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in i], kind), b.column(0).take(pa.array(rows[j])), pa.array(exact)], names=["query_id", "id", "score"])
 
     return run

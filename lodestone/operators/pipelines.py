@@ -7,9 +7,11 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import materialise
 from . import dense, fusion, rerank, sparse
 from .models import Generator, Scorer, echo_generator, embed, generate, overlap_scorer
 from .prompts import closed_book_prompt, rag_prompt
+from .query_processing import chunk_filters
 
 
 @dataclass(frozen=True)
@@ -34,43 +36,54 @@ class Settings:
             raise ValueError("the final context is larger than what a stage before it keeps")
 
 
+FILTERS = ["company", "fiscal_year"]
+
+
 @dataclass(frozen=True)
 class Corpus:
-    """chunks (chunk_id, doc_name, page, text, retrieval_text), vectors (id, v) and a sparse index, all keyed by chunk_id."""
+    """chunks (chunk_id, doc_name, page, text, retrieval_text), vectors (id, v, company, fiscal_year), a sparse index and what retrieval filters by, all keyed by chunk_id."""
 
     chunks: DataFrame
     vectors: DataFrame
     index: sparse.SparseIndex
+    filters: DataFrame
 
 
-def build_corpus(chunks: DataFrame, encoder=None) -> Corpus:
-    vectors = chunks.select(F.col("chunk_id").alias("id"), embed(F.col("retrieval_text"), encoder, "passage: ").alias("v"))
-    return Corpus(chunks, vectors, sparse.build_index(chunks, "chunk_id", "retrieval_text"))
-
-
-def _dense(corpus: Corpus, q: DataFrame, k: int, encoder) -> DataFrame:
-    asked = q.select(F.col("question_id").alias("query_id"), embed(F.col("retrieval_query"), encoder, "query: ").alias("v"))
-    # one filter class for all: an equi-join on a constant keeps ids of any type
-    one = F.lit(0)
-    return dense.exact_top_k(corpus.vectors.withColumn("g", one), asked.withColumn("g", one), k, on=["g"])
+def build_corpus(chunks: DataFrame, encoder=None, vectors: DataFrame | None = None) -> Corpus:
+    """Chunks are kept once, as every part reads them. vectors (id, v) replace the encoder's where they are there already."""
+    chunks = materialise(chunks, "chunks")
+    filters = chunk_filters(chunks)
+    if vectors is None:
+        vectors = chunk_filters(chunks.withColumn("v", embed(F.col("retrieval_text"), encoder, "passage: ")), keep=["v"])
+    else:
+        vectors = vectors.select("id", "v").join(filters, "id")
+    return Corpus(chunks, vectors, sparse.build_index(chunks, "chunk_id", "retrieval_text"), filters)
 
 
 def retrieve(architecture: str, corpus: Corpus, questions: DataFrame, settings: Settings = Settings(), encoder=None, scorer: Scorer = overlap_scorer) -> DataFrame:
-    """questions (question_id, retrieval_query) -> (question_id, rank, chunk_id, score) of the final context."""
+    """questions (question_id, retrieval_query, and v where queries are encoded already) -> (question_id, rank, chunk_id, score) of the final context.
+
+    If questions have company (collapsed key) and fiscal_year, as process_queries() gives them, dense and sparse retrieval see only chunks that equal them; null asks for nothing."""
     s = settings
     if architecture == "P0":
         return questions.sparkSession.createDataFrame([], "question_id string, rank int, chunk_id string, score double")
+    if architecture not in ("P1", "P2", "P3"):
+        raise ValueError(f"unknown architecture {architecture}")
+    on = [c for c in FILTERS if c in questions.columns]
     name = lambda df, score: df.select(F.col("query_id").alias("question_id"), "rank", F.col("id").alias("chunk_id"), F.col(score).alias("score"))
+    v = F.col("v") if "v" in questions.columns else embed(F.col("retrieval_query"), encoder, "query: ")
+    asked = materialise(questions.select(F.col("question_id").alias("query_id"), v.alias("v"), *on), "asked")
+    dense_ = lambda k: dense.exact_top_k(corpus.vectors, asked, k, on)
     if architecture == "P1":
-        return name(_dense(corpus, questions, s.p1_dense, encoder), "score").where(F.col("rank") <= s.final)
-    if architecture not in ("P2", "P3"):
-        raise ValueError(f"unknown architecture {architecture}")
+        return name(dense_(s.p1_dense), "score").where(F.col("rank") <= s.final)
     kd, ks, kf = (s.p2_dense, s.p2_sparse, s.p2_fused) if architecture == "P2" else (s.p3_dense, s.p3_sparse, s.p3_fused)
-    words = sparse.search(corpus.index, sparse.query_terms(questions, "question_id", "retrieval_query"), ks)
-    fused = name(fusion.hybrid(_dense(corpus, questions, kd, encoder), words, kf, s.rrf_k)[0], "rrf")
+    words = sparse.search(corpus.index, sparse.query_terms(questions, "question_id", "retrieval_query"), ks, asked.select("query_id", *on) if on else None, corpus.filters)
+    fused = name(fusion.hybrid(dense_(kd), words, kf, s.rrf_k)[0], "rrf")
     if architecture == "P2":
         return fused.where(F.col("rank") <= s.final)
-    c = fused.join(corpus.chunks.select("chunk_id", "text"), "chunk_id").join(questions.select("question_id", F.col("retrieval_query").alias("query")), "question_id").withColumn("header", F.lit(""))
+    # the header is what the retrieval text has before the chunk's own
+    header = F.expr("left(retrieval_text, greatest(0, length(retrieval_text) - length(text)))").alias("header")
+    c = fused.join(corpus.chunks.select("chunk_id", "text", header), "chunk_id").join(questions.select("question_id", F.col("retrieval_query").alias("query")), "question_id")
     return rerank.rerank(c, s.final, scorer).select("question_id", "rank", "chunk_id", "score")
 
 
@@ -81,4 +94,4 @@ def answer(architecture: str, corpus: Corpus, questions: DataFrame, settings: Se
     g = chunks.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_name", "page", F.col("chunk_id").cast("string").alias("chunk_id"), "text", "score"))).alias("retrieved_chunks"))
     d = questions.join(g, "question_id", "left").withColumn("architecture", F.lit(architecture))
     prompt = closed_book_prompt(F.col("question")) if architecture == "P0" else rag_prompt(F.col("question"), F.col("retrieved_chunks"))
-    return generate(d.withColumn("prompt", prompt), "prompt", generator).drop("retrieval_query")
+    return generate(d.withColumn("prompt", prompt), "prompt", generator).drop("retrieval_query", "v", *FILTERS)

@@ -24,16 +24,9 @@ def process_queries(questions: DataFrame, companies: DataFrame, id_col: str = "q
     return out.select(id_col, text.alias("retrieval_query"), F.when(F.size("k") == 1, F.col("k")[0]).alias("company"), year.alias("fiscal_year"))
 
 
-def eligible(processed: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(question, chunk) pairs that the filters allow, as four equi-joins by which filters a question has, never one join with optional conditions.
-
-    processed (query_id, company, fiscal_year), chunks (id, company, fiscal_year, doc_period); a chunk's year falls back to its period.
-    """
-    c = chunks.select("id", T.company_key(F.coalesce("company", F.lit(""))).alias("ck"), T.coerce_year(F.coalesce(F.col("fiscal_year").cast("string"), F.col("doc_period").cast("string"))).alias("cy"))
-    has_c, has_y = F.col("company").isNotNull(), F.col("fiscal_year").isNotNull()
-    both = processed.where(has_c & has_y).join(c, (F.col("company") == F.col("ck")) & (F.col("fiscal_year") == F.col("cy")))
-    name = processed.where(has_c & ~has_y).join(c, F.col("company") == F.col("ck"))
-    year = processed.where(~has_c & has_y).join(c, F.col("fiscal_year") == F.col("cy"))
-    free = processed.where(~has_c & ~has_y).crossJoin(c)  # every chunk is eligible; search() without filters avoids this join
-    out = [df.select("query_id", "id") for df in (both, name, year, free)]
-    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+def chunk_filters(chunks: DataFrame, id_col: str = "chunk_id", keep: list[str] = ()) -> DataFrame:
+    """chunks (id, company, fiscal_year, doc_period, whichever there are) -> id, company (collapsed key), fiscal_year and the columns of keep: what retrieval filters by.
+    A chunk's year falls back to its period; a column that is missing is null, so no filtered question sees the chunk."""
+    text = lambda c: F.col(c).cast("string") if c in chunks.columns else F.lit(None).cast("string")
+    key = T.company_key(F.coalesce(text("company"), F.lit("")))
+    return chunks.select(F.col(id_col).alias("id"), F.when(key != "", key).alias("company"), T.coerce_year(F.coalesce(text("fiscal_year"), text("doc_period"))).alias("fiscal_year"), *keep)

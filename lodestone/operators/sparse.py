@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import raw_financial_tokens
+from ..sources.store import materialise
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query terms are broadcast up to so many rows; more are joined by shuffle.
@@ -29,13 +32,27 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def term_counts(tokens: Column) -> tuple[Column, Column, Column]:
+    """Columns to add one after the other: sorted tokens `_s`, the places `_b` where a term begins, and array<struct<term, tf>> of them. A row's terms
+    are counted inside the row, in order of its sorted tokens, so nothing is shuffled for it."""
+    n = F.size("_s")
+    nothing = F.slice(F.sequence(F.lit(0), F.lit(0)), 1, 0)
+    begins = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))).otherwise(nothing)
+    m = F.size("_b")
+    at = F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(nothing)
+    return F.array_sort(tokens), begins, F.transform(at, lambda j: F.struct(F.get("_s", F.get("_b", j)).alias("term"), (F.coalesce(F.get("_b", j + 1), n) - F.get("_b", j)).alias("tf")))
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens=raw_financial_tokens, fold=F.lower) -> SparseIndex:
-    """Statistics are of the whole corpus and never of a filtered part. A term of negative idf gets EPSILON times the mean idf of all terms."""
-    toks = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    lengths = toks.select("id", F.size("t").alias("dl"))
+    """Statistics are of the whole corpus and never of a filtered part. A term of negative idf gets EPSILON times the mean idf of all terms.
+
+    Documents are tokenised once: their postings are stored, and only terms are shuffled, for their document frequencies."""
+    s, begins, counts = term_counts(F.transform(tokens(F.coalesce(F.col(text_col), F.lit(""))), fold))
+    rows = docs.select(F.col(id_col).alias("id"), s.alias("_s")).withColumn("_b", begins).select("id", F.size("_s").alias("dl"), counts.alias("p"))
+    rows = materialise(rows, "postings")
+    lengths = rows.select("id", "dl")
     # dl travels with the postings: a document's length needs no second join
-    rows = toks.select("id", F.size("t").alias("dl"), F.explode("t").alias("raw"))  # folding single tokens stays in generated code
-    postings = rows.select("id", "dl", fold("raw").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = rows.select("id", "dl", F.explode("p").alias("p")).select("id", "dl", "p.term", F.col("p.tf").cast("long").alias("tf"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -67,26 +84,48 @@ def top_k(scored: DataFrame, k: int, by: Column | None = None) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(index: SparseIndex, terms: DataFrame, k: int, eligible: DataFrame | None = None) -> DataFrame:
+def search(index: SparseIndex, terms: DataFrame, k: int, filters: DataFrame | None = None, attributes: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, score). Ranking is over all eligible documents, those without a shared term at score 0.
 
-    eligible (query_id, id) restricts; without it every document is. Queries without terms get no rows.
+    filters (query_id, ...) and attributes (id, ...) share columns: a query sees only documents that equal it there, and a null asks for nothing. Without
+    them every document is eligible. Scores always rest on whole-corpus statistics. Queries without terms get no rows.
+    No row per query and eligible document is made: documents with a shared term are scored, and a query with fewer than k of them above 0 gets the first eligible others.
     """
-    found = score(index, terms)
-    if eligible is not None:
-        # documents are restricted after scoring with whole-corpus statistics
-        asked = terms.select("query_id").distinct()
-        full = eligible.join(asked, "query_id", "left_semi").join(found, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
-        return top_k(full, k).select("query_id", "rank", "id", "score")
-    # k rows per query: kept, as what follows asks for it three times and scoring is the whole cost
-    best = top_k(found.where("score > 0"), k).persist()
-    short = best.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
-    lacking = terms.select("query_id").distinct().join(short, "query_id", "left_anti")
-    if not lacking.isEmpty():
-        # a lacking query has fewer than k positive scores, so its zeros stand among the first ids that it does not score
-        most = found.join(lacking, "query_id", "left_semi").groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-        first = index.lengths.select("id").orderBy("id").limit(k + most)
-        zeros = lacking.crossJoin(F.broadcast(first)).join(found, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
-        rest = found.where("score <= 0").join(lacking, "query_id", "left_semi")
-        best = top_k(best.select("query_id", "id", "score").unionByName(zeros.select("query_id", "id", "score")).unionByName(rest.select("query_id", "id", "score")), k)
-    return best.select("query_id", "rank", "id", "score")
+    on = [c for c in filters.columns if c != "query_id"] if filters is not None else []
+    asked = terms.select("query_id").distinct()
+    asked = asked.join(filters, "query_id").select("query_id", *on) if on else asked
+
+    def scored(some: DataFrame) -> DataFrame:
+        found = score(index, some)
+        if not on:
+            return found
+        d = found.join(attributes.select("id", *[F.col(c).alias(f"_{c}") for c in on]), "id").join(small(asked), "query_id")
+        for c in on:
+            d = d.where(F.col(c).isNull() | F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False)))
+        return d.select("query_id", "id", "score")
+
+    best = materialise(top_k(scored(terms).where("score > 0"), k).select("query_id", "rank", "id", "score"), "best")
+    enough = best.where(F.col("rank") >= k).select("query_id").distinct()
+    lacking = materialise(asked.join(enough, "query_id", "left_anti"), "lacking")
+    if lacking.isEmpty():
+        return best
+    # a lacking query has fewer than k positive scores, so its zeros stand among the first eligible ids that it does not score
+    found = materialise(scored(terms.join(small(lacking.select("query_id")), "query_id", "left_semi")), "scored")
+    most = k + (found.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
+    zeros = []
+    for with_ in (c for n in range(len(on) + 1) for c in combinations(on, n)):
+        q = lacking
+        for c in on:
+            q = q.where(F.col(c).isNotNull() if c in with_ else F.col(c).isNull())
+        if q.isEmpty():
+            continue
+        if with_:
+            seen = attributes.join(small(q.select(*with_).distinct()), list(with_))
+            first = seen.withColumn("_k", F.row_number().over(Window.partitionBy(*with_).orderBy("id"))).where(F.col("_k") <= most).select("id", *with_)
+            zeros.append(q.join(first, list(with_)).select("query_id", "id"))
+        else:
+            first = (attributes if on else index.lengths).select("id").orderBy("id").limit(most).agg(F.collect_list("id").alias("ids"))
+            zeros.append(q.withColumn("ids", first.scalar()).select("query_id", F.explode("ids").alias("id")))
+    zero = reduce(DataFrame.unionAll, zeros).join(found, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    rest = top_k(found.unionByName(zero), k).select("query_id", "rank", "id", "score")
+    return best.join(small(lacking.select("query_id")), "query_id", "left_anti").unionByName(rest)

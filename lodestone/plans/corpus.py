@@ -46,27 +46,17 @@ def document_headers(spark, sf_dir):
 _Q = """'Assume that you are an analyst. What was the FY' || (2010 + CAST(o_orderkey % 12 AS INT)) || ' capex of NATION-' || (o_orderkey % 30) || ' in the balance sheet? Answer in USD millions.'"""
 
 
-@query(f"""WITH q AS (SELECT o_orderkey, {_Q} AS q FROM orders WHERE o_orderkey < 300),
+@query(f"""WITH q AS (SELECT o_orderkey, {_Q} AS q FROM orders),
 c AS (SELECT o_orderkey, list_sort(list(DISTINCT regexp_replace(lower(n_name), '[^a-z0-9]+', '', 'g'))) AS k FROM q, nation
  WHERE regexp_matches(q, '(?i)(^|[^A-Za-z0-9])' || regexp_replace(n_name, '[^A-Za-z0-9]+', '[^A-Za-z0-9]*', 'g') || '($|[^A-Za-z0-9])') OR contains(regexp_replace(lower(q), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(n_name), '[^a-z0-9]+', '', 'g')) GROUP BY 1)
 SELECT q.o_orderkey, CASE WHEN len(k) = 1 THEN k[1] END AS company, CAST(2010 + o_orderkey % 12 AS INT) AS fiscal_year,
  'What was the FY' || (2010 + CAST(o_orderkey % 12 AS INT)) || ' capex of NATION-' || (o_orderkey % 30) || ' in the balance sheet? USD millions consolidated balance sheet capital expenditure capital spending purchases of property plant and equipment ' || (2010 + CAST(o_orderkey % 12 AS INT)) AS retrieval_query
 FROM q LEFT JOIN c USING (o_orderkey)""")
 def query_processing(spark, sf_dir):
-    """Questions with a year, boilerplate and a company of which more than one may match; over the orders that the SQL reads."""
-    return _questions(spark, sf_dir, "o_orderkey < 300")
-
-
-@query()
-def query_processing_all(spark, sf_dir):
-    """query_processing over all orders."""
-    return _questions(spark, sf_dir)
-
-
-def _questions(spark, sf_dir, only="true"):
+    """Questions with a year, boilerplate and a company of which more than one may match."""
     from ..operators.query_processing import process_queries
 
-    q = table(spark, sf_dir, "orders").where(only).select(
+    q = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.format_string("Assume that you are an analyst. What was the FY%d capex of NATION-%d in the balance sheet? Answer in USD millions.", 2010 + F.pmod("o_orderkey", F.lit(12)), F.pmod("o_orderkey", F.lit(30))).alias("question")
     )
     return process_queries(q, table(spark, sf_dir, "nation").select(F.col("n_name").alias("company")), "o_orderkey").select("o_orderkey", "company", "fiscal_year", "retrieval_query")

@@ -34,17 +34,17 @@ def answer_token_f1(spark, sf_dir):
     return _f1(spark, sf_dir)
 
 
-_MONEY = """m AS (SELECT o_orderkey, o_custkey % 4 AS part, CAST(o_orderkey % 7 AS BIGINT) AS g, CAST(o_orderkey % 5 AS BIGINT) AS h FROM orders WHERE o_orderkey < 2000)"""
+_MONEY = """m AS (SELECT o_orderkey, o_custkey % 4 AS part, CAST(o_orderkey % 7 AS BIGINT) AS g, CAST(o_orderkey % 5 AS BIGINT) AS h FROM orders)"""
 _MONEY_SCORES = f"""{_MONEY}, n AS (SELECT *, CASE WHEN g = 0 THEN 0 ELSE 1 END AS gn, CASE WHEN h = 0 THEN 0 ELSE 1 END AS an, CASE WHEN g > 0 AND g = h THEN 1 ELSE 0 END AS mn FROM m),
 s AS (SELECT o_orderkey, part, CAST(gn AS INT) AS gold_numeric_count, CAST(an AS INT) AS generated_numeric_count, CAST(mn AS INT) AS matched_numeric_count,
  CASE WHEN gn > 0 THEN mn / gn END AS numeric_accuracy, CASE WHEN an > 0 THEN mn / an WHEN gn > 0 THEN 0.0 END AS numeric_precision, CASE WHEN gn > 0 THEN mn / gn END AS numeric_recall, CASE WHEN gn + an > 0 THEN 2 * mn / (gn + an) END AS numeric_f1 FROM n)"""
 
 
-def _money(spark, sf_dir, only="o_orderkey < 2000"):
-    """Gold and generated answers with at most one amount; 0 stands for none. By default over the orders that the SQL reads."""
+def _money(spark, sf_dir):
+    """Gold and generated answers with at most one amount; 0 stands for none."""
     say = lambda k, form: F.when(k == 0, F.lit("no amount is given")).otherwise(F.format_string(form, k))
     g, h = F.pmod("o_orderkey", F.lit(7)), F.pmod("o_orderkey", F.lit(5))
-    d = table(spark, sf_dir, "orders").where(only).select("o_orderkey", F.pmod("o_custkey", F.lit(4)).alias("part"), F.lit("").alias("question"), say(g, "It was $%d million in 2021.").alias("gold_answer"), say(h, "About $%d,000,000 in all.").alias("generated_answer"))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_custkey", F.lit(4)).alias("part"), F.lit("").alias("question"), say(g, "It was $%d million in 2021.").alias("gold_answer"), say(h, "About $%d,000,000 in all.").alias("generated_answer"))
     return answers.numeric_scores(d)
 
 
@@ -53,12 +53,6 @@ def numeric_scores(spark, sf_dir):
     return _money(spark, sf_dir).drop("question", "gold_answer", "generated_answer")
 
 
-@query()
-def numeric_scores_all(spark, sf_dir):
-    """numeric_scores over all orders."""
-    return _money(spark, sf_dir, "true").drop("question", "gold_answer", "generated_answer")
-
-
 @query(f"WITH {_F1}, v AS (SELECT *, conv_id % 3 AS part, CASE WHEN turn % 2 = 0 THEN NULL ELSE token_f1 END AS x FROM f1) SELECT part, CAST(count(*) AS BIGINT) AS question_count, CAST(count(*) FILTER (turn % 2 = 1) AS BIGINT) AS numeric_applicable_count, round(avg(exact_match), 6) AS exact_match, round(avg(token_f1), 6) AS token_f1, round(avg(x), 6) AS numeric_accuracy FROM v GROUP BY 1")
 def answer_summary(spark, sf_dir):
     """The numeric columns stand in by parity of the turn: applicable on odd turns only."""
@@ -72,37 +66,17 @@ def answer_summary(spark, sf_dir):
 
 @query(f"WITH {_MONEY_SCORES} SELECT part, CAST(count(*) AS BIGINT) AS question_count, CAST(sum(gold_numeric_count) AS BIGINT) AS applicable, round(avg(numeric_accuracy) FILTER (gold_numeric_count > 0), 6) AS numeric_accuracy, round(avg(numeric_precision) FILTER (gold_numeric_count > 0), 6) AS numeric_precision, round(avg(numeric_f1) FILTER (gold_numeric_count > 0), 6) AS numeric_f1 FROM s GROUP BY 1")
 def numeric_summary(spark, sf_dir):
-    return _money_summary(_money(spark, sf_dir))
-
-
-@query()
-def numeric_summary_all(spark, sf_dir):
-    """numeric_summary over all orders."""
-    return _money_summary(_money(spark, sf_dir, "true"))
-
-
-def _money_summary(scores):
-    d = scores.withColumn("exact_match", F.lit(0)).withColumn("token_f1", F.lit(0.0))
+    d = _money(spark, sf_dir).withColumn("exact_match", F.lit(0)).withColumn("token_f1", F.lit(0.0))
     return answers.summarise(d, "part").select("part", "question_count", F.col("numeric_applicable_count").alias("applicable"), *[F.round(c, 6).alias(c) for c in ("numeric_accuracy", "numeric_precision", "numeric_f1")])
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, list_value(round(CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * l_quantity * 1000000, 2), round(l_suppkey * 1.0, 2)) AS values, ['USD', 'percent'] AS units FROM lineitem WHERE l_orderkey < 500""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, list_value(round(CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * l_quantity * 1000000, 2), round(l_suppkey * 1.0, 2)) AS values, ['USD', 'percent'] AS units FROM lineitem""")
 def numeric_entities(spark, sf_dir):
-    """Amounts in brackets or not, with a magnitude, a percentage and a year that is none; over the lines that the SQL reads."""
-    return _entities(spark, sf_dir, "l_orderkey < 500")
-
-
-@query()
-def numeric_entities_all(spark, sf_dir):
-    """numeric_entities over all lines."""
-    return _entities(spark, sf_dir)
-
-
-def _entities(spark, sf_dir, only="true"):
+    """Amounts in brackets or not, with a magnitude, a percentage and a year that is none."""
     q, s = F.col("l_quantity").cast("int"), F.col("l_suppkey")
     amount = F.when(F.col("l_linenumber") % 2 == 0, F.format_string("(%d) million", q)).otherwise(F.format_string("$%d million", q))
     text = F.concat(F.lit("In 2019 it was "), F.when(F.col("l_linenumber") % 2 == 0, F.format_string("($%d) million", q)).otherwise(amount), F.format_string(" and grew %d%% after.", s))
-    d = table(spark, sf_dir, "lineitem").where(only).select("l_orderkey", "l_linenumber", "l_partkey", numeric.numeric_entities(text).alias("e"))
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", numeric.numeric_entities(text).alias("e"))
     return d.select("l_orderkey", "l_linenumber", "l_partkey", F.transform("e", lambda x: F.round(x["value"].cast("double"), 2)).alias("values"), F.transform("e", lambda x: x["unit"]).alias("units"))
 
 

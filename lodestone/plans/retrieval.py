@@ -54,8 +54,7 @@ def bm25_topk_filtered(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     index = sparse.build_index(docs)
     wanted = items.select(F.col("item_id").alias("query_id"), F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.pmod("item_id", F.lit(4)) + 1).cast("int")).alias("lang"))
-    eligible = docs.select(F.col("doc_id").alias("id"), "lang").join(sparse.small(wanted), "lang").select("query_id", "id")
-    found = sparse.search(index, sparse.query_terms(items), 5, eligible)
+    found = sparse.search(index, sparse.query_terms(items), 5, wanted, docs.select(F.col("doc_id").alias("id"), "lang"))
     return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, pipelines, report, rollups
 from ..sources import io
+from ..sources.store import shared_dir
 from .common import query, table
 from .evaluation import _GRID, _grid
 
@@ -18,11 +19,13 @@ def architecture_configuration(spark, sf_dir):
     return report.configuration(spark)
 
 
-@query("SELECT lang, CAST(count(*) FILTER (source = 'src0') AS BIGINT) AS src0, CAST(count(*) FILTER (source = 'src1') AS BIGINT) AS src1 FROM documents GROUP BY 1")
+_SOURCES = [f"src{i}" for i in range(20)]
+
+
+@query("SELECT lang, " + ", ".join(f"CAST(count(*) FILTER (source = '{s}') AS BIGINT) AS {s}" for s in _SOURCES) + " FROM documents GROUP BY 1")
 def category_matrix(spark, sf_dir):
     d = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    m = report.matrix(d, "lang", "source", "n", ["src0", "src1"])
-    return m.select("lang", F.coalesce("src0", F.lit(0)).alias("src0"), F.coalesce("src1", F.lit(0)).alias("src1"))
+    return report.matrix(d, "lang", "source", "n", _SOURCES).select("lang", *[F.coalesce(s, F.lit(0)).alias(s) for s in _SOURCES])
 
 
 @query(f"WITH {_GRID}, a AS (SELECT architecture, round(avg(support), 6) AS support, count(support) AS n FROM g GROUP BY 1), b AS (SELECT architecture, round(avg(abstained), 6) AS abstention_rate FROM g WHERE architecture <> 'view' GROUP BY 1) SELECT architecture, printf('%.3f (%d)', support, n) AS support_with_n, abstention_rate FROM a LEFT JOIN b USING (architecture)")
@@ -117,8 +120,7 @@ def stream_ingest_journal(spark, sf_dir):
     """Conversations written as JSON lines, taken up by a stream and appended to a journal once each."""
     from ..streaming.journal import ingest
 
-    shared = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints").rstrip("/")
-    root = f"{shared}/ingest-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     c.unionAll(c.where("turn = 0")).write.json(f"{root}/in")
     ingest(spark, f"{root}/in", "conv_id long, turn long, role string", ["conv_id", "turn"], lambda df: df, f"{root}/journal", f"{root}/state").awaitTermination()

@@ -69,18 +69,18 @@ def test_whole_tables_are_processed(spark, tmp_path):
     spark.createDataFrame([(k, j, 5, 3 + j, float(10 * j)) for k in keys for j in (1, 2)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
     run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
 
-    scores = {r.o_orderkey: (r.gold_numeric_count, r.generated_numeric_count, r.matched_numeric_count) for r in run("numeric_scores_all")}
+    scores = {r.o_orderkey: (r.gold_numeric_count, r.generated_numeric_count, r.matched_numeric_count) for r in run("numeric_scores")}
     want = {k: (int(k % 7 > 0), int(k % 5 > 0), int(k % 7 > 0 and k % 7 == k % 5)) for k in keys}
     assert scores == want
-    assert sum(r.question_count for r in run("numeric_summary_all")) == len(keys)
+    assert sum(r.question_count for r in run("numeric_summary")) == len(keys)
 
-    got = {r.o_orderkey: (r.company, r.fiscal_year) for r in run("query_processing_all")}
+    got = {r.o_orderkey: (r.company, r.fiscal_year) for r in run("query_processing")}
     for k in keys:
         found = [n.lower().replace("_", "") for n in names if n.lower().replace("_", "") in f"nation{k % 30} in"]
         assert got.pop(k) == (found[0] if len(found) == 1 else None, 2010 + k % 12)
     assert not got
 
-    lines = {(r.l_orderkey, r.l_linenumber): r["values"] for r in run("numeric_entities_all")}
+    lines = {(r.l_orderkey, r.l_linenumber): r["values"] for r in run("numeric_entities")}
     assert lines == {(k, j): [(-1 if j % 2 == 0 else 1) * 10 * j * 1e6, 3.0 + j] for k in keys for j in (1, 2)}
 
 

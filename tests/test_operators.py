@@ -28,10 +28,43 @@ def test_bm25_filters_keep_corpus_statistics(spark):
     docs = spark.createDataFrame([(0, "apple"), (1, "apple pear"), (2, "fig"), (3, "plum"), (4, "plum fig")], "doc_id long, text string")
     index, q = sparse.build_index(docs), sparse.query_terms(spark.createDataFrame([(1, "apple")], "item_id long, text string"))
     free = {r.id: r.score for r in sparse.search(index, q, 5).collect()}
-    kept = {r.id: r.score for r in sparse.search(index, q, 5, spark.createDataFrame([(1, 1), (1, 2)], "query_id long, id long")).collect()}
+    kept = {r.id: r.score for r in sparse.search(index, q, 5, spark.createDataFrame([(1, "x")], "query_id long, tag string"), spark.createDataFrame([(0, "y"), (1, "x"), (2, "x"), (3, None), (4, "y")], "id long, tag string")).collect()}
     assert kept == {1: pytest.approx(free[1]), 2: 0.0}
 
 
+def test_filtered_search_equals_brute_force(spark):
+    """Every combination of filters, asked for or not, in one batch; documents without a shared term fill up at 0, smallest ids first."""
+    rng = np.random.default_rng(4)
+    words = ["apple", "pear", "fig", "plum", "kiwi"]
+    docs = [(i, " ".join(rng.choice(words, rng.integers(1, 5))), ["a", "b", None][i % 3], [2019, 2020][i % 2]) for i in range(40)]
+    asked = [(100 + j, " ".join(rng.choice(words, 2)), c, y) for j, (c, y) in enumerate([(None, None), ("a", None), (None, 2020), ("b", 2019), ("none", None), ("a", 2020)])]
+    d = spark.createDataFrame(docs, "doc_id long, text string, company string, fiscal_year int")
+    q = spark.createDataFrame(asked, "item_id long, text string, company string, fiscal_year int")
+    index = sparse.build_index(d)
+    got = {}
+    for r in sparse.search(index, sparse.query_terms(q), 12, q.select(F.col("item_id").alias("query_id"), "company", "fiscal_year"), d.select(F.col("doc_id").alias("id"), "company", "fiscal_year")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.id, round(r.score, 9))
+    scores = {(r.query_id, r.id): r.score for r in sparse.score(index, sparse.query_terms(q)).collect()}
+    for i, _, c, y in asked:
+        seen = [k for k, _, a, b in docs if (c is None or a == c) and (y is None or b == y)]
+        want = sorted(((-round(scores.get((i, k), 0.0), 9) + 0.0, k) for k in seen))[:12]
+        assert got.get(i, {}) == {n + 1: (k, -x + 0.0) for n, (x, k) in enumerate(want)}
+
+
+def test_filtered_dense_search_equals_brute_force(spark):
+    x = np.random.default_rng(1).standard_normal((60, 5))
+    tags = [("a", 1), ("b", 2), (None, 1)]
+    d = spark.createDataFrame([(f"c{i:02d}", v.tolist(), *tags[i % 3]) for i, v in enumerate(x)], "id string, v array<double>, company string, year int").repartition(3)
+    asks = [("q0", x[0], None, None), ("q1", x[1], "a", None), ("q2", x[2], None, 1), ("q3", x[3], "b", 1), ("q4", x[4], "b", 2)]
+    got = {}
+    for r in dense.exact_top_k(d, spark.createDataFrame([(i, v.tolist(), c, y) for i, v, c, y in asks], "query_id string, v array<double>, company string, year int"), 7, ["company", "year"]).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    for i, v, c, y in asks:
+        seen = [k for k in range(60) if (c is None or tags[k % 3][0] == c) and (y is None or tags[k % 3][1] == y)]
+        want = sorted(seen, key=lambda k: (-round(float(x[k] @ v), 9), k))[:7]
+        assert got.get(i, {}) == {n + 1: f"c{k:02d}" for n, k in enumerate(want)}
+
+
 @pytest.mark.parametrize("parts", [1, 3, 7])
 def test_dense_equals_brute_force_for_any_partitioning(spark, parts):
     x = np.random.default_rng(0).standard_normal((80, 6))
@@ -94,8 +127,9 @@ def test_processed_queries_and_their_chunks(spark):
     got = {r.question_id: (r.company, r.fiscal_year) for r in query_processing.process_queries(q, companies).collect()}
     assert got == {1: ("acmecorp", 2020), 2: (None, None), 3: (None, None)}
     p = spark.createDataFrame([(1, "acmecorp", 2020), (2, "acmecorp", None), (3, None, 2020), (4, None, None), (5, "acmecorp", 1999)], "query_id long, company string, fiscal_year int")
-    c = spark.createDataFrame([("a", "Acme Corp", None, "2020"), ("b", "ACME CORP", 2021, "2020"), ("c", "Beta", 2020, None)], "id string, company string, fiscal_year int, doc_period string")
-    pairs = {(r.query_id, r.id) for r in query_processing.eligible(p, c).collect()}
+    c = spark.createDataFrame([("a", "Acme Corp", None, "2020"), ("b", "ACME CORP", 2021, "2020"), ("c", "Beta", 2020, None)], "chunk_id string, company string, fiscal_year int, doc_period string")
+    v = query_processing.chunk_filters(c.withColumn("v", F.array(F.lit(1.0))), keep=["v"])
+    pairs = {(r.query_id, r.id) for r in dense.exact_top_k(v, p.withColumn("v", F.array(F.lit(1.0))), 5, ["company", "fiscal_year"]).collect()}
     assert pairs == {(1, "a"), (2, "a"), (2, "b"), (3, "a"), (3, "c"), (4, "a"), (4, "b"), (4, "c")}
 
 
