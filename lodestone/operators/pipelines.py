@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,13 +42,17 @@ FILTERS = ["company", "fiscal_year"]
 
 @dataclass(frozen=True)
 class Corpus:
-    """chunks (chunk_id, doc_name, page, text, retrieval_text), vectors (id, v, company, fiscal_year), a sparse index and what retrieval filters by, all keyed by chunk_id."""
+    """chunks (chunk_id, doc_name, page, text, retrieval_text), vectors (id, v, company, fiscal_year), what retrieval filters by, and a sparse index
+    that is made when an architecture first asks for it, all keyed by chunk_id."""
 
     chunks: DataFrame
     vectors: DataFrame
-    index: sparse.SparseIndex
     filters: DataFrame
 
+    @cached_property
+    def index(self) -> sparse.SparseIndex:
+        return sparse.build_index(self.chunks, "chunk_id", "retrieval_text")
+
 
 def build_corpus(chunks: DataFrame, encoder=None, vectors: DataFrame | None = None) -> Corpus:
     """Chunks are kept once, as every part reads them. vectors (id, v) replace the encoder's where they are there already."""
@@ -57,7 +62,7 @@ def build_corpus(chunks: DataFrame, encoder=None, vectors: DataFrame | None = No
         vectors = chunk_filters(chunks.withColumn("v", embed(F.col("retrieval_text"), encoder, "passage: ")), keep=["v"])
     else:
         vectors = vectors.select("id", "v").join(filters, "id")
-    return Corpus(chunks, vectors, sparse.build_index(chunks, "chunk_id", "retrieval_text"), filters)
+    return Corpus(chunks, vectors, filters)
 
 
 def retrieve(architecture: str, corpus: Corpus, questions: DataFrame, settings: Settings = Settings(), encoder=None, scorer: Scorer = overlap_scorer) -> DataFrame:

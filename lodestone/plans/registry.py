@@ -7,7 +7,7 @@ ORACLES: dict = {}
 
 
 def _load() -> None:
-    from . import corpus, evaluation, retrieval, systems  # noqa: F401
+    from . import architectures, corpus, evaluation, retrieval, systems  # noqa: F401
 
 
 _load()
