@@ -1,14 +1,16 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame and SQL functions only.
 
-The base patterns give seed entities. A seed's lexical pattern is the word that stands before it. Patterns and
-the identifier-like strings they introduce form a graph whose scores are computed in turns: a pattern is as
-good for a kind as the mean score of its strings, a string as good as its patterns make it together (noisy or;
-seeds stay at 1). Strings that no base pattern knows are taken where a pattern of high score and support
-introduces them.
+The base patterns give seed entities. A string's lexical pattern is the word that stands before it. Patterns and
+the identifier-like strings they introduce form a graph that is scored in rounds. In each, the strings accepted so far (seeds, and what
+earlier rounds discovered) induce patterns: a pattern is as good for a kind as the mean score of its strings, and counts if its score and support
+are high; a string is as good as its patterns make it together (noisy or; seeds stay at 1) and is accepted if that is high, so it can
+induce patterns of its own in the next round. Strings that no base pattern knows are taken where a good pattern introduces them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,35 +68,52 @@ def scan(documents: DataFrame, *keep: str) -> DataFrame:
     return t.select(F.monotonically_increasing_id().alias("rid"), *keep, "base", F.expr(f"filter(_cand, x -> {fit})").alias("cand"))
 
 
-def patterns(scanned: DataFrame, rounds: int = 3, least: float = 0.8, support: int = 5) -> DataFrame:
-    """scan() -> (c, k, score): contexts that introduce kind k with a score of at least `least`, resting on `support` seeds."""
+def patterns(scanned: DataFrame, rounds: int = 6, least: float = 0.8, support: int = 5) -> DataFrame:
+    """scan() -> (c, k, score): contexts that introduce kind k with a score of at least `least`, resting on `support` accepted strings.
+    Rounds end early when they change no pattern."""
     rows = scanned.select(F.explode(F.concat("base", "cand")).alias("i")).select("i.c", "i.k", "i.x").where("c <> ''")
     graph = materialise(rows.groupBy("c", "x").agg(F.max("k").alias("seed")), "graph")
-    size = graph.groupBy("c").agg(F.count("*").alias("n"))
-    kinds = graph.where("seed >= 0").groupBy("c", F.col("seed").alias("k")).agg(F.count("*").alias("seeds")).where(f"seeds >= {support}")
-    # only patterns that could reach the score and support take part
-    alive = materialise(kinds.join(size, "c").where("2 * seeds >= n"), "patterns")
-    edges = materialise(graph.join(alive.select("c", "k"), "c").select("c", "k", "x", F.when(F.col("seed") == F.col("k"), 1.0).otherwise(0.0).alias("own")), "graph")
-    score = None
+    size = materialise(graph.groupBy("c").agg(F.count("*").alias("n")), "sizes")
+    seeds = graph.where("seed >= 0").select("x", F.col("seed").alias("k"), F.lit(1.0).alias("w")).distinct()
+    accepted, good, edges = seeds, None, graph.select("c", "x")
     for _ in range(rounds):
-        if score is None:
-            worth = edges.withColumn("w", F.col("own"))
-        else:
-            told = edges.join(score, ["c", "k"]).groupBy("k", "x").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999)))))).alias("told"))
-            worth = edges.join(told, ["k", "x"]).withColumn("w", F.greatest("own", F.when(F.col("told") >= least, F.col("told")).otherwise(0.0)))
-        score = materialise(worth.groupBy("c", "k").agg(F.sum("w").alias("w")).join(size, "c").select("c", "k", (F.col("w") / F.col("n")).alias("score")), "scores")
-    return score.where(F.col("score") >= least)
+        votes = edges.join(accepted, "x").groupBy("c", "k").agg(F.sum("w").alias("w"), F.count("*").alias("accepted")).where(f"accepted >= {support}")
+        now = votes.join(size, "c").select("c", "k", (F.col("w") / F.col("n")).alias("score")).where(F.col("score") >= least)
+        now = materialise(now, "patterns")
+        if good is not None and now.exceptAll(good).isEmpty() and good.exceptAll(now).isEmpty():
+            break
+        good = now
+        told = edges.join(maybe_broadcast(good, 128), "c").groupBy("x", "k").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999)))))).alias("w")).where(F.col("w") >= least)
+        accepted = materialise(seeds.unionAll(told.select("x", "k", "w")).groupBy("x", "k").agg(F.max("w").alias("w")), "accepted")
+    return good
+
+
+#: Patterns up to so many are looked up row by row; more are joined.
+LOOKED_UP = 1 << 16
+MORE = "array<struct<k:int,s:bigint,e:bigint>>"
 
 
 def discovered(scanned: DataFrame, good: DataFrame) -> DataFrame:
-    """(rid, more): spans that good patterns add, each of the kind with the best score (ties: first kind)."""
+    """scanned with more: spans that good patterns add, each of the kind with the best score (ties: first kind).
+
+    Good patterns are few words; while they are, each row finds its contexts in a map and nothing is shuffled. Beyond, rows are joined."""
     best = good.groupBy("c").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("kind"))
+    n = best.count()
+    if not n:
+        return scanned.withColumn("more", F.expr(f"cast(array() as {MORE})"))
+    if n <= LOOKED_UP:
+        buckets = math.isqrt(n) + 1
+        maps = best.groupBy(F.pmod(F.xxhash64("c"), F.lit(buckets)).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("c", "kind"))).alias("m"))
+        known = maps.agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("known"))
+        kind = f"try_element_at(try_element_at(_known, pmod(xxhash64(x.c), {buckets}L)), x.c)"
+        out = scanned.withColumn("_known", known.scalar())
+        return out.withColumn("more", F.expr(f"transform(filter(cand, x -> {kind} is not null), x -> struct({kind} as k, x.s as s, x.e as e))")).drop("_known")
     rows = scanned.where("size(cand) > 0").select("rid", F.explode("cand").alias("i")).select("rid", "i.*")
-    hits = rows.join(maybe_broadcast(best, 128), "c")
-    return hits.groupBy("rid").agg(F.collect_list(F.struct(F.col("kind").alias("k"), "s", "e")).alias("more"))
+    more = rows.join(maybe_broadcast(best, 128), "c").groupBy("rid").agg(F.collect_list(F.struct(F.col("kind").alias("k"), "s", "e")).alias("more"))
+    return scanned.join(more, "rid", "left").withColumn("more", F.coalesce("more", F.expr(f"cast(array() as {MORE})")))
 
 
-def personal_spans(documents: DataFrame, rounds: int = 3, least: float = 0.8, support: int = 5) -> DataFrame:
+def personal_spans(documents: DataFrame, rounds: int = 6, least: float = 0.8, support: int = 5) -> DataFrame:
     """documents (doc_id, text) -> (doc_id, base, spans), arrays of (k, s, e) in the order of kind, then start.
 
     k is the place in KINDS, s and e are code points, e exclusive. Base spans are the leftmost non-overlapping matches per kind
@@ -103,19 +122,17 @@ def personal_spans(documents: DataFrame, rounds: int = 3, least: float = 0.8, su
     empty table gives no rows.
     """
     scanned = materialise(scan(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), "spans")
-    more = discovered(scanned, patterns(scanned, rounds, least, support))
-    narrow = "transform(base, x -> struct(x.k as k, x.s as s, x.e as e))"
-    out = scanned.select("rid", "doc_id", F.expr(narrow).alias("base")).join(more, "rid", "left")
-    return out.select("doc_id", F.expr("array_sort(base)").alias("base"), F.expr("array_sort(concat(base, coalesce(more, cast(array() as array<struct<k:int,s:bigint,e:bigint>>))))").alias("spans"))
+    found = discovered(scanned, patterns(scanned, rounds, least, support))
+    found = found.select("doc_id", F.expr("transform(base, x -> struct(x.k as k, x.s as s, x.e as e))").alias("base"), "more")
+    return found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
 def redact(documents: DataFrame, **how) -> DataFrame:
     """documents with every span in text replaced by its kind in brackets, all columns and rows kept; overlapping spans are
     replaced as one, named by the first."""
     scanned = materialise(scan(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), "text"), "_row"), "spans")
-    more = discovered(scanned, patterns(scanned, **how))
-    out = scanned.select("rid", "_row", F.expr("transform(base, x -> struct(x.s as s, x.e as e, x.k as k))").alias("b")).join(more, "rid", "left")
-    out = out.withColumn("m", F.expr("array_sort(concat(b, coalesce(transform(more, x -> struct(x.s as s, x.e as e, x.k as k)), cast(array() as array<struct<s:bigint,e:bigint,k:int>>))))"))
+    found = discovered(scanned, patterns(scanned, **how))
+    out = found.select("_row", F.expr("array_sort(transform(concat(transform(base, x -> struct(x.k as k, x.s as s, x.e as e)), more), x -> struct(x.s as s, x.e as e, x.k as k)))").alias("m"))
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     start = "struct(0L as p, cast(array() as array<string>) as o)"
     step = f"if(x.s < a.p, struct(greatest(a.p, x.e) as p, a.o as o), struct(x.e as p, concat(a.o, array(substring(_row.text, cast(a.p + 1 as int), cast(x.s - a.p as int)), {names}[x.k])) as o))"

@@ -50,6 +50,38 @@ def test_the_method_finds_identifiers_after_learned_words(spark):
     assert all(len(got[200 + i]) == 1 for i in range(10))
 
 
+def test_discovered_strings_induce_patterns_of_their_own(spark):
+    # badge: is learned from base e-mails, and tells that the numbers after it are of that kind; they alone introduce `pass:`, which finds others
+    rows = [(1000 + i, f"badge: u{i}@mail.example.com") for i in range(200)] + [(100 + i, f"badge: 77-00{i}-31") for i in range(6)]
+    rows += [(200 + i, f"pass: 77-00{i}-31 x") for i in range(6)] + [(300, "pass: 55-1234-99"), (301, "door: 55-1234-99")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = scan(d, "doc_id").persist()
+    assert {r.c for r in patterns(scanned, rounds=1).collect()} == {"badge:"}
+    good = patterns(scanned)
+    assert {(r.c, r.k) for r in good.collect()} == {("badge:", 0), ("pass:", 0)}
+    found = {r.doc_id: [(x.k, x.s, x.e) for x in r.more] for r in discovered(scanned, good).collect()}
+    assert found[300] == [(0, 6, 16)] and found[301] == [] and found[203] == [(0, 6, 15)]
+    joined = {r.doc_id: [(x.k, x.s, x.e) for x in r.more] for r in _joined(scanned, good)}
+    assert joined == found
+
+
+def _joined(scanned, good):
+    from lodestone.llm import pii
+
+    kept, pii.LOOKED_UP = pii.LOOKED_UP, 0
+    try:
+        return discovered(scanned, good).collect()
+    finally:
+        pii.LOOKED_UP = kept
+
+
+def test_a_pattern_of_few_seeds_counts_what_others_vouch_for(spark):
+    rows = [(i, f"badge: u{i}@mail.example.com") for i in range(100)] + [(100 + i, f"badge: 77-00{i:02d}-31") for i in range(14)]
+    rows += [(200 + i, f"pass: v{i}@mail.example.com") for i in range(6)] + [(300 + i, f"pass: 77-00{i:02d}-31") for i in range(14)] + [(400, "pass: 11-2222-33")]
+    got = {r.doc_id: [(x.k, x.s, x.e) for x in r.spans] for r in personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[400] == [(0, 6, 16)]
+
+
 def test_no_python_in_the_plan(spark):
     d = spark.createDataFrame([(1, "x a@b.c")], "doc_id long, text string")
     s = scan(d, "doc_id")
