@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only after its rows were counted and it takes at most so many bytes.
-BROADCAST_BYTES = 64 << 20
+from ..sources.store import materialise, shared_dir
 
+__all__ = ["BROADCAST_BYTES", "PER_SALT", "batch", "fan_join", "materialise", "maybe_broadcast", "shared_dir", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one is used only where it is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "file:///tmp/checkpoints").rstrip("/")
+#: A side is broadcast only after its rows were counted and it takes at most so many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df once to the shared folder and read it back, so a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows that ask for one row in one task of fan_join(); a row that more ask for is dealt out several times.
+PER_SALT = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +27,19 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def fan_join(ask: DataFrame, rows: DataFrame, on: list[str], asked: str, spread: str) -> DataFrame:
+    """ask joined with rows, stored and one row per `on`; asked counts the rows of ask for each of rows. What very many ask for is dealt out to
+    several tasks, the asking rows by the hash of their column spread."""
+    salts = F.ceil(F.col(asked) / PER_SALT).cast("int")
+    wide = rows.where(salts > 1).select(*on, salts.alias("salts"))
+    n = wide.count()
+    if not n:
+        return ask.join(rows.drop(asked), on)
+    wide = F.broadcast(wide) if n * 64 <= BROADCAST_BYTES else wide
+    ask = ask.join(wide, on, "left").withColumn("salt", F.pmod(F.xxhash64(spread), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    dealt = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), salts) - 1))).drop(asked)
+    return ask.join(dealt, [*on, "salt"]).drop("salt")
+
+
 def batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))

@@ -11,6 +11,10 @@
 4. Components of the links found are built; then pairs within a list that are still in different
    components, and whose odd sketches are near enough, go the same way, so no link between components
    stays unseen.
+
+With exact=True nothing rests on chance: a list's key is a single retained value, as many of the smallest as two sets at the threshold
+must share one of (n - t n + 1 of a set of n), and neither the estimate nor the sketches' bound drops a pair. Long lists of common shingles then make more candidates.
+Shingles are compared by 64-bit hashes: two different ones are taken for one with a probability of 2^-64.
 """
 
 from __future__ import annotations
@@ -65,7 +69,12 @@ def tiers(percent: int, sketch: int = SKETCH) -> list[tuple[int, int, int]]:
     return out
 
 
-def _sketches(size: int, sketch: int):
+def _prefix(n: int, percent: int) -> int:
+    """Of the values of a set of n, in one order for all sets, so many first ones that it shares one of them with any set that reaches the threshold."""
+    return n - -(-percent * n // 100) + 1 if n else 0
+
+
+def _sketches(size: int, sketch: int, percent: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0), b.column(1)
@@ -78,7 +87,7 @@ def _sketches(size: int, sketch: int):
                     "n": pa.array([len(x) for x in sets], pa.int64()),
                     "f1": pa.array([x for x, _ in fp], pa.int64()),
                     "f2": pa.array([y for _, y in fp], pa.int64()),
-                    "sketch": pa.array([x[:sketch].tobytes() for x in sets], pa.binary()),
+                    "sketch": pa.array([x[: _prefix(len(x), percent) if exact else sketch].tobytes() for x in sets], pa.binary()),
                     "odd": pa.array([_odd(x) for x in sets], pa.binary()),
                 })
 
@@ -99,19 +108,19 @@ def _odd(x: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _near_enough(percent: int) -> str:
+def _near_enough(percent: int, exact: bool) -> str:
     """SQL: whether two sets l and r can reach the threshold by size and odd sketches. Sets of up to ODD_FULL values are
     compared whole, so nothing is lost; larger ones by retained values, SLACK standard deviations over the mean. At the threshold
     the larger set shares p = t (1 + smaller / larger) / (1 + t) of its values: 2t / (1 + t) at equal sizes, t where it holds the smaller one."""
     t = percent / 100
     p = f"least(1d, {t / (1 + t)!r}d * (1 + least(l.n, r.n) / greatest(l.n, r.n)))"
-    most = f"{2 * ODD_SKETCH} * (1 - {p}) + {2 * SLACK}d * sqrt({ODD_SKETCH} * {p} * (1 - {p}))"
+    most = ODD_BITS if exact else f"{2 * ODD_SKETCH} * (1 - {p}) + {2 * SLACK}d * sqrt({ODD_SKETCH} * {p} * (1 - {p}))"
     apart = " + ".join(f"bit_count(l.o{i} ^ r.o{i})" for i in range(ODD_BITS // 64))
     bound = f"case when greatest(l.n, r.n) <= {ODD_FULL} then (l.n + r.n) * {100 - percent} div {100 + percent} when least(l.n, r.n) > {ODD_FULL} then {most} else {ODD_BITS} end"
     return f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {apart} <= {bound}"
 
 
-def _keys(levels: list[tuple[int, int, int]]):
+def _keys(levels: list[tuple[int, int, int]], exact: bool):
     """Rows (key, doc, n, kind). kind 0: alone with its key among the rows that one flush holds; 1: the first of several; 2: another of
     them, already known to share its list, so that a very long list need not meet in one task."""
 
@@ -136,7 +145,7 @@ def _keys(levels: list[tuple[int, int, int]]):
         for b in batches:
             for doc, n, sketch in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 x = np.frombuffer(sketch, np.uint64)
-                k = [_runs(x, r) for r, lo, hi in levels if lo <= n <= hi and len(x) >= r]
+                k = [_runs(x, 1)] if exact else [_runs(x, r) for r, lo, hi in levels if lo <= n <= hi and len(x) >= r]
                 if k:
                     k = np.unique(np.concatenate(k))
                     keys.append(k), docs.append(np.full(len(k), doc, np.int64)), sizes.append(np.full(len(k), n, np.int64))
@@ -193,14 +202,10 @@ def _exact(percent: int):
     return run
 
 
-def _confirm(pairs: DataFrame, sketches: DataFrame, documents: DataFrame, percent: int, size: int, sketch: int) -> DataFrame:
-    """Links (a, b) among candidate pairs (a, b): estimate on sketches, then exact on the sets of the texts involved."""
+def _confirm(pairs: DataFrame, sketches: DataFrame, documents: DataFrame, percent: int, size: int, sketch: int, exact: bool) -> DataFrame:
+    """Links (a, b) among candidate pairs (a, b): estimate on sketches, unless exact, then exact on the sets of the texts involved."""
     side = lambda c, as_: F.col(c).alias(as_)
-    both = pairs.select("a", "b").join(sketches.select(side("rep", "a"), side("sketch", "sa")), "a").join(sketches.select(side("rep", "b"), side("sketch", "sb")), "b")
-    t = percent / 100
-    slack = F.when(F.col("base") >= sketch, SLACK * F.sqrt(F.lit(t * (1 - t)) / F.col("base"))).otherwise(1e-9)
-    likely = both.select("a", "b", "sa", "sb").mapInArrow(_estimate(sketch), "a long, b long, est double, base long").where(F.col("est") >= t - slack)
-    likely = materialise(likely.select("a", "b"), "likely")
+    likely = materialise(pairs.select("a", "b") if exact else _likely(pairs, sketches, percent, sketch), "likely")
     need = likely.select(side("a", "doc_id")).unionAll(likely.select(side("b", "doc_id"))).distinct()
     texts = documents.select("doc_id", "text").join(maybe_broadcast(need, 16), "doc_id", "left_semi")
     sets = materialise(texts.mapInArrow(_sets(size), "doc long, items binary"), "sets")
@@ -208,23 +213,31 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, documents: DataFrame, percen
     return full.select("a", "b", "xa", "xb").mapInArrow(_exact(percent), "a long, b long").distinct()
 
 
-def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sketch: int = SKETCH) -> DataFrame:
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, sketch: int) -> DataFrame:
+    side = lambda c, as_: F.col(c).alias(as_)
+    both = pairs.select("a", "b").join(sketches.select(side("rep", "a"), side("sketch", "sa")), "a").join(sketches.select(side("rep", "b"), side("sketch", "sb")), "b")
+    t = percent / 100
+    slack = F.when(F.col("base") >= sketch, SLACK * F.sqrt(F.lit(t * (1 - t)) / F.col("base"))).otherwise(1e-9)
+    return both.select("a", "b", "sa", "sb").mapInArrow(_estimate(sketch), "a long, b long, est double, base long").where(F.col("est") >= t - slack).select("a", "b")
+
+
+def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sketch: int = SKETCH, exact: bool = False) -> DataFrame:
     """documents (doc_id, text) -> (doc_id, n_shingles, component_id, kept).
 
     Words are runs without blank space, A-Z lower-cased; a set holds the distinct shingles of `size` words, or
     the whole sequence if there are fewer. Two documents link if 100 * |intersection| >= percent * |union|.
     Null and empty texts have an empty set and link with nothing. Rows that repeat a doc_id count as one
     document. A row without doc_id is linked with nothing: its component is null and it is not kept. Columns beside doc_id and text
-    are not read. An empty table gives an empty result.
+    are not read. An empty table gives an empty result. exact: see above.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_ = materialise(documents.mapInArrow(_sketches(size, sketch), "doc_id long, n long, f1 long, f2 long, sketch binary, odd binary"), "sketches")
+    all_ = materialise(documents.mapInArrow(_sketches(size, sketch, percent, exact), "doc_id long, n long, f1 long, f2 long, sketch binary, odd binary"), "sketches")
     real = all_.where("n > 0 and doc_id is not null")
     # one class per set; the sketch of a class is the same whichever row it comes from
     classes = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "sketch", "odd")).alias("x"), F.count("*").alias("copies"))
     classes = materialise(classes.select("f1", "f2", "n", F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch"), F.col("x.odd").alias("odd"), "copies"), "classes")
     levels = tiers(percent, sketch)
-    lists = materialise(classes.select("rep", "n", "sketch").mapInArrow(_keys(levels), "key long, doc long, n long, kind int"), "lists")
+    lists = materialise(classes.select("rep", "n", "sketch").mapInArrow(_keys(levels, exact), "key long, doc long, n long, kind int"), "lists")
     window = "over (partition by key order by doc)"
     alone = lists.where("kind < 2").selectExpr("key", "doc", "n", "kind", f"lag(key) {window} as x", f"lead(key) {window} as y")
     shared = alone.where("kind = 1 or x is not null or y is not null").select("key", "doc", "n").unionAll(lists.where("kind = 2").select("key", "doc", "n"))
@@ -237,7 +250,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sket
     best = star.groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("times"))
     best = materialise(best.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b")), "best")
     sketches = classes.select("rep", "sketch")
-    links = materialise(_confirm(best, sketches, documents, percent, size, sketch), "links")
+    links = materialise(_confirm(best, sketches, documents, percent, size, sketch, exact), "links")
     parts = materialise(connected_components(links), "components")
     # whatever shares a list and is in another component still
     rows = shared.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
@@ -246,10 +259,10 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sket
     odd = [F.conv(F.hex(F.substring("odd", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"o{i}") for i in range(ODD_BITS // 64)]
     odd = classes.join(rows.select(F.col("doc").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("doc"), *odd)
     rows = rows.join(odd, "doc")
-    rest = rows.alias("l").join(rows.alias("r"), F.expr(f"l.key = r.key and l.c < r.c and {_near_enough(percent)}"))
+    rest = rows.alias("l").join(rows.alias("r"), F.expr(f"l.key = r.key and l.c < r.c and {_near_enough(percent, exact)}"))
     rest = rest.select(F.greatest("l.doc", "r.doc").alias("a"), F.least("l.doc", "r.doc").alias("b")).distinct()
     rest = rest.join(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _confirm(rest, sketches, documents, percent, size, sketch)
+    more = _confirm(rest, sketches, documents, percent, size, sketch, exact)
     parts = connected_components(links.unionAll(more))
     comp = classes.where("copies > 1").select("f1", "f2", "n", "rep").join(parts, F.col("rep") == F.col("node"), "left")
     single = classes.where("copies = 1").select("f1", "f2", "n", "rep").join(parts, F.col("rep") == F.col("node"))

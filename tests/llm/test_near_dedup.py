@@ -56,6 +56,13 @@ def test_components_equal_brute_force(spark, percent, words, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_exact_mode_equals_brute_force_for_short_and_long_texts(spark):
+    rng = random.Random(12)
+    rows = list(enumerate(family(rng, 30, 120, 4) + family(rng, 6, 2500, 4)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, exact=True).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows, 80)
+
+
 def test_nulls_ties_short_and_repeated_rows(spark):
     text = "one two three four five six seven eight"
     rows = [(3, text), (1, text.upper()), (3, text), (7, None), (8, ""), (9, " \t\n"), (4, "one two"), (5, "One  two"), (None, text), (11, "x" * 5000)]
@@ -109,7 +116,8 @@ def test_tiers_cover_every_pair_of_sizes(percent):
 
 
 def test_components_of_chains_stars_and_loops(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(5, 5), (None, 3), (200, 201), (201, 200)]
+    hub = [(5000, x) for x in range(5001, 6000)] + [(x, 7000) for x in range(6001, 7000)]
+    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + hub + [(5, 5), (None, 3), (200, 201), (201, 200)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert got == {**{i: 0 for i in range(41)}, **{x: 100 for x in range(100, 160)}, 200: 200, 201: 200}
+    assert got == {**{i: 0 for i in range(41)}, **{x: 100 for x in range(100, 160)}, **{x: 5000 for x in range(5000, 6000)}, **{x: 6001 for x in range(6001, 7001)}, 200: 200, 201: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
