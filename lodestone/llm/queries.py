@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .chat_format import prefix_tree, read_back
-from .common import shared_dir, table
-from .decontaminate import contamination
+from .common import materialise, shared_dir, table
+from .decontaminate import NEAR, build_index, contamination, search
 from .html_text import extract
 from .language_id import identify, train
 from .near_dedup import near_duplicates
@@ -71,6 +71,13 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+@query
+def decontaminate_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches: the benchmark items of which a window stands in a document with each word within NEAR words of its place."""
+    found = search(materialise(build_index(table(spark, sf_dir, "documents")), "index"), table(spark, sf_dir, "benchmark"), near=NEAR)
+    return found.select("doc_id", "n_words", F.size("items").cast("long").alias("n_items"), F.size("near_items").cast("long").alias("n_near_items"), F.array_join("near_items", ",").alias("near_items"))
+
+
 @query
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))

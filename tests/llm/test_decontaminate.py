@@ -50,6 +50,30 @@ def test_proximity_allows_words_to_shift(spark):
     assert {r.doc_id for r in search(index, items, slop=1).collect() if r.n_hit} == {1, 2}
 
 
+def near_brute(doc, items, size, slop):
+    w, found = words(doc), set()
+    for i, t in items:
+        v = words(t)
+        n = min(size, len(v))
+        for k in range(len(v) - n + 1) if n else ():
+            if any(all(v[k + j] in w[max(0, p + j - slop) : max(0, p + j + slop + 1)] for j in range(n)) for p in range(-slop, len(w) + slop)):
+                found.add(str(i))
+    return sorted(found)
+
+
+def test_proximity_and_slices_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"t{i}" for i in range(9)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 5, 6, 9])))) for i in range(30)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 25)))) for i in range(90)]
+    index = build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).persist()
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    for room in (8 << 20, 40):  # in one slice, and in many
+        monkeypatch.setattr("lodestone.llm.decontaminate.SLICE_BYTES", room)
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.near_items) for r in search(index, asked, size=5, near=2).collect()}
+        assert got == {i: (*brute(t, items, 5), near_brute(t, items, 5, 2)) for i, t in docs}
+
+
 def test_stored_index_answers_alike(spark, tmp_path):
     d = spark.createDataFrame([(i, f"a b c d {i} e f") for i in range(50)], "doc_id long, text string")
     build_index(d).write.parquet(str(tmp_path / "index"))
