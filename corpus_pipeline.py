@@ -18,40 +18,46 @@ from lodestone.llm.pii import redact
 SIMILARITY = 80
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less the rows of ids (doc_id); the ids are broadcast only if they are few enough."""
-    return docs.join(maybe_broadcast(ids.distinct(), 16), "doc_id", "left_anti").select(*docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents whose language is rejected (no letter, or words like no training text's) go."""
+    """Operator 7: documents whose language is rejected go: null texts, texts without a letter (empty ones too), and texts unlike all
+    texts of the languages learned. Rows are judged one by one, so repeated ids and rows without an id are as others; no rows give no rows."""
     return accepted_only(docs, train(docs, fold="true"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: one document of each group stays, that with the smallest doc_id, and one row of it; rows without an id stay."""
+    """Operator 2: one document of each group stays, that with the smallest doc_id. Rows without an id stay, as do texts without words, which
+    are linked with nothing. Rows of one doc_id are one document: one of them stays, the same whatever the partitions (that of the least hash
+    of all columns). No rows give no rows."""
     judged = materialise(near_duplicates(docs, percent=SIMILARITY), "judged")
-    left = _without(docs, judged.where("not kept and doc_id is not null").select("doc_id"))
+    gone = judged.where("not kept and doc_id is not null").select("doc_id").distinct()
+    left = docs.join(maybe_broadcast(gone, 16), "doc_id", "left_anti").select(*docs.columns)
     twice = judged.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     if twice.isEmpty():
         return left
-    again = left.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return _without(left, twice).unionByName(again)
+    twice = maybe_broadcast(materialise(twice, "twice"), 16)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # a minimum within each task first, so an id that very many rows share is not gathered
+    one = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("r")).select(*[F.col("r").getField(c).alias(c) for c in docs.columns])
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that hold benchmark windows over the share that counts as contaminated go."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"))
+    """Operator 4: documents that hold benchmark windows over the share that counts as contaminated go. Each text is judged by itself and goes
+    wherever it stands, with an id or without; other rows of its id stay. Null and empty texts have no words and stay. No rows give no rows."""
+    text = F.xxhash64("text")  # 64 bits: that a clean text shares them with one of m contaminated ones has a probability of m / 2^64
+    judged = contamination(docs.select(text.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    judged = materialise(judged.select(F.col("doc_id").alias("_text")).distinct(), "contaminated")
+    return docs.join(maybe_broadcast(judged, 16), text == F.col("_text"), "left_anti").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: personal data in texts is replaced by its kind; n_chars follows the text."""
+    """Operator 1: personal data in texts is replaced by its kind; n_chars follows the text. All rows stay; null texts stay null, with a null n_chars."""
     out = redact(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: the place of each document's pieces in sequences of 1024 tokens."""
+    """Operator 3: the place of each document's pieces in sequences of 1024 tokens; null and empty texts are the end id alone, repeated rows are packed each."""
     return pack(docs)
 
 
