@@ -40,3 +40,30 @@ def test_stages_take_effect_one_after_another(spark, tmp_path):
     last = corpus_pipeline.run(spark, sf)
     key = lambda df: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert key(last) == key(pieces(spark.read.parquet(f"{sf}/stage3")))
+
+
+def test_rows_without_ids_repeated_ids_and_odd_texts(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("wa", "the", "lo") for b in "abcdefghijkl"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item, clean = say(40), say(60)
+    rows = [(i, say(50), "en") for i in range(30)] + [(None, item, "en"), (None, clean, "en"), (50, item + " " + say(20), "en"), (50, say(45), "en"), (51, None, "en"), (52, "", None), (53, say(20000), "en"), (54, clean, None)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, kept string, contaminated string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    key = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    stage = dict(corpus_pipeline.STAGES)
+    assert key(stage["language"](spark, docs, str(tmp_path))) == sorted((str(i), t) for i, t, _ in rows if t)
+    once = stage["near_dedup"](spark, docs, str(tmp_path))
+    assert once.columns == docs.columns and key(once) == key(stage["near_dedup"](spark, docs.repartition(5), str(tmp_path)))
+    got = key(once)
+    assert {i for i, _ in got} == {str(i) for i, _, _ in rows} and [i for i, _ in got].count("50") == 1 and [i for i, _ in got].count("None") == 2
+    assert key(stage["decontaminate"](spark, docs, str(tmp_path))) == sorted((str(i), t or "") for i, t, _ in rows if not (t or "").startswith(item))
+    hidden = stage["pii"](spark, docs, str(tmp_path))
+    assert hidden.columns == docs.columns and hidden.count() == len(rows)
+    assert {r.doc_id for r in stage["packing"](spark, docs, str(tmp_path)).collect()} == {i for i, _, _ in rows}
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
