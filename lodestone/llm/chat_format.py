@@ -28,11 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, materialise
+from .common import PER_SALT, batch, fan_join, materialise
 from .tokens import encoder
 
-#: Rows that ask for one row in one task; a row that more ask for is dealt out several times.
-PER_SALT = 2000
 #: Stands for a null conv_id inside.
 NO_ID = -(1 << 63)
 #: Keys are polynomials over turn digests in this field, at this base.
@@ -80,15 +78,6 @@ def _part(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordB
             a = end
 
 
-def _fan_join(ask: DataFrame, rows: DataFrame, on: list[str], asked: str, spread: str) -> DataFrame:
-    """ask joined with rows, which is one row per `on`; asked counts the rows of ask for each of rows. What very many ask for is dealt out to
-    several tasks, the asking rows by the hash of their column spread."""
-    rows = rows.withColumn("salts", F.ceil(F.col(asked) / PER_SALT).cast("int"))
-    wide = rows.where("salts > 1").select(*on, "salts")
-    ask = ask.join(F.broadcast(wide) if wide.count() < 100_000 else wide, on, "left").withColumn("salt", F.pmod(F.xxhash64(spread), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    return ask.join(rows.withColumn("salt", F.explode(F.expr("sequence(0, greatest(1, salts) - 1)"))).drop(asked, "salts"), [*on, "salt"]).drop("salt")
-
-
 def _local_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (conv_id, digest, ...) of one sorted range -> with pos (rows of the conversation in this range so far) and the sum over them."""
     conv, pos, key = None, 0, 0
@@ -135,21 +124,17 @@ def _refs(turns: DataFrame) -> DataFrame:
 
 
 def _contents(vocabulary: str | None):
-    """Sorted rows (digest, role, text) -> each distinct turn once: digest, role, ids of its text, n without and extra tokens with the start."""
+    """Distinct turns (digest, role, text) -> digest, role, ids of the text, n tokens in all and how many more at the start of a conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last = encoder(vocabulary), None
+        enc = encoder(vocabulary)
         for b in _part(batches, 2):
-            out: list[list] = [[] for _ in range(5)]
-            for digest, role, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if digest != last:
-                    before, body, after = segments(role, text, False)
-                    ids = enc.array(body).astype("<u4")
-                    fixed = len(enc.ids(before)), len(enc.ids(after))
-                    for column, v in zip(out, (digest, role, ids.tobytes(), len(ids) + sum(fixed), len(enc.ids("<s>" + before)) - fixed[0]), strict=True):
-                        column.append(v)
-                last = digest
-            yield batch({n: pa.array(c, t) for n, c, t in zip(("digest", "role", "body", "n", "extra"), out, (pa.binary(), pa.string(), pa.binary(), pa.int64(), pa.int64()), strict=True)})
+            body, n, extra = [], [], []
+            for role, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                before, escaped, after = segments(role, text, False)
+                ids, fixed = enc.array(escaped).astype("<u4"), len(enc.ids(before))
+                body.append(ids.tobytes()), n.append(fixed + len(ids) + len(enc.ids(after))), extra.append(len(enc.ids("<s>" + before)) - fixed)
+            yield batch({"digest": b.column(0), "role": b.column(1), "body": pa.array(body, pa.binary()), "n": pa.array(n, pa.int64()), "extra": pa.array(extra, pa.int64())})
 
     return run
 
@@ -211,16 +196,16 @@ def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tupl
     refs = _refs(rows.select("conv_id", "turn", "role", F.substring("text", 1, 32).alias("tie"), "digest"))
     owners = materialise(refs.groupBy("key").agg(F.min("conv_id").alias("owner"), F.count("*").alias("convs"), F.first("depth").alias("depth"), F.first("digest").alias("digest")), "owners")
     # a branch of a conversation's path: nodes of one owner, always an unbroken run
-    found = _fan_join(refs.select("conv_id", "key", "depth"), owners.select("key", "owner", "convs"), ["key"], "convs", "conv_id")
+    found = fan_join(refs.select("conv_id", "key", "depth"), owners.select("key", "owner", "convs"), ["key"], "convs", "conv_id")
     branches = materialise(found.groupBy("conv_id", "owner").agg(F.min("depth").alias("from"), F.max("depth").alias("to"), F.count("*").alias("own")), "branches")
     chains = branches.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("from", "owner"))).alias("path"), F.max(F.when(F.col("owner") == F.col("conv_id"), F.col("own"))).alias("own")).where("own is not null")
     chains = materialise(chains.select(F.col("conv_id").alias("owner"), F.transform("path", lambda x: F.struct((-x["from"]).alias("up"), x["owner"].alias("owner"))).alias("chain"), "own"), "chains")
-    turns = rows.select("digest", "role", "text").repartition("digest").sortWithinPartitions("digest")
+    turns = rows.select("digest", "role", "text").dropDuplicates(["digest"])  # first within each task, so a turn that very many say is sent a few times
     contents = materialise(turns.mapInArrow(_contents(vocabulary), "digest binary, role string, body binary, n long, extra long"), "contents")
     many = owners.groupBy("digest").agg(F.count("*").alias("nodes"))
     sizes = contents.select("digest", "n", "extra").join(many, "digest")
-    nodes = _fan_join(owners, sizes, ["digest"], "nodes", "key").withColumn("n", F.col("n") + F.when(F.col("depth") == 0, F.col("extra")).otherwise(0)).drop("extra")
-    nodes = _fan_join(nodes, chains.withColumn("asked", F.col("own")), ["owner"], "asked", "key")
+    nodes = fan_join(owners, sizes, ["digest"], "nodes", "key").withColumn("n", F.col("n") + F.when(F.col("depth") == 0, F.col("extra")).otherwise(0)).drop("extra")
+    nodes = fan_join(nodes, chains.withColumn("asked", F.col("own")), ["owner"], "asked", "key")
     parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = nodes.repartitionByRange(parts, "chain", "depth").sortWithinPartitions("chain", "depth").select(F.spark_partition_id().alias("range"), "owner", "n", "key", "depth", "digest", "convs", "own")
     ordered = materialise(ordered.mapInArrow(_running, "range int, owner long, n long, key binary, depth long, digest binary, convs long, own long, rank long, at long, since long"), "order")
@@ -228,17 +213,17 @@ def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tupl
     # the tokens of a branch in its owner's chain, up to the node where the next branch hangs
     asked = branches.where("conv_id <> owner").join(chains.select(F.col("owner").alias("conv_id")), "conv_id", "left_semi").select("conv_id", "owner", F.col("from"), F.col("to").alias("depth"))
     ends = placed.select("owner", "depth", "convs", "chain_start", (F.col("stream_start") + F.col("n")).alias("end"))
-    spans = _fan_join(asked, ends, ["owner", "depth"], "convs", "conv_id")
+    spans = fan_join(asked, ends, ["owner", "depth"], "convs", "conv_id")
     above = spans.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("from", F.col("chain_start").alias("start"), "end"))).alias("above"))
     above = chains.select(F.col("owner").alias("conv_id"), "own").join(above, "conv_id", "left").select(F.col("conv_id").alias("owner"), "own", F.coalesce("above", F.expr("cast(array() as array<struct<from:bigint,start:bigint,end:bigint>>)")).alias("above"))
-    known = _fan_join(placed.drop("own"), above, ["owner"], "own", "key")
+    known = fan_join(placed.drop("own"), above, ["owner"], "own", "key")
     span = "struct<start:bigint,end:bigint>"
     every = f"filter(concat(transform(above, x -> struct(x.start as start, x.end as end)), array(struct(chain_start as start, stream_start as end))), x -> x.end > x.start)"
     merged = f"""aggregate({every}, cast(array() as array<{span}>), (a, x) -> if(size(a) > 0 and element_at(a, -1).end = x.start,
         concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, x.end as end))), concat(a, array(x))))"""
     known = known.withColumn("attends", F.expr(merged)).withColumn("position_start", F.expr("aggregate(attends, 0L, (a, x) -> a + x.end - x.start)"))
     known = known.select("digest", "key", "depth", "convs", "n", "stream_start", "position_start", "attends")
-    full = _fan_join(known, contents.select("digest", "role", "body").join(many, "digest"), ["digest"], "nodes", "key")
+    full = fan_join(known, contents.select("digest", "role", "body").join(many, "digest"), ["digest"], "nodes", "key")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, edges = encoder(vocabulary), {}
