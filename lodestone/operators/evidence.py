@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import match_normal_form, nfkc
+
 THRESHOLD, OF_BEST, LEAST_TOKENS = 0.35, 0.8, 8
 
 
@@ -12,33 +14,39 @@ def map_evidence(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
     """evidence (question_id, item, doc_name, page, norm) and chunks (chunk_id, doc_name, page, norm) -> per item:
     question_id, item, doc_name, page, method, matched (chunk ids sorted), best_score, candidates.
 
-    norm is the text's match_normal_form(). Only chunks of the item's page compete. The score is the share of the item's tokens, with repeats,
+    norm is the text's match_normal_form(nfkc(text)), see match_texts(). Only chunks of the item's page compete. The score is the share of the item's tokens, with repeats,
     that the chunk has. All exact matches win; else all chunks over the threshold and near the best; else none.
     """
     keys = ["doc_name", "page"]
-    e = evidence.select("question_id", "item", *keys, F.col("norm").alias("e"), F.size(F.filter(F.split("norm", " "), lambda x: x != "")).alias("e_n"))
-    pairs = e.join(chunks.select(*keys, "chunk_id", F.col("norm").alias("c")), keys, "left")
+    size = lambda c: F.size(F.filter(F.split(c, " "), lambda x: x != ""))
+    e = evidence.select("question_id", "item", *keys, F.col("norm").alias("e"), size("norm").alias("e_n"))
+    pairs = e.join(chunks.select(*keys, "chunk_id", F.col("norm").alias("c"), size("norm").alias("c_n")), keys, "left")
+    exact = (F.col("c") != "") & (F.col("e") != "") & (F.contains("c", F.col("e")) | ((F.col("c_n") >= LEAST_TOKENS) & F.contains("e", F.col("c"))))
+    # containment is settled where the texts meet, and from here on only ids and numbers move
+    pairs = pairs.select("question_id", "item", *keys, "chunk_id", F.coalesce(exact, F.lit(False)).alias("exact"), "e_n", "c_n", (F.col("e") == "").alias("blank"))
     # bags are joined by counts, so long texts cost what their distinct tokens cost
     bag = lambda df, cols, text, n: df.select(*cols, F.explode(F.split(text, " ")).alias("t")).where("t <> ''").groupBy(*cols, "t").agg(F.count("*").alias(n))
     eb = bag(e, ["question_id", "item", *keys], "e", "en")
     cb = bag(chunks.join(e.select(*keys).distinct(), keys, "left_semi"), [*keys, "chunk_id"], "norm", "cn")
     hits = eb.join(cb, [*keys, "t"]).groupBy("question_id", "item", "chunk_id").agg(F.sum(F.least("en", "cn")).alias("m"))
     s = pairs.join(hits, ["question_id", "item", "chunk_id"], "left")
-    c_n = F.size(F.filter(F.split("c", " "), lambda x: x != ""))
-    score = F.when((F.col("e_n") > 0) & (c_n > 0), F.coalesce("m", F.lit(0)) / F.col("e_n")).otherwise(0.0)
-    exact = (F.col("c") != "") & (F.col("e") != "") & (F.contains("c", F.col("e")) | ((c_n >= LEAST_TOKENS) & F.contains("e", F.col("c"))))
-    s = s.withColumn("score", score).withColumn("exact", F.coalesce(exact, F.lit(False)))
-    g = s.groupBy("question_id", "item", *keys, "e").agg(
+    s = s.withColumn("score", F.when((F.col("e_n") > 0) & (F.col("c_n") > 0), F.coalesce("m", F.lit(0)) / F.col("e_n")).otherwise(0.0))
+    g = s.groupBy("question_id", "item", *keys, "blank").agg(
         F.max("score").alias("best_score"), F.max("exact").alias("any_exact"), F.count("chunk_id").alias("candidates"), F.collect_list(F.when(F.col("chunk_id").isNotNull(), F.struct("chunk_id", "score", "exact"))).alias("all")
     )
     strong = F.filter("all", lambda x: (x["score"] >= THRESHOLD) & (x["score"] >= OF_BEST * F.col("best_score")))
-    chosen = F.when(F.col("e") == "", F.slice("all", 1, 0)).when(F.col("any_exact"), F.filter("all", lambda x: x["exact"])).otherwise(strong)
+    chosen = F.when(F.col("blank"), F.slice("all", 1, 0)).when(F.col("any_exact"), F.filter("all", lambda x: x["exact"])).otherwise(strong)
     method = (
-        F.when(F.col("e") == "", "no_evidence_text").when(F.col("any_exact"), "normalized_exact_containment").when(F.size(strong) > 0, "token_containment").otherwise("page_only_no_strict_chunk_match")
+        F.when(F.col("blank"), "no_evidence_text").when(F.col("any_exact"), "normalized_exact_containment").when(F.size(strong) > 0, "token_containment").otherwise("page_only_no_strict_chunk_match")
     )
     return g.select("question_id", "item", *keys, method.alias("method"), F.array_sort(F.transform(chosen, lambda x: x["chunk_id"])).alias("matched"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"), "candidates")
 
 
+def match_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds norm, the form in which evidence and chunks are matched: compatibility forms folded (ligatures, full-width digits), lower case, no commas, tokens only."""
+    return df.withColumn("norm", match_normal_form(nfkc(F.col(text))))
+
+
 def summarise(mapped: DataFrame) -> DataFrame:
     """Per question: page references and chunk ids without repeats in order of the items, the single gold document or null, complete."""
     g = mapped.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("item", "doc_name", "page", "matched", "method"))).alias("i"))

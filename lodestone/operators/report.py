@@ -50,3 +50,42 @@ def compact(df: DataFrame, columns: list[str]) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df.select(*columns)
+
+
+def titled(df: DataFrame, title: str, run_id: str, fields: list[str]) -> DataFrame:
+    """A published table: its title, its run, and the fields in their order; what df lacks is null."""
+    return df.select(F.lit(title).alias("table_title"), F.lit(run_id).alias("run_id"), *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields])
+
+
+def bars(df: DataFrame, by: str, metrics: list[str], digits: int = 6) -> DataFrame:
+    """Plot-ready bars: (by, metric, value, n) of plain means over the rows that have the metric; a metric that nobody has is left out."""
+    long = df.unpivot([by], metrics, "metric", "value").where("value is not null")
+    return long.groupBy(by, "metric").agg(F.round(F.avg("value"), digits).alias("value"), F.count("*").alias("n"))
+
+
+def shares(df: DataFrame, by: str, label: str, labels: list[str], digits: int = 9) -> DataFrame:
+    """Plot-ready stacked bars: (by, label, n, share), a row for every label, also those of no row."""
+    spine = df.select(by).distinct().withColumn(label, F.explode(F.array(*map(F.lit, labels))))
+    n = df.groupBy(by, label).agg(F.count("*").alias("n"))
+    total = df.groupBy(by).agg(F.count("*").alias("_t"))
+    out = spine.join(n, [by, label], "left").join(total, by)
+    return out.select(by, label, F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("n", F.lit(0)) / F.col("_t"), digits).alias("share"))
+
+
+def boxes(df: DataFrame, by: str, value: str, digits: int = 6) -> DataFrame:
+    """Plot-ready boxes: least, quartiles and most of each group."""
+    q = F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    g = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.min(value).alias("low"), q.alias("q"), F.max(value).alias("high"), F.count("*").alias("n"))
+    at = lambda c: F.round(c, digits)
+    return g.select(by, at("low").alias("low"), at(F.col("q")[0]).alias("q1"), at(F.col("q")[1]).alias("median"), at(F.col("q")[2]).alias("q3"), at("high").alias("high"), "n")
+
+
+def points(df: DataFrame, by: str, x: str, y: str, digits: int = 6) -> DataFrame:
+    """Plot-ready scatter: mean x and y of each group over the rows that have both."""
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by).agg(F.round(F.avg(x), digits).alias("x"), F.round(F.avg(y), digits).alias("y"), F.count("*").alias("n"))
+
+
+def comparison_matrix(long: DataFrame, by: str, reference: str, digits: int = 4) -> DataFrame:
+    """(metric, by, value) -> per metric and architecture its value, the reference's, and their difference; an architecture that lacks the metric has no row."""
+    base = long.where(F.col(by) == reference).select("metric", F.col("value").alias("reference_value"))
+    return long.join(base, "metric", "left").select("metric", by, F.round("value", digits).alias("value"), F.round("reference_value", digits).alias("reference_value"), F.round(F.col("value") - F.col("reference_value"), digits).alias("difference"))

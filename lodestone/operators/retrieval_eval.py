@@ -5,6 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .checks import enforce, ranks_valid
+
+
+def checked_ranks(retrieved: DataFrame, most: int = 5) -> DataFrame:
+    """retrieved, in which a question with more than `most` chunks, or whose ranks are not 1..n once each, raises."""
+    enforce(ranks_valid(retrieved, "question_id", "rank", most))
+    return retrieved
+
+
+def checked_gold(questions: DataFrame, gold: DataFrame) -> DataFrame:
+    """gold, in which a question without a gold page raises."""
+    lost = questions.select("question_id").distinct().join(gold.where("page_ref is not null").select("question_id"), "question_id", "left_anti").limit(5).collect()
+    if lost:
+        raise ValueError("questions without gold pages: " + ", ".join(str(r[0]) for r in lost))
+    return gold
+
 
 def score_questions(retrieved: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """retrieved (question_id, rank, page_ref), gold (question_id, page_ref) -> per gold question hit_at_1/3/k, recall_at_k, mrr_at_k and counts.

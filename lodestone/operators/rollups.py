@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latency_summary(rows: DataFrame, by: str, components: list[str]) -> DataFrame:
-    """Mean, median, sample deviation (0 of one value), least and most of each component; a component without values has no row. A negative value raises."""
+def latency_summary(rows: DataFrame, by: str, components: list[str], applicable: dict[str, list[str]] | None = None) -> DataFrame:
+    """Mean, median, sample deviation (0 of one value), least and most of each component; a component without values has no row. A negative value raises, and
+    so does one of a component that does not apply to its architecture; applicable names the architectures of such components."""
+    for c, names in (applicable or {}).items():
+        ok = F.col(c).isNull() | F.coalesce(F.col(by).isin(*names), F.lit(False))
+        rows = rows.withColumn(c, F.when(ok, F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"{c} does not apply to "), F.coalesce(F.col(by).cast("string"), F.lit("null")))).cast("double")))
     long = rows.unpivot([by], components, "component", "ms").where("ms is not null")
     ms = F.when(F.col("ms") >= 0, F.col("ms")).otherwise(F.raise_error(F.lit("latency is negative")).cast("double"))
     long = long.withColumn("ms", ms)
@@ -184,3 +188,19 @@ def unique_documents(rows: DataFrame, key: str, columns: list[str]) -> DataFrame
 def first_per_group(rows: DataFrame, by: list[str], order: list[str], n: int = 1) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+
+
+def spread(rows: DataFrame, key: str, by: str | None = None) -> DataFrame:
+    """How many rows a key has: keys, least, most and mean, in all or per value of `by`."""
+    n = rows.groupBy(*([by] if by else []), key).agg(F.count("*").alias("n"))
+    return n.groupBy(*([by] if by else [])).agg(F.count("*").alias("keys"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"))
+
+
+def flattened(rows: DataFrame, key: str, items: str) -> DataFrame:
+    """(key, pos, the fields of each item) of an array of structs, pos from 0; rows without items have none."""
+    return rows.select(key, F.posexplode(items).alias("pos", "_x")).select(key, "pos", "_x.*")
+
+
+def mismatches(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """One row: for each rule the number of rows for which it is false or null, and rows in all."""
+    return rows.agg(F.count("*").alias("rows"), *[F.sum((~F.coalesce(ok, F.lit(False))).cast("int")).alias(name) for name, ok in rules.items()])

@@ -15,14 +15,35 @@ REPLICATES, BLOCK = 10_000, 1000
 ENUMERATE, EXACT = 13, 50
 
 
+# The prespecified comparisons (hypothesis, architecture_a, architecture_b, metric, source, population) and the metrics that are 0 or 1.
+PLANNED = (
+    ("H0,H1", "P0", "P1", "gold_evidence_support", "faithfulness", "scored_units_only"),
+    ("H0", "P0", "P2", "gold_evidence_support", "faithfulness", "scored_units_only"),
+    ("H0", "P0", "P3", "gold_evidence_support", "faithfulness", "scored_units_only"),
+    ("H0", "P0", "P1", "exact_match", "answer", "all_questions"),
+    ("H0", "P0", "P1", "token_f1", "answer", "all_questions"),
+    ("H0", "P0", "P1", "numeric_accuracy", "answer", "gold_numeric_questions"),
+    ("H0", "P0", "P1", "total_latency_ms", "latency", "all_questions"),
+    ("H0", "P0", "P2", "exact_match", "answer", "all_questions"),
+    ("H0", "P0", "P2", "token_f1", "answer", "all_questions"),
+    ("H0", "P0", "P2", "numeric_accuracy", "answer", "gold_numeric_questions"),
+    ("H0", "P0", "P2", "total_latency_ms", "latency", "all_questions"),
+    ("H0", "P0", "P3", "exact_match", "answer", "all_questions"),
+    ("H0", "P0", "P3", "token_f1", "answer", "all_questions"),
+    ("H0", "P0", "P3", "numeric_accuracy", "answer", "gold_numeric_questions"),
+    ("H0", "P0", "P3", "total_latency_ms", "latency", "all_questions"),
+    ("H2", "P1", "P2", "hit_at_5", "retrieval", "all_questions"),
+    ("H2", "P1", "P2", "recall_at_5", "retrieval", "all_questions"),
+    ("H2", "P1", "P2", "mrr_at_5", "retrieval", "all_questions"),
+    ("H2", "P1", "P2", "numeric_accuracy", "answer", "gold_numeric_questions"),
+    ("H3", "P2", "P3", "context_faithfulness", "faithfulness", "scored_units_only"),
+    ("H3", "P2", "P3", "total_latency_ms", "latency", "all_questions"),
+)
+BINARY = ("exact_match", "hit_at_5")
+
+
 def planned_comparisons(spark: SparkSession) -> DataFrame:
-    """The prespecified comparisons: (hypothesis, architecture_a, architecture_b, metric, population)."""
-    scored, every, numbers = "scored_units_only", "all_questions", "gold_numeric_questions"
-    rows = [("H0,H1" if b == "P1" else "H0", "P0", b, "gold_evidence_support", scored) for b in ("P1", "P2", "P3")]
-    rows += [("H0", "P0", b, m, p) for b in ("P1", "P2", "P3") for m, p in (("exact_match", every), ("token_f1", every), ("numeric_accuracy", numbers), ("total_latency_ms", every))]
-    rows += [("H2", "P1", "P2", m, p) for m, p in (("hit_at_5", every), ("recall_at_5", every), ("mrr_at_5", every), ("numeric_accuracy", numbers))]
-    rows += [("H3", "P2", "P3", m, p) for m, p in (("context_faithfulness", scored), ("total_latency_ms", every))]
-    return spark.createDataFrame(rows, "hypothesis string, architecture_a string, architecture_b string, metric string, population string")
+    return spark.createDataFrame(list(PLANNED), "hypothesis string, architecture_a string, architecture_b string, metric string, source string, population string")
 
 
 def paired_values(rows: DataFrame, comparisons: DataFrame) -> DataFrame:
@@ -127,3 +148,30 @@ def holm(rows: DataFrame, p: str, tie: str, alpha: float = 0.05) -> DataFrame:
     out = rows.crossJoin(F.broadcast(m)).withColumn("_k", F.row_number().over(w)).withColumn("_s", step)
     out = out.withColumn("holm_p", F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return out.withColumn("significant", F.col("holm_p") < alpha).drop("_m", "_k", "_s")
+
+
+def evaluate(rows: DataFrame, comparisons: DataFrame, run_id: str, question_count: int, binary: tuple[str, ...] = BINARY, alpha: float = 0.05) -> DataFrame:
+    """The table of paired tests: rows (question_id, architecture, metric, value) and comparisons (hypothesis, architecture_a, architecture_b, metric, population) -> one row per comparison
+    with pair_count, excluded_pair_count, both means over complete pairs, their mean difference with its bootstrap interval, the test and its p-value, Holm's over all, and effect or successes.
+
+    McNemar for binary metrics, else the signed rank. A comparison without a complete pair raises.
+    """
+    by = ["architecture_a", "architecture_b", "metric"]
+    pairs = paired_values(rows, comparisons.select(*by).distinct())
+    empty = comparisons.select(*by).join(pairs.select(*by).distinct(), by, "left_anti").limit(3).collect()
+    if empty:
+        raise ValueError("no complete pairs: " + "; ".join("/".join(r) for r in empty))
+    means = pairs.groupBy(*by).agg(F.count("*").alias("pair_count"), F.avg("a").alias("mean_a_paired"), F.avg("b").alias("mean_b_paired"), F.avg(F.col("b") - F.col("a")).alias("mean_difference_b_minus_a"))
+    is_binary = F.col("metric").isin(*binary)
+    yes = mcnemar(pairs.where(is_binary), by).select(*by, F.col("p_value").alias("_mcnemar"), "a_only", "b_only")
+    effect = rank_biserial(pairs.where(~is_binary), by).select(*by, "effect")
+    drawn = wilcoxon_and_bootstrap(pairs, by, run_id).select(*by, "wilcoxon_p", "ci_low", "ci_high")
+    out = comparisons.join(means, by).join(drawn, by).join(yes, by, "left").join(effect, by, "left")
+    out = out.select(
+        F.lit(run_id).alias("run_id"), "hypothesis", *by, "population", F.when(is_binary, "McNemar exact, two-sided").otherwise("Wilcoxon signed-rank, two-sided").alias("test"),
+        "pair_count", (question_count - F.col("pair_count")).alias("excluded_pair_count"), "mean_a_paired", "mean_b_paired", "mean_difference_b_minus_a", F.col("ci_low").alias("difference_ci95_low"),
+        F.col("ci_high").alias("difference_ci95_high"), F.when(is_binary, F.col("_mcnemar")).otherwise(F.col("wilcoxon_p")).alias("p_value_two_sided"), F.when(~is_binary, F.col("effect")).alias("rank_biserial_b_minus_a"),
+        F.col("a_only").alias("a_only_success"), F.col("b_only").alias("b_only_success"), F.concat_ws("|", "hypothesis", *by).alias("_tie"),
+    )
+    out = holm(out, "p_value_two_sided", "_tie", alpha)
+    return out.withColumn("significant_holm", F.col("significant").cast("int")).withColumnRenamed("holm_p", "holm_p_value").drop("_tie", "significant")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..functions import text as T
-from ..operators import answers, checks, models, rerank, rollups, stats, support
+from ..operators import answers, checks, models, rerank, rollups, selection, stats, support
 from .common import query, table
 from .retrieval import BM25, _bm25
 
@@ -249,20 +249,17 @@ def unique_documents(spark, sf_dir):
 @query("SELECT item_id, CASE WHEN item_id IN (SELECT item_id FROM benchmark ORDER BY sha256('dev:' || item_id), item_id LIMIT 5) THEN 'dev' ELSE 'heldout' END AS part FROM benchmark")
 def split_dev_heldout(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    dev = b.orderBy(F.sha2(F.concat(F.lit("dev:"), "item_id"), 256), "item_id").limit(5).select("item_id")
-    a = b.join(F.broadcast(dev), "item_id", "left_semi").select("item_id", F.lit("dev").alias("part"))
-    return a.unionAll(b.join(F.broadcast(dev), "item_id", "left_anti").select("item_id", F.lit("heldout").alias("part")))
+    return selection.split_by_ids(b, selection.hash_ordered(b, "item_id", "dev:", 5), "item_id").select("item_id", "part")
 
 
 @query("SELECT item_id FROM benchmark WHERE item_id >= 5 ORDER BY sha256('audit:' || item_id) LIMIT 8")
 def hash_sample(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").where("item_id >= 5").orderBy(F.sha2(F.concat(F.lit("audit:"), "item_id"), 256)).limit(8).select("item_id")
+    return selection.hash_ordered(table(spark, sf_dir, "benchmark").where("item_id >= 5"), "item_id", "audit:", 8).select("item_id")
 
 
 @query("SELECT CAST(round_even(i * ((SELECT count(*) FROM benchmark) - 1) / 6.0::DOUBLE, 0) AS BIGINT) AS position FROM range(0, 7) t(i)")
 def even_sample(spark, sf_dir):
-    n = table(spark, sf_dir, "benchmark").agg(F.count("*").alias("n"))
-    return n.select(F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i"), "n").select(F.bround(F.col("i") * (F.col("n") - 1) / 6.0).cast("long").alias("position"))
+    return selection.even_positions(table(spark, sf_dir, "benchmark"), 7)
 
 
 @query("SELECT 'duplicate_key' AS rule, CAST(user_id AS VARCHAR) || '|' || event_type AS key, CAST(count(*) AS VARCHAR) AS detail FROM events GROUP BY user_id, event_type HAVING count(*) > 1")
@@ -286,11 +283,13 @@ def integrity_published_values(spark, sf_dir):
     return checks.values_agree(a, a.withColumn("q", F.when(F.col("l_orderkey") % 100 == 0, F.col("q") + 1).otherwise(F.col("q"))), ["l_orderkey"], ["q"])
 
 
-@query("SELECT source, sha256(string_agg(sha256(doc_id || chr(9) || text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@query("SELECT source, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM (SELECT source, CAST(floor(doc_id / 1024) AS BIGINT) AS b, sha256(string_agg(sha256(doc_id || chr(9) || text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2) GROUP BY 1")
 def corpus_digest(spark, sf_dir):
-    """Order-sensitive digest per source, over digests of rows, so texts are never gathered."""
+    """Order-sensitive digest per source: digests of rows, then of blocks of 1024 ids, so a task gathers a block's digests at most, and at the end one per block."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.concat_ws("\t", "doc_id", "text"), 256).alias("h"))
-    return d.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "h"))).alias("x")).select("source", F.sha2(F.array_join(F.transform("x", lambda v: v["h"]), ""), 256).alias("digest"))
+    rolled = lambda df, order, *by: df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, "h"))).alias("x")).select(*by, F.sha2(F.array_join(F.transform("x", lambda v: v["h"]), ""), 256).alias("h"))
+    blocks = rolled(d.withColumn("b", F.floor(F.col("doc_id") / 1024)), "doc_id", "source", "b")
+    return rolled(blocks, "b", "source").withColumnRenamed("h", "digest")
 
 
 @query(f"WITH {_GRID}, k AS (SELECT question_id FROM g WHERE architecture IN {_IN} GROUP BY 1 HAVING sum(abstained) = 0 AND count(*) = 3) SELECT architecture, CAST(count(*) AS BIGINT) AS question_count, round(avg(quality), 9) AS quality, round(avg(support), 9) AS support FROM g WHERE question_id IN (SELECT question_id FROM k) GROUP BY 1")
@@ -301,8 +300,8 @@ def common_subset_quality(spark, sf_dir):
 
 @query("WITH f AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, length(text) AS n FROM conversations) SELECT conv_id, CAST(pos AS INT) AS pos, role, CAST(n AS INT) AS n FROM f")
 def evidence_flatten(spark, sf_dir):
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("e"))
-    return g.select("conv_id", F.posexplode("e").alias("pos", "x")).select("conv_id", "pos", "x.role", F.length("x.text").alias("n"))
+    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.length("text").alias("n")))).alias("e"))
+    return rollups.flattened(g, "conv_id", "e").select("conv_id", "pos", "role", "n")
 
 
 _LABEL = "(['correct', 'partially_correct', 'incorrect', 'failure_to_answer', 'judge_error'])[question_id % 5 + 1]"
