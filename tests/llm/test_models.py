@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -91,6 +92,27 @@ def test_rare_grams_stay_however_many_there_are(spark):
     assert model._log_probs(rows)[0, 1] > model._log_probs(rows)[0, 0]
 
 
+def test_a_rare_language_beside_one_of_large_counts(spark):
+    """All counts of the large language are over 4096, so no gram of it occurs once or twice; the small one still answers for its words."""
+    grams = [x + y + z for x in "abc" for y in "abc" for z in "abc"] + ["\x01\x01" + x for x in "abc"] + [g for x in "abc" for y in "abc" for g in ("\x01" + x + y, x + y + "\x01")]
+    rows = [("a", g, 5000 + i) for i, g in enumerate(grams)] + [("b", g, 1) for g in ("\x01\x01k", "\x01ka", "kab", "abk", "bk\x01")]
+    model = L.build_model(spark.createDataFrame(rows, "lang string, gram string, n long"), 3)
+    assert model.langs == ["a", "b"] and len(model.grams[2][0]) == len(rows)
+    lang, score, _ = model.judge(["kabk kabk", "abcabc abba"])
+    assert lang == ["b", "a"] and all(0 <= x <= 1 for x in score)
+
+
+def test_rejection_is_calibrated_on_texts_that_the_model_has_not_seen(spark):
+    rows = corpus(random.Random(8), 2600)
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id % 4 <> 2")
+    held = [t for i, t, _ in rows if i % 4 == 2]
+    _, _, ok = model.judge(held)
+    assert model.limit != 8.0 and ok.mean() == 1.0, model.limit
+    foreign = ["".join(random.Random(k).choice("qxzjvkw") for _ in range(4)) + " zxqj vkwq jjzx qwvx" for k in range(50)]
+    _, _, ok = model.judge([" ".join([t] * 8) for t in foreign])
+    assert ok.mean() == 0.0
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = L.train(empty, "true")
@@ -136,6 +158,47 @@ def test_gradients_equal_differences():
         assert (up - down) / (2 * h) == pytest.approx(grads[k].reshape(-1)[i], rel=1e-3, abs=1e-6), k
 
 
+def plain_score(net, text):
+    """One window after the other, one word after the other, one gate after the other."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def embed(w):
+        c = [2, *map(ord, w), 3]
+        tri = [(c[k - 1] * 1000003 + c[k] * 10007 + c[k + 1] * 7919) % 1000000007 % X.TRIGRAMS for k in range(1, len(c) - 1)]
+        whole = sum(ord(x) * pow(31, k % 64, 1000000007) % 1000000007 for k, x in enumerate(w)) % 1000000007 % X.WORDS
+        return p["word"][whole] + p["tri"][tri].mean(axis=0)
+
+    best = None
+    for start in range(0, max(1, len(words) - (X.WINDOW - X.STRIDE)), X.STRIDE) if words else ():
+        x = [embed(w) for w in words[start : start + X.WINDOW]]
+        states = []
+        for way in (0, 1):
+            h, out = np.zeros(X.HIDDEN), []
+            for v in x[::-1] if way else x:
+                gx, gh = v @ p["w"][way] + p["b"][way][0], h @ p["u"][way]
+                z, r = sig(gx[: X.HIDDEN] + gh[: X.HIDDEN]), sig(gx[X.HIDDEN : 2 * X.HIDDEN] + gh[X.HIDDEN : 2 * X.HIDDEN])
+                h = z * h + (1 - z) * np.tanh(gx[2 * X.HIDDEN :] + r * gh[2 * X.HIDDEN :])
+                out.append(h)
+            states.append(out[::-1] if way else out)
+        s = np.array([np.concatenate(y) for y in zip(*states, strict=True)])
+        a = np.exp(s @ p["att"] - (s @ p["att"]).max())
+        logit = (a / a.sum()) @ s @ p["out"] + p["bias"][0]
+        best = logit if best is None else max(best, logit)
+    return 0.0 if best is None else sig(best)
+
+
+def test_scores_equal_a_plain_network(spark):
+    rng = random.Random(21)
+    rows = toxic_rows(rng, 60)
+    net = X.fit([t for _, t, _ in rows], np.array([y for _, _, y in rows]), epochs=2)
+    texts = [t for _, t, _ in toxic_rows(rng, 25)] + ["", "12 +", "one", "Été ÜBER naïve 日本 x", " ".join(f"w{chr(97 + k % 26)}" for k in range(300)), "a" * 200 + " b"]
+    got = {r.doc_id: r.score for r in X.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_score(net, t), abs=1e-4), t
+
+
 def test_windows_cover_every_word_and_overlap():
     for n in (1, 47, 48, 49, 84, 85, 500):
         idx, owner = X.windows(np.zeros(n, np.int64), np.arange(n), 1)
