@@ -29,6 +29,18 @@ EXPANSIONS = (
     (r"(?iU)\b(?:CAPEX|capital expenditures?|capital spending)\b", "capital expenditure capital spending purchases of property plant and equipment"),
     (r"(?iU)\bcapital(?:\s+|-)+intens(?:ive|ity)\b", "capital expenditures revenue property plant and equipment net total assets net income return on assets"),
 )
+# Names of filings, years, boilerplate around questions and the ends of answer units.
+FILING_NAME = r"(?i)^(.+?)_(20\d{2})(?:Q[1-4])?_(10[-_]?K|10[-_]?Q)$"
+YEAR = r"\b(20\d{2})\b"
+FISCAL_YEAR = r"(?i)\b(?:FY\s*|fiscal\s+year\s+)(20\d{2})\b"
+BETWEEN_WORDS = r"[\W_]*"
+ROLE_PLAY = r"(?iU)^\s*assume\s+that\s+you\s+are\b[^.!?]*[.!?]\s*"
+PRIMARY_SOURCE = r"\banswer\s+the\s+following\s+question\s+by\s+primarily\s+using\s+information\s+that\s+is\s+shown\s+in\s+the\s+([^:]+?)\s*:\s*"
+RELIED_SOURCE = r"(?iU)\bgive\s+a\s+response\s+to\s+the\s+question\s+by\s+relying\s+on\s+the\s+details\s+shown\s+in\s+the\s+([^.!?]+?)\s*[.!?]?\s*$"
+ANSWER_UNIT = r"(?iU)\banswer\s+in\s+([^.!?]+?)\s*[.!?]?\s*$"
+LIST_MARK = r"(?U)^(?:[-*]\s+|\d+\.\s+)"
+CLAUSE_END = r"(?U);\s+"
+SENTENCE_END = r"(?U)(?<=[.!?])\s+(?=[A-Z0-9*])"
 
 
 def strip(c: Column) -> Column:
@@ -43,12 +55,12 @@ def clean_text(c: Column) -> Column:
 
 def document_metadata(doc_name: Column, company: Column, doc_type: Column, doc_period: Column) -> Column:
     """struct(company, fiscal_year, document_type) from names such as ACME_2021Q2_10Q; else from the given columns."""
-    name = r"(?i)^(.+?)_(20\d{2})(?:Q[1-4])?_(10[-_]?K|10[-_]?Q)$"
+    name = FILING_NAME
     hit = doc_name.rlike(name)
     kind = F.upper(F.regexp_replace(F.regexp_extract(doc_name, name, 3), "_", "-"))
     kind = F.when(F.contains(kind, F.lit("-")), kind).otherwise(F.concat(F.substring(kind, 1, 2), F.lit("-"), F.substring(kind, 3, 9)))
     given = lambda c: F.when(strip(c) != "", strip(c))
-    period = F.regexp_extract(doc_period.cast("string"), r"\b(20\d{2})\b", 1)
+    period = F.regexp_extract(doc_period.cast("string"), YEAR, 1)
     return F.struct(
         F.when(hit, F.regexp_replace(F.regexp_extract(doc_name, name, 1), "_", " ")).otherwise(given(company)).alias("company"),
         F.when(hit, F.regexp_extract(doc_name, name, 2).cast("int")).when(period != "", period.cast("int")).alias("fiscal_year"),
@@ -84,30 +96,30 @@ def company_key(c: Column) -> Column:
 def mentions_company(question: Column, company: Column) -> Column:
     """By its words with any separators between, bounded by non-alphanumerics; or its collapsed key (3 characters at least) inside the question's."""
     words = F.transform(F.regexp_extract_all(company, F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda w: w)
-    pattern = F.concat(F.lit(r"(?iU)(?<![A-Za-z0-9])"), F.array_join(words, r"[\W_]*"), F.lit(r"(?![A-Za-z0-9])"))
+    pattern = F.concat(F.lit(r"(?iU)(?<![A-Za-z0-9])"), F.array_join(words, BETWEEN_WORDS), F.lit(r"(?![A-Za-z0-9])"))
     key = company_key(company)
     return ((F.size(words) > 0) & F.regexp_like(question, pattern)) | ((F.length(key) >= 3) & F.contains(company_key(question), key))
 
 
 def unambiguous_year(question: Column) -> Column:
     """The one fiscal year named; without any, the one year named; null if there are several."""
-    fiscal = F.array_distinct(F.regexp_extract_all(question, F.lit(r"(?i)\b(?:FY\s*|fiscal\s+year\s+)(20\d{2})\b"), F.lit(1)))
-    years = F.array_distinct(F.regexp_extract_all(question, F.lit(r"\b(20\d{2})\b"), F.lit(1)))
+    fiscal = F.array_distinct(F.regexp_extract_all(question, F.lit(FISCAL_YEAR), F.lit(1)))
+    years = F.array_distinct(F.regexp_extract_all(question, F.lit(YEAR), F.lit(1)))
     return F.when(F.size(fiscal) == 1, fiscal[0].cast("int")).when((F.size(fiscal) == 0) & (F.size(years) == 1), years[0].cast("int"))
 
 
 def coerce_year(c: Column) -> Column:
-    year = F.regexp_extract(c.cast("string"), r"\b(20\d{2})\b", 1)
+    year = F.regexp_extract(c.cast("string"), YEAR, 1)
     return F.when(year != "", year.cast("int"))
 
 
 def focus_question(question: Column) -> Column:
     """Drops instructions about the form of the answer and keeps what they name."""
-    q = F.regexp_replace(question, r"(?iU)^\s*assume\s+that\s+you\s+are\b[^.!?]*[.!?]\s*", "")
+    q = F.regexp_replace(question, ROLE_PLAY, "")
     # only the first occurrence: everything else is captured around it
-    q = F.regexp_replace(q, r"(?isU)^(.*?)\banswer\s+the\s+following\s+question\s+by\s+primarily\s+using\s+information\s+that\s+is\s+shown\s+in\s+the\s+([^:]+?)\s*:\s*(.*)$", "$1$2: $3")
-    q = F.regexp_replace(q, r"(?iU)\bgive\s+a\s+response\s+to\s+the\s+question\s+by\s+relying\s+on\s+the\s+details\s+shown\s+in\s+the\s+([^.!?]+?)\s*[.!?]?\s*$", "$1")
-    q = F.regexp_replace(q, r"(?iU)\banswer\s+in\s+([^.!?]+?)\s*[.!?]?\s*$", "$1")
+    q = F.regexp_replace(q, f"(?isU)^(.*?){PRIMARY_SOURCE}(.*)$", "$1$2: $3")
+    for instruction in (RELIED_SOURCE, ANSWER_UNIT):
+        q = F.regexp_replace(q, instruction, "$1")
     return F.trim(F.regexp_replace(q, r"(?U)\s+", " "))
 
 
@@ -149,9 +161,9 @@ def compact_text(c: Column, width: int) -> Column:
 def answer_units(c: Column) -> Column:
     """array<struct<unit_id, text>>: lines without list marks, split at semicolons and at sentence ends before a capital, digit or star."""
     lines = F.split(c, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")
-    lines = F.transform(lines, lambda x: F.regexp_replace(strip(x), r"(?U)^(?:[-*]\s+|\d+\.\s+)", ""))
-    clauses = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?U);\s+")))
-    parts = F.flatten(F.transform(clauses, lambda x: F.split(x, r"(?U)(?<=[.!?])\s+(?=[A-Z0-9*])")))
+    lines = F.transform(lines, lambda x: F.regexp_replace(strip(x), LIST_MARK, ""))
+    clauses = F.flatten(F.transform(lines, lambda x: F.split(x, CLAUSE_END)))
+    parts = F.flatten(F.transform(clauses, lambda x: F.split(x, SENTENCE_END)))
     parts = F.filter(F.transform(parts, strip), lambda x: x != "")
     return F.transform(parts, lambda x, i: F.struct(F.concat(F.lit("U"), i + 1).alias("unit_id"), x.alias("text")))
 

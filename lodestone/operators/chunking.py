@@ -1,13 +1,17 @@
-"""Token-window chunks of pages, in closed form: no loop over windows, no Python."""
+"""Token-window chunks of pages: in closed form, without Python, for tokens that a pattern gives; window by window for any other tokenizer."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from .checks import duplicate_keys, enforce
 
 
 @dataclass(frozen=True)
@@ -56,14 +60,71 @@ def chunk_pages(pages: DataFrame, config: ChunkConfig = ChunkConfig(), header: C
     body = T.strip(raw)
     start = before + F.length(raw) - F.length(F.regexp_replace(raw, r"(?U)^\s+", ""))
     keep = [c for c in pages.columns if c != "text"]
-    name = F.concat(T.safe_identifier(F.col("doc_name").cast("string")), F.lit("_p"), F.col("page").cast("string"), F.lit("_c"), F.lpad(F.col("chunk_index").cast("string"), 3, "0"))
-    wide = F.concat(T.safe_identifier(F.col("doc_name").cast("string")), F.lit("_p"), F.col("page").cast("string"), F.lit("_c"), F.col("chunk_index").cast("string"))
     return p.select(
-        *keep, "chunk_index", F.when(F.col("chunk_index") < 1000, name).otherwise(wide).alias("chunk_id"), body.alias("text"), F.concat("_header", body).alias("retrieval_text"),
+        *keep, "chunk_index", _chunk_id().alias("chunk_id"), body.alias("text"), F.concat("_header", body).alias("retrieval_text"),
         "token_start", "token_end", start.cast("int").alias("char_start"), (start + F.length(body)).cast("int").alias("char_end"), "content_capacity",
     )
 
 
+def chunk_pages_with(pages: DataFrame, tokenizer: Callable[[str], list[tuple[int, int]]], config: ChunkConfig = ChunkConfig(), header: Column | None = None) -> DataFrame:
+    """chunk_pages() for any tokenizer, given as a function from a text to its tokens' (start, end) places in code points.
+
+    Such tokenizers may give a piece of a text more tokens than it had inside, so a window gives up tokens at its end until header and piece fit; the next one starts
+    `overlap` tokens before where it really ended. A window without text is not made and takes no number. Pages are independent, in Arrow batches.
+    """
+    keep = [f for f in pages.schema.fields if f.name != "text"]
+    extra = "chunk_index int, chunk_id string, text string, retrieval_text string, token_start int, token_end int, char_start int, char_end int, content_capacity int"
+    schema = StructType([*keep, *StructType.fromDDL(extra).fields])
+    fields = extra.replace(",", "").split()[::2]
+
+    def windows(text: str, head: str) -> Iterator[tuple]:
+        spans, room = tokenizer(text), config.capacity - len(tokenizer(head))
+        if spans and room <= config.overlap:
+            raise ValueError("header leaves no room for content")
+        first, number = 0, 0
+        while first < len(spans):
+            last = min(first + room, len(spans))
+            while True:
+                raw = text[spans[first][0] : spans[last - 1][1]]
+                over = len(tokenizer(head + raw.strip())) - config.capacity
+                if over <= 0 or last - first == 1:
+                    break
+                last = max(first + 1, last - over)
+            body = raw.strip()
+            if body:
+                at = spans[first][0] + len(raw) - len(raw.lstrip())
+                yield number, body, first, last, at, at + len(body), room
+                number += 1
+            if last >= len(spans):
+                return
+            first = max(first + 1, last - config.overlap)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, (text, head) in enumerate(zip(b["text"], b["_header"], strict=True)):
+                for number, body, first, last, start, end, room in windows(text or "", head or ""):
+                    rows.append((k, number, "", body, (head or "") + body, first, last, start, end, room))
+            made = pd.DataFrame(rows, columns=["_k", *fields])
+            out = b.drop(columns=["text", "_header"]).iloc[made["_k"].to_numpy(dtype=int)].reset_index(drop=True)
+            yield pd.concat([out, made.drop(columns="_k")], axis=1)
+
+    made = pages.withColumn("_header", F.coalesce(header, F.lit("")) if header is not None else F.lit("")).mapInPandas(run, schema)
+    return made.withColumn("chunk_id", _chunk_id())
+
+
+def _chunk_id() -> Column:
+    number = F.col("chunk_index").cast("string")
+    number = F.when(F.col("chunk_index") < 1000, F.lpad(number, 3, "0")).otherwise(number)
+    return F.concat(T.safe_identifier(F.col("doc_name").cast("string")), F.lit("_p"), F.col("page").cast("string"), F.lit("_c"), number)
+
+
+def require_unique(chunks: DataFrame) -> DataFrame:
+    """chunks, in which an id that is there twice raises."""
+    enforce(duplicate_keys(chunks, ["chunk_id"], "duplicate_chunk"))
+    return chunks
+
+
 def uncovered_pages(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pages with text that have no chunk; empty if all is well."""
     return pages.where(T.strip(F.col("text")) != "").join(chunks.select("doc_name", "page").distinct(), ["doc_name", "page"], "left_anti").select("doc_name", "page")

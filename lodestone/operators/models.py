@@ -6,17 +6,20 @@ import hashlib
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 Encoder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[tuple[str, str]]], list[float]]
 Generator = Callable[[list[str]], list[str]]
 _WORD = re.compile(r"\w+")
+#: What a prompt is followed by when its response was not valid.
+FEEDBACK = "\n\nThe last response was rejected: %s. Answer again, in the form asked for."
 
 
 def hashing_encoder(dim: int = 64) -> Encoder:
@@ -91,6 +94,39 @@ def generate(df: DataFrame, prompt: str, generator: Generator = echo_generator,
     return df.mapInPandas(run, schema)
 
 
+def call_each(df: DataFrame, prompt: str, model: Callable[[str], str], validate: Callable[[str], str | None] | None = None, attempts: int = 3, concurrency: int = 4, feedback: str = FEEDBACK) -> DataFrame:
+    """Adds response, latency_ms, parse_attempts and model_error for a model that answers one prompt at a time.
+
+    validate gives what is wrong with a response, or None; then the prompt is asked again with that said after it, up to `attempts` times, and the last error stays with no
+    response. At most `concurrency` calls are open per task, so there are at most that many times the running tasks in all. Times are each row's own, all its attempts together.
+    """
+    added = [StructField("response", StringType()), StructField("latency_ms", DoubleType()), StructField("parse_attempts", LongType()), StructField("model_error", StringType())]
+    schema = StructType([*df.schema.fields, *added])
+
+    def one(text: str) -> tuple[str | None, float, int, str | None]:
+        began, asked, error = time.perf_counter(), text, None
+        for k in range(1, attempts + 1):
+            try:
+                said = model(asked)
+                error = validate(said) if validate else None
+                if error is None:
+                    return said, (time.perf_counter() - began) * 1000, k, None
+                asked = text + feedback % error
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"
+                if k < attempts:
+                    time.sleep(0.1 * 2 ** (k - 1))
+        return None, (time.perf_counter() - began) * 1000, attempts, error
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(concurrency) as pool:
+            for b in batches:
+                got = list(pool.map(one, b[prompt]))
+                yield b.assign(**{f.name: [g[i] for g in got] for i, f in enumerate(added)})
+
+    return df.mapInPandas(run, schema)
+
+
 def _best_cosines(a: list[str], b: list[str], encoder: Encoder, block: int = 512) -> tuple[float, float]:
     """Mean over the words of each side of the best cosine with the other's; a block of each side is encoded at a time."""
     down, across = np.full(len(a), -np.inf), np.full(len(b), -np.inf)

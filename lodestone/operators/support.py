@@ -13,6 +13,15 @@ ASSESSMENTS = "array<struct<unit_id:string,factual:boolean,supported:boolean,sup
 SUPPORT_TYPES = ("direct", "arithmetic", "unsupported")
 LABELS = ("correct", "partially_correct", "incorrect", "failure_to_answer")
 STATUSES = ("answered", "incorrect", "missing")
+# Why a guard turned support off.
+GUARDS = {
+    "missing": "missing_unit_assessment",
+    "conflict": "support_type_conflict",
+    "unknown": "missing_or_unknown_evidence_id",
+    "premise": "arithmetic_premise_not_cited",
+    "absent": "financial_number_absent_from_passage",
+    "nonfactual": "financial_unit_marked_nonfactual",
+}
 
 
 def parse_assessments(payload: Column) -> Column:
@@ -44,9 +53,9 @@ def guard_claims(df: DataFrame, units: str = "units", passages: str = "passages"
         weak = (strip(x["derivation"]) == "") | (F.size(premises) == 0) | (F.size(F.array_except(premises, keys)) > 0)
         on = x["supported"]
         reason = (
-            F.when(x.isNull(), "missing_unit_assessment").when(~x["factual"], "financial_unit_marked_nonfactual").when(on & (x["support_type"] == "unsupported"), "support_type_conflict")
-            .when(on & unknown, "missing_or_unknown_evidence_id").when(on & (x["support_type"] == "direct") & absent, "financial_number_absent_from_passage")
-            .when(on & (x["support_type"] == "arithmetic") & weak, "arithmetic_premise_not_cited").otherwise("")
+            F.when(x.isNull(), GUARDS["missing"]).when(~x["factual"], GUARDS["nonfactual"]).when(on & (x["support_type"] == "unsupported"), GUARDS["conflict"])
+            .when(on & unknown, GUARDS["unknown"]).when(on & (x["support_type"] == "direct") & absent, GUARDS["absent"])
+            .when(on & (x["support_type"] == "arithmetic") & weak, GUARDS["premise"]).otherwise("")
         )
         return F.struct(
             unit["unit_id"].alias("unit_id"), unit["text"].alias("claim"), F.coalesce(on, F.lit(False)).alias("judge_supported"), (F.coalesce(on, F.lit(False)) & (reason == "")).alias("supported"),

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..operators import checks, validation
 
 
@@ -44,7 +45,32 @@ def _line(spark: SparkSession, file: str, text: str | None) -> str:
     return f":{found[0] + 1}" if found else ""
 
 
-def load_chunks(spark: SparkSession, path: str, schema: str, required: list[str] = ("chunk_id", "doc_name", "page", "text", "retrieval_text")) -> DataFrame:
+def load_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Questions from JSON lines; one without an id or with a blank text, an id that is there twice, or an empty file raises."""
+    df = read_strict_jsonl(spark, path, schemas.QUESTION)
+    checks.enforce(checks.together(validation.question_records(df), checks.duplicate_keys(df.where("question_id is not null"), ["question_id"])))
+    return df
+
+
+def load_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages from JSON lines; a page that is there twice raises."""
+    df = read_strict_jsonl(spark, path, schemas.PAGE, ["doc_name", "page"])
+    checks.enforce(checks.duplicate_keys(df, ["doc_name", "page"]))
+    return df
+
+
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return checks.require_columns(read_csv(spark, path, schemas.MANIFEST), ["doc_name", "download_status"])
+
+
+def load_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Answer records from JSON lines; a question that an architecture answered twice raises."""
+    df = read_strict_jsonl(spark, path, schemas.ANSWER, ["question_id", "architecture"])
+    checks.enforce(checks.duplicate_keys(df, ["architecture", "question_id"]))
+    return df
+
+
+def load_chunks(spark: SparkSession, path: str, schema: str = schemas.CHUNK, required: list[str] = ("chunk_id", "doc_name", "page", "text", "retrieval_text")) -> DataFrame:
     """Chunks from JSON lines; a missing field, an id that is there twice, a blank text or an empty file raises."""
     df = read_strict_jsonl(spark, path, schema)
     checks.require_columns(df, list(required))

@@ -1,8 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import evidence, retrieval_eval, rollups, selection, stats, validation
+from lodestone.operators import chunking, evidence, models, retrieval_eval, rollups, selection, stats, validation
 from lodestone.sources import io
 
 
@@ -116,3 +118,58 @@ def test_the_table_of_tests_is_put_together(spark):
         stats.evaluate(long, plan.withColumn("metric", F.lit("other")), "run", 30)
     planned = stats.planned_comparisons(spark)
     assert planned.count() == 21 and planned.where("hypothesis = 'H0,H1'").count() == 1 and planned.where("source = 'latency'").count() == 4
+
+
+def tokenizers():
+    """Words; and one whose pieces may have more tokens than they had inside: a text's first word is cut into letters."""
+
+    def words(text):
+        return [m.span() for m in re.finditer(r"\S+", text)]
+
+    def first_in_letters(text):
+        s = words(text)
+        return [(k, k + 1) for k in range(*s[0])] + s[1:] if s else []
+
+    return words, first_in_letters
+
+
+def test_any_tokenizer_cuts_pages(spark):
+    spans, wordy = tokenizers()
+    rng = np.random.default_rng(5)
+    pages = [("d", k, "".join(rng.choice(["a", "bb ", "\n", " ccc", "é "], rng.integers(0, 120)))) for k in range(12)] + [("e f", 0, None), ("e f", 1, " \n")]
+    config = chunking.ChunkConfig(size=24, overlap=5)
+    d = spark.createDataFrame(pages, "doc_name string, page int, text string")
+    key = lambda df: sorted((r.doc_name, r.page, r.chunk_index, r.chunk_id, r.text, r.retrieval_text, r.token_start, r.token_end, r.char_start, r.char_end, r.content_capacity) for r in df.collect())
+    assert key(chunking.chunk_pages_with(d, spans, config, F.lit("h "))) == key(chunking.require_unique(chunking.chunk_pages(d, config, F.lit("h "))))
+    long = spark.createDataFrame([("d", 0, " ".join(f"word{k}" for k in range(60)))], "doc_name string, page int, text string")
+    got = chunking.chunk_pages_with(long, wordy, config).orderBy("chunk_index").collect()
+    assert all(len(wordy(r.text)) <= config.capacity for r in got) and [r.chunk_index for r in got] == list(range(len(got)))
+    assert got[0].token_start == 0 and got[-1].token_end == len(wordy(long.first().text))
+    assert all(b.token_start == max(a.token_start + 1, a.token_end - 5) for a, b in zip(got, got[1:], strict=False))
+    with pytest.raises(ValueError, match="duplicate_chunk"):
+        chunking.require_unique(spark.createDataFrame([("a",), ("a",)], "chunk_id string"))
+
+
+def test_models_are_asked_again_with_what_was_wrong(spark):
+    def model(prompt):
+        if "silent" in prompt:
+            raise TimeoutError("no answer")
+        return "7" if "rejected: not a number" in prompt or "good" in prompt else "seven"
+
+    d = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "silent")], "k long, prompt string")
+    got = {r.k: r for r in models.call_each(d, "prompt", model, lambda x: None if x.isdigit() else "not a number", attempts=2, concurrency=2).collect()}
+    assert [(got[k].response, got[k].parse_attempts, got[k].model_error) for k in (1, 2, 3)] == [("7", 1, None), ("7", 2, None), (None, 2, "TimeoutError: no answer")]
+    assert got[3].latency_ms > 90 > got[1].latency_ms >= 0
+
+
+def test_records_load_under_their_schemas(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"question_id": "a", "question": "why?"}\n{"question_id": "b", "question": " "}\n')
+    with pytest.raises(ValueError, match="question_record b: question"):
+        io.load_questions(spark, str(tmp_path / "q.jsonl"))
+    (tmp_path / "p.jsonl").write_text('{"doc_name": "d", "page": 0, "text": "t"}\n')
+    assert io.load_pages(spark, str(tmp_path / "p.jsonl")).first().text == "t"
+    (tmp_path / "a.jsonl").write_text('{"question_id": "a", "architecture": "P0"}\n' * 2)
+    with pytest.raises(ValueError, match="duplicate_key P0|a: 2"):
+        io.load_answers(spark, str(tmp_path / "a.jsonl"))
+    (tmp_path / "m.csv").write_text("doc_name,company,doc_type,doc_period,source_url,local_path,download_status,resolved_url,download_source,http_status,file_size_bytes,sha256,pdf_pages,error\nd,,,,,,downloaded,,,,,,3,\n")
+    assert io.load_manifest(spark, str(tmp_path / "m.csv")).first().pdf_pages == 3
