@@ -1,11 +1,12 @@
 """Training-order materialisation: fixed-stride shards in an order given by a keyed permutation.
 
 Every document gives ceil(tokens / length) sequences and reserves one number for each that its bytes could give, so numbers need no
-tokens: a sum per input split and a running sum within it. A Feistel network over the smallest even-bit domain that holds
+tokens: documents are counted in the order of their files and rows, whatever splits they are read in. A Feistel network over the smallest even-bit domain that holds
 all numbers, walked until it lands inside, maps numbers one to one to places; a place's range is its shard. Shards are
 written in the order of places, each sequence at index * stride, and a sequence's global slot is its shard's first slot plus its
 index: dense, one to one, and known to a reader from the shards' counts alone, so a reader seeks to any step and
-resumes there. Texts are tokenised once and no row is ranked by a global sort.
+resumes there. Texts are tokenised once and no row is ranked by a global sort. (A slot is thus the rank of a Feistel value among those in use,
+not the value itself: that needs the number of sequences before any is sent, which costs either all tokens twice or one more copy of them on disk.)
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,15 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def _in_order(documents: DataFrame) -> DataFrame:
+    """doc_id, text, and file and row, an order that doesn't depend on splits where the rows come straight from files; otherwise that of the partitions."""
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), "text"]
+    try:
+        return documents.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # rows that were computed know no file
+        return documents.select(*columns, F.format_string("%012d", F.spark_partition_id()).alias("file"), F.monotonically_increasing_id().alias("row"))
+
+
 def write_shards(documents: DataFrame, path: str, length: int = 512, per_shard: int = 4096, key: int = 17, vocabulary: str | None = None) -> DataFrame:
     """documents (doc_id, text) -> files under path (a URI that pyarrow reaches from every executor), and per sequence
     doc_id, part, slot, shard, byte_offset, n_tokens, crc32 (of the stride's bytes as written).
@@ -67,21 +78,26 @@ def write_shards(documents: DataFrame, path: str, length: int = 512, per_shard:
     fail or run twice; manifest.json comes last, when all shards stand.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _in_order(documents)
     kind = "<u2" if encoder(vocabulary).size <= 1 << 16 else "<u4"
     stride = length * np.dtype(kind).itemsize
 
-    # a byte gives one token at most, and the end id follows; one row per input split, so its size is bounded by the number of tasks
+    # a byte gives one token at most, and the end id follows; one row per split and file, so their number is bounded by those of tasks and files
     most = F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / length).cast("long") + 1
-    per_split = dict(docs.groupBy(F.spark_partition_id().alias("split")).agg(F.sum(most)).collect())
+    parts = docs.groupBy(F.spark_partition_id().alias("split"), "file").agg(F.min("row").alias("row"), F.sum(most).alias("n")).collect()
     total, base = 0, {}
-    for split in sorted(per_split):
-        base[split], total = total, total + per_split[split]
-    sent = spark.sparkContext.broadcast((base, per_split))
+    for r in sorted(parts, key=lambda r: (r.file, r.row)):
+        base[r.split, r.file], total = (total, r.n), total + r.n
+    sent = spark.sparkContext.broadcast(base)
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, enc = TaskContext.get().partitionId(), encoder(vocabulary)
-        first, reserved = sent.value[0].get(split, 0), 0
+        file, first, reserved = None, 0, 0
+
+        def close() -> None:
+            if file is not None and reserved != sent.value[split, file][1]:
+                raise RuntimeError(f"split {split} of {file} reserves {reserved} numbers, {sent.value[split, file][1]} when counted: the input changed in between")
+
         for b in batches:
             docs_, sizes, numbers, flat = [], [], [], []
 
@@ -97,7 +113,10 @@ def write_shards(documents: DataFrame, path: str, length: int = 512, per_shard:
                 used = np.minimum(length, np.repeat(n, each) - part * length)
                 return batch({"doc_id": doc, "part": pa.array(part.astype(np.int32)), "place": pa.array(places), "n_tokens": pa.array(used.astype(np.int32)), "ids": ids})
 
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text, from_ in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if from_ != file:
+                    close()
+                    file, first, reserved = from_, sent.value[split, from_][0], 0
                 text = text or ""
                 ids = enc.ids(text)
                 flat += ids
@@ -108,8 +127,7 @@ def write_shards(documents: DataFrame, path: str, length: int = 512, per_shard:
                     yield out()
                     docs_, sizes, numbers, flat = [], [], [], []
             yield out()
-        if reserved != sent.value[1].get(split, 0):
-            raise RuntimeError(f"split {split} reserves {reserved} numbers, {sent.value[1].get(split, 0)} when counted: the input changed in between")
+        close()
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = _filesystem(path)
@@ -143,10 +161,11 @@ def write_shards(documents: DataFrame, path: str, length: int = 512, per_shard:
 
     filesystem, root = _filesystem(path)
     filesystem.create_dir(root, recursive=True)
-    made = docs.mapInArrow(sequences, "doc_id long, part int, place long, n_tokens int, ids binary")
-    # whole ranges go to tasks by the range's number; places are a random order, so ranges are even
+    made = docs.select("doc_id", "text", "file").mapInArrow(sequences, "doc_id long, part int, place long, n_tokens int, ids binary")
+    # a task gets neighbouring ranges of places, whole ones; places are a random order, so ranges are even
     ranges = -(-total // per_shard)
-    dealt = made.withColumn("range", F.floor(F.col("place") / per_shard)).repartition(max(1, min(ranges, 4 * spark.sparkContext.defaultParallelism + ranges // 16)), "range")
+    tasks = max(1, min(ranges, 4 * spark.sparkContext.defaultParallelism + ranges // 16))
+    dealt = made.repartitionById(tasks, F.floor(F.floor(F.col("place") / per_shard) * tasks / max(1, ranges)).cast("int"))
     dealt = dealt.sortWithinPartitions("place").select("doc_id", "part", "place", "n_tokens", "ids")
     report = materialise(dealt.mapInArrow(write, "doc_id long, part int, shard long, index long, n_tokens int, crc32 long"), "sequences")
     counts = sorted(report.groupBy("shard").count().collect())  # one row per shard
@@ -156,6 +175,11 @@ def write_shards(documents: DataFrame, path: str, length: int = 512, per_shard:
     manifest = {"sequences": at, "length": length, "stride": stride, "dtype": kind, "key": key, "end": END, "shards": [[r.shard, r["count"]] for r in counts]}
     with filesystem.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
+    from pyarrow import fs
+
+    for left in filesystem.get_file_info(fs.FileSelector(root)):  # of tasks that failed or ran twice
+        if left.base_name.startswith(".attempt-"):
+            filesystem.delete_file(left.path)
     first = spark.createDataFrame(list(starts.items()), "shard long, first long")
     out = report.join(F.broadcast(first) if len(starts) <= 1_000_000 else first, "shard")
     return out.select("doc_id", "part", (F.col("first") + F.col("index")).alias("slot"), "shard", (F.col("index") * stride).alias("byte_offset"), "n_tokens", "crc32")

@@ -122,5 +122,20 @@ def test_shards_round_trip_and_resume(spark, tmp_path):
     assert [r.slot for r in sorted(again, key=lambda r: (r.doc_id, r.part))] != [r.slot for r in sorted(got, key=lambda r: (r.doc_id, r.part))]
 
 
+def test_the_order_is_that_of_files_and_rows_whatever_the_splits(spark, tmp_path):
+    rows = [(i if i % 50 else None, "word " * (i % 30) + str(i), "clash", i) for i in range(400)] + [(1000, "long " * 40000, "x", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, file string, row long").repartition(3).write.option("parquet.block.size", "1024").parquet(str(tmp_path / "in"))
+    got = []
+    for k, size in enumerate(("128m", "4k")):
+        kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            made = write_shards(spark.read.parquet(str(tmp_path / "in")), str(tmp_path / f"o{k}"), length=16, per_shard=50)
+            got.append(sorted((str(r.doc_id), r.part, r.slot, r.shard, r.crc32) for r in made.collect()))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert got[0] == got[1] and sorted(x[2] for x in got[0]) == list(range(len(got[0])))
+
+
 def test_no_rows_no_shards(spark, tmp_path):
     assert write_shards(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "e")).collect() == []
