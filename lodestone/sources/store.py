@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +20,40 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
+#: Paths that materialise() has written in the innermost scratch() that is open.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df once to the shared folder and read it back, so a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What materialise() writes inside is removed at the end: for steps of which nothing reads the tables afterwards."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of make(), written; the tables that it wrote on its way are removed once the result stands."""
+    outer = _MADE.get()
+    with scratch(spark):
+        made = make()
+        inner = _MADE.set(outer)
+        try:
+            return materialise(made, name)
+        finally:
+            _MADE.reset(inner)
