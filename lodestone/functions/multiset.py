@@ -18,6 +18,6 @@ def overlap(a: Column, b: Column) -> Column:
             return F.transform(F.array(begins), equals)[0]
 
         # a one-element array binds what it holds to a variable, so it is not computed again for every element
-        return F.transform(F.array(F.array_sort(x)), number)[0]
+        return F.transform(F.array(F.sort_array(x)), number)[0]
 
     return F.size(F.array_intersect(ranked(a), ranked(b)))

@@ -40,7 +40,7 @@ def term_counts(tokens: Column) -> tuple[Column, Column, Column]:
     begins = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("_s", i) != F.get("_s", i - 1)))).otherwise(nothing)
     m = F.size("_b")
     at = F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(nothing)
-    return F.array_sort(tokens), begins, F.transform(at, lambda j: F.struct(F.get("_s", F.get("_b", j)).alias("term"), (F.coalesce(F.get("_b", j + 1), n) - F.get("_b", j)).alias("tf")))
+    return F.sort_array(tokens), begins, F.transform(at, lambda j: F.struct(F.get("_s", F.get("_b", j)).alias("term"), (F.coalesce(F.get("_b", j + 1), n) - F.get("_b", j)).alias("tf")))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens=raw_financial_tokens, fold=F.lower) -> SparseIndex:
