@@ -24,10 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 _MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df once to the shared folder and read it back, so a lost executor costs no recomputation."""
+#: For tables whose single rows take megabytes: pages and row groups end by their bytes, not after a hundred rows.
+WIDE = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4", "parquet.block.size": str(16 << 20)}
+
+
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Cut lineage: write df once to the shared folder and read it back, so a lost executor costs no recomputation. options are the writer's."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if (made := _MADE.get()) is not None:
         made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
