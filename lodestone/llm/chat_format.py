@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PER_SALT, batch, fan_join, materialise
+from .common import PER_SALT, batch, fan_join, kept, materialise
 from .tokens import encoder
 
 #: Stands for a null conv_id inside.
@@ -120,7 +120,7 @@ def _refs(turns: DataFrame) -> DataFrame:
                 depths.append(d), keys.append(k)
             yield batch({"conv_id": b.column(1), "depth": pa.array(depths, pa.int64()), "key": pa.array(keys, pa.binary()), "digest": b.column(4)})
 
-    return materialise(local.mapInArrow(carried, "conv_id long, depth long, key binary, digest binary"), "refs")
+    return local.mapInArrow(carried, "conv_id long, depth long, key binary, digest binary")
 
 
 def _contents(vocabulary: str | None):
@@ -193,7 +193,14 @@ def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tupl
     rows = conversations.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     # the role's length stands before it, so no other turn has the same bytes
     rows = rows.withColumn("digest", F.unhex(F.substring(F.sha2(F.concat_ws("", F.length("role"), F.lit(":"), "role", "text"), 256), 1, 30)))
-    refs = _refs(rows.select("conv_id", "turn", "role", F.substring("text", 1, 32).alias("tie"), "digest"))
+    refs = kept(spark, "refs", lambda: _refs(rows.select("conv_id", "turn", "role", F.substring("text", 1, 32).alias("tie"), "digest")))
+    tree = kept(spark, "tree", lambda: _tree(rows, refs, vocabulary))
+    return tree, refs.select(F.when(F.col("conv_id") != NO_ID, F.col("conv_id")).alias("conv_id"), "depth", "key")
+
+
+def _tree(rows: DataFrame, refs: DataFrame, vocabulary: str | None) -> DataFrame:
+    """The nodes of prefix_tree() from rows (digest, role, text) and refs."""
+    spark = rows.sparkSession
     owners = materialise(refs.groupBy("key").agg(F.min("conv_id").alias("owner"), F.count("*").alias("convs"), F.first("depth").alias("depth"), F.first("digest").alias("digest")), "owners")
     # a branch of a conversation's path: nodes of one owner, always an unbroken run
     found = fan_join(refs.select("conv_id", "key", "depth"), owners.select("key", "owner", "convs"), ["key"], "convs", "conv_id")
@@ -238,8 +245,7 @@ def prefix_tree(conversations: DataFrame, vocabulary: str | None = None) -> tupl
             yield batch({"key": b.column(0), "depth": b.column(3), "convs": b.column(4), "ids": pa.array(ids, pa.binary()), "n": b.column(5), "stream_start": b.column(6), "position_start": b.column(7), "attends": b.column(8), "text_from": pa.array(lo, pa.int32()), "text_to": pa.array(hi, pa.int32()), "learn": pa.array(learn, pa.bool_())})
 
     schema = "key binary, depth long, convs long, ids binary, n long, stream_start long, position_start long, attends array<struct<start:long,end:long>>, text_from int, text_to int, learn boolean"
-    tree = full.select("key", "body", "role", "depth", "convs", "n", "stream_start", "position_start", "attends").mapInArrow(write, schema)
-    return materialise(tree, "tree"), refs.select(F.when(F.col("conv_id") != NO_ID, F.col("conv_id")).alias("conv_id"), "depth", "key")
+    return full.select("key", "body", "role", "depth", "convs", "n", "stream_start", "position_start", "attends").mapInArrow(write, schema)
 
 
 def read_back(nodes: DataFrame, refs: DataFrame, vocabulary: str | None = None) -> DataFrame:

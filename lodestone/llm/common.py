@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import materialise, shared_dir
+from ..sources.store import kept, materialise, scratch, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "PER_SALT", "batch", "fan_join", "materialise", "maybe_broadcast", "shared_dir", "table"]
+__all__ = ["BROADCAST_BYTES", "PER_SALT", "batch", "bound_batches", "fan_join", "kept", "materialise", "maybe_broadcast", "scratch", "shared_dir", "table", "wide_rows"]
 
 #: A side is broadcast only after its rows were counted and it takes at most so many bytes.
 BROADCAST_BYTES = 64 << 20
-
-
 #: Rows that ask for one row in one task of fan_join(); a row that more ask for is dealt out several times.
 PER_SALT = 256
 
 
+#: Bytes of an Arrow batch, which the JVM, the pipe and a worker each hold a copy of.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's spark.sql.execution.arrow.maxBytesPerBatch to BATCH_BYTES at most, so what a worker holds at once follows neither rows nor their length."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+@contextmanager
+def wide_rows(spark: SparkSession, rows: int = 8) -> Iterator[None]:
+    """Inside, tables whose single rows take megabytes are read a few rows at a time; only for what is executed inside."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

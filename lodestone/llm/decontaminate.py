@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch, materialise
+from ..sources.store import WIDE
+from .common import batch, bound_batches, kept, materialise, wide_rows
 
 #: Bytes of item text that are broadcast at once; larger test sets are searched slice by slice.
 SLICE_BYTES = 8 << 20
 INDEX = "block long, doc_ids binary, bounds binary, terms binary, starts binary, postings binary"
-_KINDS = (np.int64, np.int64, np.uint64, np.int64, np.int32)
+_KINDS = (np.int64, np.int64, np.uint64, np.int32, np.int32)
 #: Words that the terms of a window may each stand away from their place in a proximity match.
 NEAR = 2
 
@@ -34,7 +35,7 @@ def build_index(documents: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> one row per block of about a megabyte of text; write it with .write.parquet to keep it.
 
     block numbers the blocks; doc_ids and bounds (words before each document) are int64 arrays, a null doc_id is the smallest int64;
-    terms uint64, starts int64 and postings int32 arrays. Null texts have no words.
+    terms uint64, starts and postings int32 arrays. Null texts have no words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +55,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
             order = np.argsort(h, kind="stable")
             s = h[order]
             at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-            yield ids[lo:hi].astype(np.int64), before.astype(np.int64), s[at], np.append(at, len(s)).astype(np.int64), order.astype(np.int32)
+            yield ids[lo:hi].astype(np.int64), before.astype(np.int64), s[at], np.append(at, len(s)).astype(np.int32), order.astype(np.int32)
 
 
 class Windows:
@@ -76,6 +77,7 @@ class Windows:
 def _shifted(row: tuple[np.ndarray, ...], matrix: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, start position, document of the block) of the occurrences in one block, each in one document; with slop, each term may stand up to slop words from its place."""
     _, bounds, terms, starts, postings = row
+    starts = starts.astype(np.int64)
     w = matrix.shape[1]
     at = np.searchsorted(terms, matrix)
     at[at == len(terms)] = 0
@@ -194,6 +196,9 @@ def _found(block: int, row: tuple[np.ndarray, ...], windows: Windows, slop: int,
 
 
 def contamination(documents: DataFrame, items: DataFrame, size: int = 13, slop: int = 0, share: int = 20, near: int = 0) -> DataFrame:
-    """search() over documents, whose index is stored in the shared folder first, and contaminated: n_hit > 0 and share * n_hit >= n_words."""
-    found = search(materialise(build_index(documents), "index"), items, size, slop, near)
+    """search() over documents, whose index stands in the shared folder until the answers do, and contaminated: n_hit > 0 and share * n_hit >= n_words."""
+    spark = documents.sparkSession
+    bound_batches(spark)
+    with wide_rows(spark):
+        found = kept(spark, "found", lambda: search(materialise(build_index(documents), "index", **WIDE), items, size, slop, near))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))

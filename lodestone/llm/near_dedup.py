@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch, materialise, maybe_broadcast
+from .common import batch, kept, materialise, maybe_broadcast
 from .graph import connected_components
 
 SKETCH = 96
@@ -221,22 +221,8 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, sketch: int) ->
     return both.select("a", "b", "sa", "sb").mapInArrow(_estimate(sketch), "a long, b long, est double, base long").where(F.col("est") >= t - slack).select("a", "b")
 
 
-def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sketch: int = SKETCH, exact: bool = False) -> DataFrame:
-    """documents (doc_id, text) -> (doc_id, n_shingles, component_id, kept).
-
-    Words are runs without blank space, A-Z lower-cased; a set holds the distinct shingles of `size` words, or
-    the whole sequence if there are fewer. Two documents link if 100 * |intersection| >= percent * |union|.
-    Null and empty texts have an empty set and link with nothing. Rows that repeat a doc_id count as one
-    document. A row without doc_id is linked with nothing: its component is null and it is not kept. Columns beside doc_id and text
-    are not read. An empty table gives an empty result. exact: see above.
-    """
-    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_ = materialise(documents.mapInArrow(_sketches(size, sketch, percent, exact), "doc_id long, n long, f1 long, f2 long, sketch binary, odd binary"), "sketches")
-    real = all_.where("n > 0 and doc_id is not null")
-    # one class per set; the sketch of a class is the same whichever row it comes from
-    classes = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "sketch", "odd")).alias("x"), F.count("*").alias("copies"))
-    classes = materialise(classes.select("f1", "f2", "n", F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch"), F.col("x.odd").alias("odd"), "copies"), "classes")
-    levels = tiers(percent, sketch)
+def _shared_lists(classes: DataFrame, levels: list[tuple[int, int, int]], exact: bool) -> DataFrame:
+    """(key, doc, n, w): the lists with several members; w counts the lists that a member shares."""
     lists = materialise(classes.select("rep", "n", "sketch").mapInArrow(_keys(levels, exact), "key long, doc long, n long, kind int"), "lists")
     window = "over (partition by key order by doc)"
     alone = lists.where("kind < 2").selectExpr("key", "doc", "n", "kind", f"lag(key) {window} as x", f"lead(key) {window} as y")
@@ -244,14 +230,20 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sket
     shared = materialise(shared, "shared")
     # a list's head is the member with the most shared lists: what others were copied from shares more than copies do
     weight = shared.groupBy("doc").agg(F.count("*").alias("w"))
-    shared = materialise(shared.join(weight, "doc").select("key", "doc", "n", "w"), "shared")
+    return shared.join(weight, "doc").select("key", "doc", "n", "w")
+
+
+def _components(classes: DataFrame, documents: DataFrame, percent: int, size: int, sketch: int, exact: bool) -> DataFrame:
+    """(node, component) over the representatives of classes that have links."""
+    spark = documents.sparkSession
+    shared = kept(spark, "shared", lambda: _shared_lists(classes, tiers(percent, sketch), exact))
     heads = shared.groupBy("key").agg(F.max(F.struct("w", -F.col("doc"), "n")).alias("h")).select("key", (-F.col("h.col2")).alias("head"), F.col("h.n").alias("m"))
     star = shared.join(heads, "key").where(f"doc <> head and 100 * least(n, m) >= {percent} * greatest(n, m)")
     best = star.groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("times"))
     best = materialise(best.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b")), "best")
     sketches = classes.select("rep", "sketch")
-    links = materialise(_confirm(best, sketches, documents, percent, size, sketch, exact), "links")
-    parts = materialise(connected_components(links), "components")
+    links = kept(spark, "links", lambda: _confirm(best, sketches, documents, percent, size, sketch, exact))
+    parts = kept(spark, "components", lambda: connected_components(links))
     # whatever shares a list and is in another component still
     rows = shared.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
     mixed = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
@@ -262,8 +254,27 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sket
     rest = rows.alias("l").join(rows.alias("r"), F.expr(f"l.key = r.key and l.c < r.c and {_near_enough(percent, exact)}"))
     rest = rest.select(F.greatest("l.doc", "r.doc").alias("a"), F.least("l.doc", "r.doc").alias("b")).distinct()
     rest = rest.join(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _confirm(rest, sketches, documents, percent, size, sketch, exact)
-    parts = connected_components(links.unionAll(more))
+    more = kept(spark, "more", lambda: _confirm(rest, sketches, documents, percent, size, sketch, exact))
+    return connected_components(links.unionAll(more))
+
+
+def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sketch: int = SKETCH, exact: bool = False) -> DataFrame:
+    """documents (doc_id, text) -> (doc_id, n_shingles, component_id, kept).
+
+    Words are runs without blank space, A-Z lower-cased; a set holds the distinct shingles of `size` words, or
+    the whole sequence if there are fewer. Two documents link if 100 * |intersection| >= percent * |union|.
+    Null and empty texts have an empty set and link with nothing. Rows that repeat a doc_id count as one
+    document. A row without doc_id is linked with nothing: its component is null and it is not kept. Columns beside doc_id and text
+    are not read. An empty table gives an empty result. exact: see above.
+    """
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    all_ = materialise(documents.mapInArrow(_sketches(size, sketch, percent, exact), "doc_id long, n long, f1 long, f2 long, sketch binary, odd binary"), "sketches")
+    real = all_.where("n > 0 and doc_id is not null")
+    # one class per set; the sketch of a class is the same whichever row it comes from
+    classes = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "sketch", "odd")).alias("x"), F.count("*").alias("copies"))
+    classes = materialise(classes.select("f1", "f2", "n", F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch"), F.col("x.odd").alias("odd"), "copies"), "classes")
+    spark = documents.sparkSession
+    parts = kept(spark, "components", lambda: _components(classes, documents, percent, size, sketch, exact))
     comp = classes.where("copies > 1").select("f1", "f2", "n", "rep").join(parts, F.col("rep") == F.col("node"), "left")
     single = classes.where("copies = 1").select("f1", "f2", "n", "rep").join(parts, F.col("rep") == F.col("node"))
     known = comp.unionAll(single).select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, maybe_broadcast
+from .common import kept, materialise, maybe_broadcast
 
 KINDS = ("email", "ip", "card", "phone")
 #: Equal to the base patterns, but linear in the text: possessive where no shorter match could succeed, and not tried inside a run
@@ -71,6 +71,10 @@ def scan(documents: DataFrame, *keep: str) -> DataFrame:
 def patterns(scanned: DataFrame, rounds: int = 6, least: float = 0.8, support: int = 5) -> DataFrame:
     """scan() -> (c, k, score): contexts that introduce kind k with a score of at least `least`, resting on `support` accepted strings.
     Rounds end early when they change no pattern."""
+    return kept(scanned.sparkSession, "patterns", lambda: _rounds(scanned, rounds, least, support))
+
+
+def _rounds(scanned: DataFrame, rounds: int, least: float, support: int) -> DataFrame:
     rows = scanned.select(F.explode(F.concat("base", "cand")).alias("i")).select("i.c", "i.k", "i.x").where("c <> ''")
     graph = materialise(rows.groupBy("c", "x").agg(F.max("k").alias("seed")), "graph")
     size = materialise(graph.groupBy("c").agg(F.count("*").alias("n")), "sizes")
