@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, maybe_broadcast, shared_dir, table
+from lodestone.llm.common import bound_batches, kept, materialise, maybe_broadcast, shared_dir, table
 from lodestone.llm.decontaminate import contamination
 from lodestone.llm.language_id import accepted_only, train
 from lodestone.llm.near_dedup import near_duplicates
@@ -21,6 +21,7 @@ SIMILARITY = 80
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents whose language is rejected go: null texts, texts without a letter (empty ones too), and texts unlike all
     texts of the languages learned. Rows are judged one by one, so repeated ids and rows without an id are as others; no rows give no rows."""
+    bound_batches(spark)
     return accepted_only(docs, train(docs, fold="true"))
 
 
@@ -28,7 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: one document of each group stays, that with the smallest doc_id. Rows without an id stay, as do texts without words, which
     are linked with nothing. Rows of one doc_id are one document: one of them stays, the same whatever the partitions (that of the least hash
     of all columns). No rows give no rows."""
-    judged = materialise(near_duplicates(docs, percent=SIMILARITY), "judged")
+    bound_batches(spark)
+    judged = kept(spark, "judged", lambda: near_duplicates(docs, percent=SIMILARITY))
     gone = judged.where("not kept and doc_id is not null").select("doc_id").distinct()
     left = docs.join(maybe_broadcast(gone, 16), "doc_id", "left_anti").select(*docs.columns)
     twice = judged.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
@@ -45,8 +47,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Operator 4: documents that hold benchmark windows over the share that counts as contaminated go. Each text is judged by itself and goes
     wherever it stands, with an id or without; other rows of its id stay. Null and empty texts have no words and stay. No rows give no rows."""
     text = F.xxhash64("text")  # 64 bits: that a clean text shares them with one of m contaminated ones has a probability of m / 2^64
-    judged = contamination(docs.select(text.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
-    judged = materialise(judged.select(F.col("doc_id").alias("_text")).distinct(), "contaminated")
+    judge = lambda: contamination(docs.select(text.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    judged = kept(spark, "contaminated", lambda: judge().select(F.col("doc_id").alias("_text")).distinct())
     return docs.join(maybe_broadcast(judged, 16), text == F.col("_text"), "left_anti").select(*docs.columns)
 
 
@@ -58,6 +60,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: the place of each document's pieces in sequences of 1024 tokens; null and empty texts are the end id alone, repeated rows are packed each."""
+    bound_batches(spark)
     return pack(docs)
 
 
