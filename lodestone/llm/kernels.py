@@ -93,12 +93,12 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word lower-cased in A-Z, words before each text (len texts + 1), byte range starts)."""
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, by default lower-cased in A-Z, words before each text (len texts + 1), byte range starts)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
-    low = _LOWER[data]
+    low = _LOWER[data] if lower else data
     inside = table[low]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -138,3 +138,12 @@ def shingle_hashes(h: np.ndarray, before: np.ndarray, size: int) -> list[np.ndar
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range data[start:end], its length included; equal ranges have equal hashes."""
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power("up", len(data)), out=prefix[1:])
+    # an empty range at the end of the data has no place of its own
+    h = (prefix[ends] - prefix[starts]) * _power("down", len(data) + 1)[starts]
+    return mix(h + (ends - starts).astype(np.uint64))
