@@ -70,15 +70,14 @@ def count_texts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         first[order[1:][same]] = first[order[:-1][same]] = True
         twice[2:] |= first[:-2]
         out["n_repeat_words"] = np.bincount(text_of, twice, texts).astype(np.int64)
-    # a line begins a text or follows a line feed
+    # a line runs from the start of its text or from behind a line feed to the next one or to the end of its text
     feeds = np.flatnonzero(data == 10)
-    begin = np.sort(np.concatenate([offsets[:-1], feeds + 1]))
-    whose = np.concatenate([np.arange(texts), owner[feeds]])[np.argsort(np.concatenate([offsets[:-1], feeds + 1]), kind="stable")]
-    end = np.append(begin[1:], offsets[-1])
-    stop = offsets[1:][whose]
-    end = np.minimum(np.where((end > begin) & (end <= stop) & (data[np.maximum(end - 1, 0)] == 10), end - 1, end), stop)
+    whole, inner = np.arange(texts), owner[feeds]
+    begin = np.concatenate([offsets[:-1], feeds + 1])[np.argsort(np.concatenate([whole, inner]), kind="stable")]
+    end = np.concatenate([feeds, offsets[1:]])[np.argsort(np.concatenate([inner, whole]), kind="stable")]
+    whose = np.sort(np.concatenate([whole, inner]))
     words_upto = np.concatenate([[0], np.cumsum(inside)])
-    full = (end > begin) & (words_upto[end] > words_upto[np.minimum(begin, len(data))])
+    full = words_upto[end] > words_upto[begin]
     out["n_lines"] = np.bincount(whose[full], minlength=texts)
     if full.any():
         lines, of = K.segment_hashes(data, begin[full], end[full]), whose[full]
