@@ -47,7 +47,7 @@ def _quoted(pattern: str) -> str:
 def _found(kind: int, pattern: str, guard: str) -> str:
     """SQL for all matches as SPAN: places in code points, the word before (c) and the string itself (x)."""
     p = _quoted(pattern)
-    context = "lower(regexp_extract(substring(z.g, -64), r'(\\S+)\\s*$', 1))"
+    context = "lower(reverse(regexp_extract(reverse(z.g), r'^\\s*+(\\S++)', 1)))"  # the last word of all that stands between, in one pass from its end
     step = f"""struct(a.p + length(z.g) + length(z.h) as p, concat(a.o, array(struct({kind} as k, a.p + length(z.g) as s, a.p + length(z.g) + length(z.h) as e, {context} as c, z.h as x))) as o)"""
     return f"""if({guard}, aggregate(
         zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (h, g) -> struct(h, g)),
@@ -112,6 +112,7 @@ def discovered(scanned: DataFrame, good: DataFrame) -> DataFrame:
         kind = f"try_element_at(try_element_at(_known, pmod(xxhash64(x.c), {buckets}L)), x.c)"
         out = scanned.withColumn("_known", known.scalar())
         return out.withColumn("more", F.expr(f"transform(filter(cand, x -> {kind} is not null), x -> struct({kind} as k, x.s as s, x.e as e))")).drop("_known")
+    scanned = materialise(scanned, "spans")  # a row's number must be the same on both sides
     rows = scanned.where("size(cand) > 0").select("rid", F.explode("cand").alias("i")).select("rid", "i.*")
     more = rows.join(maybe_broadcast(best, 128), "c").groupBy("rid").agg(F.collect_list(F.struct(F.col("kind").alias("k"), "s", "e")).alias("more"))
     return scanned.join(more, "rid", "left").withColumn("more", F.coalesce("more", F.expr(f"cast(array() as {MORE})")))
@@ -133,9 +134,9 @@ def personal_spans(documents: DataFrame, rounds: int = 6, least: float = 0.8, su
 
 def redact(documents: DataFrame, **how) -> DataFrame:
     """documents with every span in text replaced by its kind in brackets, all columns and rows kept; overlapping spans are
-    replaced as one, named by the first."""
-    scanned = materialise(scan(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), "text"), "_row"), "spans")
-    found = discovered(scanned, patterns(scanned, **how))
+    replaced as one, named by the first. Texts are scanned twice, once for the patterns and once to replace, so no copy of them is stored."""
+    good = patterns(scan(documents.select("text")), **how)
+    found = discovered(scan(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), "text"), "_row"), good)
     out = found.select("_row", F.expr("array_sort(transform(concat(transform(base, x -> struct(x.k as k, x.s as s, x.e as e)), more), x -> struct(x.s as s, x.e as e, x.k as k)))").alias("m"))
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     start = "struct(0L as p, cast(array() as array<string>) as o)"
