@@ -176,3 +176,43 @@ def numbered_passages(chunks: Column, tag, body) -> Column:
 def seed64(c: Column) -> Column:
     """The first eight bytes of the SHA-256 as an unsigned number."""
     return F.conv(F.substring(F.sha2(c, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+
+
+# Elements whose content is not text, elements that begin and end lines, blank space, and the named references that are decoded.
+HIDDEN = ("head", "script", "style", "template", "noscript")
+BLOCKS = ("address", "article", "aside", "blockquote", "body", "br", "caption", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul")
+SPACES = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+REFERENCES = {
+    "amp": "&", "apos": "'", "bull": "\u2022", "cent": "\u00a2", "copy": "\u00a9", "dagger": "\u2020", "deg": "\u00b0", "emsp": "\u2003", "ensp": "\u2002", "euro": "\u20ac", "gt": ">", "hellip": "\u2026", "laquo": "\u00ab", "ldquo": "\u201c",
+    "lsquo": "\u2018", "lt": "<", "mdash": "\u2014", "middot": "\u00b7", "minus": "\u2212", "nbsp": "\u00a0", "ndash": "\u2013", "para": "\u00b6", "plusmn": "\u00b1", "pound": "\u00a3", "quot": '"', "raquo": "\u00bb", "rdquo": "\u201d", "reg": "\u00ae",
+    "rsquo": "\u2019", "sect": "\u00a7", "thinsp": "\u2009", "times": "\u00d7", "trade": "\u2122", "yen": "\u00a5",
+}
+COMMENT, REFERENCE = r"(?s)<!--.*?(?:-->|\z)", r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+);"
+HIDDEN_ELEMENT = r"(?is)<{0}(?:[\x09-\x0D\x20/][^>]*)?>.*?(?:</{0}[\x09-\x0D\x20]*>|\z)"
+BLOCK_TAG = r"(?i)</?(?:" + "|".join(BLOCKS) + r")(?:[\x09-\x0D\x20/][^>]*)?(?:>|\z)"
+ANY_TAG = r"<[!/?A-Za-z][^>]*(?:>|\z)"
+
+
+def _decoded(piece: Column) -> Column:
+    """What follows an ampersand, with the reference it may begin with decoded; unknown ones stay as they are."""
+    name = F.regexp_extract(piece, REFERENCE, 1)
+    hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
+    code = F.when(hexadecimal, F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).cast("int")
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    known = F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair])
+    value = F.when(name.startswith("#"), number).otherwise(F.try_element_at(known, name))
+    return F.when((name != "") & value.isNotNull(), F.concat(value, F.substr(piece, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), piece))
+
+
+def html_text(html: Column) -> Column:
+    """The visible text of HTML, one line a block: comments and elements that hold no text go (to the end, if they are not closed), tags of blocks end lines, other tags go,
+    references are decoded, blank space within a line is one blank, lines without text go. Null stays null."""
+    t = F.regexp_replace(html, COMMENT, "")
+    for name in HIDDEN:
+        t = F.regexp_replace(t, HIDDEN_ELEMENT.format(name), "")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, SPACES, " "), BLOCK_TAG, "\n"), ANY_TAG, "")
+    pieces = F.split(t, "&", -1)
+    t = F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(_decoded(x))), "")
+    lines = F.transform(F.split(t, "\n", -1), lambda x: F.trim(F.regexp_replace(x, SPACES, " ")))
+    return F.when(html.isNotNull(), F.array_join(F.filter(lines, lambda x: x != ""), "\n"))

@@ -51,7 +51,7 @@ class Corpus:
 
     @cached_property
     def index(self) -> sparse.SparseIndex:
-        return sparse.build_index(self.chunks, "chunk_id", "retrieval_text")
+        return sparse.build_index(chunk_filters(self.chunks, keep=["retrieval_text"]), "id", "retrieval_text", keep=FILTERS)
 
 
 def build_corpus(chunks: DataFrame, encoder=None, vectors: DataFrame | None = None) -> Corpus:
@@ -82,7 +82,7 @@ def retrieve(architecture: str, corpus: Corpus, questions: DataFrame, settings:
     if architecture == "P1":
         return name(dense_(s.p1_dense), "score").where(F.col("rank") <= s.final)
     kd, ks, kf = (s.p2_dense, s.p2_sparse, s.p2_fused) if architecture == "P2" else (s.p3_dense, s.p3_sparse, s.p3_fused)
-    words = sparse.search(corpus.index, sparse.query_terms(questions, "question_id", "retrieval_query"), ks, asked.select("query_id", *on) if on else None, corpus.filters)
+    words = sparse.search(corpus.index, sparse.query_terms(questions, "question_id", "retrieval_query"), ks, asked.select("query_id", *on) if on else None)
     fused = name(fusion.hybrid(dense_(kd), words, kf, s.rrf_k)[0], "rrf")
     if architecture == "P2":
         return fused.where(F.col("rank") <= s.final)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pipelines import Settings
+from .ranks import with_quantiles
 
 
 def configuration(spark: SparkSession, s: Settings = Settings()) -> DataFrame:
@@ -74,8 +75,8 @@ def shares(df: DataFrame, by: str, label: str, labels: list[str], digits: int =
 
 def boxes(df: DataFrame, by: str, value: str, digits: int = 6) -> DataFrame:
     """Plot-ready boxes: least, quartiles and most of each group."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    g = df.where(F.col(value).isNotNull()).groupBy(by).agg(F.min(value).alias("low"), q.alias("q"), F.max(value).alias("high"), F.count("*").alias("n"))
+    there = df.where(F.col(value).isNotNull())
+    g = with_quantiles(there.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n")), there, [by], value, [0.25, 0.5, 0.75])
     at = lambda c: F.round(c, digits)
     return g.select(by, at("low").alias("low"), at(F.col("q")[0]).alias("q1"), at(F.col("q")[1]).alias("median"), at(F.col("q")[2]).alias("q3"), at("high").alias("high"), "n")
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import with_quantiles
+
 
 def latency_summary(rows: DataFrame, by: str, components: list[str], applicable: dict[str, list[str]] | None = None) -> DataFrame:
     """Mean, median, sample deviation (0 of one value), least and most of each component; a component without values has no row. A negative value raises, and
@@ -17,9 +19,8 @@ def latency_summary(rows: DataFrame, by: str, components: list[str], applicable:
     long = rows.unpivot([by], components, "component", "ms").where("ms is not null")
     ms = F.when(F.col("ms") >= 0, F.col("ms")).otherwise(F.raise_error(F.lit("latency is negative")).cast("double"))
     long = long.withColumn("ms", ms)
-    return long.groupBy(by, "component").agg(
-        F.count("*").alias("n"), F.avg("ms").alias("mean"), F.percentile("ms", 0.5).alias("median"), F.coalesce(F.stddev_samp("ms"), F.lit(0.0)).alias("std"), F.min("ms").alias("min"), F.max("ms").alias("max")
-    )
+    g = long.groupBy(by, "component").agg(F.count("*").alias("n"), F.avg("ms").alias("mean"), F.coalesce(F.stddev_samp("ms"), F.lit(0.0)).alias("std"), F.min("ms").alias("min"), F.max("ms").alias("max"))
+    return with_quantiles(g, long, [by, "component"], "ms", [0.5]).select(by, "component", "n", "mean", F.col("q")[0].alias("median"), "std", "min", "max")
 
 
 def category_summary(rows: DataFrame, groupings: list[str], by: str, metrics: list[str]) -> DataFrame:
@@ -48,9 +49,8 @@ def nunique(column: str) -> Column:
 
 
 def describe(rows: DataFrame, column: str) -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = rows.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
-    return g.select("count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    g = rows.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return with_quantiles(g, rows, [], column, [0.25, 0.5, 0.75]).select("count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
 
 
 def abstention_overlap(rows: DataFrame, architectures: list[str]) -> DataFrame:
@@ -144,7 +144,8 @@ def quality_summary(rows: DataFrame, labels: list[str]) -> DataFrame:
 def tradeoff_summary(rows: DataFrame, means: list[str], latency: str) -> DataFrame:
     """Means and counts of the values that are there, and mean and median latency, per architecture."""
     aggs = [a for m in means for a in (F.avg(m).alias(f"{m}_mean"), F.count(m).alias(f"{m}_n"))]
-    return rows.groupBy("architecture").agg(F.count("*").alias("question_count"), *aggs, F.avg(latency).alias("total_latency_mean_ms"), F.percentile(latency, 0.5).alias("total_latency_median_ms"))
+    g = rows.groupBy("architecture").agg(F.count("*").alias("question_count"), *aggs, F.avg(latency).alias("total_latency_mean_ms"))
+    return with_quantiles(g, rows, ["architecture"], latency, [0.5]).withColumn("total_latency_median_ms", F.col("q")[0]).drop("q")
 
 
 def pareto(summary: DataFrame, objectives: list[str], eligible: dict[str, list[str]] | None = None) -> DataFrame:

@@ -92,32 +92,71 @@ def chunk_ordinals(spark, sf_dir):
 
 
 _NORM = "array_to_string(regexp_extract_all(replace(lower(coalesce({x}, '')), ',', ''), '[a-z0-9]+(?:[.,][0-9]+)*%?'), ' ')"
-_EVIDENCE = f"""ev AS (SELECT item_id, item_id % 20 AS page, {_NORM.format(x='text')} AS e FROM benchmark),
+_SHARED = f"""ev AS (SELECT item_id, item_id % 20 AS page, {_NORM.format(x='text')} AS e FROM benchmark),
 cn AS (SELECT doc_id, doc_id % 20 AS page, {_NORM.format(x='text')} AS c FROM documents),
-et AS (SELECT item_id, page, t, count(*) AS n FROM (SELECT item_id, page, unnest(string_split(e, ' ')) AS t FROM ev) WHERE t <> '' GROUP BY ALL),
+"""
+_PART = "CASE doc_id % 4 WHEN 0 THEN substr(text, 51, 400) WHEN 1 THEN regexp_replace(substr(text, 1, 600), '[0-9A-Za-z]{7,}', 'x', 'g') WHEN 2 THEN 'Before ' || text || ' behind' ELSE substr(text, 5, 7) END"
+_OWN = f"""ev AS (SELECT doc_id AS item_id, coalesce(source, '') || '/' || doc_id // 64 AS page, {_NORM.format(x=_PART)} AS e FROM documents WHERE doc_id % 3 = 0
+ UNION ALL SELECT -1 - item_id, 'src' || item_id % 20 || '/' || item_id % 16, {_NORM.format(x='text')} FROM benchmark),
+cn AS (SELECT doc_id, coalesce(source, '') || '/' || doc_id // 64 AS page, {_NORM.format(x='text')} AS c FROM documents),
+"""
+_MAPPED = """et AS (SELECT item_id, page, t, count(*) AS n FROM (SELECT item_id, page, unnest(string_split(e, ' ')) AS t FROM ev) WHERE t <> '' GROUP BY ALL),
 ct AS (SELECT doc_id, page, t, count(*) AS n FROM (SELECT doc_id, page, unnest(string_split(c, ' ')) AS t FROM cn) WHERE t <> '' GROUP BY ALL),
 mm AS (SELECT item_id, doc_id, sum(least(et.n, ct.n)) AS m FROM et JOIN ct USING (page, t) GROUP BY ALL),
-sc AS (SELECT ev.item_id, cn.doc_id, e, c <> '' AND e <> '' AND (contains(c, e) OR (len(string_split(c, ' ')) >= 8 AND contains(e, c))) AS exact, CASE WHEN e <> '' AND c <> '' THEN coalesce(m, 0) / len(string_split(e, ' ')) ELSE 0 END AS score FROM ev JOIN cn USING (page) LEFT JOIN mm ON mm.item_id = ev.item_id AND mm.doc_id = cn.doc_id),
+sc AS (SELECT ev.item_id, ev.page, cn.doc_id, e, c <> '' AND e <> '' AND (contains(c, e) OR (len(string_split(c, ' ')) >= 8 AND contains(e, c))) AS exact, CASE WHEN e <> '' AND c <> '' THEN coalesce(m, 0) / len(string_split(e, ' ')) ELSE 0 END AS score FROM ev LEFT JOIN cn USING (page) LEFT JOIN mm ON mm.item_id = ev.item_id AND mm.doc_id = cn.doc_id),
 bs AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS best, bool_or(exact) OVER (PARTITION BY item_id) AS any_exact FROM sc),
-mp AS (SELECT item_id, any_value(e) AS e, bool_or(exact) AS any_exact, max(score) AS best_score, count(*) AS candidates, list_sort(coalesce(list(doc_id) FILTER (e <> '' AND CASE WHEN any_exact THEN exact ELSE score >= 0.35 AND score >= 0.8 * best END), [])) AS matched FROM bs GROUP BY item_id)"""
+mp AS (SELECT item_id, any_value(page) AS page, any_value(e) AS e, bool_or(exact) AS any_exact, max(score) AS best_score, count(doc_id) AS candidates, list_sort(coalesce(list(doc_id) FILTER (doc_id IS NOT NULL AND e <> '' AND CASE WHEN any_exact THEN exact ELSE score >= 0.35 AND score >= 0.8 * best END), [])) AS matched FROM bs GROUP BY item_id)"""
 
 
 def _evidence(spark, sf_dir):
+    """Items are parts of documents, changed or not, and passages, each with the page it is to be found on."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("doc_name"), F.floor(F.col("doc_id") / 64).alias("page"), "text")
+    text = (
+        F.when(F.col("chunk_id") % 4 == 0, F.substring("text", 51, 400)).when(F.col("chunk_id") % 4 == 1, F.regexp_replace(F.substring("text", 1, 600), "[0-9A-Za-z]{7,}", "x"))
+        .when(F.col("chunk_id") % 4 == 2, F.concat(F.lit("Before "), "text", F.lit(" behind"))).otherwise(F.substring("text", 5, 7))
+    )
+    parts = docs.where("chunk_id % 3 = 0").select(F.col("chunk_id").alias("question_id"), "doc_name", "page", text.alias("text"))
+    item = F.col("item_id")
+    passages = table(spark, sf_dir, "benchmark").select((-1 - item).alias("question_id"), F.concat(F.lit("src"), item % 20).alias("doc_name"), (item % 16).alias("page"), "text")
+    items = parts.unionAll(passages).withColumn("item", F.lit(0))
+    return evidence.map_evidence(evidence.match_texts(items).drop("text"), evidence.match_texts(docs).drop("text"))
+
+
+def _evidence_on_shared_pages(spark, sf_dir):
+    """All documents on 20 pages: many items and chunks each."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.lit(0).alias("item"), F.lit("d").alias("doc_name"), F.pmod("item_id", F.lit(20)).alias("page"), "text")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit("d").alias("doc_name"), F.pmod("doc_id", F.lit(20)).alias("page"), "text")
     return evidence.map_evidence(evidence.match_texts(items).drop("text"), evidence.match_texts(docs).drop("text"))
 
 
-@query(f"WITH {_EVIDENCE} SELECT item_id, CASE WHEN e = '' THEN 'no_evidence_text' WHEN any_exact THEN 'normalized_exact_containment' WHEN len(matched) > 0 THEN 'token_containment' ELSE 'page_only_no_strict_chunk_match' END AS method, matched, round(best_score, 9) AS best_score, CAST(candidates AS BIGINT) AS candidates FROM mp")
+_METHODS = "SELECT item_id, CASE WHEN e = '' THEN 'no_evidence_text' WHEN any_exact THEN 'normalized_exact_containment' WHEN len(matched) > 0 THEN 'token_containment' ELSE 'page_only_no_strict_chunk_match' END AS method, matched, round(best_score, 9) AS best_score, CAST(candidates AS BIGINT) AS candidates FROM mp"
+_SUMMARY = "SELECT item_id, CAST(1 AS INT) AS item_count, matched AS gold_chunk_ids, {doc} AS gold_doc, len(matched) > 0 AS mapping_complete FROM mp"
+
+
+def _methods(mapped):
+    return mapped.select(F.col("question_id").alias("item_id"), "method", "matched", F.round("best_score", 9).alias("best_score"), "candidates")
+
+
+@query(f"WITH {_OWN}{_MAPPED} {_METHODS}")
 def evidence_mapping(spark, sf_dir):
-    return _evidence(spark, sf_dir).select(F.col("question_id").alias("item_id"), "method", "matched", F.round("best_score", 9).alias("best_score"), "candidates")
+    return _methods(_evidence(spark, sf_dir))
+
+
+@query(f"WITH {_SHARED}{_MAPPED} {_METHODS}")
+def evidence_mapping_shared_pages(spark, sf_dir):
+    return _methods(_evidence_on_shared_pages(spark, sf_dir))
 
 
-@query(f"WITH {_EVIDENCE} SELECT item_id, CAST(1 AS INT) AS item_count, matched AS gold_chunk_ids, 'd' AS gold_doc, len(matched) > 0 AS mapping_complete FROM mp")
+@query(f"WITH {_OWN}{_MAPPED} " + _SUMMARY.format(doc="split_part(page, '/', 1)"))
 def evidence_summary(spark, sf_dir):
     return evidence.summarise(_evidence(spark, sf_dir)).select(F.col("question_id").alias("item_id"), "item_count", "gold_chunk_ids", "gold_doc", "mapping_complete")
 
 
+@query(f"WITH {_SHARED}{_MAPPED} " + _SUMMARY.format(doc="'d'"))
+def evidence_summary_shared_pages(spark, sf_dir):
+    return evidence.summarise(_evidence_on_shared_pages(spark, sf_dir)).select(F.col("question_id").alias("item_id"), "item_count", "gold_chunk_ids", "gold_doc", "mapping_complete")
+
+
 _GOLD = "gd AS (SELECT item_id, CAST(doc_id % 50 AS BIGINT) AS page_ref FROM benchmark JOIN documents ON doc_id % 97 = item_id % 97), rt AS (SELECT item_id, doc_id, CAST(doc_id % 50 AS BIGINT) AS page_ref, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM z WHERE score > 0 QUALIFY rank <= 20)"
 _SCORED = "gp AS (SELECT DISTINCT item_id, page_ref FROM gd), gc AS (SELECT item_id, count(*) AS gold_page_count FROM gp GROUP BY 1), fl AS (SELECT rt.*, gp.page_ref IS NOT NULL AS g FROM rt LEFT JOIN gp ON gp.item_id = rt.item_id AND gp.page_ref = rt.page_ref WHERE rank <= 5), ag AS (SELECT item_id, min(rank) FILTER (g) AS first_gold_rank, count(*) AS rc, count(DISTINCT page_ref) AS ru, count(DISTINCT page_ref) FILTER (g) AS gr FROM fl GROUP BY 1), qs AS (SELECT item_id, CAST(gold_page_count AS BIGINT) AS gold_page_count, CAST(coalesce(rc, 0) AS BIGINT) AS retrieved_chunk_count, CAST(coalesce(ru, 0) AS BIGINT) AS retrieved_unique_page_count, CAST(coalesce(gr, 0) AS BIGINT) AS gold_pages_retrieved, CAST(first_gold_rank AS INT) AS first_gold_rank, CAST(coalesce(first_gold_rank <= 1, false) AS INT) AS hit_at_1, CAST(coalesce(first_gold_rank <= 3, false) AS INT) AS hit_at_3, CAST(coalesce(first_gold_rank <= 5, false) AS INT) AS hit_at_5, round(coalesce(gr, 0) / gold_page_count, 9) AS recall_at_5, round(coalesce(1.0::DOUBLE / first_gold_rank, 0), 9) AS mrr_at_5 FROM gc LEFT JOIN ag USING (item_id))"
 
@@ -125,7 +164,7 @@ _SCORED = "gp AS (SELECT DISTINCT item_id, page_ref FROM gd), gc AS (SELECT item
 def _retrieved(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     index = sparse.build_index(docs)
-    found = sparse.top_k(sparse.score(index, sparse.query_terms(items)).where("score > 0"), 20)
+    found = sparse.search(index, sparse.query_terms(items), 20).where("score > 0")
     gold = items.withColumn("m", F.pmod("item_id", F.lit(97))).join(docs.withColumn("m", F.pmod("doc_id", F.lit(97))), "m").select(F.col("item_id").alias("question_id"), F.pmod("doc_id", F.lit(50)).alias("page_ref"))
     return found.select(F.col("query_id").alias("question_id"), "rank", "id", F.pmod("id", F.lit(50)).alias("page_ref")), gold
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..functions import text as T
-from ..operators import answers, checks, models, rerank, rollups, selection, stats, support
+from ..operators import answers, checks, merkle, models, rerank, rollups, selection, stats, support
 from .common import query, table
 from .retrieval import BM25, _bm25
 
@@ -234,6 +234,32 @@ def paired_bootstrap_ci(spark, sf_dir):
     return stats.wilcoxon_and_bootstrap(_pairs(spark, sf_dir, ["latency_ms", "support"]), _BY, "run-1")
 
 
+#: 1 - erf by its series; rank sums of more than 50 differences are near normal.
+_ERFC = "CASE WHEN x = 0 THEN 1.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 400), lambda n: exp((2 * n + 1) * ln(x) + 2 * n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2))))) END"
+_NORMAL = _RB + ", t AS (SELECT architecture_a, architecture_b, metric, abs(d) AS size, count(*) AS t FROM d WHERE d <> 0 GROUP BY ALL), u AS (SELECT architecture_a, architecture_b, metric, CAST(sum(t) AS DOUBLE) AS n, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM t GROUP BY 1, 2, 3), v AS (SELECT *, abs(least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM u JOIN s USING (architecture_a, architecture_b, metric)), x AS (SELECT *, z / sqrt(2) AS x FROM v)"
+
+
+@query(f"WITH {_NORMAL} SELECT architecture_a, architecture_b, metric, CAST(n AS BIGINT) AS n, round(ties, 3) AS ties, round({_ERFC}, 9) AS wilcoxon_p FROM x WHERE n > 50")
+def paired_signed_rank_p(spark, sf_dir):
+    """Comparisons of more than 50 nonzero differences, whose p is the normal one with tie correction."""
+    ranks = stats.signed_ranks(_pairs(spark, sf_dir, ["latency_ms", "support"]), _BY).where("n > 50")
+    return ranks.join(stats.wilcoxon(ranks, _BY), _BY).select(*_BY, "n", F.round("ties", 3).alias("ties"), F.round("wilcoxon_p", 9).alias("wilcoxon_p"))
+
+
+_SPLITMIX = [f"CAST(CAST(xor(x, x >> {a}) AS UHUGEINT) * {b} % 18446744073709551616 AS UBIGINT)" for a, b in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))]
+_POISSON = "(" + " + ".join(f"CAST(u >= {t} AS INT)" for t in (24109, 48218, 60273, 64291, 65296, 65497, 65530, 65535, 65535, 65535)) + ")"
+
+
+@query(f"""WITH {_PAIRS}, k AS (SELECT architecture_a, architecture_b, metric, y - x AS d, CAST(CAST('0x' || substr(sha256('run-1:' || architecture_a || ':' || architecture_b || ':' || metric || ':' || question_id), 1, 16) AS UBIGINT) AS UHUGEINT) AS h FROM p WHERE metric <> 'abstained'),
+r AS (SELECT *, r, CAST((h + CAST(r // 4 + 1 AS UHUGEINT) * {0x9E3779B97F4A7C15}) % 18446744073709551616 AS UBIGINT) AS x FROM k, range(0, 40) t(r)),
+r1 AS (SELECT * REPLACE ({_SPLITMIX[0]} AS x) FROM r), r2 AS (SELECT * REPLACE ({_SPLITMIX[1]} AS x) FROM r1), r3 AS (SELECT *, (xor(x, x >> 31) >> CAST(16 * (r % 4) AS UBIGINT)) & 65535 AS u FROM r2),
+c AS (SELECT *, {_POISSON} AS times FROM r3)
+SELECT architecture_a, architecture_b, metric, CAST(r AS INT) AS replicate, round(sum(times * d) / sum(times), 9) AS mean FROM c GROUP BY 1, 2, 3, 4 HAVING sum(times) > 0""")
+def bootstrap_means(spark, sf_dir):
+    """The first 40 of the mergeable resamples: each pair's counts follow from its key."""
+    return stats.resampled_means(_pairs(spark, sf_dir, ["latency_ms", "support"]), _BY, "run-1", replicates=40).withColumn("mean", F.round("mean", 9))
+
+
 @query("WITH b AS (SELECT o_orderpriority AS name, count(*) FILTER (o_totalprice > 200000) / count(*) / 100 AS p FROM orders GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY p, name) AS k, count(*) OVER () AS m FROM b) SELECT name, round(p, 9) AS p, round(max(least(1.0, (m - k + 1) * p)) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 9) AS holm_p, max(least(1.0, (m - k + 1) * p)) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) < 0.05 AS significant FROM k")
 def holm_adjust(spark, sf_dir):
     p = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg((F.sum((F.col("o_totalprice") > 200000).cast("int")) / F.count("*") / 100).alias("p"))
@@ -285,11 +311,26 @@ def integrity_published_values(spark, sf_dir):
 
 @query("SELECT source, sha256(string_agg(h, '' ORDER BY b)) AS digest FROM (SELECT source, CAST(floor(doc_id / 1024) AS BIGINT) AS b, sha256(string_agg(sha256(doc_id || chr(9) || text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2) GROUP BY 1")
 def corpus_digest(spark, sf_dir):
-    """Order-sensitive digest per source: digests of rows, then of blocks of 1024 ids, so a task gathers a block's digests at most, and at the end one per block."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.concat_ws("\t", "doc_id", "text"), 256).alias("h"))
-    rolled = lambda df, order, *by: df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, "h"))).alias("x")).select(*by, F.sha2(F.array_join(F.transform("x", lambda v: v["h"]), ""), 256).alias("h"))
-    blocks = rolled(d.withColumn("b", F.floor(F.col("doc_id") / 1024)), "doc_id", "source", "b")
-    return rolled(blocks, "b", "source").withColumnRenamed("h", "digest")
+    """Order-sensitive digest per source: the root of a tree over the documents in order of their ids."""
+    return merkle.roots(merkle.tree(_leaves(spark, sf_dir), ["source"]), ["source"]).select("source", "digest")
+
+
+def _leaves(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("place"), F.sha2(F.concat_ws("\t", "doc_id", "text"), 256).alias("digest"))
+
+
+_NODES = "SELECT source, CAST(floor(doc_id / 1024) AS BIGINT) AS node, min(doc_id) AS first_place, max(doc_id) AS last_place, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM {0} GROUP BY 1, 2"
+
+
+@query(f"""WITH a AS (SELECT source, doc_id, sha256(doc_id || chr(9) || text) AS h FROM documents), b AS (SELECT source, doc_id, CASE WHEN doc_id % 700 = 3 THEN sha256(h) ELSE h END AS h FROM a WHERE source <> 'src1'),
+x AS ({_NODES.format('a')}), y AS ({_NODES.format('b')})
+SELECT source, node, CASE WHEN x.h IS NULL THEN y.first_place ELSE x.first_place END AS first_place, CASE WHEN x.h IS NULL THEN y.last_place ELSE x.last_place END AS last_place, CASE WHEN y.h IS NULL THEN 'removed' WHEN x.h IS NULL THEN 'added' ELSE 'changed' END AS status
+FROM x FULL JOIN y USING (source, node) WHERE x.h IS DISTINCT FROM y.h""")
+def corpus_changes(spark, sf_dir):
+    """Ranges of documents that differ between two states of the corpus, found from the trees alone: one source is gone, and some texts have changed."""
+    was = _leaves(spark, sf_dir)
+    now = was.where("source <> 'src1'").withColumn("digest", F.when(F.col("place") % 700 == 3, F.sha2("digest", 256)).otherwise(F.col("digest")))
+    return merkle.changes(merkle.tree(was, ["source"]), merkle.tree(now, ["source"]), ["source"])
 
 
 @query(f"WITH {_GRID}, k AS (SELECT question_id FROM g WHERE architecture IN {_IN} GROUP BY 1 HAVING sum(abstained) = 0 AND count(*) = 3) SELECT architecture, CAST(count(*) AS BIGINT) AS question_count, round(avg(quality), 9) AS quality, round(avg(support), 9) AS support FROM g WHERE question_id IN (SELECT question_id FROM k) GROUP BY 1")

@@ -52,9 +52,9 @@ def bm25_topk(spark, sf_dir):
 def bm25_topk_filtered(spark, sf_dir):
     """Each query sees one language's documents; statistics stay those of all."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    index = sparse.build_index(docs)
+    index = sparse.build_index(docs, keep=["lang"])
     wanted = items.select(F.col("item_id").alias("query_id"), F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.pmod("item_id", F.lit(4)) + 1).cast("int")).alias("lang"))
-    found = sparse.search(index, sparse.query_terms(items), 5, wanted, docs.select(F.col("doc_id").alias("id"), "lang"))
+    found = sparse.search(index, sparse.query_terms(items), 5, wanted)
     return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -95,8 +95,7 @@ _FUSED = "f AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, m
 def _two(spark, sf_dir, k=10):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     index, terms = sparse.build_index(docs), sparse.query_terms(items)
-    shared = index.postings.join(sparse.small(terms), "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
-    return sparse.top_k(shared, k), sparse.top_k(sparse.score(index, terms), k)
+    return tuple(found.where("score > 0") for found in (sparse.shared_terms(index, terms, k), sparse.search(index, terms, k)))
 
 
 @query(f"WITH {_TWO}, {_FUSED} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(rrf, 12) DESC, min_rank, doc_id) AS INT) AS rank, doc_id, round(rrf, 9) AS rrf, CAST(min_rank AS INT) AS min_rank, CAST(overlap_rank AS INT) AS overlap_rank, CAST(bm25_rank AS INT) AS bm25_rank FROM f QUALIFY rank <= 5")

@@ -81,7 +81,22 @@ def windowed_latency(spark, sf_dir):
     return w.select(F.col("window.start").alias("window_start"), "event_type", "n", F.round("mean", 6).alias("mean"), F.round("max", 6).alias("max"))
 
 
-@query()
+def _html_sql() -> str:
+    lit = lambda x: "'" + x.replace("'", "''") + "'"
+    t = f"regexp_replace(html, {lit(T.COMMENT)}, '', 'g')"
+    for name in T.HIDDEN:
+        t = f"regexp_replace({t}, {lit(T.HIDDEN_ELEMENT.format(name))}, '', 'g')"
+    t = f"regexp_replace(regexp_replace(regexp_replace({t}, {lit(T.SPACES)}, ' ', 'g'), {lit(T.BLOCK_TAG)}, chr(10), 'g'), {lit(T.ANY_TAG)}, '', 'g')"
+    known = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in T.REFERENCES.items()) + "}"
+    name = f"regexp_extract(x, {lit(T.REFERENCE)}, 1)"
+    code = f"CASE WHEN lower(substr({name}, 2, 1)) = 'x' THEN CAST('0x' || substr({name}, 3) AS INT) ELSE CAST(substr({name}, 2) AS INT) END"
+    value = f"CASE WHEN starts_with({name}, '#') THEN CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) ELSE chr(65533) END ELSE k[{name}] END"
+    piece = f"CASE WHEN i = 1 THEN x WHEN {name} <> '' AND {value} IS NOT NULL THEN {value} || substr(x, length({name}) + 2) ELSE '&' || x END"
+    lines = f"list_filter(list_transform(string_split(array_to_string(list_transform(string_split(t, '&'), lambda x, i: {piece}), ''), chr(10)), lambda y: trim(regexp_replace(y, {lit(T.SPACES)}, ' ', 'g'))), lambda y: y <> '')"
+    return f"SELECT page_id, CASE WHEN html IS NOT NULL THEN array_to_string({lines}, chr(10)) END AS text FROM (SELECT page_id, html, {t} AS t, {known} AS k FROM pages)"
+
+
+@query(_html_sql())
 def html_to_text(spark, sf_dir):
     return io.html_to_text(table(spark, sf_dir, "pages")).select("page_id", "text")
 
@@ -118,10 +133,10 @@ def pipeline_p3(spark, sf_dir):
 @query("SELECT conv_id, turn, role FROM conversations")
 def stream_ingest_journal(spark, sf_dir):
     """Conversations written as JSON lines, taken up by a stream and appended to a journal once each."""
-    from ..streaming.journal import ingest
+    from ..streaming.journal import ingest, read_journal
 
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     c.unionAll(c.where("turn = 0")).write.json(f"{root}/in")
     ingest(spark, f"{root}/in", "conv_id long, turn long, role string", ["conv_id", "turn"], lambda df: df, f"{root}/journal", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/journal")
+    return read_journal(spark, f"{root}/journal")

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.merkle import places, roots, row_digest, tree
 from ..operators.sparse import SparseIndex
 from ..schemas import INDEX_VERSION
 
 
 def corpus_digest(docs: DataFrame, id_col: str, text_col: str) -> str:
-    """Digest of (id, text) over all rows: the rows' hashes are summed as numbers, so order and partitioning don't matter and nothing is gathered."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("\t", F.col(id_col).cast("string"), text_col), 256), 1, 14), 16, 10).cast("decimal(38,0)")
-    n, total = docs.agg(F.count("*"), F.sum(h)).first()
-    return f"{n}:{total or 0}"
+    """Digest of (id, text) over all rows in order of the ids: the root of a tree, so nothing is gathered and the order of ids counts. Ids are unique."""
+    rows = docs.select(F.col(id_col).alias("id"), row_digest(id_col, text_col).alias("digest"))
+    root = roots(tree(places(rows, ["id"]))).first()
+    return f"{root.rows}:{root.digest}" if root else "0:"
 
 
 def _meta(spark: SparkSession, path: str, kind: str, digest: str | None, **also) -> None:
@@ -31,14 +32,14 @@ def _check(spark: SparkSession, path: str, kind: str, digest: str | None, **also
 
 def save_sparse(index: SparseIndex, path: str, digest: str) -> None:
     """Tables first, meta last: an index without meta is none."""
-    for name in ("postings", "lengths", "terms", "stats"):
+    for name in ("rows", "terms", "stats"):
         getattr(index, name).write.parquet(f"{path}/{name}")
-    _meta(index.postings.sparkSession, path, "sparse", digest)
+    _meta(index.rows.sparkSession, path, "sparse", digest)
 
 
 def load_sparse(spark: SparkSession, path: str, digest: str | None = None) -> SparseIndex:
     _check(spark, path, "sparse", digest)
-    return SparseIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "stats")))
+    return SparseIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("rows", "terms", "stats")))
 
 
 def save_dense(vectors: DataFrame, path: str, digest: str, dim: int, prefix: str = "") -> None:

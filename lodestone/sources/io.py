@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.text import html_text
 from ..operators import checks, validation
 
 
@@ -146,11 +147,23 @@ def write_json(spark: SparkSession, payload, path: str, replace: bool = False) -
     out.write(bytearray((json.dumps(payload, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode()))
     out.close()
     if replace:
-        fs.delete(at(path), False)
+        # the store's own replacing move: a reader sees the old document or the new one, and a failure leaves the old one
+        jvm = spark.sparkContext._jvm
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(at(aside), at(path), _overwrite(spark))
+        return
     if not fs.rename(at(aside), at(path)):
         raise OSError(f"{path} could not be moved")
 
 
+def _overwrite(spark: SparkSession):
+    """The option of a move, as the array that its signature asks for."""
+    gateway = spark.sparkContext._gateway
+    kind = gateway.jvm.org.apache.hadoop.fs.Options.Rename
+    options = gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    return options
+
+
 def read_json(spark: SparkSession, path: str):
     rows = spark.read.text(path, wholetext=True).collect()  # one small document
     return json.loads(rows[0][0])
@@ -220,39 +233,8 @@ def pages_from_binary(spark: SparkSession, path: str, reader) -> DataFrame:
 
 
 def html_to_text(df: DataFrame, column: str = "html", out: str = "text") -> DataFrame:
-    """Visible text of HTML, lines per block, by the standard library's parser in Arrow batches."""
-    def convert(pages: pd.Series) -> pd.Series:
-        from html.parser import HTMLParser
-
-        class Visible(HTMLParser):
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.parts, self.hidden = [], 0
-
-            def handle_starttag(self, tag, attrs):
-                self.hidden += tag in ("script", "style", "head")
-                if tag in ("p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "table", "section", "article"):
-                    self.parts.append("\n")
-
-            def handle_endtag(self, tag):
-                self.hidden -= tag in ("script", "style", "head") and self.hidden > 0
-
-            def handle_data(self, data):
-                if not self.hidden:
-                    self.parts.append(data)
-
-        def one(page):
-            if page is None:
-                return None
-            v = Visible()
-            v.feed(page)
-            v.close()
-            lines = (" ".join(x.split()) for x in "".join(v.parts).split("\n"))
-            return "\n".join(x for x in lines if x)
-
-        return pages.map(one)
-
-    return df.withColumn(out, F.pandas_udf(convert, "string")(F.col(column)))
+    """Visible text of HTML, lines per block, by html_text()."""
+    return df.withColumn(out, html_text(F.col(column)))
 
 
 def download_status(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lodestone.sources import io
-from lodestone.streaming.journal import ingest
+from lodestone.streaming.journal import ingest, read_journal
 
 
 def test_jsonl_is_strict(spark, tmp_path):
@@ -43,6 +43,61 @@ def test_pages_of_binary_files(spark, tmp_path):
 def test_html_text(spark):
     d = spark.createDataFrame([("<html><head><title>x</title></head><body><p>a &amp; <b>b</b></p><script>no</script><div>c</div></body>",), (None,)], "html string")
     assert [r.text for r in io.html_to_text(d).collect()] == ["a & b\nc", None]
+    odd = {
+        "": "", "plain": "plain", "<p>a<p>b": "a\nb", "a<br/>b<BR>c": "a\nb\nc", "<div\n class='x'>a</div >b": "a\nb", "<pre>x</pre>": "x", "<header>h</header><head>no</head>t": "h\nt", "<b>a</b><i>b</i>": "ab",
+        "a<!-- <p>no</p> -->b": "ab", "a<!-- open": "a", "a<script>x<b>y": "a", "<STYLE type=t>p{}</style >z": "z", "1 < 2 & 3 > 2": "1 < 2 & 3 > 2", "x<p": "x", "x &am": "x &am",
+        "&lt;p&gt; &#65;&#x42;&#X1F600; &#0;&#55296;&#9999999; &nope; &amp;lt; &copy; &nbsp;x&nbsp;": "<p> AB\U0001f600 \ufffd\ufffd\ufffd &nope; &lt; \u00a9 x", " a \t\n b\u2003c ": "a b c",
+    }
+    d = spark.createDataFrame([(k,) for k in odd], "html string")
+    assert [r.text for r in io.html_to_text(d).collect()] == list(odd.values())
+    many = "<div>" * 3000 + "x &amp; y<br>" * 3000
+    assert io.html_to_text(spark.createDataFrame([(many,)], "html string")).first().text == "\n".join(["x & y"] * 3000)
+
+
+def test_html_text_against_a_walk_over_characters(spark):
+    """Random pages of tags, references and text, against a scanner that reads one character after the other."""
+    import random
+
+    rng = random.Random(3)
+    parts = ["<p>", "</p>", "<b class='x'>", "</b>", "<br/>", "text", " ", "\n", "&amp;", "&#233;", "&x;", "<!-- c -->", "<script>s</script>", "<td>", "é", "&", "a < ", "1>0"]
+    pages = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(300)]
+
+    def walk(page):
+        out, i = [], 0
+        while i < len(page):
+            if page.startswith("<!--", i):
+                end = page.find("-->", i)
+                i = len(page) if end < 0 else end + 3
+            elif page.startswith("<script>", i):
+                end = page.find("</script>", i)
+                i = len(page) if end < 0 else end + 9
+            elif page[i] == "<" and i + 1 < len(page) and (page[i + 1] in "!/?" or page[i + 1].isascii() and page[i + 1].isalpha()):
+                end = page.find(">", i)
+                name = page[i + 1 : end if end >= 0 else len(page)].strip("/").split(" ")[0]
+                out += ["\n"] * (name in ("p", "br", "td"))
+                i = len(page) if end < 0 else end + 1
+            elif page.startswith("&amp;", i):
+                out.append("&")
+                i += 5
+            elif page.startswith("&#233;", i):
+                out.append("é")
+                i += 6
+            else:
+                out.append(" " if page[i] == "\n" else page[i])
+                i += 1
+        lines = (" ".join(x.split()) for x in "".join(out).split("\n"))
+        return "\n".join(x for x in lines if x)
+
+    assert [r.text for r in io.html_to_text(spark.createDataFrame([(p,) for p in pages], "html string")).collect()] == list(map(walk, pages))
+
+
+def test_documents_are_replaced_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/x.json"
+    io.write_json(spark, {"a": 1}, path)
+    with pytest.raises(FileExistsError):
+        io.write_json(spark, {"a": 2}, path)
+    io.write_json(spark, {"a": 3}, path, replace=True)
+    assert io.read_json(spark, path) == {"a": 3} and [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["x.json"]
 
 
 def test_stream_takes_each_key_once(spark, tmp_path):
@@ -51,14 +106,41 @@ def test_stream_takes_each_key_once(spark, tmp_path):
     work()
     spark.createDataFrame([(2, "again"), (3, "c")], "k long, v string").write.mode("append").json(str(tmp_path / "in"))
     work()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "journal")).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    journal = lambda: sorted(map(tuple, read_journal(spark, str(tmp_path / "journal")).collect()))
+    assert journal() == [(1, "a"), (2, "b"), (3, "c")]
+    # a checkpoint that is gone: the whole input is read again, and what the journal has is left out
+    ingest(spark, str(tmp_path / "in"), "k long, v string", ["k"], lambda df: df, str(tmp_path / "journal"), str(tmp_path / "state2")).awaitTermination()
+    assert journal() == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_a_run_killed_midway_resumes_without_a_repeat(spark, tmp_path):
+    """The second of three batches dies after a part of it has been written; the next start writes it anew."""
+    at = lambda x: str(tmp_path / x)
+    for k in range(3):
+        spark.createDataFrame([(10 * k + j, f"v{j}") for j in range(4)] + [(0, "again")], "k long, v string").coalesce(1).write.mode("append").json(at("in"))
+    seen = []
+
+    def dies(df):
+        seen.append(df.count())
+        if len(seen) == 2:
+            run = next(p.name for p in (tmp_path / "journal").iterdir() if p.name.startswith("run="))
+            df.limit(2).write.parquet(f"{at('journal')}/{run}/batch=1")
+            raise RuntimeError("killed")
+        return df
+
+    start = lambda work: ingest(spark, at("in"), "k long, v string", ["k"], work, at("journal"), at("state"), files=1)
+    with pytest.raises(Exception, match="killed"):
+        start(dies).awaitTermination()
+    start(lambda df: df).awaitTermination()
+    got = [r.k for r in read_journal(spark, at("journal")).collect()]
+    assert sorted(got) == sorted(10 * k + j for k in range(3) for j in range(4))
 
 
 def test_entry_contract(spark):
     names, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(names) and "bm25_topk" in names
     if importlib.util.find_spec("lodestone.llm") and importlib.util.find_spec("corpus_pipeline"):
-        assert {f"op{n}_" for n in range(1, 11)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
+        assert {f"op{n}_" for n in range(1, 14)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
 
 
 def test_whole_tables_are_processed(spark, tmp_path):

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -32,6 +33,51 @@ def test_bm25_filters_keep_corpus_statistics(spark):
     assert kept == {1: pytest.approx(free[1]), 2: 0.0}
 
 
+def bm25(docs, queries):
+    """{(query, document): score} by the formula, for documents and queries as lists of tokens."""
+    n, avgdl = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = Counter(w for t in docs.values() for w in set(t))
+    raw = {w: math.log(n - f + 0.5) - math.log(f + 0.5) for w, f in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
+    return {(q, d): sum(idf.get(w, 0) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avgdl)) for w in words) for q, words in queries.items() for d, t in docs.items()}
+
+
+@pytest.mark.parametrize("block, terms", [(256, 200_000), (3, 10)])
+def test_search_in_blocks_and_slices_equals_brute_force(spark, monkeypatch, block, terms):
+    """Blocks that bounds skip, queries in many slices, terms in every document, ties, repeated terms, string ids, queries of unknown terms."""
+    monkeypatch.setattr(sparse, "BLOCK", block)
+    monkeypatch.setattr(sparse, "SLICE_TERMS", terms)
+    rng = np.random.default_rng(7)
+    words = np.array([f"w{i}" for i in range(60)])
+    share = 1 / (1 + np.arange(60))
+    docs = {f"d{i:03d}": ["all", *rng.choice(words, rng.integers(1, 30), p=share / share.sum())] for i in range(300)}
+    docs |= {f"e{i:03d}": docs["d007"] for i in range(9)} | {"none": []}
+    asked = {j: list(rng.choice(words, rng.integers(1, 6))) for j in range(25)} | {90: ["all"], 91: ["unknown"], 92: ["w3", "w3", "all"]}
+    index = sparse.build_index(spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id string, text string").repartition(3))
+    got = {}
+    for r in sparse.search(index, sparse.query_terms(spark.createDataFrame([(i, " ".join(t)) for i, t in asked.items()], "item_id int, text string")), 7).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.score)
+    scores = bm25(docs, asked)
+    for q in asked:
+        want = sorted((-round(scores[q, d], 9), d) for d in docs)[:7]
+        assert [got[q][k + 1][0] for k in range(7)] == [d for _, d in want], q
+        assert [got[q][k + 1][1] for k in range(7)] == pytest.approx([-x for x, _ in want], abs=1e-8)
+
+
+def test_bound_holds_for_every_row_of_a_block(spark):
+    rng = np.random.default_rng(2)
+    term, query, weight = rng.integers(0, 9, 40), rng.integers(0, 5, 40), rng.normal(size=40)
+    order = np.lexsort((query, term))
+    q = sparse.Asked(list(range(5)), None, np.searchsorted(term[order], np.arange(10)), query[order], weight[order], [])
+    hits, rows, value = np.sort(rng.integers(0, 9, 30)), rng.integers(0, 6, 30), rng.random(30)
+    s = sparse._scores(q, hits, rows, value, np.arange(5), 6)
+    known = {(t, r): v for t, r, v in zip(hits, rows, value, strict=True)}
+    if len(known) == len(hits):
+        assert (s <= sparse._bound(q, hits, value)[:, None] + 1e-12).all()
+    some = sparse._scores(q, hits, rows, value, np.array([1, 4]), 6)
+    assert np.array_equal(some, s[[1, 4]])
+
+
 def test_filtered_search_equals_brute_force(spark):
     """Every combination of filters, asked for or not, in one batch; documents without a shared term fill up at 0, smallest ids first."""
     rng = np.random.default_rng(4)
@@ -44,7 +90,7 @@ def test_filtered_search_equals_brute_force(spark):
     got = {}
     for r in sparse.search(index, sparse.query_terms(q), 12, q.select(F.col("item_id").alias("query_id"), "company", "fiscal_year"), d.select(F.col("doc_id").alias("id"), "company", "fiscal_year")).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.id, round(r.score, 9))
-    scores = {(r.query_id, r.id): r.score for r in sparse.score(index, sparse.query_terms(q)).collect()}
+    scores = bm25({i: t.split() for i, t, _, _ in docs}, {i: t.split() for i, t, _, _ in asked})
     for i, _, c, y in asked:
         seen = [k for k, _, a, b in docs if (c is None or a == c) and (y is None or b == y)]
         want = sorted(((-round(scores.get((i, k), 0.0), 9) + 0.0, k) for k in seen))[:12]
