@@ -218,43 +218,180 @@ def train(pages: list[str]) -> np.ndarray:
     return w
 
 
+FREE, SOURCE, SINK = 0, 1, -1
+#: Parents that are no arcs: the terminal itself, and none while another one is looked for.
+ROOT, ORPHAN = -1, -2
+
+
+class Flow:
+    """Maximum flow between the nodes with something left over (extra > 0) and those that lack something (extra < 0), by two search trees that are kept from one
+    path to the next: a tree grows from either terminal, where they meet flow is pushed, and only what hangs on a filled arc looks for another parent. So a page of many
+    blocks is not searched anew for each path."""
+
+    def __init__(self, extra: list[float], edges: list[tuple[int, int, float]]) -> None:
+        n = len(extra)
+        self.extra = extra
+        self.head: list[int] = []
+        self.room: list[float] = []  # of arc a; its reverse is a ^ 1
+        self.arcs: list[list[int]] = [[] for _ in range(n)]
+        for i, j, w in edges:
+            if i != j:
+                self.arcs[i].append(len(self.head))
+                self.arcs[j].append(len(self.head) + 1)
+                self.head += [j, i]
+                self.room += [w, w]
+        self.eps = 1e-12
+        self.tree = [SOURCE if x > self.eps else SINK if x < -self.eps else FREE for x in extra]
+        self.parent = [ROOT] * n  # arc from the node to its parent
+        self.active = deque(i for i in range(n) if self.tree[i] != FREE)
+        self.orphans: deque[int] = deque()
+        self.seen, self.depth, self.time = [0] * n, [0] * n, 0
+
+    def run(self) -> list[bool]:
+        """Whether the source still reaches each node."""
+        while self.active:
+            p = self.active[0]
+            met = self._grow(p) if self.tree[p] != FREE else None
+            if met is None:
+                self.active.popleft()
+                continue
+            self.time += 1
+            self._push(met)
+            while self.orphans:
+                self._adopt(self.orphans.popleft())
+        return [t == SOURCE for t in self.tree]
+
+    def _grow(self, p: int) -> int | None:
+        """An arc from the source's tree to the sink's, if p's neighbours have one; free neighbours join p's tree."""
+        tree, room, head, side = self.tree, self.room, self.head, self.tree[p]
+        for a in self.arcs[p]:
+            if (room[a] if side == SOURCE else room[a ^ 1]) <= self.eps:
+                continue
+            q = head[a]
+            if tree[q] == FREE:
+                tree[q], self.parent[q] = side, a ^ 1
+                self.seen[q], self.depth[q] = self.seen[p], self.depth[p] + 1
+                self.active.append(q)
+            elif tree[q] != side:
+                return a if side == SOURCE else a ^ 1
+            elif self.seen[q] <= self.seen[p] and self.depth[q] > self.depth[p] + 1 and self.parent[q] >= 0:
+                self.parent[q], self.seen[q], self.depth[q] = a ^ 1, self.seen[p], self.depth[p] + 1  # a shorter way to the root
+        return None
+
+    def _push(self, met: int) -> None:
+        head, room, parent = self.head, self.room, self.parent
+        up, down = [], []  # arcs from the source's root to the meeting arc, and on to the sink's root
+        v = head[met ^ 1]
+        while parent[v] >= 0:
+            up.append(parent[v] ^ 1)
+            v = head[parent[v]]
+        start, v = v, head[met]
+        while parent[v] >= 0:
+            down.append(parent[v])
+            v = head[parent[v]]
+        flow = min(self.extra[start], -self.extra[v], room[met], *[room[a] for a in up], *[room[a] for a in down])
+        for a in (met, *up, *down):
+            room[a] -= flow
+            room[a ^ 1] += flow
+        for a in up:
+            if room[a] <= self.eps:
+                self._orphan(head[a])
+        for a in down:
+            if room[a] <= self.eps:
+                self._orphan(head[a ^ 1])
+        self.extra[start] -= flow
+        self.extra[v] += flow
+        for root in (start, v):
+            if abs(self.extra[root]) <= self.eps:
+                self._orphan(root)
+
+    def _orphan(self, v: int) -> None:
+        if self.parent[v] != ORPHAN:
+            self.parent[v] = ORPHAN
+            self.orphans.append(v)
+
+    def _rooted(self, v: int) -> int:
+        """Steps from v to its terminal, or -1 if v hangs on an orphan; what is found is noted for this time."""
+        path, parent, head = [], self.parent, self.head
+        while self.seen[v] != self.time:
+            path.append(v)
+            if parent[v] == ORPHAN:
+                return -1
+            if parent[v] == ROOT:
+                self.seen[v], self.depth[v] = self.time, 0
+                path.pop()
+                break
+            v = head[parent[v]]
+        steps = self.depth[v]
+        for x in reversed(path):
+            steps += 1
+            self.seen[x], self.depth[x] = self.time, steps
+        return steps
+
+    def _adopt(self, v: int) -> None:
+        side, best, steps = self.tree[v], None, 1 << 60
+        for a in self.arcs[v]:
+            q = self.head[a]
+            if self.tree[q] == side and (self.room[a ^ 1] if side == SOURCE else self.room[a]) > self.eps and self.parent[q] != ORPHAN:
+                d = self._rooted(q)
+                if 0 <= d < steps:
+                    best, steps = a, d
+        if best is not None:
+            self.parent[v], self.seen[v], self.depth[v] = best, self.time, steps + 1
+            return
+        for a in self.arcs[v]:
+            q = self.head[a]
+            if self.tree[q] == side:
+                if (self.room[a ^ 1] if side == SOURCE else self.room[a]) > self.eps:
+                    self.active.append(q)
+                if self.parent[q] == a ^ 1:
+                    self._orphan(q)
+        self.tree[v], self.parent[v] = FREE, ROOT
+
+
+#: Arcs of a node at most; one with more (a container of many blocks) becomes a tree of such nodes, whose arcs no cut can afford, so cuts stay the same.
+WIDE = 8
+
+
+def _split(n: int, edges: list[tuple[int, int, float]]) -> tuple[int, list[tuple[int, int, float]]]:
+    """The same graph with WIDE arcs a node at most; added nodes come behind the n."""
+    hangs: list[list[int]] = [[] for _ in range(n)]
+    for k, (i, j, _) in enumerate(edges):
+        if i != j:
+            hangs[i].append(k)
+            hangs[j].append(k)
+    ends = [[i, j, w] for i, j, w in edges]
+    never = 1.0 + sum(w for _, _, w in edges)
+    for v in range(n):
+        if len(hangs[v]) <= WIDE:
+            continue
+        level = []
+        for a in range(0, len(hangs[v]), WIDE):
+            for k in hangs[v][a : a + WIDE]:
+                ends[k][0 if ends[k][0] == v else 1] = n
+            level.append(n)
+            n += 1
+        while len(level) > WIDE:
+            above = []
+            for a in range(0, len(level), WIDE):
+                ends += [[x, n, never] for x in level[a : a + WIDE]]
+                above.append(n)
+                n += 1
+            level = above
+        ends += [[x, v, never] for x in level]
+    return n, [tuple(e) for e in ends]
+
+
 def min_cut(content: list[float], boiler: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Labels (True: content) that minimise the sum of the costs of the labels and the weights of edges between different labels.
+    """Labels (True: content) that minimise the sum of the costs of the labels and the weights of edges between different labels; of several such labellings that with
+    the fewest True.
 
-    content[i] is the cost of calling i content. Maximum flow by shortest augmenting paths; what the source still reaches is content.
+    content[i] is the cost of calling i content. Maximum flow; what the source still reaches is content.
     """
-    n = len(content)
-    adj: list[dict[int, float]] = [{} for _ in range(n)]
-    for i, j, w in edges:
-        if i != j:
-            adj[i][j] = adj[i].get(j, 0.0) + w
-            adj[j][i] = adj[j].get(i, 0.0) + w
+    nodes, edges = _split(len(content), edges)
     # the flow source -> i -> sink is taken at once; what is left stands on one side
     extra = [b - c for c, b in zip(content, boiler, strict=True)]
-    eps = 1e-12
-    while True:
-        before: dict[int, int] = {i: -1 for i in range(n) if extra[i] > eps}
-        queue, end = deque(before), -1
-        while queue and end < 0:
-            i = queue.popleft()
-            for j, w in adj[i].items():
-                if w > eps and j not in before:
-                    before[j] = i
-                    if extra[j] < -eps:
-                        end = j
-                        break
-                    queue.append(j)
-        if end < 0:
-            return [i in before for i in range(n)]
-        path = [end]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        flow = min(extra[path[-1]], -extra[end], *(adj[path[k + 1]][path[k]] for k in range(len(path) - 1)))
-        for k in range(len(path) - 1):
-            adj[path[k + 1]][path[k]] -= flow
-            adj[path[k]][path[k + 1]] = adj[path[k]].get(path[k + 1], 0.0) + flow
-        extra[path[-1]] -= flow
-        extra[end] += flow
+    return Flow(extra + [0.0] * (nodes - len(extra)), edges).run()[: len(content)]
 
 
 def label(found: list[Block], parents: list[int], p: np.ndarray) -> list[bool]:
