@@ -43,7 +43,7 @@ def build_index(documents: DataFrame) -> DataFrame:
         for k, row in enumerate(_blocks(batches)):
             yield batch({"block": pa.array([first + k], pa.int64())} | {n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("doc_ids", "bounds", "terms", "starts", "postings"), row, strict=True)})
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(K.tidy(run), INDEX)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -138,7 +138,7 @@ def search(index: DataFrame, items: DataFrame, size: int = 13, slop: int = 0, ne
     for k in range(slices):
         part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         sent = spark.sparkContext.broadcast(Windows([tuple(r) for r in part.distinct().collect()], size))
-        found = index.mapInArrow(_searched(sent, slop, near), FOUND)
+        found = index.mapInArrow(K.tidy(_searched(sent, slop, near)), FOUND)
         if slices > 1:
             found = materialise(found, "found")
             sent.unpersist()

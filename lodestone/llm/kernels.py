@@ -35,6 +35,21 @@ def _return_memory() -> None:
         libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
 
 
+def tidy(run):
+    """A function over batches that gives what it has freed back to the system at its end, pieces between live ones too: a worker that is kept for the next task
+    holds no more than that task needs."""
+
+    def tidied(batches):
+        process_cache()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return tidied
+
+
 _M = 0x9E3779B97F4A7C15 | 1
 _MULT, _INV = np.uint64(_M), np.uint64(pow(_M, -1, 1 << 64))
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -208,9 +208,9 @@ def _confirm(pairs: DataFrame, sketches: DataFrame, documents: DataFrame, percen
     likely = materialise(pairs.select("a", "b") if exact else _likely(pairs, sketches, percent, sketch), "likely")
     need = likely.select(side("a", "doc_id")).unionAll(likely.select(side("b", "doc_id"))).distinct()
     texts = documents.select("doc_id", "text").join(maybe_broadcast(need, 16), "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(_sets(size), "doc long, items binary"), "sets")
+    sets = materialise(texts.mapInArrow(K.tidy(_sets(size)), "doc long, items binary"), "sets")
     full = likely.join(sets.select(side("doc", "a"), side("items", "xa")), "a").join(sets.select(side("doc", "b"), side("items", "xb")), "b")
-    return full.select("a", "b", "xa", "xb").mapInArrow(_exact(percent), "a long, b long").distinct()
+    return full.select("a", "b", "xa", "xb").mapInArrow(K.tidy(_exact(percent)), "a long, b long").distinct()
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, sketch: int) -> DataFrame:
@@ -218,12 +218,12 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, sketch: int) ->
     both = pairs.select("a", "b").join(sketches.select(side("rep", "a"), side("sketch", "sa")), "a").join(sketches.select(side("rep", "b"), side("sketch", "sb")), "b")
     t = percent / 100
     slack = F.when(F.col("base") >= sketch, SLACK * F.sqrt(F.lit(t * (1 - t)) / F.col("base"))).otherwise(1e-9)
-    return both.select("a", "b", "sa", "sb").mapInArrow(_estimate(sketch), "a long, b long, est double, base long").where(F.col("est") >= t - slack).select("a", "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(K.tidy(_estimate(sketch)), "a long, b long, est double, base long").where(F.col("est") >= t - slack).select("a", "b")
 
 
 def _shared_lists(classes: DataFrame, levels: list[tuple[int, int, int]], exact: bool) -> DataFrame:
     """(key, doc, n, w): the lists with several members; w counts the lists that a member shares."""
-    lists = materialise(classes.select("rep", "n", "sketch").mapInArrow(_keys(levels, exact), "key long, doc long, n long, kind int"), "lists")
+    lists = materialise(classes.select("rep", "n", "sketch").mapInArrow(K.tidy(_keys(levels, exact)), "key long, doc long, n long, kind int"), "lists")
     window = "over (partition by key order by doc)"
     alone = lists.where("kind < 2").selectExpr("key", "doc", "n", "kind", f"lag(key) {window} as x", f"lead(key) {window} as y")
     shared = alone.where("kind = 1 or x is not null or y is not null").select("key", "doc", "n").unionAll(lists.where("kind = 2").select("key", "doc", "n"))
@@ -268,7 +268,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sket
     are not read. An empty table gives an empty result. exact: see above.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_ = materialise(documents.mapInArrow(_sketches(size, sketch, percent, exact), "doc_id long, n long, f1 long, f2 long, sketch binary, odd binary"), "sketches")
+    all_ = materialise(documents.mapInArrow(K.tidy(_sketches(size, sketch, percent, exact)), "doc_id long, n long, f1 long, f2 long, sketch binary, odd binary"), "sketches")
     real = all_.where("n > 0 and doc_id is not null")
     # one class per set; the sketch of a class is the same whichever row it comes from
     classes = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "sketch", "odd")).alias("x"), F.count("*").alias("copies"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, materialise
+from .kernels import tidy
 from .tokens import END, encoder
 
 #: Pieces that one group holds on average.
@@ -79,7 +80,7 @@ def pieces(documents: DataFrame, capacity: int = 1024, vocabulary: str | None =
                     rows, held = [[] for _ in range(6)], 0
             yield out()
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str | None = None, group: int = GROUP) -> DataFrame:
