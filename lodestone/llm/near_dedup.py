@@ -8,12 +8,11 @@
    In each list, members are paired with the one that shares the most lists: a star, never all pairs.
 3. The number of shared lists picks each document's best partner, the union sketch estimates the
    similarity, and the exact Jaccard index of the full sets decides.
-4. Components of the links found are built; then pairs within a list that are still in different
-   components, and whose odd sketches are near enough, go the same way, so no link between components
-   stays unseen.
+4. Components of the links found are built. Then nothing is left to chance: every class is listed under its prefix, so many of its rarest
+   shingles that two sets at the threshold must share one, and pairs in a list that are still in different components, and whose sizes and odd
+   sketches allow it, are compared on their full sets, without an estimate. What is rare is known from a bounded sample; it orders the shingles,
+   the same way for all sets, and no pair depends on it.
 
-With exact=True nothing rests on chance: a list's key is a single retained value, as many of the smallest as two sets at the threshold
-must share one of (n - t n + 1 of a set of n), and neither the estimate nor the sketches' bound drops a pair. Long lists of common shingles then make more candidates.
 Shingles are compared by 64-bit hashes: two different ones are taken for one with a probability of 2^-64.
 """
 
@@ -32,10 +31,12 @@ from .common import batch, kept, materialise, maybe_broadcast
 from .graph import connected_components
 
 SKETCH = 96
-#: Bits of an odd sketch; sets of so many values enter whole; otherwise so many retained values do.
-ODD_BITS, ODD_FULL, ODD_SKETCH = 1024, 1024, 384
-#: Standard deviations that an estimate may lie under the threshold.
+#: Bits of an odd sketch, and the size of sets up to which they have one.
+ODD_BITS, ODD_FULL = 1024, 1024
+#: Standard deviations that an estimate may lie under the threshold; what it drops is left to the prefixes.
 SLACK = 4.5
+#: Classes whose shingles tell what is common, and how many common ones are sent to all tasks, at most.
+SAMPLE, COMMON = 4096, 1 << 18
 #: Rows of key lists that one flush of the map-side combiner holds.
 FLUSH = 1 << 20
 
@@ -74,7 +75,7 @@ def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _sketches(size: int, sketch: int, percent: int, exact: bool):
+def _sketches(size: int, sketch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0), b.column(1)
@@ -87,7 +88,7 @@ def _sketches(size: int, sketch: int, percent: int, exact: bool):
                     "n": pa.array([len(x) for x in sets], pa.int64()),
                     "f1": pa.array([x for x, _ in fp], pa.int64()),
                     "f2": pa.array([y for _, y in fp], pa.int64()),
-                    "sketch": pa.array([x[: _prefix(len(x), percent) if exact else sketch].tobytes() for x in sets], pa.binary()),
+                    "sketch": pa.array([x[:sketch].tobytes() for x in sets], pa.binary()),
                     "odd": pa.array([_odd(x) for x in sets], pa.binary()),
                 })
 
@@ -103,26 +104,22 @@ def _runs(x: np.ndarray, r: int) -> np.ndarray:
 
 def _odd(x: np.ndarray) -> bytes:
     """Odd sketch: the parity of how many values fall on each of ODD_BITS bits. Two differ in at most as many bits as the sets in values."""
-    x = x if len(x) <= ODD_FULL else x[:ODD_SKETCH]
+    if len(x) > ODD_FULL:
+        return bytes(ODD_BITS // 8)
     bits = np.bincount((x >> np.uint64(20)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS).astype(np.uint8) & 1
     return np.packbits(bits).tobytes()
 
 
-def _near_enough(percent: int, exact: bool) -> str:
-    """SQL: whether two sets l and r can reach the threshold by size and odd sketches. Sets of up to ODD_FULL values are
-    compared whole, so nothing is lost; larger ones by retained values, SLACK standard deviations over the mean. At the threshold
-    the larger set shares p = t (1 + smaller / larger) / (1 + t) of its values: 2t / (1 + t) at equal sizes, t where it holds the smaller one."""
-    t = percent / 100
-    p = f"least(1d, {t / (1 + t)!r}d * (1 + least(l.n, r.n) / greatest(l.n, r.n)))"
-    most = ODD_BITS if exact else f"{2 * ODD_SKETCH} * (1 - {p}) + {2 * SLACK}d * sqrt({ODD_SKETCH} * {p} * (1 - {p}))"
+def _near_enough(percent: int) -> str:
+    """SQL: whether two sets l and r can reach the threshold by size and, where both have one, by odd sketches. Nothing is lost."""
     apart = " + ".join(f"bit_count(l.o{i} ^ r.o{i})" for i in range(ODD_BITS // 64))
-    bound = f"case when greatest(l.n, r.n) <= {ODD_FULL} then (l.n + r.n) * {100 - percent} div {100 + percent} when least(l.n, r.n) > {ODD_FULL} then {most} else {ODD_BITS} end"
+    bound = f"case when greatest(l.n, r.n) <= {ODD_FULL} then (l.n + r.n) * {100 - percent} div {100 + percent} else {ODD_BITS} end"
     return f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {apart} <= {bound}"
 
 
-def _keys(levels: list[tuple[int, int, int]], exact: bool):
-    """Rows (key, doc, n, kind). kind 0: alone with its key among the rows that one flush holds; 1: the first of several; 2: another of
-    them, already known to share its list, so that a very long list need not meet in one task."""
+def _listed(rows):
+    """Rows (key, doc, n, kind) of rows(batch), which gives (doc, n, its distinct keys). kind 0: alone with its key among the rows that one flush holds; 1: the first of
+    several; 2: another of them, already known to share its list, so that a very long list need not meet in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, sizes, held = [], [], [], 0
@@ -143,11 +140,8 @@ def _keys(levels: list[tuple[int, int, int]], exact: bool):
             keys, docs, sizes, held = [], [], [], 0
 
         for b in batches:
-            for doc, n, sketch in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x = np.frombuffer(sketch, np.uint64)
-                k = [_runs(x, 1)] if exact else [_runs(x, r) for r, lo, hi in levels if lo <= n <= hi and len(x) >= r]
-                if k:
-                    k = np.unique(np.concatenate(k))
+            for doc, n, k in rows(b):
+                if len(k):
                     keys.append(k), docs.append(np.full(len(k), doc, np.int64)), sizes.append(np.full(len(k), n, np.int64))
                     held += len(k)
                 if held >= FLUSH:
@@ -157,6 +151,55 @@ def _keys(levels: list[tuple[int, int, int]], exact: bool):
     return run
 
 
+LISTED = "key long, doc long, n long, kind int"
+
+
+def _run_keys(levels: list[tuple[int, int, int]]):
+    """Of (rep, n, sketch): a class under its runs of retained values."""
+
+    def rows(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        for doc, n, sketch in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            x = np.frombuffer(sketch, np.uint64)
+            k = [_runs(x, r) for r, lo, hi in levels if lo <= n <= hi and len(x) >= r]
+            yield doc, n, np.unique(np.concatenate(k)) if k else np.zeros(0, np.int64)
+
+    return rows
+
+
+def rarest(x: np.ndarray, percent: int, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The prefix of a set x (sorted hashes) by rising count in the sample, then by hash; common: sorted hashes that the sample has more than once, times: how often."""
+    k = _prefix(len(x), percent)
+    if k >= len(x) or not len(common):
+        return x[:k]
+    at = np.searchsorted(common, x)
+    at[at == len(common)] = 0
+    return x[np.lexsort((x, np.where(common[at] == x, times[at], 0)))[:k]]
+
+
+def _prefix_keys(size: int, percent: int, sent):
+    """Of (doc_id, text): a class under its rarest shingles."""
+
+    def rows(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+        common, times = sent.value
+        for lo, hi, data, offsets in K.chunks(b.column(1)):
+            h, before, _ = K.words(data, offsets, K.BLANK_WORDS)
+            for doc, x in zip(b.column(0).slice(lo, hi - lo).to_pylist(), K.shingle_hashes(h, before, size), strict=True):
+                yield doc, len(x), rarest(x, percent, common, times).view(np.int64)
+
+    return rows
+
+
+def _shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, offsets in K.chunks(b.column(1)):
+                h, before, _ = K.words(data, offsets, K.BLANK_WORDS)
+                for x in K.shingle_hashes(h, before, size):
+                    yield batch({"key": pa.array(x.view(np.int64))})
+
+    return run
+
+
 def _estimate(sketch: int):
     """Adds the union-sketch estimate of the similarity and the number of values it rests on."""
 
@@ -202,10 +245,10 @@ def _exact(percent: int):
     return run
 
 
-def _confirm(pairs: DataFrame, sketches: DataFrame, documents: DataFrame, percent: int, size: int, sketch: int, exact: bool) -> DataFrame:
-    """Links (a, b) among candidate pairs (a, b): estimate on sketches, unless exact, then exact on the sets of the texts involved."""
+def _confirm(pairs: DataFrame, sketches: DataFrame | None, documents: DataFrame, percent: int, size: int, sketch: int) -> DataFrame:
+    """Links (a, b) among candidate pairs (a, b): estimate on the sketches, if given, then exact on the sets of the texts involved."""
     side = lambda c, as_: F.col(c).alias(as_)
-    likely = materialise(pairs.select("a", "b") if exact else _likely(pairs, sketches, percent, sketch), "likely")
+    likely = materialise(pairs.select("a", "b") if sketches is None else _likely(pairs, sketches, percent, sketch), "likely")
     need = likely.select(side("a", "doc_id")).unionAll(likely.select(side("b", "doc_id"))).distinct()
     texts = documents.select("doc_id", "text").join(maybe_broadcast(need, 16), "doc_id", "left_semi")
     sets = materialise(texts.mapInArrow(K.tidy(_sets(size)), "doc long, items binary"), "sets")
@@ -221,60 +264,77 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, sketch: int) ->
     return both.select("a", "b", "sa", "sb").mapInArrow(K.tidy(_estimate(sketch)), "a long, b long, est double, base long").where(F.col("est") >= t - slack).select("a", "b")
 
 
-def _shared_lists(classes: DataFrame, levels: list[tuple[int, int, int]], exact: bool) -> DataFrame:
-    """(key, doc, n, w): the lists with several members; w counts the lists that a member shares."""
-    lists = materialise(classes.select("rep", "n", "sketch").mapInArrow(K.tidy(_keys(levels, exact)), "key long, doc long, n long, kind int"), "lists")
+def _shared_lists(made: DataFrame) -> DataFrame:
+    """_listed() rows -> (key, doc, n), written: the lists with several members."""
+    lists = materialise(made, "lists")
     window = "over (partition by key order by doc)"
     alone = lists.where("kind < 2").selectExpr("key", "doc", "n", "kind", f"lag(key) {window} as x", f"lead(key) {window} as y")
     shared = alone.where("kind = 1 or x is not null or y is not null").select("key", "doc", "n").unionAll(lists.where("kind = 2").select("key", "doc", "n"))
-    shared = materialise(shared, "shared")
+    return materialise(shared, "shared")
+
+
+def _partners(classes: DataFrame, percent: int, sketch: int) -> DataFrame:
+    """(a, b): for each class the head with which it shares the most lists of runs."""
+    shared = _shared_lists(classes.select("rep", "n", "sketch").mapInArrow(K.tidy(_listed(_run_keys(tiers(percent, sketch)))), LISTED))
     # a list's head is the member with the most shared lists: what others were copied from shares more than copies do
     weight = shared.groupBy("doc").agg(F.count("*").alias("w"))
-    return shared.join(weight, "doc").select("key", "doc", "n", "w")
+    shared = materialise(shared.join(weight, "doc").select("key", "doc", "n", "w"), "weighted")
+    heads = shared.groupBy("key").agg(F.max(F.struct("w", -F.col("doc"), "n")).alias("h")).select("key", (-F.col("h.col2")).alias("head"), F.col("h.n").alias("m"))
+    star = shared.join(heads, "key").where(f"doc <> head and 100 * least(n, m) >= {percent} * greatest(n, m)")
+    best = star.groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("times"))
+    return best.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b"))
 
 
-def _components(classes: DataFrame, documents: DataFrame, percent: int, size: int, sketch: int, exact: bool) -> DataFrame:
+def _prefixes(classes: DataFrame, documents: DataFrame, parts: DataFrame, percent: int, size: int) -> DataFrame:
+    """(key, doc, n, c): the lists of prefixes whose members are in several components."""
+    spark = documents.sparkSession
+    texts = documents.join(maybe_broadcast(classes.select(F.col("rep").alias("doc_id")), 16), "doc_id", "left_semi").select("doc_id", "text")
+    draw = F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(max(1, classes.count()))) < SAMPLE
+    counted = texts.where(draw).mapInArrow(K.tidy(_shingles(size)), "key long").groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
+    got = counted.orderBy(F.desc("times"), "key").limit(COMMON).toArrow()
+    known = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    sent = spark.sparkContext.broadcast((known[order], got["times"].to_numpy()[order]))
+    shared = _shared_lists(texts.mapInArrow(K.tidy(_listed(_prefix_keys(size, percent, sent))), LISTED))
+    rows = shared.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    mixed = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+    return rows.join(mixed, "key", "left_semi")
+
+
+def _components(classes: DataFrame, documents: DataFrame, percent: int, size: int, sketch: int) -> DataFrame:
     """(node, component) over the representatives of classes that have links."""
     spark = documents.sparkSession
-    shared = kept(spark, "shared", lambda: _shared_lists(classes, tiers(percent, sketch), exact))
-    heads = shared.groupBy("key").agg(F.max(F.struct("w", -F.col("doc"), "n")).alias("h")).select("key", (-F.col("h.col2")).alias("head"), F.col("h.n").alias("m"))
-    star = shared.join(heads, "key").where(f"doc <> head and 100 * least(n, m) >= {percent} * greatest(n, m)")
-    best = star.groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("times"))
-    best = materialise(best.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b")), "best")
+    best = kept(spark, "best", lambda: _partners(classes, percent, sketch))
     sketches = classes.select("rep", "sketch")
-    links = kept(spark, "links", lambda: _confirm(best, sketches, documents, percent, size, sketch, exact))
+    links = kept(spark, "links", lambda: _confirm(best, sketches, documents, percent, size, sketch))
     parts = kept(spark, "components", lambda: connected_components(links))
-    # whatever shares a list and is in another component still
-    rows = shared.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    mixed = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    rows = materialise(rows.join(mixed, "key", "left_semi"), "rows")
+    rows = kept(spark, "rows", lambda: _prefixes(classes, documents, parts, percent, size))
     odd = [F.conv(F.hex(F.substring("odd", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"o{i}") for i in range(ODD_BITS // 64)]
     odd = classes.join(rows.select(F.col("doc").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("doc"), *odd)
     rows = rows.join(odd, "doc")
-    rest = rows.alias("l").join(rows.alias("r"), F.expr(f"l.key = r.key and l.c < r.c and {_near_enough(percent, exact)}"))
+    rest = rows.alias("l").join(rows.alias("r"), F.expr(f"l.key = r.key and l.c < r.c and {_near_enough(percent)}"))
     rest = rest.select(F.greatest("l.doc", "r.doc").alias("a"), F.least("l.doc", "r.doc").alias("b")).distinct()
-    rest = rest.join(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = kept(spark, "more", lambda: _confirm(rest, sketches, documents, percent, size, sketch, exact))
+    more = kept(spark, "more", lambda: _confirm(rest, None, documents, percent, size, sketch))
     return connected_components(links.unionAll(more))
 
 
-def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sketch: int = SKETCH, exact: bool = False) -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, sketch: int = SKETCH) -> DataFrame:
     """documents (doc_id, text) -> (doc_id, n_shingles, component_id, kept).
 
     Words are runs without blank space, A-Z lower-cased; a set holds the distinct shingles of `size` words, or
     the whole sequence if there are fewer. Two documents link if 100 * |intersection| >= percent * |union|.
     Null and empty texts have an empty set and link with nothing. Rows that repeat a doc_id count as one
     document. A row without doc_id is linked with nothing: its component is null and it is not kept. Columns beside doc_id and text
-    are not read. An empty table gives an empty result. exact: see above.
+    are not read. An empty table gives an empty result.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_ = materialise(documents.mapInArrow(K.tidy(_sketches(size, sketch, percent, exact)), "doc_id long, n long, f1 long, f2 long, sketch binary, odd binary"), "sketches")
+    all_ = materialise(documents.mapInArrow(K.tidy(_sketches(size, sketch)), "doc_id long, n long, f1 long, f2 long, sketch binary, odd binary"), "sketches")
     real = all_.where("n > 0 and doc_id is not null")
     # one class per set; the sketch of a class is the same whichever row it comes from
     classes = real.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "sketch", "odd")).alias("x"), F.count("*").alias("copies"))
     classes = materialise(classes.select("f1", "f2", "n", F.col("x.doc_id").alias("rep"), F.col("x.sketch").alias("sketch"), F.col("x.odd").alias("odd"), "copies"), "classes")
     spark = documents.sparkSession
-    parts = kept(spark, "components", lambda: _components(classes, documents, percent, size, sketch, exact))
+    parts = kept(spark, "components", lambda: _components(classes, documents, percent, size, sketch))
     comp = classes.where("copies > 1").select("f1", "f2", "n", "rep").join(parts, F.col("rep") == F.col("node"), "left")
     single = classes.where("copies = 1").select("f1", "f2", "n", "rep").join(parts, F.col("rep") == F.col("node"))
     known = comp.unionAll(single).select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))

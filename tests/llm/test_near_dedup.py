@@ -1,8 +1,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from lodestone.llm import near_dedup as N
 from lodestone.llm.graph import connected_components
 from lodestone.llm.near_dedup import near_duplicates, tiers
 
@@ -56,10 +60,10 @@ def test_components_equal_brute_force(spark, percent, words, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_exact_mode_equals_brute_force_for_short_and_long_texts(spark):
+def test_links_of_short_and_long_texts_equal_brute_force(spark):
     rng = random.Random(12)
     rows = list(enumerate(family(rng, 30, 120, 4) + family(rng, 6, 2500, 4)))
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, exact=True).collect()
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
     assert {r.doc_id: r.component_id for r in got} == brute(rows, 80)
 
 
@@ -71,6 +75,38 @@ def test_nulls_ties_short_and_repeated_rows(spark):
     assert got == [(-1, 4, -1, False), (1, 4, 1, True), (3, 4, 1, False), (3, 4, 1, False), (4, 1, 4, True), (5, 1, 4, False), (7, 0, 7, True), (8, 0, 8, True), (9, 0, 9, True), (11, 1, 11, True)]
 
 
+def under_the_threshold(n, rng):
+    """Texts that all share five sixths of their words, in one run, and link with none of the others."""
+    shared = [f"s{i}" for i in range(330)]
+    return [(i, " ".join(shared + [f"u{i}.{rng.randrange(10**6)}.{j}" for j in range(70)])) for i in range(n)]
+
+
+def test_a_large_family_under_the_threshold_is_not_compared_pair_by_pair(spark):
+    """Prefixes of such texts hold what is their own; the pairs that are compared are the few that were planted."""
+    rows = under_the_threshold(900, random.Random(3))
+    copies = [(2000 + i, rows[i][1].replace(f"s{i}", f"x{i}")) for i in range(0, 300, 30)]
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string")
+    got = near_duplicates(docs, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - 2000 if i >= 2000 else i for i, _ in rows + copies}
+    classes = spark.createDataFrame([(i,) for i, _ in rows + copies], "rep long")
+    alone = spark.createDataFrame([], "node long, component long")
+    listed = N._prefixes(classes, docs, alone, 85, 5)
+    pairs = listed.alias("l").join(listed.alias("r"), "key").where("l.doc < r.doc").select("l.doc", "r.doc").distinct().count()
+    assert pairs < 60
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=40), st.lists(st.integers(0, 60), min_size=1, max_size=40), st.lists(st.tuples(st.integers(0, 60), st.integers(2, 9))), st.sampled_from([50, 80, 85, 95]))
+def test_sets_at_the_threshold_share_one_of_their_rarest(a, b, known, percent):
+    a, b = (np.unique(np.array(x, np.uint64)) for x in (a, b))
+    table = dict(known)
+    common = np.array(sorted(table), np.uint64)
+    times = np.array([table[int(k)] for k in common], np.int64)
+    both = len(np.intersect1d(a, b))
+    if 100 * both >= percent * (len(a) + len(b) - both):
+        assert len(np.intersect1d(N.rarest(a, percent, common, times), N.rarest(b, percent, common, times)))
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
