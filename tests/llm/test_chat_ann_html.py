@@ -126,6 +126,7 @@ def test_only_probed_parts_give_results(spark, monkeypatch):
         return made[0]
 
     monkeypatch.setattr(A, "fit_router", one_probe)
+    monkeypatch.setattr(A, "part_count", lambda sample, total: 3)
     v = np.random.default_rng(4).standard_normal((3000, 16))
     got = {}
     for r in nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect():
@@ -137,6 +138,26 @@ def test_only_probed_parts_give_results(spark, monkeypatch):
         assert got[q] == set(sorted(mates, key=lambda i: -(v[q] * v[i]).sum())[:20])
 
 
+@pytest.mark.parametrize("n", [500, 3000])
+def test_small_tables_are_searched_through_parts_too(spark, n, monkeypatch):
+    """From 500 rows on there are many parts, and on rows that gather somewhere a query reads less than half of them."""
+    rng = np.random.default_rng(8)
+    v = 3 * rng.standard_normal((20, 16))[rng.integers(20, size=n)] + 0.5 * rng.standard_normal((n, 16))
+    made = []
+    monkeypatch.setattr(A, "fit_router", lambda x, parts, fit=A.fit_router: made.append(fit(x, parts)) or made[-1])
+    got = {}
+    for r in nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), every=10, k=10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = v[::10] @ v.T
+    s[np.arange(len(s)), np.arange(0, n, 10)] = -np.inf
+    near = np.argsort(-s, axis=1)[:, :10]
+    assert sum(len(got[10 * q] & set(x.tolist())) for q, x in enumerate(near)) >= 0.9 * 10 * len(near)
+    logits = made[0].logits(v / np.linalg.norm(v, axis=1, keepdims=True))
+    parts, size = logits.shape[1], np.bincount(logits.argmax(axis=1), minlength=logits.shape[1])
+    read = np.take_along_axis(np.tile(size, (len(near), 1)), np.argsort(-logits[::10], axis=1)[:, : made[0].probes], axis=1).sum(axis=1)
+    assert parts >= 10 and read.mean() < 0.5 * n
+
+
 def test_recall_well_above_the_sample(spark):
     rng = np.random.default_rng(6)
     v = rng.standard_normal((25000, 16)) + 2 * rng.standard_normal((60, 16))[rng.integers(60, size=25000)]
