@@ -59,6 +59,10 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+#: Shards that the driver lists, about, and sequences of one: up to a gigabyte of two-byte ids at the default length.
+SHARDS, LEAST, MOST = 4096, 4096, 1 << 20
+
+
 def _in_order(documents: DataFrame) -> DataFrame:
     """doc_id, text, and file and row, an order that doesn't depend on splits where the rows come straight from files; otherwise that of the partitions."""
     columns = [F.col("doc_id").cast("long").alias("doc_id"), "text"]
@@ -68,13 +72,13 @@ def _in_order(documents: DataFrame) -> DataFrame:
         return documents.select(*columns, F.format_string("%012d", F.spark_partition_id()).alias("file"), F.monotonically_increasing_id().alias("row"))
 
 
-def write_shards(documents: DataFrame, path: str, length: int = 512, per_shard: int = 4096, key: int = 17, vocabulary: str | None = None) -> DataFrame:
+def write_shards(documents: DataFrame, path: str, length: int = 512, per_shard: int | None = None, key: int = 17, vocabulary: str | None = None) -> DataFrame:
     """documents (doc_id, text) -> files under path (a URI that pyarrow reaches from every executor), and per sequence
     doc_id, part, slot, shard, byte_offset, n_tokens, crc32 (of the stride's bytes as written).
 
     A sequence takes length ids of two bytes, little endian (four if the vocabulary needs them); its last one in a document is filled
     with the end id. Null and empty texts give one sequence of end ids. Repeated rows are sequences of their own. An empty table gives no shards.
-    A shard holds at most per_shard sequences and appears under its name only when complete (written aside, then moved), so tasks may
+    A shard holds at most per_shard sequences (by default so many that there are about SHARDS of them, from LEAST to MOST each, so what the driver lists stays short) and appears under its name only when complete (written aside, then moved), so tasks may
     fail or run twice; manifest.json comes last, when all shards stand.
     """
     spark = documents.sparkSession
@@ -89,6 +93,7 @@ def write_shards(documents: DataFrame, path: str, length: int = 512, per_shard:
     for r in sorted(parts, key=lambda r: (r.file, r.row)):
         base[r.split, r.file], total = (total, r.n), total + r.n
     sent = spark.sparkContext.broadcast(base)
+    per_shard = per_shard or min(MOST, max(LEAST, -(-total // SHARDS)))
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, enc = TaskContext.get().partitionId(), encoder(vocabulary)
