@@ -21,6 +21,13 @@ def _violations(df: DataFrame, rule: str, key: Column, detail: Column) -> DataFr
     return df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
 
 
+def missing_columns(frames: dict[str, DataFrame], required: dict[str, list[str]]) -> DataFrame:
+    """Columns that frames lack, by the frame's name: what require_columns() would raise for each."""
+    spark = next(iter(frames.values())).sparkSession
+    rows = [("missing_column", name, c) for name, columns in required.items() for c in sorted(set(columns) - set(frames[name].columns))]
+    return spark.createDataFrame(rows, "rule string, key string, detail string")
+
+
 def duplicate_keys(df: DataFrame, keys: list[str], rule: str = "duplicate_key") -> DataFrame:
     g = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
     return _violations(g, rule, F.concat_ws("|", *keys), F.col("n"))

@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from .selection import canonical
+
 Encoder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[tuple[str, str]]], list[float]]
 Generator = Callable[[list[str]], list[str]]
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"\w+")  # letters, digits, underscores
 #: What a prompt is followed by when its response was not valid.
 FEEDBACK = "\n\nThe last response was rejected: %s. Answer again, in the form asked for."
 
@@ -55,7 +57,16 @@ def overlap_scorer(pairs: list[tuple[str, str]]) -> list[float]:
     return out
 
 
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+
+
 def cross_score(query: Column, text: Column, scorer: Scorer = overlap_scorer) -> Column:
+    """The scorer's values, in Arrow batches; overlap_scorer, the default, as an expression."""
+    if scorer is overlap_scorer:
+        words = _words(query)
+        return F.when(F.size(words) > 0, F.size(F.array_intersect(words, _words(text))) / F.size(words)).otherwise(0.0)
+
     def run(q: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series(scorer(list(zip(q, t, strict=True))), dtype=float)
 
@@ -67,7 +78,7 @@ def echo_generator(prompts: list[str]) -> list[str]:
     out = []
     for p in prompts:
         found = re.search(r"Chunk ID: [^\n]*\n(?:[A-Z][^\n:]*: [^\n]*\n)*([^\n]+)", p or "")
-        out.append(found[1][:200] if found else "Insufficient evidence in the retrieved context.")
+        out.append(found[1] if found else "Insufficient evidence in the retrieved context.")
     return out
 
 
@@ -139,17 +150,19 @@ def _best_cosines(a: list[str], b: list[str], encoder: Encoder, block: int = 512
     return float(down.mean()), float(across.mean())
 
 
-def soft_match(candidate: Column, reference: Column, encoder: Encoder | None = None, limit: int | None = None) -> Column:
+def soft_match(candidate: Column, reference: Column, encoder: Encoder | None = None, limit: int | None = None, refuse: int | None = None) -> Column:
     """struct(precision, recall, f1, candidate_tokens, reference_tokens, truncated): greedy best cosine between word vectors, no weighting, no rescaling.
 
     A side without words scores 0. Whole texts are scored, in blocks of words. Only for a model that has a limit itself: a side over
-    `limit` words sets truncated and scores its first words."""
+    `limit` words sets truncated and scores its first words, and one over `refuse` words raises, so no score is of less than it seems."""
     encoder = encoder or hashing_encoder()
 
     def run(c: pd.Series, r: pd.Series) -> pd.DataFrame:
         rows = []
         for x, y in zip(c, r, strict=True):
             a, b = (x or "").split(), (y or "").split()
+            if refuse is not None and max(len(a), len(b)) > refuse:
+                raise ValueError(f"a pair of {len(a)} and {len(b)} words is over the model's {refuse}")
             if a and b:
                 p, q = _best_cosines(a[:limit], b[:limit], encoder)
             else:
@@ -158,3 +171,8 @@ def soft_match(candidate: Column, reference: Column, encoder: Encoder | None = N
         return pd.DataFrame(rows, columns=["precision", "recall", "f1", "candidate_tokens", "reference_tokens", "truncated"])
 
     return F.pandas_udf(run, "precision double, recall double, f1 double, candidate_tokens int, reference_tokens int, truncated int")(candidate, reference)
+
+
+def score_fingerprint(columns: list[str], model: str, model_sha256: str) -> Column:
+    """SHA-256 that a stored score is known by: of the texts it was made from, in canonical JSON, and of the model's name and files. Another model is another score."""
+    return F.sha2(F.concat_ws("\n", F.lit(model), F.lit(model_sha256), canonical(columns)), 256)

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pipelines import Settings
 from .ranks import with_quantiles
 
 
-def configuration(spark: SparkSession, s: Settings = Settings()) -> DataFrame:
-    """One row per architecture; what a stage lacks is null."""
-    rows = [("P0", None, None, None, None, False, 0), ("P1", s.p1_dense, None, None, None, False, s.final), ("P2", s.p2_dense, s.p2_sparse, s.rrf_k, s.p2_fused, False, s.final), ("P3", s.p3_dense, s.p3_sparse, s.rrf_k, s.p3_fused, True, s.final)]
-    return spark.createDataFrame(rows, "architecture string, dense_k int, sparse_k int, rrf_k int, fusion_k int, reranked boolean, final_k int")
+def configuration(answers: DataFrame) -> DataFrame:
+    """answers (architecture, experiment_parameters) -> one row per architecture with what its records say they were run with; what a stage lacks is null. Records of one
+    architecture that disagree raise."""
+    p = F.col("experiment_parameters")
+    named = {"dense_k": "dense_candidate_k", "sparse_k": "sparse_candidate_k", "rrf_k": "rrf_k", "fusion_k": "fusion_candidate_k", "reranker_k": "reranker_candidate_k", "final_k": "final_context_k"}
+    one = F.when(F.count_distinct(F.to_json(F.map_entries(p))) == 1, F.first(p)).otherwise(F.raise_error(F.lit("records of one architecture have different parameters")).cast("map<string,string>"))
+    g = answers.groupBy("architecture").agg(F.count("*").alias("question_count"), one.alias("p"))
+    return g.select("architecture", "question_count", *[F.col("p")[k].cast("int").alias(c) for c, k in named.items()], F.map_contains_key("p", "reranker_candidate_k").alias("reranked"))
 
 
 def overall(frames: list[DataFrame], key: str = "architecture") -> DataFrame:

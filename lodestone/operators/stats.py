@@ -52,6 +52,20 @@ def planned_comparisons(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PLANNED), "hypothesis string, architecture_a string, architecture_b string, metric string, source string, population string")
 
 
+def planned_pairs(rows: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """comparisons (hypothesis, architecture_a, architecture_b, metric, ...) with what rows (question_id, architecture, metric, value) have for each: pair_count complete pairs, the
+    questions of either side that have none, and both means over the pairs; a comparison without rows has 0."""
+    by = ["architecture_a", "architecture_b", "metric"]
+    pairs = paired_values(rows, comparisons.select(*by).distinct())
+    have = pairs.groupBy(*by).agg(F.count("*").alias("pair_count"), F.avg("a").alias("mean_a_paired"), F.avg("b").alias("mean_b_paired"))
+    sides = rows.where("value is not null").groupBy("architecture", "metric").agg(F.count("*").alias("n"))
+    side = lambda x: F.broadcast(sides.select(F.col("architecture").alias(f"architecture_{x}"), "metric", F.col("n").alias(f"n_{x}")))
+    out = comparisons.join(have, by, "left").join(side("a"), ["architecture_a", "metric"], "left").join(side("b"), ["architecture_b", "metric"], "left")
+    n = F.coalesce("pair_count", F.lit(0))
+    alone = lambda x: (F.coalesce(f"n_{x}", F.lit(0)) - n).alias(f"unpaired_{x}")
+    return out.select(*comparisons.columns, n.alias("pair_count"), alone("a"), alone("b"), "mean_a_paired", "mean_b_paired")
+
+
 def paired_values(rows: DataFrame, comparisons: DataFrame) -> DataFrame:
     """rows (question_id, architecture, metric, value), comparisons (architecture_a, architecture_b, metric) -> complete pairs with a, b.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checks import _violations, coverage, duplicate_keys, enforce, together
@@ -127,16 +127,79 @@ def journal_violations(journal: DataFrame, keys: list[str], expected: dict[str,
 
 
 def stage_identity(df: DataFrame, by: list[str], member: str, inner: str, outer: str, identity: list[str], rule: str = "stage_identity") -> DataFrame:
-    """Members (by and member) of the inner stage that the outer one lacks, or that differ there in a column of identity, and those out of the outer stage's order."""
+    """Members (by and member) of the inner stage that the outer one lacks, that differ there in a column of identity, or whose rank there is before that of the member in front of them
+    in the inner stage (order)."""
     keep = [*by, member, "rank", *identity]
     a = df.where(F.col("stage") == inner).select(*keep)
     b = df.where(F.col("stage") == outer).select(*by, member, F.col("rank").alias("_rank"), *[F.col(c).alias(f"_{c}") for c in identity])
     j = a.join(b, [*by, member], "left")
-    why = F.when(F.col("_rank").isNull(), "absent").otherwise(F.concat_ws(",", *[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in identity]))
+    front = Window.partitionBy(*by).orderBy("rank", member).rowsBetween(Window.unboundedPreceding, -1)
+    j = j.withColumn("_back", F.col("_rank") < F.max("_rank").over(front))
+    there = [F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in identity]
+    why = F.when(F.col("_rank").isNull(), "absent").otherwise(F.concat_ws(",", *there, F.when(F.col("_back"), F.lit("order"))))
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in [*by, member]])
     return _violations(j.withColumn("_why", why).where("_why <> ''"), rule, key, F.col("_why"))
 
 
+def saved_selection(df: DataFrame, by: list[str], identity: list[str], selection: str, final: str, n: int, rule: str = "saved_selection") -> DataFrame:
+    """Places up to n at which the final stage does not hold what the selection's first n hold, in order: place by place, both sides."""
+    keep = [*by, "rank", *identity]
+    a = df.where((F.col("stage") == selection) & (F.col("rank") <= n)).select(*keep, F.lit(True).alias("_a"))
+    b = df.where(F.col("stage") == final).select(*by, "rank", *[F.col(c).alias(f"_{c}") for c in identity], F.lit(True).alias("_b"))
+    j = a.join(b, [*by, "rank"], "full")
+    differ = F.concat_ws(",", *[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in identity])
+    why = F.when(F.col("_b").isNull(), "not_in_final").when(F.col("_a").isNull(), "not_selected").otherwise(differ)
+    return _violations(j.withColumn("_why", why).where("_why <> ''"), rule, F.concat_ws("|", *[F.col(c).cast("string") for c in [*by, "rank"]]), F.col("_why"))
+
+
+def support_rules(rows: DataFrame, source: str, support: str, proxy: str, key: Column, inapplicable: list[str] = (), tolerance: float = 1e-12) -> DataFrame:
+    """rows (architecture, abstained, <source>_claim_count, <source>_supported_count, support, proxy): scores where the source does not apply, counts that cannot be (missing, negative,
+    more supported than there are, any for an exact abstention), scores without units, and scores that are not the share of supported units and its complement."""
+    n, s = F.col(f"{source}_claim_count"), F.col(f"{source}_supported_count")
+    values = [n, s, F.col(support), F.col(proxy)]
+    nothing = values[0].isNull() & values[1].isNull() & values[2].isNull() & values[3].isNull()
+    skipped = F.col("architecture").isin(*inapplicable) if inapplicable else F.lit(False)
+    far = lambda a, b: ~F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
+    bad_count = n.isNull() | s.isNull() | (n < 0) | (s < 0) | (s > n) | ((F.col("abstained") == 1) & (n > 0))
+    why = (
+        F.when(skipped, F.when(~nothing, "not_applicable")).when(nothing & (F.col("abstained") == 1), None).when(bad_count, "unit_counts")
+        .when(n == 0, F.when(F.col(support).isNotNull() | F.col(proxy).isNotNull(), "scores_without_units")).when(far(F.col(support), s / n) | far(F.col(proxy), 1 - F.col(support)), "support_disagrees")
+    )
+    return _violations(rows.withColumn("_why", why).where("_why is not null"), f"{source}_support", key, F.col("_why"))
+
+
+def stage_inputs(
+    run_id: str, summaries: dict[str, tuple[DataFrame, list[str]]], latency: DataFrame, categories: DataFrame, architectures: list[str], declared: DataFrame, tables: dict[str, tuple[DataFrame, int]],
+    equal: list[tuple[str, str, str, str]], tolerance: float = 1e-9,
+) -> DataFrame:
+    """All that must hold between the tables of an evaluation before a report may be made of them, in one table of violations.
+
+    summaries: name -> (rows with run_id and architecture, the architectures it must have, once each). latency (run_id, architecture, component, ...): one row per
+    architecture and component, a total for each. categories and declared: as in category_violations(). tables: name -> (rows with run_id, how many there must be).
+    equal: (summary, column, summary, column) pairs that must agree for every architecture that both have; the summary "latency" stands for the totals.
+    """
+    key = F.coalesce("architecture", F.lit("null"))
+    out = []
+    for name, (rows, names) in summaries.items():
+        spine = rows.sparkSession.createDataFrame([(a,) for a in names], "architecture string")
+        out += [another_run(rows, run_id, F.concat(F.lit(f"{name}|"), key)), duplicate_keys(rows.withColumn("table", F.lit(name)), ["table", "architecture"], "duplicate_row")]
+        out.append(coverage(rows.select(F.concat(F.lit(f"{name}|"), key).alias("k")).distinct(), spine.select(F.concat(F.lit(f"{name}|"), F.col("architecture")).alias("k")), ["k"], "architecture_rows"))
+    totals = latency.where("component = 'total'")
+    spine = latency.sparkSession.createDataFrame([(a,) for a in architectures], "architecture string")
+    out += [another_run(latency, run_id, F.concat_ws("|", F.lit("latency"), key, "component")), duplicate_keys(latency, ["architecture", "component"], "duplicate_latency")]
+    out.append(_violations(spine.join(totals.select("architecture"), "architecture", "left_anti"), "no_total_latency", F.col("architecture"), F.lit("total")))
+    out += [another_run(categories, run_id, F.concat_ws("|", F.lit("categories"), "grouping", "category", key)), category_violations(categories, architectures, declared)]
+    for name, (rows, n) in tables.items():
+        out.append(another_run(rows, run_id, F.lit(name)))
+        out.append(_violations(rows.agg(F.count("*").alias("_n")).where(F.col("_n") != n), "row_count", F.lit(name), F.concat_ws("/", F.lit(n), F.col("_n"))))
+    sides = {**{name: rows for name, (rows, _) in summaries.items()}, "latency": totals}
+    for a, x, b, y in equal:
+        j = sides[a].select("architecture", F.col(x).cast("double").alias("_x")).join(sides[b].select("architecture", F.col(y).cast("double").alias("_y")), "architecture")
+        far = j.where(~F.coalesce(F.abs(F.col("_x") - F.col("_y")) <= tolerance, F.col("_x").isNull() & F.col("_y").isNull()))
+        out.append(_violations(far, "cross_stage", F.col("architecture"), F.lit(f"{a}.{x}/{b}.{y}")))
+    return together(*out)
+
+
 def question_records(df: DataFrame, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
     """Records without an id or with a blank question."""
     why = F.concat_ws(",", F.when(F.col(id_col).isNull(), F.lit(id_col)), F.when(F.coalesce(F.regexp_replace(text_col, r"(?U)\s+", ""), F.lit("")) == "", F.lit(text_col)))

@@ -278,9 +278,12 @@ def split_dev_heldout(spark, sf_dir):
     return selection.split_by_ids(b, selection.hash_ordered(b, "item_id", "dev:", 5), "item_id").select("item_id", "part")
 
 
-@query("SELECT item_id FROM benchmark WHERE item_id >= 5 ORDER BY sha256('audit:' || item_id) LIMIT 8")
+@query("SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM benchmark ORDER BY sha256('dev:' || item_id) LIMIT 5) ORDER BY sha256('audit:' || item_id) LIMIT 8")
 def hash_sample(spark, sf_dir):
-    return selection.hash_ordered(table(spark, sf_dir, "benchmark").where("item_id >= 5"), "item_id", "audit:", 8).select("item_id")
+    """Eight items of those that an earlier sample has not drawn."""
+    items = table(spark, sf_dir, "benchmark").select("item_id")
+    drawn = selection.hash_ordered(items, "item_id", "dev:", 5)
+    return selection.hash_ordered(items.join(F.broadcast(drawn), "item_id", "left_anti"), "item_id", "audit:", 8)
 
 
 @query("SELECT CAST(round_even(i * ((SELECT count(*) FROM benchmark) - 1) / 6.0::DOUBLE, 0) AS BIGINT) AS position FROM range(0, 7) t(i)")
@@ -396,3 +399,8 @@ def embed_default(spark, sf_dir):
 @query()
 def answer_similarity(spark, sf_dir):
     return _qa(spark, sf_dir).select("conv_id", "turn", models.soft_match(F.col("generated_answer"), F.col("gold_answer")).alias("s")).select("conv_id", "turn", "s.*")
+
+
+@query("SELECT doc_id, CAST(CAST('0x' || substr(sha256('run-1:' || source || ':' || doc_id), 1, 16) AS UBIGINT) AS DECIMAL(20, 0)) AS seed FROM documents")
+def text_seeds(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.seed64(F.concat_ws(":", F.lit("run-1"), "source", F.col("doc_id").cast("string"))).alias("seed"))

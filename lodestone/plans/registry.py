@@ -7,7 +7,7 @@ ORACLES: dict = {}
 
 
 def _load() -> None:
-    from . import architectures, corpus, evaluation, retrieval, study, systems  # noqa: F401
+    from . import architectures, corpus, evaluation, files, retrieval, study, systems  # noqa: F401
 
 
 _load()

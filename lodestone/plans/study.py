@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -169,14 +170,18 @@ def quality_assembly(spark, sf_dir):
     return d.select("architecture", "question_id", F.round("latency_ms", 6).alias("latency_ms"), "label", F.round("completeness", 6).alias("completeness"), "rationale", F.round("f1", 6).alias("f1"))
 
 
-_CATS = "ct AS (SELECT 'lang' AS grouping, lang AS category, source AS architecture, CASE WHEN lang = 'fr' THEN count(*) ELSE 5 END AS question_count FROM documents WHERE source IN ('src0', 'src1', 'src2') AND NOT (lang = 'es' AND source = 'src1') GROUP BY 1, 2, 3)"
+_SOURCES = [f"src{i}" for i in range(20)]
+_CATS = "ct AS (SELECT 'lang' AS grouping, CASE WHEN lang = 'es' AND source = 'src1' THEN 'es, other' ELSE lang END AS category, source AS architecture, CASE WHEN lang = 'fr' THEN count(*) ELSE 5 END AS question_count FROM documents GROUP BY lang, source)"
+_ALL_SOURCES = ",".join(sorted(_SOURCES))
 
 
-@query(f"WITH {_CATS}, a AS (SELECT grouping, category, string_agg(DISTINCT architecture, ',' ORDER BY architecture) AS a, count(DISTINCT question_count) AS m FROM ct GROUP BY 1, 2), n AS (SELECT sum(question_count) AS n FROM ct WHERE architecture = 'src0') SELECT 'incomplete_category' AS rule, grouping || '|' || category AS key, a AS detail FROM a WHERE a <> 'src0,src1,src2' UNION ALL SELECT 'unequal_counts', grouping || '|' || category, CAST(m AS VARCHAR) FROM a WHERE m <> 1 UNION ALL SELECT 'category_coverage', 'lang', '3/' || CAST(n AS BIGINT) FROM n WHERE n <> 3")
+@query(f"WITH {_CATS}, a AS (SELECT grouping, category, string_agg(DISTINCT architecture, ',' ORDER BY architecture) AS a, count(DISTINCT question_count) AS m FROM ct GROUP BY 1, 2), n AS (SELECT sum(question_count) AS n FROM ct WHERE architecture = 'src0') SELECT 'incomplete_category' AS rule, grouping || '|' || category AS key, a AS detail FROM a WHERE a <> '{_ALL_SOURCES}' UNION ALL SELECT 'unequal_counts', grouping || '|' || category, CAST(m AS VARCHAR) FROM a WHERE m <> 1 UNION ALL SELECT 'category_coverage', 'lang', '3/' || CAST(n AS BIGINT) FROM n WHERE n <> 3")
 def category_violations(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("source in ('src0', 'src1', 'src2') and not (lang = 'es' and source = 'src1')")
-    c = d.groupBy(F.lit("lang").alias("grouping"), F.col("lang").alias("category"), F.col("source").alias("architecture")).agg(F.count("*").alias("question_count")).withColumn("question_count", F.when(F.col("category") == "fr", F.col("question_count")).otherwise(5))
-    return validation.category_violations(c, ["src0", "src1", "src2"], spark.createDataFrame([("lang", 3)], "grouping string, question_count long"))
+    """All sources and languages; one language of one source is filed under a category of its own."""
+    category = F.when((F.col("lang") == "es") & (F.col("source") == "src1"), "es, other").otherwise(F.col("lang"))
+    c = table(spark, sf_dir, "documents").groupBy(F.lit("lang").alias("grouping"), category.alias("category"), F.col("source").alias("architecture"), "lang").agg(F.count("*").alias("question_count"))
+    c = c.withColumn("question_count", F.when(F.col("lang") == "fr", F.col("question_count")).otherwise(5)).drop("lang")
+    return validation.category_violations(c, _SOURCES, spark.createDataFrame([("lang", 3)], "grouping string, question_count long"))
 
 
 @query(f"WITH {_GRID} SELECT 'abstention_counts' AS rule, architecture AS key, CASE architecture WHEN 'view' THEN 'exact_abstention_count' ELSE 'question_count,gold_scored_count' END AS detail FROM (SELECT DISTINCT architecture FROM g) WHERE architecture IN ('view', 'click')")
@@ -205,12 +210,80 @@ def journal_violations(spark, sf_dir):
     return validation.journal_violations(j, ["conv_id", "turn"], {"protocol": "v4"}, c.select("conv_id", "turn", F.sha2("text", 256).alias("digest")), ["digest"])
 
 
-@query("""SELECT 'stage_identity' AS rule, source || '|' || doc_id AS key, CASE WHEN doc_id % 10 = 0 THEN 'absent' ELSE 'lang' END AS detail FROM documents WHERE doc_id % 5 = 0 AND (doc_id % 10 = 0 OR doc_id % 15 = 0)""")
-def stage_violations(spark, sf_dir):
-    """Final chunks of which some are not among the candidates and some carry another language there."""
+_STAGES = """d AS (SELECT source, doc_id, CASE WHEN doc_id % 35 = 5 THEN -1 ELSE doc_id END AS outer_rank, lang FROM documents),
+i AS (SELECT source, doc_id, doc_id AS rank, CASE WHEN doc_id % 15 = 0 THEN lang || '?' ELSE lang END AS lang, CASE WHEN doc_id % 10 <> 0 THEN outer_rank END AS outer_rank, lang AS outer_lang FROM d WHERE doc_id % 5 = 0)"""
+
+
+def _stages(spark, sf_dir):
+    """Final chunks of which some are not among the candidates, some carry another language there and some stand in another order."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("doc_id").alias("rank"), "lang")
     final = d.where("doc_id % 5 = 0").withColumn("stage", F.lit("final")).withColumn("lang", F.when(F.col("doc_id") % 15 == 0, F.concat("lang", F.lit("?"))).otherwise(F.col("lang")))
-    return validation.stage_identity(final.unionByName(d.where("doc_id % 10 <> 0").withColumn("stage", F.lit("union"))), ["source"], "doc_id", "final", "union", ["lang"])
+    union = d.where("doc_id % 10 <> 0").withColumn("rank", F.when(F.col("doc_id") % 35 == 5, -1).otherwise(F.col("rank")))
+    return final.unionByName(union.withColumn("stage", F.lit("union")))
+
+
+@query(f"""WITH {_STAGES}, o AS (SELECT *, coalesce(outer_rank < max(outer_rank) OVER (PARTITION BY source ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS back FROM i)
+SELECT 'stage_identity' AS rule, source || '|' || doc_id AS key, CASE WHEN outer_rank IS NULL THEN 'absent' ELSE concat_ws(',', CASE WHEN lang <> outer_lang THEN 'lang' END, CASE WHEN back THEN 'order' END) END AS detail FROM o WHERE outer_rank IS NULL OR lang <> outer_lang OR back""")
+def stage_violations(spark, sf_dir):
+    return validation.stage_identity(_stages(spark, sf_dir), ["source"], "doc_id", "final", "union", ["lang"])
+
+
+@query("""WITH s AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, doc_id, lang FROM documents), f AS (SELECT source, rank, CASE WHEN rank = 3 AND source = 'src2' THEN doc_id + 1 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 9 = 0 THEN 'xx' ELSE lang END AS lang FROM s WHERE rank <= 5 AND NOT (rank = 5 AND source = 'src3')),
+j AS (SELECT source, rank, s.doc_id AS d, f.doc_id AS e, s.lang AS l, f.lang AS m FROM (SELECT * FROM s WHERE rank <= 5) s FULL JOIN f USING (source, rank))
+SELECT 'saved_selection' AS rule, source || '|' || rank AS key, CASE WHEN e IS NULL THEN 'not_in_final' WHEN d IS NULL THEN 'not_selected' ELSE concat_ws(',', CASE WHEN d <> e THEN 'doc_id' END, CASE WHEN l <> m THEN 'lang' END) END AS detail FROM j WHERE e IS NULL OR d IS NULL OR d <> e OR l <> m""")
+def selection_violations(spark, sf_dir):
+    """Final contexts that are not the first five of what was saved as the selection."""
+    s = rollups.first_per_group(table(spark, sf_dir, "documents").select("source", "doc_id", "lang"), ["source"], ["doc_id"], 5)
+    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    final = s.where("not (rank = 5 and source = 'src3')").withColumns({"doc_id": F.expr("if(rank = 3 and source = 'src2', doc_id + 1, doc_id)"), "lang": F.when(F.col("doc_id") % 9 == 0, "xx").otherwise(F.col("lang"))})
+    both = s.withColumn("stage", F.lit("selection")).unionByName(final.withColumn("stage", F.lit("final")))
+    return validation.saved_selection(both, ["source"], ["doc_id", "lang"], "selection", "final", 5)
+
+
+_UNITS = f"u AS (SELECT architecture, question_id, abstained, CASE WHEN architecture = 'click' AND question_id % 5 <> 0 THEN NULL WHEN abstained = 1 AND question_id % 3 <> 0 THEN NULL ELSE question_id % 6 END AS n, CASE WHEN architecture = 'click' AND question_id % 5 <> 0 THEN NULL WHEN abstained = 1 AND question_id % 3 <> 0 THEN NULL WHEN question_id % 17 = 0 THEN 7 ELSE question_id % 6 // 2 END AS s FROM g), v AS (SELECT *, CASE WHEN n > 0 THEN s / n WHEN question_id % 4 = 0 AND n = 0 THEN 0.0::DOUBLE END AS support FROM u), w AS (SELECT *, CASE WHEN question_id % 11 = 0 THEN support ELSE 1 - support END AS proxy FROM v)"
+
+
+@query(f"""WITH {_GRID}, {_UNITS}, y AS (SELECT *, CASE WHEN architecture = 'click' THEN CASE WHEN n IS NOT NULL OR s IS NOT NULL OR support IS NOT NULL OR proxy IS NOT NULL THEN 'not_applicable' END
+ WHEN n IS NULL AND s IS NULL AND support IS NULL AND proxy IS NULL AND abstained = 1 THEN NULL WHEN n IS NULL OR s IS NULL OR s > n OR (abstained = 1 AND n > 0) THEN 'unit_counts'
+ WHEN n = 0 THEN CASE WHEN support IS NOT NULL OR proxy IS NOT NULL THEN 'scores_without_units' END WHEN abs(proxy - (1 - support)) > 1e-12 THEN 'support_disagrees' END AS why FROM w)
+SELECT 'context_support' AS rule, architecture || '|' || question_id AS key, why AS detail FROM y WHERE why IS NOT NULL""")
+def support_rule_violations(spark, sf_dir):
+    """Counts of units and scores, some where they do not apply, some that cannot be, some that disagree."""
+    q, skip = F.col("question_id"), (F.col("architecture") == "click") & (F.col("question_id") % 5 != 0) | (F.col("abstained") == 1) & (F.col("question_id") % 3 != 0)
+    g = _grid(spark, sf_dir).select("architecture", "question_id", "abstained", F.when(~skip, q % 6).alias("context_claim_count"), F.when(~skip, F.when(q % 17 == 0, 7).otherwise(F.floor(q % 6 / 2))).alias("context_supported_count"))
+    n = F.col("context_claim_count")
+    g = g.withColumn("support", F.when(n > 0, F.col("context_supported_count") / n).when((q % 4 == 0) & (n == 0), 0.0)).withColumn("proxy", F.when(q % 11 == 0, F.col("support")).otherwise(1 - F.col("support")))
+    return validation.support_rules(g, "context", "support", "proxy", F.concat_ws("|", "architecture", q.cast("string")), ["click"])
+
+
+_REPORT = f"""g2 AS (SELECT *, CASE architecture WHEN 'click' THEN 'P0' WHEN 'purchase' THEN 'P1' WHEN 'view' THEN 'P2' ELSE 'P3' END AS a FROM g WHERE architecture IN ('click', 'purchase', 'view', 'signup')),
+an AS (SELECT a, avg(quality) AS q FROM g2 GROUP BY 1), tr AS (SELECT a, avg(quality) + CASE WHEN a = 'P2' THEN 1e-6 ELSE 0 END AS q, avg(latency_ms) AS ms FROM g2 GROUP BY 1)"""
+
+
+@query(f"""WITH {_GRID}, {_REPORT}
+SELECT 'cross_stage' AS rule, 'P2' AS key, 'answers.quality_mean/tradeoffs.quality_mean' AS detail FROM an JOIN tr USING (a) WHERE a = 'P2'
+UNION ALL SELECT 'architecture_rows', 'retrieval|P0', 'unexpected' FROM tr WHERE a = 'P0'
+UNION ALL SELECT 'another_run', 'retrieval|P3', 'old' FROM tr WHERE a = 'P3'
+UNION ALL SELECT 'no_total_latency', 'P3', 'total' FROM tr WHERE a = 'P3'
+UNION ALL SELECT 'row_count', 'statistics', '21/' || count(*) FROM tr HAVING count(*) <> 21
+UNION ALL SELECT 'incomplete_category', 'user|' || c, string_agg(DISTINCT a, ',' ORDER BY a) FROM (SELECT question_id % 7 AS c, a FROM g2) GROUP BY c HAVING count(DISTINCT a) <> 4
+UNION ALL SELECT 'unequal_counts', 'user|' || c, CAST(count(DISTINCT n) AS VARCHAR) FROM (SELECT question_id % 7 AS c, a, count(*) AS n FROM g2 GROUP BY 1, 2) GROUP BY c HAVING count(DISTINCT n) <> 1
+UNION ALL SELECT 'category_coverage', 'user', '1/' || count(*) FROM g2 WHERE a = 'P0' HAVING count(*) <> 1""")
+def report_input_violations(spark, sf_dir):
+    """Tables of one evaluation put together with faults of every kind: all rules between stages at once."""
+    g = _grid(spark, sf_dir).where("architecture in ('click', 'purchase', 'view', 'signup')")
+    name = F.when(F.col("architecture") == "click", "P0").when(F.col("architecture") == "purchase", "P1").when(F.col("architecture") == "view", "P2").otherwise("P3")
+    g = g.withColumn("architecture", name).withColumn("run_id", F.lit("run-1"))
+    means = g.groupBy("run_id", "architecture").agg(F.avg("quality").alias("quality_mean"), F.avg("latency_ms").alias("latency_mean"))
+    tradeoffs = means.withColumn("quality_mean", F.col("quality_mean") + F.when(F.col("architecture") == "P2", 1e-6).otherwise(0.0))
+    retrieval = means.withColumn("run_id", F.when(F.col("architecture") == "P3", "old").otherwise(F.col("run_id")))
+    latency = means.select("run_id", "architecture", F.when(F.col("architecture") != "P3", "total").otherwise("generation").alias("component"), F.col("latency_mean").alias("mean_ms"))
+    categories = g.groupBy("run_id", F.lit("user").alias("grouping"), (F.col("question_id") % 7).cast("string").alias("category"), "architecture").agg(F.count("*").alias("question_count"))
+    names = ["P0", "P1", "P2", "P3"]
+    return validation.stage_inputs(
+        "run-1", {"answers": (means, names), "tradeoffs": (tradeoffs, names), "retrieval": (retrieval, names[1:])}, latency, categories, names, spark.createDataFrame([("user", 1)], "grouping string, question_count long"),
+        {"statistics": (means, 21)}, [("answers", "quality_mean", "tradeoffs", "quality_mean"), ("latency", "mean_ms", "tradeoffs", "latency_mean")],
+    )
 
 
 @query("SELECT 'question_record' AS rule, CASE WHEN item_id % 6 = 0 THEN 'null' ELSE CAST(item_id AS VARCHAR) END AS key, CASE WHEN item_id % 6 = 0 AND item_id % 4 = 0 THEN 'question_id,question' WHEN item_id % 6 = 0 THEN 'question_id' ELSE 'question' END AS detail FROM benchmark WHERE item_id % 6 = 0 OR item_id % 4 = 0")
@@ -280,9 +353,26 @@ def answer_judgments(spark, sf_dir):
     return support.judge_answers(d).select("conv_id", "turn", "error", "correctness_label", "completeness")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(repr(r) for r in stats.PLANNED) + ") t(hypothesis, architecture_a, architecture_b, metric, source, population)")
+_STUDY = {"exact_match": "CAST(quality > 0.2 AS INT)", "token_f1": "quality", "numeric_accuracy": "CASE WHEN question_id % 3 <> 0 THEN quality END", "gold_evidence_support": "support", "context_faithfulness": "CASE WHEN architecture <> 'P0' THEN support END",
+          "hit_at_5": "CASE WHEN architecture <> 'P0' THEN CAST(question_id % 2 AS INT) END", "recall_at_5": "CASE WHEN architecture <> 'P0' THEN quality / 2 END", "total_latency_ms": "latency_ms"}
+_AS_STUDY = "CASE architecture WHEN 'click' THEN 'P0' WHEN 'purchase' THEN 'P1' WHEN 'view' THEN 'P2' ELSE 'P3' END"
+_STUDY_ROWS = f"gs AS (SELECT * REPLACE ({_AS_STUDY} AS architecture) FROM g WHERE architecture IN ('click', 'purchase', 'view', 'signup')), ms AS (" + " UNION ALL ".join(f"SELECT question_id, architecture, '{m}' AS metric, CAST({x} AS DOUBLE) AS value FROM gs" for m, x in _STUDY.items()) + ")"
+
+
+def _study(spark, sf_dir):
+    g = _grid(spark, sf_dir).where("architecture in ('click', 'purchase', 'view', 'signup')").withColumn("architecture", F.expr(_AS_STUDY))
+    return g.select("question_id", "architecture", *[F.expr(f"cast({x} as double)").alias(m) for m, x in _STUDY.items()]).unpivot(["question_id", "architecture"], list(_STUDY), "metric", "value")
+
+
+@query(f"""WITH {_GRID}, {_STUDY_ROWS}, t AS (SELECT * FROM (VALUES {", ".join(repr(r) for r in stats.PLANNED)}) t(hypothesis, architecture_a, architecture_b, metric, source, population)),
+p AS (SELECT a.architecture AS architecture_a, b.architecture AS architecture_b, a.metric, count(*) AS n, avg(a.value) AS ma, avg(b.value) AS mb FROM ms a JOIN ms b USING (question_id, metric) WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2, 3),
+c AS (SELECT architecture, metric, count(value) AS n FROM ms GROUP BY 1, 2)
+SELECT t.*, CAST(coalesce(p.n, 0) AS BIGINT) AS pair_count, CAST(coalesce(x.n, 0) - coalesce(p.n, 0) AS BIGINT) AS unpaired_a, CAST(coalesce(y.n, 0) - coalesce(p.n, 0) AS BIGINT) AS unpaired_b, round(ma, 6) AS mean_a_paired, round(mb, 6) AS mean_b_paired
+FROM t LEFT JOIN p USING (architecture_a, architecture_b, metric) LEFT JOIN c x ON x.architecture = architecture_a AND x.metric = t.metric LEFT JOIN c y ON y.architecture = architecture_b AND y.metric = t.metric""")
 def planned_comparisons(spark, sf_dir):
-    return stats.planned_comparisons(spark)
+    """The prespecified comparisons with the pairs that the metric rows have for each."""
+    made = stats.planned_pairs(_study(spark, sf_dir), stats.planned_comparisons(spark))
+    return made.withColumns({c: F.round(c, 6) for c in ("mean_a_paired", "mean_b_paired")})
 
 
 _TESTS = [("H1", "click", "purchase", "latency_ms", "all"), ("H1", "click", "purchase", "abstained", "all"), ("H2", "purchase", "view", "support", "scored"), ("H2", "purchase", "view", "abstained", "all")]
@@ -385,9 +475,31 @@ def stored_sparse_index(spark, sf_dir):
     return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query(_DENSE.format(on="true"))
-def stored_dense_index(spark, sf_dir):
+def _dense_index(spark, sf_dir):
     path = f"{shared_dir(spark)}/dense-{uuid.uuid4().hex}"
     rows, asked = _vectors(spark, sf_dir)
-    indices.save_dense(rows.select("id", "v"), path, "d", len(rows.first()["v"]))
-    return dense.exact_top_k(indices.load_dense(spark, path, "d"), asked, 10).withColumn("score", F.round("score", 6))
+    indices.save_dense(rows, path, "d", len(rows.first()["v"]), "passage: ", ["label"], tokenizer="words", token_budget=508)
+    return path, asked
+
+
+@query(_DENSE.format(on="true"))
+def stored_dense_index(spark, sf_dir):
+    """Search over blocks that were written; a query passes over those that cannot hold any of its best."""
+    path, asked = _dense_index(spark, sf_dir)
+    return dense.search_blocks(indices.load_dense(spark, path, "d", prefix="passage: "), asked, 10).withColumn("score", F.round("score", 6))
+
+
+@query(_DENSE.format(on="a.label = b.label"))
+def stored_dense_index_filtered(spark, sf_dir):
+    path, asked = _dense_index(spark, sf_dir)
+    return dense.search_blocks(indices.load_dense(spark, path, "d"), asked, 10, on=["label"]).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT 'stale_index' AS rule, k AS key, d AS detail FROM (SELECT 'rows' AS k, count(*) || '/' || count(*) + 1 AS d FROM embeddings UNION ALL SELECT 'dim', max(len(embedding)) || '/' || max(len(embedding)) * 2 FROM embeddings UNION ALL VALUES ('digest', 'd/e'), ('prefix', 'passage: /query: '), ('tokenizer', 'words/pieces'), ('token_budget', '508/512'))")
+def stale_index_rules(spark, sf_dir):
+    """All that an index over the table fails when it is expected to have been made otherwise."""
+    path, _ = _dense_index(spark, sf_dir)
+    v = table(spark, sf_dir, "embeddings")
+    n, dim = v.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    wrong = indices.stale(spark, path, "dense", "e", rows=n + 1, dim=2 * dim, prefix="query: ", tokenizer="pieces", token_budget=512)
+    return spark.createDataFrame(wrong, "rule string, key string, detail string")

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, pipelines, report, rollups
-from ..sources import io
-from ..sources.store import shared_dir
+from ..sources import io, pdf
+from ..sources.store import materialise, shared_dir
 from .common import query, table
+from .corpus import _CLEAN
 from .evaluation import _GRID, _grid
 
 
-@query("SELECT architecture, CAST(dense_k AS INT) AS dense_k, CAST(sparse_k AS INT) AS sparse_k, CAST(rrf_k AS INT) AS rrf_k, CAST(fusion_k AS INT) AS fusion_k, reranked, CAST(final_k AS INT) AS final_k FROM (VALUES ('P0', NULL, NULL, NULL, NULL, false, 0), ('P1', 5, NULL, NULL, NULL, false, 5), ('P2', 10, 10, 60, 5, false, 5), ('P3', 20, 20, 60, 20, true, 5)) t(architecture, dense_k, sparse_k, rrf_k, fusion_k, reranked, final_k)")
-def architecture_configuration(spark, sf_dir):
-    return report.configuration(spark)
-
-
 _SOURCES = [f"src{i}" for i in range(20)]
 
 
@@ -81,6 +80,22 @@ def windowed_latency(spark, sf_dir):
     return w.select(F.col("window.start").alias("window_start"), "event_type", "n", F.round("mean", 6).alias("mean"), F.round("max", 6).alias("max"))
 
 
+@query(f"WITH r AS (SELECT source, doc_id // 640 AS part, CAST(row_number() OVER (PARTITION BY source, doc_id // 640 ORDER BY doc_id) - 1 AS INT) AS page, CASE WHEN doc_id % 10 = 0 THEN '' ELSE coalesce(text, '') END AS x FROM documents), c AS (SELECT source, part, page, {_CLEAN} AS t FROM r) SELECT source || '-' || part AS doc_name, page, sha256(t) AS text_sha256, CASE WHEN t = '' THEN 'empty' ELSE 'ok' END AS extraction_status FROM c UNION ALL SELECT 'broken', NULL, NULL, 'error:ValueError: no cross-reference'")
+def pdf_pages(spark, sf_dir):
+    """Documents written as PDF files, some pages blank, one file no PDF, and their pages read back, a task for each range of pages."""
+    root = f"{shared_dir(spark)}/pdf-{uuid.uuid4().hex}"
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        name, rows = f"{rows['source'].iloc[0]}-{rows['part'].iloc[0]}", rows.sort_values("doc_id")
+        pdf.create(f"{root}/{name}.pdf", pdf.write_pdf(["" if i % 10 == 0 else t or "" for i, t in zip(rows["doc_id"], rows["text"], strict=True)], compressed=rows["part"].iloc[0] % 2 == 0))
+        return pd.DataFrame({"name": [name]})
+
+    docs = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 640).alias("part"), "doc_id", "text")
+    docs.groupBy("source", "part").applyInPandas(write, "name string").collect()  # a file per row
+    pdf.create(f"{root}/broken.pdf", b"no such thing")
+    return pdf.read_pages(spark, root).select("doc_name", "page", F.sha2("text", 256).alias("text_sha256"), "extraction_status")
+
+
 def _html_sql() -> str:
     lit = lambda x: "'" + x.replace("'", "''") + "'"
     t = f"regexp_replace(html, {lit(T.COMMENT)}, '', 'g')"
@@ -101,13 +116,52 @@ def html_to_text(spark, sf_dir):
     return io.html_to_text(table(spark, sf_dir, "pages")).select("page_id", "text")
 
 
-def _answers(spark, sf_dir, architecture):
+def _corpus(spark, sf_dir):
     pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_name"), F.col("doc_id").cast("int").alias("page"), "text")
     corpus = pipelines.build_corpus(chunking.chunk_pages(pages))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question"), F.col("text").alias("retrieval_query"), F.col("text").alias("gold_answer"))
-    a = pipelines.answer(architecture, corpus, q)
-    chunks = F.transform("retrieved_chunks", lambda c: c["chunk_id"]) if architecture != "P0" else F.array().cast("array<string>")
-    return a.select("question_id", "architecture", "generated_answer", chunks.alias("chunk_ids"))
+    return corpus, q
+
+
+def _answers(spark, sf_dir, architecture):
+    a = pipelines.answer(architecture, *_corpus(spark, sf_dir))
+    return a.select("question_id", "architecture", "generated_answer", F.coalesce(F.transform("retrieved_chunks", lambda c: c["chunk_id"]), F.array().cast("array<string>")).alias("chunk_ids"))
+
+
+def _records(spark, sf_dir):
+    """The answer records of all architectures, stored as a run would store them."""
+    corpus, q = _corpus(spark, sf_dir)
+    made = [pipelines.answer(a, corpus, q).select("question_id", "architecture", "generated_answer", "retrieved_chunks.chunk_id", *_TIMES, *_TOKENS, "llm_model", "generation_parameters", "experiment_parameters") for a in ("P0", "P1", "P2", "P3")]
+    return materialise(reduce(DataFrame.unionByName, made), "records")
+
+
+_TIMES, _TOKENS = ("retrieval_latency_ms", "reranking_latency_ms", "generation_latency_ms", "total_latency_ms"), ("input_tokens", "output_tokens", "total_tokens")
+_RUNS = "r AS (SELECT * FROM benchmark, (VALUES ('P0', NULL, NULL, NULL, NULL, NULL, 0), ('P1', 5, NULL, NULL, NULL, NULL, 5), ('P2', 10, 10, 60, 5, NULL, 5), ('P3', 20, 20, 60, 20, 20, 5)) t(architecture, dense_k, sparse_k, rrf_k, fusion_k, reranker_k, final_k))"
+
+
+@query(f"WITH {_RUNS} SELECT architecture, count(*) AS question_count, CAST(dense_k AS INT) AS dense_k, CAST(sparse_k AS INT) AS sparse_k, CAST(rrf_k AS INT) AS rrf_k, CAST(fusion_k AS INT) AS fusion_k, CAST(reranker_k AS INT) AS reranker_k, CAST(final_k AS INT) AS final_k, reranker_k IS NOT NULL AS reranked FROM r GROUP BY ALL")
+def architecture_configuration(spark, sf_dir):
+    """What the records of a run over all benchmark questions say that they were made with."""
+    return report.configuration(_records(spark, sf_dir))
+
+
+@query(f"WITH {_RUNS} SELECT CAST(item_id AS VARCHAR) AS question_id, architecture, CAST(final_k AS INT) AS chunks, architecture <> 'P0' AS retrieved, architecture = 'P3' AS reranked, true AS times_add_up, true AS tokens_add_up, 'echo_generator' AS llm_model, CAST(final_k AS VARCHAR) AS final_context_k FROM r")
+def answer_records(spark, sf_dir):
+    a = _records(spark, sf_dir)
+    parts = F.coalesce("retrieval_latency_ms", F.lit(0.0)) + F.coalesce("reranking_latency_ms", F.lit(0.0)) + F.col("generation_latency_ms")
+    sound = (F.abs(F.col("total_latency_ms") - parts) < 1e-6) & (F.col("generation_latency_ms") >= 0)
+    tokens = (F.col("input_tokens") + F.col("output_tokens") == F.col("total_tokens")) & (F.col("input_tokens") > 0) & (F.col("output_tokens") > 0)
+    return a.select(
+        "question_id", "architecture", F.coalesce(F.size("chunk_id"), F.lit(0)).alias("chunks"), F.col("retrieval_latency_ms").isNotNull().alias("retrieved"), F.col("reranking_latency_ms").isNotNull().alias("reranked"),
+        sound.alias("times_add_up"), tokens.alias("tokens_add_up"), "llm_model", F.col("experiment_parameters")["final_context_k"].alias("final_context_k"),
+    )
+
+
+@query(f"WITH {_RUNS}, c AS (SELECT * FROM r, (VALUES ('retrieval_latency_ms'), ('reranking_latency_ms'), ('generation_latency_ms'), ('total_latency_ms')) t(component)) SELECT architecture, component, count(*) AS n, true AS ordered FROM c WHERE component IN ('generation_latency_ms', 'total_latency_ms') OR (component = 'retrieval_latency_ms' AND architecture <> 'P0') OR (component = 'reranking_latency_ms' AND architecture = 'P3') GROUP BY 1, 2")
+def answer_latency(spark, sf_dir):
+    """The latency summary of the engine's own records."""
+    s = rollups.latency_summary(_records(spark, sf_dir), "architecture", list(_TIMES), {"retrieval_latency_ms": ["P1", "P2", "P3"], "reranking_latency_ms": ["P3"]})
+    return s.select("architecture", "component", "n", ((F.col("min") <= F.col("median")) & (F.col("median") <= F.col("max")) & (F.col("std") >= 0)).alias("ordered"))
 
 
 @query()

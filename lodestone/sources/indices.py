@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dense import block_index
 from ..operators.merkle import places, roots, row_digest, tree
 from ..operators.sparse import SparseIndex
 from ..schemas import INDEX_VERSION
@@ -22,12 +23,16 @@ def _meta(spark: SparkSession, path: str, kind: str, digest: str | None, **also)
     spark.createDataFrame([row], ", ".join(f"{k} {'int' if k == 'version' else 'string'}" for k in row)).coalesce(1).write.json(f"{path}/meta")
 
 
-def _check(spark: SparkSession, path: str, kind: str, digest: str | None, **also) -> None:
+def stale(spark: SparkSession, path: str, kind: str, digest: str | None = None, **expected) -> list[tuple[str, str, str]]:
+    """(rule, what, found/expected) of all that an index was not made as expected with: kind, version, corpus digest, and whatever is named, such as dim, rows, prefix, tokenizer, token_budget."""
     meta = spark.read.json(f"{path}/meta").first().asDict()
-    want = {"kind": kind, "version": INDEX_VERSION, **({"digest": digest} if digest else {}), **{k: str(v) for k, v in also.items()}}
-    stale = {k: (meta.get(k), v) for k, v in want.items() if meta.get(k) != v}
-    if stale:
-        raise ValueError(f"stale index: {stale}")
+    want = {"kind": kind, "version": INDEX_VERSION, **({"digest": digest} if digest else {}), **{k: str(v) for k, v in expected.items()}}
+    return [("stale_index", k, f"{meta.get(k)}/{v}") for k, v in want.items() if meta.get(k) != v]
+
+
+def _check(spark: SparkSession, path: str, kind: str, digest: str | None, **also) -> None:
+    if wrong := stale(spark, path, kind, digest, **also):
+        raise ValueError("stale index: " + "; ".join(f"{k} {detail}" for _, k, detail in wrong))
 
 
 def save_sparse(index: SparseIndex, path: str, digest: str) -> None:
@@ -42,13 +47,16 @@ def load_sparse(spark: SparkSession, path: str, digest: str | None = None) -> Sp
     return SparseIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("rows", "terms", "stats")))
 
 
-def save_dense(vectors: DataFrame, path: str, digest: str, dim: int, prefix: str = "") -> None:
-    """vectors (id, v): every row must have `dim` components."""
-    checked = vectors.withColumn("v", F.when(F.size("v") == dim, F.col("v")).otherwise(F.raise_error(F.lit(f"vector without {dim} components")).cast("array<double>")))
-    checked.write.parquet(f"{path}/vectors")
-    _meta(vectors.sparkSession, path, "dense", digest, dim=dim, prefix=prefix)
+def save_dense(vectors: DataFrame, path: str, digest: str, dim: int, prefix: str = "", keep: list[str] | None = None, **said) -> None:
+    """vectors (id, v, *keep) as blocks that a search can pass over. Every row must have `dim` components. said: what else they were made with (tokenizer, token_budget, ...), which
+    loading may ask for."""
+    spark = vectors.sparkSession
+    block_index(vectors, keep, dim).write.parquet(f"{path}/vectors")
+    rows = spark.read.parquet(f"{path}/vectors").agg(F.sum(F.size("ids"))).first()[0] or 0
+    _meta(spark, path, "dense", digest, dim=dim, prefix=prefix, rows=rows, **said)
 
 
 def load_dense(spark: SparkSession, path: str, digest: str | None = None, **expected) -> DataFrame:
+    """The blocks, for search_blocks()."""
     _check(spark, path, "dense", digest, **expected)
     return spark.read.parquet(f"{path}/vectors")
