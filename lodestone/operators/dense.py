@@ -119,13 +119,14 @@ def block_index(vectors: DataFrame, keep: list[str] | None = None, dim: int | No
     got = rows.where(share).select("v").limit(2 * SAMPLE).collect() or rows.select("v").take(1)
     dim = dim or (len(got[0].v) if got else 0)
     rows = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v")).otherwise(F.raise_error(F.lit(f"vector without {dim} components")).cast("array<double>")))
-    sample = np.array([r.v for r in got if len(r.v) == dim], np.float64).reshape(-1, dim)
+    sample = [r.v for r in got if len(r.v) == dim]
+    sample = np.array(sample, np.float64).reshape(len(sample), dim)
     sent = spark.sparkContext.broadcast(choose_centres(sample, min(len(sample), CENTRES, max(1, round(total**0.5 / 8)))) if len(sample) else np.zeros((1, dim)))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in ("id", *keep)]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, d = _nearest(np.array(b.column(1).flatten(), np.float64).reshape(-1, dim), sent.value) if b.num_rows else (np.zeros(0, np.int64), np.zeros(0))
+            own, d = _nearest(np.array(b.column(1).flatten(), np.float64).reshape(b.num_rows, dim), sent.value) if b.num_rows else (np.zeros(0, np.int64), np.zeros(0))
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(d), *b.columns], names=["centre", "apart", *b.schema.names])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
