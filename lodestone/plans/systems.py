@@ -46,10 +46,11 @@ def compact_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.compact_text(F.col("text"), 60).alias("compact"))
 
 
-@query("SELECT CAST(orders.o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 'skipped_existing' WHEN o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0 THEN 'downloaded' ELSE 'failed' END AS download_status FROM orders")
+@query("SELECT source || '-' || doc_id AS doc_name, CASE WHEN n_chars % 2 = 1 AND substr(text, 1, 5) <> '%PDF-' THEN 'failed' WHEN lang = 'en' THEN 'skipped_existing' ELSE 'downloaded' END AS download_status FROM documents")
 def manifest_status(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3 == 0).alias("existing"), F.when(F.col("o_orderkey") % 2 == 0, "%PDF-").otherwise("<html").alias("head"))
-    return io.download_status(d).select("o_orderkey", "download_status")
+    """Rows of a manifest: what a file begins with, and whether it was there before."""
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("doc_name"), (F.col("lang") == "en").alias("existing"), F.when(F.col("n_chars") % 2 == 0, "%PDF-").otherwise(F.substring("text", 1, 5)).alias("head"))
+    return io.download_status(d).select("doc_name", "download_status")
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE (conv_id + turn) % 3 <> 0")
