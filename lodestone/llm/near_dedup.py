@@ -8,8 +8,8 @@
    In each list, members are paired with the one that shares the most lists: a star, never all pairs.
 3. The number of shared lists picks each document's best partner, the union sketch estimates the
    similarity, and the exact Jaccard index of the full sets decides.
-4. Components of the links found are built. Then nothing is left to chance: every class is listed under its prefix, so many of its rarest
-   shingles that two sets at the threshold must share one, and pairs in a list that are still in different components, and whose sizes and odd
+4. Components of the links found are built. Then nothing is left to chance: every class is listed under so many of its rarest shingles (long
+   ones: rarest runs of two) that two sets at the threshold must share one, and pairs in a list that are still in different components, and whose sizes and odd
    sketches allow it, are compared on their full sets, without an estimate. What is rare is known from a bounded sample; it orders the shingles,
    the same way for all sets, and no pair depends on it.
 
@@ -31,12 +31,16 @@ from .common import batch, kept, materialise, maybe_broadcast
 from .graph import connected_components
 
 SKETCH = 96
-#: Bits of an odd sketch, and the size of sets up to which they have one.
-ODD_BITS, ODD_FULL = 1024, 1024
+#: Bits of an odd sketch; it tells sets apart as long as their bound is well under half of that. Longer sets than LONG are listed under runs.
+ODD_BITS, LONG = 1024, 1500
+#: Bits of the odd sketches that pairs of longer sets are told apart by, before their sets meet.
+WIDE_BITS = 1 << 14
 #: Standard deviations that an estimate may lie under the threshold; what it drops is left to the prefixes.
 SLACK = 4.5
 #: Classes whose shingles tell what is common, and how many common ones are sent to all tasks, at most.
 SAMPLE, COMMON = 4096, 1 << 18
+#: Members of a list up to which lists with the same members are met once.
+SHORT = 16
 #: Rows of key lists that one flush of the map-side combiner holds.
 FLUSH = 1 << 20
 
@@ -102,19 +106,15 @@ def _runs(x: np.ndarray, r: int) -> np.ndarray:
     return K.mix(key).view(np.int64)
 
 
-def _odd(x: np.ndarray) -> bytes:
-    """Odd sketch: the parity of how many values fall on each of ODD_BITS bits. Two differ in at most as many bits as the sets in values."""
-    if len(x) > ODD_FULL:
-        return bytes(ODD_BITS // 8)
-    bits = np.bincount((x >> np.uint64(20)).astype(np.int64) % ODD_BITS, minlength=ODD_BITS).astype(np.uint8) & 1
-    return np.packbits(bits).tobytes()
+def _odd(x: np.ndarray, bits: int = ODD_BITS) -> bytes:
+    """Odd sketch: the parity of how many values fall on each of the bits. Two differ in at most as many bits as the sets in values."""
+    return np.packbits(np.bincount((x >> np.uint64(20)).astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def _near_enough(percent: int) -> str:
-    """SQL: whether two sets l and r can reach the threshold by size and, where both have one, by odd sketches. Nothing is lost."""
+    """SQL: whether two sets l and r can reach the threshold by size and by odd sketches, which differ in no more bits than the sets in values. Nothing is lost."""
     apart = " + ".join(f"bit_count(l.o{i} ^ r.o{i})" for i in range(ODD_BITS // 64))
-    bound = f"case when greatest(l.n, r.n) <= {ODD_FULL} then (l.n + r.n) * {100 - percent} div {100 + percent} else {ODD_BITS} end"
-    return f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {apart} <= {bound}"
+    return f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) and {apart} <= (l.n + r.n) * {100 - percent} div {100 + percent}"
 
 
 def _listed(rows):
@@ -166,27 +166,52 @@ def _run_keys(levels: list[tuple[int, int, int]]):
     return rows
 
 
-def rarest(x: np.ndarray, percent: int, common: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The prefix of a set x (sorted hashes) by rising count in the sample, then by hash; common: sorted hashes that the sample has more than once, times: how often."""
-    k = _prefix(len(x), percent)
-    if k >= len(x) or not len(common):
-        return x[:k]
-    at = np.searchsorted(common, x)
-    at[at == len(common)] = 0
-    return x[np.lexsort((x, np.where(common[at] == x, times[at], 0)))[:k]]
+def listed_under(x: np.ndarray, percent: int, common: np.ndarray, times: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set x (sorted hashes) such that it shares one with any set that reaches the threshold; common: sorted hashes that the sample has more than once, times: how often.
+    With each key how many more the whole order has behind it, and whether it is a run.
+
+    Sets of up to `long` values have their prefix: by rising count in the sample, then by hash, so many values that not all can differ. Longer sets would meet in single values by
+    chance; they have runs of two. If u values of a union hold i common ones, at least i - (u - i + 1) pairs of common neighbours have nothing between them, which is (2 t - 1) n - 1 at least for
+    a set of n: a prefix of the runs, by count and hash too, that leaves out fewer. Sets that a shorter one may be near to have both."""
+    seen = np.zeros(len(x), np.int64)
+    if len(common) and len(x):
+        at = np.searchsorted(common, x)
+        at[at == len(common)] = 0
+        seen = np.where(common[at] == x, times[at], 0)
+    parts = []
+    alike = -(-(2 * percent - 100) * len(x) // 100) - 1
+    if len(x) * percent <= 100 * long or alike < 1:
+        k = _prefix(len(x), percent)
+        parts.append((x[np.lexsort((x, seen))[:k]].view(np.int64), len(x) - 1 - np.arange(k), np.zeros(k, bool)))
+    if len(x) > long and alike >= 1:
+        runs = _runs(x, 2)
+        k = len(x) - alike
+        parts.append((runs[np.lexsort((runs, seen[:-1] + seen[1:]))[:k]], len(runs) - 1 - np.arange(k), np.ones(k, bool)))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+
+
+def _early_enough(percent: int) -> str:
+    """SQL: whether a key that two sets share may be the first one in the order of all keys: it and what both have behind it must still make up what sets of such sizes at the threshold
+    have in common. Of the keys that a pair shares the first one passes, and in pairs under the threshold, whose rare shingles differ, mostly none."""
+    alike = f"(({percent} * (l.n + r.n) + {99 + percent}) div {100 + percent})"
+    return f"l.run = r.run and 1 + least(l.behind, r.behind) >= if(l.run, 3 * {alike} - (l.n + r.n) - 1, {alike})"
+
+
+def _prefix_rows(size: int, percent: int, sent):
+    """Of (doc_id, text, c): a class under its rarest shingles."""
 
-
-def _prefix_keys(size: int, percent: int, sent):
-    """Of (doc_id, text): a class under its rarest shingles."""
-
-    def rows(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, times = sent.value
-        for lo, hi, data, offsets in K.chunks(b.column(1)):
-            h, before, _ = K.words(data, offsets, K.BLANK_WORDS)
-            for doc, x in zip(b.column(0).slice(lo, hi - lo).to_pylist(), K.shingle_hashes(h, before, size), strict=True):
-                yield doc, len(x), rarest(x, percent, common, times).view(np.int64)
+        for b in batches:
+            ids, parts = b.column(0).to_numpy(), b.column(2).to_numpy()
+            for lo, hi, data, offsets in K.chunks(b.column(1)):
+                h, before, _ = K.words(data, offsets, K.BLANK_WORDS)
+                listed = [listed_under(x, percent, common, times) for x in K.shingle_hashes(h, before, size)]
+                n = [len(k) for k, _, _ in listed]
+                key, behind, run_ = (np.concatenate([x[i] for x in listed]) for i in range(3))
+                yield batch({"key": pa.array(key), "doc": pa.array(np.repeat(ids[lo:hi], n)), "c": pa.array(np.repeat(parts[lo:hi], n)), "behind": pa.array(behind.astype(np.int32)), "run": pa.array(run_)})
 
-    return rows
+    return run
 
 
 def _shingles(size: int):
@@ -225,7 +250,22 @@ def _sets(size: int):
             ids = b.column(0)
             for lo, hi, data, offsets in K.chunks(b.column(1)):
                 h, before, _ = K.words(data, offsets, K.BLANK_WORDS)
-                yield batch({"doc": ids.slice(lo, hi - lo), "items": pa.array([x.tobytes() for x in K.shingle_hashes(h, before, size)], pa.binary())})
+                sets = K.shingle_hashes(h, before, size)
+                wide = pa.array([_odd(x, WIDE_BITS) for x in sets], pa.binary())
+                yield batch({"doc": ids.slice(lo, hi - lo), "m": pa.array([len(x) for x in sets], pa.int64()), "wide": wide, "items": pa.array([x.tobytes() for x in sets], pa.binary())})
+
+    return run
+
+
+def _not_apart(percent: int):
+    """Of (a, b, ma, mb, wa, wb): the pairs whose wide odd sketches differ in no more bits than two sets of such sizes at the threshold may in values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = (b.column(2).to_numpy() + b.column(3).to_numpy()) * (100 - percent) // (100 + percent)
+            apart = [int(np.bitwise_count(np.frombuffer(p, np.uint64) ^ np.frombuffer(q, np.uint64)).sum()) for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            keep = pa.array(np.array(apart, np.int64) <= most)
+            yield batch({"a": b.column(0).filter(keep), "b": b.column(1).filter(keep)})
 
     return run
 
@@ -251,7 +291,10 @@ def _confirm(pairs: DataFrame, sketches: DataFrame | None, documents: DataFrame,
     likely = materialise(pairs.select("a", "b") if sketches is None else _likely(pairs, sketches, percent, sketch), "likely")
     need = likely.select(side("a", "doc_id")).unionAll(likely.select(side("b", "doc_id"))).distinct()
     texts = documents.select("doc_id", "text").join(maybe_broadcast(need, 16), "doc_id", "left_semi")
-    sets = materialise(texts.mapInArrow(K.tidy(_sets(size)), "doc long, items binary"), "sets")
+    sets = materialise(texts.mapInArrow(K.tidy(_sets(size)), "doc long, m long, wide binary, items binary"), "sets")
+    if sketches is None:  # pairs that no sketch has judged: few of them are near, so their sets should not meet
+        both = likely.join(sets.select(side("doc", "a"), side("m", "ma"), side("wide", "wa")), "a").join(sets.select(side("doc", "b"), side("m", "mb"), side("wide", "wb")), "b")
+        likely = materialise(both.select("a", "b", "ma", "mb", "wa", "wb").mapInArrow(K.tidy(_not_apart(percent)), "a long, b long"), "near")
     full = likely.join(sets.select(side("doc", "a"), side("items", "xa")), "a").join(sets.select(side("doc", "b"), side("items", "xb")), "b")
     return full.select("a", "b", "xa", "xb").mapInArrow(K.tidy(_exact(percent)), "a long, b long").distinct()
 
@@ -286,19 +329,36 @@ def _partners(classes: DataFrame, percent: int, sketch: int) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, documents: DataFrame, parts: DataFrame, percent: int, size: int) -> DataFrame:
-    """(key, doc, n, c): the lists of prefixes whose members are in several components."""
+    """(key, doc, c, behind, run): the lists of prefixes whose members are in several components. Most keys are a class's own, so of them only key and component are shuffled."""
     spark = documents.sparkSession
-    texts = documents.join(maybe_broadcast(classes.select(F.col("rep").alias("doc_id")), 16), "doc_id", "left_semi").select("doc_id", "text")
+    nodes = parts.select(F.col("node").alias("doc_id"), "component")
+    reps = classes.select(F.col("rep").alias("doc_id")).join(maybe_broadcast(nodes, 24), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("c"))
+    texts = documents.join(maybe_broadcast(reps, 24), "doc_id").select("doc_id", "text", "c")
     draw = F.pmod(F.xxhash64(F.lit("common"), "doc_id"), F.lit(max(1, classes.count()))) < SAMPLE
     counted = texts.where(draw).mapInArrow(K.tidy(_shingles(size)), "key long").groupBy("key").agg(F.count("*").alias("times")).where("times > 1")
     got = counted.orderBy(F.desc("times"), "key").limit(COMMON).toArrow()
     known = got["key"].to_numpy().view(np.uint64)
     order = np.argsort(known)
     sent = spark.sparkContext.broadcast((known[order], got["times"].to_numpy()[order]))
-    shared = _shared_lists(texts.mapInArrow(K.tidy(_listed(_prefix_keys(size, percent, sent))), LISTED))
-    rows = shared.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
+    rows = materialise(texts.mapInArrow(K.tidy(_prefix_rows(size, percent, sent)), "key long, doc long, c long, behind int, run boolean"), "prefixes")
     mixed = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    return rows.join(mixed, "key", "left_semi")
+    return rows.join(maybe_broadcast(materialise(mixed, "mixed"), 16), "key", "left_semi")
+
+
+def _rest(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of _prefixes() rows in different components that size and odd sketches allow. Short lists that hold the same members, as two texts that share much have many of, are one
+    list; in longer ones members meet over keys that may be a pair's first."""
+    ends = [F.conv(F.hex(F.substring("odd", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"o{i}") for i in range(ODD_BITS // 64)]
+    odd = materialise(classes.join(rows.select(F.col("doc").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("doc"), "n", *ends), "odd")
+    members = materialise(rows.groupBy("key").agg(F.count("*").alias("members")), "members")
+    rows = rows.join(maybe_broadcast(members, 16), "key").join(maybe_broadcast(odd.select("doc", "n"), 16), "doc")
+    short = rows.where(F.col("members") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("doc", "c", "n"))).alias("m")).select("m").distinct()
+    met = F.expr(f"explode(flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {SHORT}), y -> x.c <> y.c and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)), y -> struct(y.doc as a, x.doc as b)))))")
+    pairs = short.select(met.alias("p")).select("p.a", "p.b").distinct()
+    near = pairs.join(odd.alias("l"), F.expr("a = l.doc")).join(odd.alias("r"), F.expr("b = r.doc")).where(_near_enough(percent)).select("a", "b")
+    long = rows.where(F.col("members") > SHORT).drop("n").join(odd, "doc")
+    apart = long.alias("l").join(long.alias("r"), F.expr(f"l.key = r.key and l.c < r.c and {_early_enough(percent)} and {_near_enough(percent)}"))
+    return near.unionAll(apart.select(F.greatest("l.doc", "r.doc").alias("a"), F.least("l.doc", "r.doc").alias("b"))).distinct()
 
 
 def _components(classes: DataFrame, documents: DataFrame, percent: int, size: int, sketch: int) -> DataFrame:
@@ -309,11 +369,7 @@ def _components(classes: DataFrame, documents: DataFrame, percent: int, size: in
     links = kept(spark, "links", lambda: _confirm(best, sketches, documents, percent, size, sketch))
     parts = kept(spark, "components", lambda: connected_components(links))
     rows = kept(spark, "rows", lambda: _prefixes(classes, documents, parts, percent, size))
-    odd = [F.conv(F.hex(F.substring("odd", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"o{i}") for i in range(ODD_BITS // 64)]
-    odd = classes.join(rows.select(F.col("doc").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("doc"), *odd)
-    rows = rows.join(odd, "doc")
-    rest = rows.alias("l").join(rows.alias("r"), F.expr(f"l.key = r.key and l.c < r.c and {_near_enough(percent)}"))
-    rest = rest.select(F.greatest("l.doc", "r.doc").alias("a"), F.least("l.doc", "r.doc").alias("b")).distinct()
+    rest = kept(spark, "rest", lambda: _rest(rows, classes, percent))
     more = kept(spark, "more", lambda: _confirm(rest, None, documents, percent, size, sketch))
     return connected_components(links.unionAll(more))
 

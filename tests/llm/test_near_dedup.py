@@ -95,16 +95,35 @@ def test_a_large_family_under_the_threshold_is_not_compared_pair_by_pair(spark):
     assert pairs < 60
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 60), min_size=1, max_size=40), st.lists(st.integers(0, 60), min_size=1, max_size=40), st.lists(st.tuples(st.integers(0, 60), st.integers(2, 9))), st.sampled_from([50, 80, 85, 95]))
-def test_sets_at_the_threshold_share_one_of_their_rarest(a, b, known, percent):
-    a, b = (np.unique(np.array(x, np.uint64)) for x in (a, b))
+@settings(max_examples=400, deadline=None)
+@given(st.sets(st.integers(0, 90), min_size=1, max_size=60), st.lists(st.tuples(st.booleans(), st.integers(0, 90)), max_size=9), st.lists(st.tuples(st.integers(0, 90), st.integers(2, 9))), st.sampled_from([40, 50, 60, 80, 85, 95]), st.integers(1, 50))
+def test_sets_at_the_threshold_share_a_key(one, changes, known, percent, long):
+    other = set(one)
+    for added, v in changes:
+        (other.add if added else other.discard)(v)
+    if not other:
+        return
+    a, b = (np.array(sorted(x), np.uint64) for x in (one, other))
     table = dict(known)
-    common = np.array(sorted(table), np.uint64)
-    times = np.array([table[int(k)] for k in common], np.int64)
-    both = len(np.intersect1d(a, b))
-    if 100 * both >= percent * (len(a) + len(b) - both):
-        assert len(np.intersect1d(N.rarest(a, percent, common, times), N.rarest(b, percent, common, times)))
+    common, times = np.array(sorted(table), np.uint64), np.array([table[k] for k in sorted(table)], np.int64)
+    if 100 * len(one & other) >= percent * len(one | other):
+        (ka, la, ra), (kb, lb, rb) = (N.listed_under(x, percent, common, times, long) for x in (a, b))
+        alike = -(-percent * (len(a) + len(b)) // (100 + percent))
+        need = lambda run: 3 * alike - len(a) - len(b) - 1 if run else alike
+        assert any(ka[i] == kb[j] and ra[i] == rb[j] and 1 + min(la[i], lb[j]) >= need(ra[i]) for i in range(len(ka)) for j in range(len(kb)))
+
+
+def test_long_texts_that_share_a_passage_meet_in_no_list(spark):
+    """Texts of many words out of few: single shingles are shared by chance, runs of two are not."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(rng.choices("abcdefghijkl", k=3000))) for i in range(60)] + [(100, None)]
+    rows[59] = (59, rows[58][1][:-20])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, 85).collect()} == {i: 58 if i == 59 else i for i, _ in rows}
+    listed = N._prefixes(spark.createDataFrame([(i,) for i in range(60)], "rep long"), docs, spark.createDataFrame([], "node long, component long"), 85, 5)
+    pairs = listed.alias("l").join(listed.alias("r"), "key").where("l.doc < r.doc").select("l.doc", "r.doc").distinct().count()
+    assert pairs < 0.1 * 60 * 59 / 2
 
 
 def test_empty_table(spark):
