@@ -404,3 +404,20 @@ def answer_similarity(spark, sf_dir):
 @query("SELECT doc_id, CAST(CAST('0x' || substr(sha256('run-1:' || source || ':' || doc_id), 1, 16) AS UBIGINT) AS DECIMAL(20, 0)) AS seed FROM documents")
 def text_seeds(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.seed64(F.concat_ws(":", F.lit("run-1"), "source", F.col("doc_id").cast("string"))).alias("seed"))
+
+
+_AMOUNT = "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)"
+
+
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, {_AMOUNT} AS said, CAST(CAST(l_quantity AS BIGINT) + CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS was, l_returnflag AS flag FROM lineitem),
+u AS (SELECT l_orderkey, l_linenumber, 'U1' AS unit_id, 'It cost $' || said || ' million.' AS claim, said <> was AS wrong FROM x UNION ALL SELECT l_orderkey, l_linenumber, 'U2', 'The flag was ' || flag || '.', false FROM x)
+SELECT l_orderkey, l_linenumber, unit_id, claim, CASE WHEN wrong THEN 'financial_number_absent_from_passage' ELSE '' END AS guard_reason, NOT wrong AS supported FROM u""")
+def judge_guards_on_text(spark, sf_dir):
+    """Units cut from answers and passages made from the rows: numbers that the passage does not have turn a judge's support off."""
+    said = F.col("l_quantity").cast("long")
+    answer = F.concat(F.lit("It cost $"), said.cast("string"), F.lit(" million. The flag was "), "l_returnflag", F.lit("."))
+    passage = F.concat(F.lit("Cost: $"), (said + (F.col("l_partkey") % 3 == 0).cast("long")).cast("string"), F.lit(" million; flag "), "l_returnflag")
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.answer_units(answer).alias("units"), F.array(F.struct(F.lit("E1").alias("evidence_id"), passage.alias("text"))).alias("passages"))
+    judged = F.transform("units", lambda u: F.struct(u["unit_id"].alias("unit_id"), F.lit(True).alias("factual"), F.lit(True).alias("supported"), F.lit("direct").alias("support_type"), F.array(F.lit("E1")).alias("evidence_ids"), F.lit("").alias("derivation")))
+    claims = support.guard_claims(d.withColumn("assessments", judged))
+    return claims.select("l_orderkey", "l_linenumber", F.explode("claims").alias("c")).select("l_orderkey", "l_linenumber", "c.unit_id", "c.claim", "c.guard_reason", "c.supported")
